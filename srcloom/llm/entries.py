@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .decontam import op10_decontamination
+from .simhash import op2_simhash
 
 QUERIES = {
+    "op2_simhash": op2_simhash,
     "op10_decontamination": op10_decontamination,
 }
 
