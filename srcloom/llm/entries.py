@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .decontam import op10_decontamination
+from .pieces import op4_sentencepiece
 from .simhash import op2_simhash
 
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op4_sentencepiece": op4_sentencepiece,
     "op10_decontamination": op10_decontamination,
 }
 
