@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from .decontam import op10_decontamination
 from .pieces import op4_sentencepiece
+from .planes import op5_token_planes
 from .simhash import op2_simhash
 
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_token_planes": op5_token_planes,
     "op10_decontamination": op10_decontamination,
 }
 
