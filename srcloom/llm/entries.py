@@ -6,11 +6,13 @@ from .decontam import op10_decontamination
 from .pieces import op4_sentencepiece
 from .planes import op5_token_planes
 from .simhash import op2_simhash
+from .winnowing import op9_winnowing
 
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_token_planes": op5_token_planes,
+    "op9_winnowing": op9_winnowing,
     "op10_decontamination": op10_decontamination,
 }
 
