@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .decontam import op10_decontamination
+from .langid import op1_language_id
 from .pieces import op4_sentencepiece
 from .planes import op5_token_planes
 from .simhash import op2_simhash
 from .winnowing import op9_winnowing
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_simhash": op2_simhash,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_token_planes": op5_token_planes,
