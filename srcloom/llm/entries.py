@@ -7,6 +7,7 @@ from .langid import op1_language_id
 from .pieces import op4_sentencepiece
 from .planes import op5_token_planes
 from .simhash import op2_simhash
+from .toxicity import op8_toxicity
 from .winnowing import op9_winnowing
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_token_planes": op5_token_planes,
+    "op8_toxicity": op8_toxicity,
     "op9_winnowing": op9_winnowing,
     "op10_decontamination": op10_decontamination,
 }
