@@ -6,7 +6,9 @@ from .decontam import op10_decontamination
 from .langid import op1_language_id
 from .pieces import op4_sentencepiece
 from .planes import op5_token_planes
+from .sharding import OP6_SQL, op6_sharding
 from .simhash import op2_simhash
+from .token_counts import op7_token_counts
 from .toxicity import op8_toxicity
 from .winnowing import op9_winnowing
 
@@ -15,9 +17,13 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_token_planes": op5_token_planes,
+    "op6_sharding": op6_sharding,
+    "op7_token_counts": op7_token_counts,
     "op8_toxicity": op8_toxicity,
     "op9_winnowing": op9_winnowing,
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_sharding": OP6_SQL,
+}
