@@ -6,6 +6,7 @@ from .decontam import op10_decontamination
 from .langid import op1_language_id
 from .pieces import op4_sentencepiece
 from .planes import op5_token_planes
+from .revisits import OP3_SQL, op3_revisits
 from .sharding import OP6_SQL, op6_sharding
 from .simhash import op2_simhash
 from .token_counts import op7_token_counts
@@ -15,6 +16,7 @@ from .winnowing import op9_winnowing
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_simhash": op2_simhash,
+    "op3_revisits": op3_revisits,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_token_planes": op5_token_planes,
     "op6_sharding": op6_sharding,
@@ -25,5 +27,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_revisits": OP3_SQL,
     "op6_sharding": OP6_SQL,
 }
