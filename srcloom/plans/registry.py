@@ -2,5 +2,12 @@
 
 from __future__ import annotations
 
+from . import scanning
+
+MODULES = (scanning,)
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _m in MODULES:
+    QUERIES |= _m.QUERIES
+    ORACLES |= _m.ORACLES
