@@ -43,7 +43,7 @@ gasleft blockhash address uint256 uint int bool bytes string if else for while d
 pop length
 """.split()
 #: Words of the language before a parenthesis.
-KEYWORDS = "if while for match return fn in let loop else as move".split()
+KEYWORDS = "if while for match return fn in let loop else as move pub".split()
 
 
 def noise_table(spark: SparkSession) -> DataFrame:

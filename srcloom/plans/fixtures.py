@@ -60,6 +60,8 @@ SELECT l_orderkey AS struct_id, l_linenumber AS ord, concat('acc_', CAST(l_linen
     CASE WHEN l_returnflag = 'R' THEN 'close = dest_2, ' ELSE '' END, 'seeds = [b"s", f(a, ', CAST(l_suppkey % 5 AS STRING), ')], has_one = auth_', CAST(l_suppkey % 3 AS STRING),
     ' @ Err::E', CAST(l_suppkey % 7 AS STRING), ', constraint = st.load()?.x == k', CAST(l_partkey % 4 AS STRING), '.key() @Err::C') AS attr
 FROM lineitem""",
+    "fx_line": """
+SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_returnflag, l_linestatus) AS INT) AS rn FROM lineitem""",
     "fx_block": """
 SELECT symbol_id, name, path, start_line, concat('/// doc of ', name, '\n', CASE WHEN kind = 'EntryPoint' THEN 'pub fn ' ELSE 'fn ' END, name,
   '(ctx: Context<Acc_', CAST(symbol_id % 9 AS STRING), '>, amount: u64) -> Result<()> {\n    require!(amount > ', CAST(symbol_id % 5 AS STRING),
@@ -68,6 +70,9 @@ SELECT symbol_id, name, path, start_line, concat('/// doc of ', name, '\n', CASE
 SELECT path, listagg(block, '\n\n') WITHIN GROUP (ORDER BY start_line, symbol_id) AS content FROM fx_block GROUP BY path""",
 }
 
+#: fx_account with an ord that is unique in its struct, as an account list has it (l_linenumber repeats).
+VIEWS["fx_decl"] = VIEWS["fx_account"].replace("l_linenumber AS ord", "rn AS ord").replace("CAST(l_linenumber AS STRING)", "CAST(rn AS STRING)").replace("FROM lineitem", "FROM fx_line")
+
 #: Where in fx_source each symbol's block lies, from its layout: k blocks of 11 lines.
 LAYOUT = """
 SELECT symbol_id, name, kind, program, path, row_number() OVER (PARTITION BY path ORDER BY start_line, symbol_id) AS k FROM fx_symbol"""

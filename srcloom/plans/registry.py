@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import scanning
+from . import accounting, calling, scanning
 
-MODULES = (scanning,)
+MODULES = (scanning, calling, accounting)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
