@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import accounting, calling, scanning
+from . import accounting, calling, resolving, scanning
 
-MODULES = (scanning, calling, accounting)
+MODULES = (scanning, calling, accounting, resolving)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
