@@ -8,17 +8,10 @@ driver is whether a round found anything.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _kept(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
+from srcloom.sources.shared import durable
 
 
 def dependency_closure(edge: DataFrame, roots: DataFrame, max_iter: int | None = None, multiplicity: bool = False) -> DataFrame:
@@ -27,14 +20,14 @@ def dependency_closure(edge: DataFrame, roots: DataFrame, max_iter: int | None =
     A root on a cycle reaches itself. multiplicity adds n_callers, how many
     reachable nodes (the root included) call the node.
     """
-    edges = _kept(edge.select("src", "dst").where("src is not null and dst is not null").distinct())
+    edges = durable(edge.select("src", "dst").where("src is not null and dst is not null").distinct())
     start = roots.select("root").distinct()
-    new = _kept(start.join(edges, F.col("root") == F.col("src")).select("root", F.col("dst").alias("node")).distinct().withColumn("depth", F.lit(1)))
+    new = durable(start.join(edges, F.col("root") == F.col("src")).select("root", F.col("dst").alias("node")).distinct().withColumn("depth", F.lit(1)))
     seen, depth = [new], 1
     while (max_iter is None or depth < max_iter) and not new.isEmpty():
         depth += 1
         step = new.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
-        new = _kept(step.join(_union(seen).select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        new = durable(step.join(_union(seen).select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         seen.append(new)
     found = _union(seen)
     if not multiplicity:
@@ -58,8 +51,8 @@ def bfs_tree(edge: DataFrame, roots: DataFrame, names: DataFrame | None = None,
     lesser depth, or by a lesser node of the same depth. across_roots shows each
     node once, below the least root that reaches it.
     """
-    edges = _kept(edge.select("src", "dst").where("src is not null and dst is not null and src <> dst").distinct())
-    new = _kept(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"), F.lit(None).cast(roots.schema["root"].dataType).alias("parent")).distinct())
+    edges = durable(edge.select("src", "dst").where("src is not null and dst is not null and src <> dst").distinct())
+    new = durable(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"), F.lit(None).cast(roots.schema["root"].dataType).alias("parent")).distinct())
     seen, depth = [new], 0
     while not new.isEmpty():
         depth += 1
@@ -69,7 +62,7 @@ def bfs_tree(edge: DataFrame, roots: DataFrame, names: DataFrame | None = None,
             named = step.join(names, "node").withColumn("k", F.row_number().over(Window.partitionBy("root", "name").orderBy("node"))).where("k = 1")
             shown = _union(seen).join(names, "node").select("root", "name")
             step = named.join(shown, ["root", "name"], "left_anti").drop("k", "name")
-        new = _kept(step.select("root", "node", F.lit(depth).alias("depth"), "parent"))
+        new = durable(step.select("root", "node", F.lit(depth).alias("depth"), "parent"))
         seen.append(new)
     found = _union(seen)
     if across_roots:
@@ -80,8 +73,8 @@ def bfs_tree(edge: DataFrame, roots: DataFrame, names: DataFrame | None = None,
 
 def _paths(base: DataFrame, rank, max_iter: int) -> tuple[DataFrame, DataFrame]:
     """For each (contract, ancestor) the least array of ranks on the way up; and pairs that did not settle."""
-    edges = _kept(base.select(F.col("contract_id").alias("c"), F.col("base_id").alias("b"), rank.alias("r")).where("c is not null and b is not null and c <> b"))
-    new = _kept(edges.groupBy("c", F.col("b").alias("a")).agg(F.array(F.min("r")).alias("path")))
+    edges = durable(base.select(F.col("contract_id").alias("c"), F.col("base_id").alias("b"), rank.alias("r")).where("c is not null and b is not null and c <> b"))
+    new = durable(edges.groupBy("c", F.col("b").alias("a")).agg(F.array(F.min("r")).alias("path")))
     best = new
     for _ in range(max_iter):
         if new.isEmpty():
@@ -89,8 +82,8 @@ def _paths(base: DataFrame, rank, max_iter: int) -> tuple[DataFrame, DataFrame]:
         step = new.withColumnRenamed("c", "x").join(edges, F.col("x") == F.col("b")).groupBy(F.col("c"), "a").agg(F.min(F.concat(F.array("r"), "path")).alias("path"))
         step = step.where("c <> a")
         better = step.join(best.select("c", "a", F.col("path").alias("old")), ["c", "a"], "left").where("old is null or path < old").drop("old")
-        new = _kept(better)
-        best = _kept(best.unionByName(new).groupBy("c", "a").agg(F.min("path").alias("path")))
+        new = durable(better)
+        best = durable(best.unionByName(new).groupBy("c", "a").agg(F.min("path").alias("path")))
     return best, new
 
 
@@ -121,12 +114,12 @@ def inheritance_chain(base: DataFrame, contract: DataFrame, max_iter: int = 200)
     """(contract_id, position, ancestor_id): breadth-first order over known contracts, bases in order."""
     known = contract.select("contract_id")
     usable = base.join(known.select(F.col("contract_id").alias("base_id")), "base_id", "left_semi").join(known, "contract_id", "left_semi")
-    edges = _kept(usable.select(F.col("contract_id").alias("x"), F.col("base_id").alias("b"), "ord"))
-    new = _kept(known.distinct().select(F.col("contract_id").alias("c"), F.col("contract_id").alias("a"), F.array().cast("array<int>").alias("path")))
+    edges = durable(usable.select(F.col("contract_id").alias("x"), F.col("base_id").alias("b"), "ord"))
+    new = durable(known.distinct().select(F.col("contract_id").alias("c"), F.col("contract_id").alias("a"), F.array().cast("array<int>").alias("path")))
     seen = [new]
     for _ in range(max_iter):
         step = new.join(edges, F.col("a") == F.col("x")).groupBy("c", F.col("b").alias("a")).agg(F.min(F.concat("path", F.array("ord"))).alias("path"))
-        new = _kept(step.join(_union(seen).select("c", "a"), ["c", "a"], "left_anti"))
+        new = durable(step.join(_union(seen).select("c", "a"), ["c", "a"], "left_anti"))
         if new.isEmpty():
             break
         seen.append(new)
