@@ -16,6 +16,11 @@ def indent(line: Column) -> Column:
     return F.regexp_extract(line, r"^(\s*)", 1)
 
 
+def stripped(line: Column) -> Column:
+    """The text without white space at its ends."""
+    return F.btrim(line, F.lit(" \t\r\n\f\u000b"))
+
+
 def lines_of(content: Column) -> Column:
     """Lines without line ends; a final line end does not start another line."""
     return F.split(F.regexp_replace(content, "\r?\n$", ""), "\r?\n")

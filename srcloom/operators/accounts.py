@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from srcloom.functions.text import at_sign, spaced, split_top_level
+from srcloom.functions.text import at_sign, spaced, split_top_level, stripped
 
 KEY = ["struct_id", "ord"]
 # Flags without a value, and items that only validate.
@@ -193,7 +193,7 @@ def signer_comments(source_line: DataFrame, account: DataFrame) -> DataFrame:
     belongs to the next `pub` line of its file.
     """
     ahead = Window.partitionBy("path").orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, 0)
-    marked = source_line.withColumn("of", F.last(F.when(F.trim("line").rlike(r"^pub\b"), F.col("line_no")), ignorenulls=True).over(ahead))
-    text = F.trim(F.regexp_replace(F.trim("line"), r"^/{2,}!?", ""))
-    comments = marked.where(F.trim("line").rlike("^//")).groupBy("path", F.col("of").alias("line_no")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", text.alias("t")))), lambda s: s["t"]), ". ").alias("description"))
+    marked = source_line.withColumn("of", F.last(F.when(stripped(F.col("line")).rlike(r"^pub\b"), F.col("line_no")), ignorenulls=True).over(ahead))
+    text = F.trim(F.regexp_replace(stripped(F.col("line")), r"^/{2,}!?", ""))
+    comments = marked.where(stripped(F.col("line")).rlike("^//")).groupBy("path", F.col("of").alias("line_no")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", text.alias("t")))), lambda s: s["t"]), ". ").alias("description"))
     return account.join(comments, ["path", "line_no"], "left").select("struct_id", "account_name", F.coalesce("description", F.lit("")).alias("description"))

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from srcloom.functions.text import file_stem, indent, lines_of, stable_id
+from srcloom.functions.text import file_stem, indent, lines_of, stable_id, stripped
 
 
 @dataclass(frozen=True)
@@ -59,7 +59,7 @@ def _any(conditions) -> Column:
 
 
 def _opens(rule: BlockRule, legacy: bool) -> Column:
-    line, bare = F.col("line"), F.trim("line")
+    line, bare = F.col("line"), stripped(F.col("line"))
     if legacy:
         first = _any(bare.startswith(w) for w in rule.opens)
     else:  # the word must end there; validation words may go on (require_eq!)
@@ -120,7 +120,7 @@ def block_after_marker(source_line: DataFrame, marker: str, rules=RULES, kinds=N
 
 def block_name_visibility(block: DataFrame, source_line: DataFrame) -> DataFrame:
     """Blocks with the name and pub flag read from the opening line; an impl is named `Trait for Type`."""
-    first = source_line.select("path", F.col("line_no").alias("start_line"), F.trim("line").alias("head"))
+    first = source_line.select("path", F.col("line_no").alias("start_line"), stripped(F.col("line")).alias("head"))
     named = F.regexp_extract("head", r"(?:fn|struct|enum|trait|mod)\s+(\w+)", 1)
     impl = F.trim(F.regexp_extract("head", r"^impl(?:<[^>]*>)?\s+(.*?)\s*(?:where\b.*)?(?:\{.*)?$", 1))
     return block.join(first, ["path", "start_line"]).withColumns({"name": F.when(F.col("kind") == "TraitImpl", impl).otherwise(named), "is_public": F.col("head").rlike(r"^pub\b")}).drop("head")
@@ -140,7 +140,7 @@ def symbol_extract(source_file: DataFrame, rules=RULES) -> DataFrame:
 def attribute_lines(symbol: DataFrame, source_line: DataFrame) -> DataFrame:
     """symbol_id and the text of the attribute and comment lines directly above each symbol."""
     # lines above run together as long as each is an attribute or a comment: islands of such lines
-    marked = source_line.withColumn("above", F.trim("line").rlike(r"^(#!?\[|//)") | F.trim("line").rlike(r"\)\]$"))
+    marked = source_line.withColumn("above", stripped(F.col("line")).rlike(r"^(#!?\[|//)") | stripped(F.col("line")).rlike(r"\)\]$"))
     w = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     islands = marked.withColumn("stop", F.max(F.when(~F.col("above"), F.col("line_no"))).over(w)).where("above")
     runs = islands.groupBy("path", "stop").agg(F.max("line_no").alias("last"), F.min("line_no").alias("first"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), "\n").alias("above"))
@@ -202,7 +202,7 @@ def validations_in_functions(source_line: DataFrame, symbol: DataFrame, rules=RU
 
 def doc_start(source_line: DataFrame, symbol: DataFrame) -> DataFrame:
     """The first line of the comment directly above each function; its own first line if there is none."""
-    comment = F.trim("line").rlike(r"^(///|/\*\*|\*|//)")
+    comment = stripped(F.col("line")).rlike(r"^(///|/\*\*|\*|//)")
     w = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     runs = source_line.withColumn("c", comment).withColumn("stop", F.max(F.when(~F.col("c"), F.col("line_no"))).over(w)).where("c").groupBy("path", "stop").agg(F.min("line_no").alias("doc_line"), (F.max("line_no") + 1).alias("start_line"))
     return symbol.select("symbol_id", "path", "start_line").join(runs.drop("stop"), ["path", "start_line"], "left").select("symbol_id", F.coalesce("doc_line", "start_line").alias("doc_line"))
@@ -212,6 +212,6 @@ def struct_fields(symbol: DataFrame, source_line: DataFrame) -> DataFrame:
     """`pub name: type` fields of structs, in order."""
     s = symbol.select("symbol_id", F.col("path").alias("s_path"), F.col("start_line").alias("s_from"), F.col("end_line").alias("s_to"))
     inside = source_line.join(s, (F.col("path") == F.col("s_path")) & (F.col("line_no") > F.col("s_from")) & (F.col("line_no") <= F.col("s_to")))
-    text = F.trim("line")
+    text = stripped(F.col("line"))
     found = inside.where(text.rlike(r"^pub(\([a-z]+\))?\s+\w+\s*:")).select("symbol_id", "line_no", F.regexp_extract(text, r"^pub(?:\([a-z]+\))?\s+(\w+)\s*:", 1).alias("field"), F.regexp_extract(text, r":\s*(.*?),?\s*(?://.*)?$", 1).alias("type"))
     return found.select("symbol_id", F.row_number().over(Window.partitionBy("symbol_id").orderBy("line_no")).alias("ord"), "field", "type")

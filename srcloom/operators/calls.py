@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcloom.functions.text import split_top_level, without_lifetimes
+from srcloom.functions.text import split_top_level, stripped, without_lifetimes
 
 # Method names that are no dependencies.
 NOISE_METHODS = """
@@ -127,7 +127,7 @@ def sol_imports(source_file: DataFrame) -> DataFrame:
     lines = F.split("content", "\n")
     rows = source_file.select("path", F.regexp_extract("content", r"pragma\s+([^;]+);", 1).alias("pragma"), F.posexplode(lines).alias("at", "line"))
     quoted = r"""["']([^"']+)["']"""
-    found = rows.where(F.trim("line").rlike(r"^import\b.*" + quoted))
+    found = rows.where(stripped(F.col("line")).rlike(r"^import\b.*" + quoted))
     at = found.select("path", "pragma", (F.col("at") + 1).alias("line"), F.regexp_extract("line", quoted, 1).alias("import_path"), F.regexp_extract("line", r"\{([^}]*)\}", 1).alias("group"), F.regexp_extract("line", r"(?:\*|" + quoted + r")\s+as\s+(\w+)", 2).alias("whole"))
     parts = at.withColumn("p", F.explode_outer(F.filter(F.transform(F.split("group", ","), lambda s: F.trim(s)), lambda s: s != "")))
     name, alias = F.regexp_extract("p", r"^(\w+)", 1), F.regexp_extract("p", r"\bas\s+(\w+)$", 1)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from srcloom.functions.text import stripped
+
 from .analytics import token_flow_pairs
 
 ROW = ["entry_name", "section", "ord", "line"]
@@ -79,7 +81,7 @@ def report_validations(entry: DataFrame, account: DataFrame, closure: DataFrame,
     reached = e.select("entry_name", F.col("root").alias("node")).unionByName(e.join(closure.select("root", "node"), "root").where("node <> root").select("entry_name", "node")).join(symbol.select(F.col("symbol_id").alias("node"), "name", "path", "start_line"), "node")
     inner = reached.join(in_functions.select(F.col("symbol_id").alias("node"), F.col("start_line").alias("at"), "line"), "node")
     heads = reached.join(in_functions.select(F.col("symbol_id").alias("node")).distinct(), "node", "left_semi").select("entry_name", F.lit(1).alias("part"), F.col("node").cast("long").alias("k"), F.lit(0).cast("long").alias("q"), F.concat("name", F.lit(" — "), "path", F.lit(":"), F.col("start_line").cast("string")).alias("line"))
-    body = inner.select("entry_name", F.lit(1).alias("part"), F.col("node").cast("long").alias("k"), F.col("at").cast("long").alias("q"), F.concat(F.lit("- "), F.trim("line")).alias("line"))
+    body = inner.select("entry_name", F.lit(1).alias("part"), F.col("node").cast("long").alias("k"), F.col("at").cast("long").alias("q"), F.concat(F.lit("- "), stripped(F.col("line"))).alias("line"))
     return _rows(own.unionByName(heads).unionByName(body), "validations", ["part", "k", "q", "line"], F.col("line"))
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from srcloom.functions.text import stripped
+
 # Folders that hold no audited code.
 EXCLUDED = ["/test/", "/tests/", "/script/", "/scripts/", "/mock/", "/mocks/"]
 
@@ -119,7 +121,7 @@ def read_remappings(lines: DataFrame, list_name: str = "remappings") -> DataFram
 
     lines: file, line_no, line. Blank lines and those that begin with # are skipped.
     """
-    text = F.trim("line")
+    text = stripped(F.col("line"))
     begins, ends = text.rlike(rf"^{list_name}\s*=\s*\["), F.contains(text, F.lit("]"))
     w = Window.partitionBy("file").orderBy("line_no")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
