@@ -87,7 +87,7 @@ def _bucketed(docs: DataFrame, bucket_rows: int) -> DataFrame:
     fine = max(1, -(-n // ((len(edges) - 1) * bucket_rows)))
     at = F.array(*[F.lit(e).cast("long") for e in edges])
     k = F.size(F.filter(at, lambda e: e <= F.col("i")))  # 1 for the first range
-    lo, hi = F.element_at(at, k), F.element_at(at, k + 1)
+    lo, hi = F.get(at, k - 1), F.get(at, k)  # null for a null id
     inside = F.floor((F.col("i") - lo).cast("double") / (hi - lo) * fine)
     place = (k - 1) * fine + F.least(inside, F.lit(fine - 1))
     return docs.withColumn("b", F.coalesce(F.lit(len(edges) * fine) - place, F.lit(len(edges) * fine + 1)).cast("long"))
