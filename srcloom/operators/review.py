@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # The sections of a review document.
-HEADERS = ["State changes", "Notes", "Signers", "Function parameters", "Context accounts", "Validations", "Miro frame url"]
+HEADERS = ["State changes", "Notes", "Signers", "Dependency function parameters", "Context accounts", "Validations", "Miro frame url"]
 # Ranks of severities.
 SEVERITIES = {"high": 1, "medium": 2, "low": 3, "informational": 4}
 
