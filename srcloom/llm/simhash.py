@@ -113,7 +113,7 @@ def links(fingerprints: DataFrame, radius: int = RADIUS, lead: int | None = None
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows sorted by lead, cut only between two leads."""
+    """Rows sorted by lead, cut only between two leads: the last lead of a batch waits for the next batch."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in batches:
         if not batch.num_rows:
@@ -121,21 +121,10 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarra
         fps, leads = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("fp", "lead"))
         cut = int(np.searchsorted(leads, leads[-1]))
         if cut or (held and held[-1][0][-1] != leads[0]):
-            if held and held[-1][0][-1] != leads[0]:
-                cut_at = 0
-                yield _together(held)
-                held = []
-            else:
-                cut_at = int(np.searchsorted(leads, leads[0], side="right")) if held else 0
-                if held:
-                    held.append((leads[:cut_at], fps[:cut_at]))
-                    yield _together(held)
-                    held = []
-            if cut > cut_at:
-                yield leads[cut_at:cut], fps[cut_at:cut].view(np.uint64)
-            cut = max(cut, cut_at)
-        if len(leads) > cut:
-            held.append((leads[cut:], fps[cut:]))
+            ready = held + [(leads[:cut], fps[:cut])]
+            held = []
+            yield _together(ready)
+        held.append((leads[cut:], fps[cut:]))
     if held:
         yield _together(held)
 
