@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from .common import appended, table
 from .pieces import SPACE, model_path
 
-NODES = 2_000_000
+NODES = 300_000
 _PRETOKEN = re.compile(rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
