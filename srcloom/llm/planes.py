@@ -21,11 +21,14 @@ by their text's hash and text. A partition's ids before each file are known
 where the file is made; the partitions' own starts come from one sum for each
 partition.
 
-Encoding: byte-level BPE splits text before merging and never across "optional
-blank + other characters" or runs of blanks, so the stretches between are
-encoded by the library once and kept in a table of bounded size. Whether a
-stretch-wise result equals that of the whole text is tested against the library.
-Texts that hold the string of an added token are given to the library whole.
+Encoding: byte-level BPE cuts a text into words, blanks and signs before it
+merges, and never merges across such a cut. For texts of Latin-1 characters the
+cuts are those of the tokenizer; for others they are made at blanks only, which
+is coarser and still never inside a merge. The library encodes each piece
+between cuts once, in batches, and the ids are kept in a table of bounded size
+that forgets what was not asked for lately. Whether the result equals that of
+the whole text is tested against the library. Texts that hold the string of an
+added token are given to the library whole.
 
 Defined cases: a null or empty text has the end id only; a null id sorts first
 and its row is kept; an empty table gives no files and no rows.
@@ -36,6 +39,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -44,8 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, table
-from .pieces import Kept
+from .common import SLICE_ROWS, fresh_path, table
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -54,8 +57,13 @@ FILE_IDS = 1 << 20
 MAGIC = b"TOKPLAN1"
 _HEAD = struct.Struct("<8sIIIQQ")
 _BLANK = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # white space as Unicode has it
-_STRETCH = re.compile(f" ?[^{_BLANK}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
-KEPT = 400_000
+_LETTER, _NUMBER = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe"
+_BLANKS = f"[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+"
+#: Cuts of any text, and the finer ones of Latin-1 text.
+_COARSE = re.compile(f" ?[^{_BLANK}]+|{_BLANKS}")
+_FINE = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_BLANK}{_LETTER}{_NUMBER}]+|{_BLANKS}")
+#: Pieces kept in each of two generations, and the longest that is kept.
+KEPT, LONGEST = 450_000, 48
 
 
 def tokenizer_path() -> str:
@@ -65,24 +73,42 @@ def tokenizer_path() -> str:
 
 
 class Encoder:
-    """encode_bytes() of single texts: ids as little-endian unsigned 32-bit numbers."""
+    """encode_all() of texts: ids as little-endian unsigned 32-bit numbers."""
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(file)
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.words = Kept(self._library, KEPT)
-
-    def _library(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def encode_bytes(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if any(a in text for a in self.added):
-            return self._library(text)
-        return b"".join(map(self.words.__getitem__, _STRETCH.findall(text)))
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def pieces(self, text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return _COARSE.findall(text)
+        return _FINE.findall(text)
+
+    def _encode(self, pieces: list[str]) -> dict[str, bytes]:
+        found = self.library.encode_batch_fast(pieces, add_special_tokens=False)
+        return {p: array("I", e.ids).tobytes() for p, e in zip(pieces, found, strict=True)}
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        whole = [bool(t) and any(a in t for a in self.added) for t in texts]
+        cut = [[] if w or not t else self.pieces(t) for t, w in zip(texts, whole, strict=True)]
+        needed = set().union(*cut) - self.known.keys()
+        if len(self.known) + len(needed) > KEPT:
+            self.older, self.known = self.known, {}
+            needed = set().union(*cut)
+        again = {p: self.older[p] for p in needed & self.older.keys()}
+        fresh = self._encode(sorted(needed - again.keys()))
+        long = {p: ids for p, ids in fresh.items() if len(p) > LONGEST}
+        self.known |= again | fresh
+        out = [self._encode([t])[t] if w else b"".join(map(self.known.__getitem__, c)) for t, w, c in zip(texts, whole, cut, strict=True)]
+        for p in long:
+            del self.known[p]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -195,15 +221,16 @@ def token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 x.clear()
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], ["part", "file", "part_start", "n_ids", "doc_ids", "bytes"])
 
-        for batch in batches:
-            for i, t in zip(batch.column("i").to_pylist(), batch.column("t"), strict=True):
-                some = encoder.encode_bytes(t.as_py()) + end
-                ids.append(some)
-                names.append(i)
-                lengths.append(len(some) // 4)
-                held_ids += len(some) // 4
-                if held_ids >= file_ids:
-                    yield close()
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(at, SLICE_ROWS)
+                for i, some in zip(batch.column("i").to_pylist(), encoder.encode_all(batch.column("t").to_pylist()), strict=True):
+                    ids.append(some + end)
+                    names.append(i)
+                    lengths.append(len(ids[-1]) // 4)
+                    held_ids += lengths[-1]
+                    if held_ids >= file_ids:
+                        yield close()
         if names:
             yield close()
 
