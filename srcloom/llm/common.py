@@ -55,8 +55,11 @@ def appended(df: DataFrame, text_col: str, added: T.StructType, make: Callable[[
     """
     names = [f.name for f in added]
     kept = [c for c in df.columns if c not in names]
-    source = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys(kept)], F.col(f"`{text_col}`").alias("__text"))
-    schema = T.StructType([f for f in source.schema if f.name != "__text"] + list(added))
+    held = "__text"
+    while held in kept:
+        held += "_"
+    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias(held))
+    schema = T.StructType([f for f in source.schema if f.name != held] + list(added))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
@@ -66,9 +69,9 @@ def appended(df: DataFrame, text_col: str, added: T.StructType, make: Callable[[
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE_ROWS):
                 batch = whole.slice(at, SLICE_ROWS)
-                values = work(batch.column("__text").to_pylist())
-                cols = [batch.column(c) for c in batch.schema.names if c != "__text"]
-                names_out = [c for c in batch.schema.names if c != "__text"] + names
+                values = work(batch.column(held).to_pylist())
+                cols = [batch.column(c) for c in batch.schema.names if c != held]
+                names_out = [c for c in batch.schema.names if c != held] + names
                 yield pa.RecordBatch.from_arrays(cols + [pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names_out)
 
     return source.mapInArrow(run, schema)

@@ -223,7 +223,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The documents without near-duplicates of a document with a smaller id.
 
-    Of rows with equal id one stays, with equal text if they differ the least.
+    Of rows with equal id the one with the least text stays.
     Rows with a null id can't be told apart and stay.
     """
     found = near_duplicates(docs, id_col, text_col, **how)
@@ -233,7 +233,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if twice.isEmpty():
         return kept
     again = kept.join(twice, id_col, "left_semi").select(*docs.columns)
-    single = again.groupBy(id_col).agg(F.min(F.struct(text_col, *[c for c in docs.columns if c != text_col])).alias("__row")).select("__row.*").select(*docs.columns)
+    single = again.groupBy(id_col).agg(F.min_by(F.struct(*docs.columns), F.coalesce(text_col, F.lit(""))).alias("__row")).select("__row.*")
     return kept.join(twice, id_col, "left_anti").select(*docs.columns).unionByName(single)
 
 

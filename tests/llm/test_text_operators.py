@@ -28,10 +28,10 @@ def some_texts(n: int = 60, seed: int = 5) -> list[str | None]:
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    rows = [(i, t, "junk", 0.5) for i, t in enumerate(some_texts())]
-    rows += [rows[9], rows[12], (None, "a null id", "junk", 0.5)]  # repeated rows, a null id
+    rows = [(i, t, "junk", 0.5, {"a": 1}) for i, t in enumerate(some_texts())]
+    rows += [rows[9], rows[12], (None, "a null id", "junk", 0.5, None)]  # repeated rows, a null id
     # columns that clash with those the operators add or use inside
-    return spark.createDataFrame(rows, "doc_id long, text string, fingerprint string, score double").repartition(3)
+    return spark.createDataFrame(rows, "doc_id long, text string, fingerprint string, score double, __text map<string,int>").repartition(3)
 
 
 @pytest.fixture(scope="module")
@@ -65,7 +65,7 @@ def test_language_id(spark, docs, nothing):
     odd = {r.text: r for r in langid.predict(docs, filters).collect()}
     assert [odd[t].lang_pred for t in (None, "", "   \t\n", "!!! ... ???", "²³")] == ["und"] * 5
     assert all(0 <= r.score <= 1 for r in odd.values()) and odd["a"].lang_pred in {"aa", "bb", "cc"}
-    assert langid.predict(docs, filters).columns == ["doc_id", "text", "fingerprint", "lang_pred", "score"]
+    assert langid.predict(docs, filters).columns == ["doc_id", "text", "fingerprint", "__text", "lang_pred", "score"]
     assert langid.predict(nothing, filters).count() == 0
     empty = langid.learn(table.where("false"))
     assert {r.lang_pred for r in langid.predict(docs, empty).collect()} == {"und"}
@@ -147,7 +147,7 @@ def test_one_of_each(docs):
     kept = simhash.one_of_each(docs)
     ids = [r.doc_id for r in kept.collect()]
     named = [i for i in ids if i is not None]
-    assert len(named) == len(set(named)) and kept.columns == docs.columns
+    assert len(named) == len(set(named)) and [f.dataType for f in kept.schema] == [f.dataType for f in docs.schema] and kept.columns == docs.columns
     assert set(named) == {r.component_id for r in simhash.near_duplicates(docs).collect() if r.doc_id is not None}
     assert ids.count(None) == 1
 
