@@ -31,7 +31,6 @@ from everything is `und`.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -40,7 +39,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import appended, in_test_fold, table
-from .pieces import Kept
 
 #: Expected rows to learn from, for each language.
 SAMPLE_ROWS = 4000
@@ -53,16 +51,28 @@ UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def grams_of(word: str, sizes: tuple[int, ...] = SIZES) -> list[str]:
-    padded = f" {word} "
-    return [padded[i : i + n] for n in sizes for i in range(len(padded) - n + 1)]
+#: Words kept by a task, and code points worked on at one time.
+KEPT, BLOCK_CODES = 300_000, 1_000_000
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-def positions(grams: list[str], slots: int, hashes: int) -> np.ndarray:
-    """Positions of each n-gram, by double hashing of one 64-bit hash."""
-    from xxhash import xxh64_intdigest
+def codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
 
-    h = np.array([xxh64_intdigest(g.encode("utf-8", "surrogatepass")) for g in grams], dtype=np.uint64)
+
+def gram_hashes(points: np.ndarray, longest: int) -> list[np.ndarray]:
+    """For each n up to longest the hash of the n code points from each place."""
+    out, h = [], np.zeros(len(points), np.uint64)
+    for n in range(1, longest + 1):
+        h = h[: len(points) - n + 1] * _FACTOR + points[n - 1 :] + np.uint64(1)
+        x = h ^ (h >> np.uint64(31))
+        x = x * np.uint64(0xBF58476D1CE4E5B9)
+        out.append(x ^ (x >> np.uint64(29)))
+    return out
+
+
+def positions(h: np.ndarray, slots: int, hashes: int) -> np.ndarray:
+    """Positions of each n-gram in the filter, by double hashing of its 64-bit hash."""
     low, high = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
     return ((low[:, None] + high[:, None] * np.arange(hashes, dtype=np.uint64)) % np.uint64(slots)).astype(np.int64)
 
@@ -76,32 +86,61 @@ class Filters:
     false_positive: np.ndarray
     common: str = UNKNOWN
     hashes: int = HASHES
-    words: Kept | None = field(default=None, repr=False)
+    place: dict[str, int] = field(default_factory=dict, repr=False)  # row of each word in counted
+    counted: np.ndarray | None = field(default=None, repr=False)
 
     def __getstate__(self):
-        return self.__dict__ | {"words": None}
-
-    def masks(self, grams: list[str]) -> np.ndarray:
-        """For each n-gram the words of the bitmask of languages that may contain it."""
-        found = self.slices[positions(grams, len(self.slices), self.hashes)]
-        return np.bitwise_and.reduce(found, axis=1)
-
-    def counts(self, word: str) -> np.ndarray:
-        """Of the n-grams of a word: how many there are, and how many each language may contain."""
-        if not any(map(str.isalpha, word)):  # such as a superscript figure
-            return np.zeros(len(self.langs) + 1, np.int64)
-        masks = self.masks(grams_of(word))
-        bits = np.unpackbits(masks.view(np.uint8), axis=1, bitorder="little")[:, : len(self.langs)]
-        return np.r_[len(masks), bits.sum(axis=0)].astype(np.int64)
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = _WORD.findall(text.lower()) if text else []
-        if not words or not self.langs:
-            return UNKNOWN, 0.0
-        if self.words is None:
-            self.words = Kept(self.counts, 300_000, 40)
-        often = Counter(words)
-        total = np.fromiter(often.values(), np.int64, len(often)) @ np.stack([self.words[w] for w in often])
+        return self.__dict__ | {"place": {}, "counted": None}
+
+    def masks(self, h: np.ndarray) -> np.ndarray:
+        """For each n-gram hash the words of the bitmask of languages that may contain it."""
+        return np.bitwise_and.reduce(self.slices[positions(h, len(self.slices), self.hashes)], axis=1)
+
+    def counts(self, words: list[str]) -> np.ndarray:
+        """For each word: its n-grams, and how many of them each language may contain. Words without a letter have none."""
+        out = np.zeros((len(words), len(self.langs) + 1), np.int64)
+        real = [k for k, w in enumerate(words) if any(map(str.isalpha, w))]  # others are such as superscript figures
+        at = 0
+        while at < len(real):
+            upto, size = at, 0
+            while upto < len(real) and (upto == at or size + len(words[real[upto]]) + 2 <= BLOCK_CODES):
+                size += len(words[real[upto]]) + 2
+                upto += 1
+            some = real[at:upto]
+            lengths = np.array([len(words[k]) + 2 for k in some])
+            owner = np.repeat(np.arange(len(some)), lengths)
+            left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(owner))  # code points from each place to the end of its word
+            for n, h in enumerate(gram_hashes(codes("".join(f" {words[k]} " for k in some)), max(SIZES)), 1):
+                if n not in SIZES:
+                    continue
+                inside = np.flatnonzero(left[: len(h)] >= n)
+                masks, who = self.masks(h[inside]), owner[inside]
+                out[some, 0] += np.bincount(who, minlength=len(some))
+                for k in range(len(self.langs)):
+                    bit = (masks[:, k // 64] >> np.uint64(k % 64)) & np.uint64(1)
+                    out[some, k + 1] += np.bincount(who, bit, len(some)).astype(np.int64)
+            at = upto
+        return out
+
+    def _learned(self, needed: list[str]) -> None:
+        found = self.counts(needed)
+        self.counted[len(self.place) : len(self.place) + len(needed)] = found
+        self.place.update(zip(needed, range(len(self.place), len(self.place) + len(needed)), strict=True))
+
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        if not self.langs:
+            return [(UNKNOWN, 0.0)] * len(texts)
+        listed = [_WORD.findall(t.lower()) if t else [] for t in texts]
+        needed = set().union(*listed) - self.place.keys()
+        if self.counted is None or len(self.place) + len(needed) > len(self.counted):
+            needed = set().union(*listed)
+            self.place.clear()
+            self.counted = np.zeros((max(KEPT, len(needed)), len(self.langs) + 1), np.int64)
+        self._learned(sorted(needed))
+        return [self._decide(self.counted[np.fromiter(map(self.place.__getitem__, ws), np.int64, len(ws))].sum(axis=0)) for ws in listed]
+
+    def _decide(self, total: np.ndarray) -> tuple[str, float]:
+        """total: the n-grams of a text, and how many of them each language may contain."""
         if not total[0]:
             return UNKNOWN, 0.0
         corrected = np.maximum(0.0, (total[1:] - self.false_positive * total[0]) / (1 - self.false_positive))
@@ -116,8 +155,10 @@ def build(rows: list[tuple[str, str]], common: str = UNKNOWN, slots: int = SLOTS
     langs = sorted({lang for lang, _ in rows})
     slices = np.zeros((slots, max(1, -(-len(langs) // 64))), np.uint64)
     for k, lang in enumerate(langs):
-        at = positions([g for x, g in rows if x == lang], slots, hashes).ravel()
-        slices[at, k // 64] |= np.uint64(1 << (k % 64))
+        for n in SIZES:
+            grams = [g for x, g in rows if x == lang and len(g) == n]
+            h = gram_hashes(codes("".join(grams)), n)[-1][::n] if grams else np.zeros(0, np.uint64)
+            slices[positions(h, slots, hashes).ravel(), k // 64] |= np.uint64(1 << (k % 64))
     fill = np.array([np.count_nonzero(slices[:, k // 64] & np.uint64(1 << (k % 64))) / slots for k in range(len(langs))])
     return Filters(langs, slices, np.minimum(fill**hashes, 0.99), common, hashes)
 
@@ -151,7 +192,7 @@ def predict(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataFr
 
     def make():
         f = sent.value
-        return lambda texts: [list(c) for c in zip(*map(f.predict, texts), strict=True)] if texts else [[], []]
+        return lambda texts: [list(c) for c in zip(*f.predict_all(texts), strict=True)] if texts else [[], []]
 
     return appended(docs, text_col, ADDED, make)
 
