@@ -8,8 +8,9 @@ scores of their prefixes: a prefix that many pre-tokens share is scored once,
 and the node where a pre-token ends holds its count.
 
 A document's count is the sum over its pre-tokens. The trie of a worker process
-lives on through its tasks, is bounded by NODES, and is begun anew when full, so
-neither texts nor pre-tokens are shuffled.
+lives on through its tasks, is bounded by NODES, and is begun anew when full;
+counts of pre-tokens outlive it, in two generations of at most TERMINALS each.
+So neither texts nor pre-tokens are shuffled, and memory is bounded.
 
 Pieces and their scores come from a SentencePiece file; its pieces are ordered
 by frequency, and the score of rank r is taken as the logarithm of Zipf's law,
@@ -35,33 +36,38 @@ from pyspark.sql import types as T
 from .common import appended, table
 from .pieces import SPACE, model_path
 
-NODES = 300_000
+NODES, TERMINALS = 300_000, 250_000
 _PRETOKEN = re.compile(rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
 class Trie:
     """Nodes hold children by character, the forward score, the pieces it takes, and the text so far."""
 
-    __slots__ = ("longest", "nodes", "root", "scores", "terminal", "worst")
+    __slots__ = ("longest", "nodes", "older", "root", "scores", "terminal", "worst")
 
     def __init__(self, scores: dict[str, float]):
         self.scores = scores
         self.longest = max(map(len, scores), default=1)
         self.worst = min(scores.values(), default=-1.0) - 1
-        self.clear()
-
-    def clear(self) -> None:
         self.root: dict = {}
         self.nodes = 0
         self.terminal: dict[str, tuple[int, float]] = {}
+        self.older: dict[str, tuple[int, float]] = {}
 
     def counts(self, word: str) -> tuple[int, float]:
         """Pieces and score of the best segmentation of a pre-token."""
         known = self.terminal.get(word)
-        if known is not None:
-            return known
+        if known is None:
+            known = self.older.get(word) or self._walk(word)
+            if len(self.terminal) >= TERMINALS:
+                self.older, self.terminal = self.terminal, {}
+            self.terminal[word] = known
+        return known
+
+    def _walk(self, word: str) -> tuple[int, float]:
+        """Down the trie, adding the nodes that are missing."""
         if self.nodes >= NODES:
-            self.clear()
+            self.root, self.nodes = {}, 0
         at, path = self.root, [(0.0, 0)]  # forward (score, -pieces) of each prefix
         for end, c in enumerate(word, 1):
             node = at.get(c)
@@ -71,8 +77,7 @@ class Trie:
             path.append(node[0])
             at = node[1]
         score, pieces = path[-1]
-        known = self.terminal[word] = (-pieces, score)
-        return known
+        return -pieces, score
 
     def _forward(self, word: str, end: int, path: list[tuple[float, int]]) -> tuple[float, int]:
         best = None
