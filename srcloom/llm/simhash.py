@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import overlap
 from .common import appended, durable, table
 from .components import components
 
@@ -220,13 +221,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("__id").alias(id_col), F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def _linked(marked: DataFrame, radius: int) -> DataFrame:
+    """(__fp, __root): every fingerprint of marked with the least one that it can reach."""
+    groups = durable(marked.select("__fp").distinct())
+    roots = components(links(groups.select(F.col("__fp").alias("fp")), radius))
+    return groups.join(roots, groups["__fp"] == roots["node"], "left").select("__fp", F.coalesce("root", "__fp").alias("__root"))
+
+
+def _components_with_overlap(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int) -> DataFrame:
+    """(id, component_id) with links by fingerprint and by overlap."""
+    ids = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).withColumn("__h", F.xxhash64("__t"))
+    both = with_fingerprint(overlap.with_prefix(ids, "__t"), "__t", shingle, "__fp")
+    marked = durable(both.select("__id", "__h", "__fp", "__key", "__n", "__prefix"))
+    named = durable(marked.join(_linked(marked, radius), "__fp"))
+    roots = overlap.connected(docs, text_col, named, "__root")
+    joined = durable(named.select("__id", "__root").join(roots, F.col("__root") == F.col("node"), "left").select("__id", F.coalesce("root", "__root").alias("__root")))
+    least = joined.groupBy("__root").agg(F.min("__id").alias("component_id"))
+    return joined.join(least, "__root").select(F.col("__id").alias(id_col), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, similar: bool = False) -> DataFrame:
     """The documents without near-duplicates of a document with a smaller id.
 
-    Of rows with equal id the one with the least text stays.
-    Rows with a null id can't be told apart and stay.
+    similar also links texts whose five-word shingles overlap by 0.8 or more
+    (overlap.py), whatever their fingerprints. Of rows with equal id the one
+    with the least text stays. Rows with a null id can't be told apart and stay.
     """
-    found = near_duplicates(docs, id_col, text_col, **how)
+    if similar:
+        found = _components_with_overlap(docs, id_col, text_col, shingle, radius)
+    else:
+        found = near_duplicates(docs, id_col, text_col, shingle, radius)
     dropped = found.where(F.col("component_id") < F.col(id_col)).select(id_col).distinct()
     kept = docs.join(dropped, id_col, "left_anti").select(*docs.columns)
     twice = durable(docs.groupBy(id_col).count().where(f"count > 1 and `{id_col}` is not null").select(id_col))
