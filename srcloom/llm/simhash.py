@@ -228,37 +228,38 @@ def _linked(marked: DataFrame, radius: int) -> DataFrame:
     return groups.join(roots, groups["__fp"] == roots["node"], "left").select("__fp", F.coalesce("root", "__fp").alias("__root"))
 
 
-def _components_with_overlap(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int) -> DataFrame:
-    """(id, component_id) with links by fingerprint and by overlap."""
+def _rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, similar: bool) -> DataFrame:
+    """(__id, __h, __root) for each row of docs: id, text hash, component."""
     ids = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).withColumn("__h", F.xxhash64("__t"))
-    both = with_fingerprint(overlap.with_prefix(ids, "__t"), "__t", shingle, "__fp")
-    marked = durable(both.select("__id", "__h", "__fp", "__key", "__n", "__prefix"))
+    both = with_fingerprint(overlap.with_prefix(ids, "__t") if similar else ids, "__t", shingle, "__fp")
+    marked = durable(both.drop("__t"))
     named = durable(marked.join(_linked(marked, radius), "__fp"))
+    if not similar:
+        return named.select("__id", "__h", "__root")
     roots = overlap.connected(docs, text_col, named, "__root")
-    joined = durable(named.select("__id", "__root").join(roots, F.col("__root") == F.col("node"), "left").select("__id", F.coalesce("root", "__root").alias("__root")))
-    least = joined.groupBy("__root").agg(F.min("__id").alias("component_id"))
-    return joined.join(least, "__root").select(F.col("__id").alias(id_col), "component_id")
+    return durable(named.select("__id", "__h", "__root").join(roots, F.col("__root") == F.col("node"), "left").select("__id", "__h", F.coalesce("root", "__root").alias("__root")))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, similar: bool = False) -> DataFrame:
-    """The documents without near-duplicates of a document with a smaller id.
+    """Of each component the first row by id and text hash; rows with a null id can't be told apart and stay.
 
     similar also links texts whose five-word shingles overlap by 0.8 or more
-    (overlap.py), whatever their fingerprints. Of rows with equal id the one
-    with the least text stays. Rows with a null id can't be told apart and stay.
+    (overlap.py), whatever their fingerprints. Rows go by their own text: one
+    whose id is repeated stays if nothing is linked to its text. Of rows with
+    equal id and text one stays.
     """
-    if similar:
-        found = _components_with_overlap(docs, id_col, text_col, shingle, radius)
-    else:
-        found = near_duplicates(docs, id_col, text_col, shingle, radius)
-    dropped = found.where(F.col("component_id") < F.col(id_col)).select(id_col).distinct()
-    kept = docs.join(dropped, id_col, "left_anti").select(*docs.columns)
-    twice = durable(docs.groupBy(id_col).count().where(f"count > 1 and `{id_col}` is not null").select(id_col))
+    rows = _rows(docs, id_col, text_col, shingle, radius, similar).where("__id is not null").groupBy("__id", "__h", "__root").agg(F.count("*").alias("n"))
+    rows = durable(rows)
+    first = rows.groupBy("__root").agg(F.min(F.struct("__id", "__h")).alias("first"))
+    dropped = rows.join(first, "__root").where("struct(__id, __h) <> first").select("__id", "__h")
+    this = lambda of: (docs[f"`{id_col}`"] == of["__id"]) & (F.xxhash64(docs[f"`{text_col}`"]) == of["__h"])
+    kept = docs.join(dropped, this(dropped), "left_anti")
+    twice = durable(rows.where("n > 1").select("__id", "__h"))
     if twice.isEmpty():
         return kept
-    again = kept.join(twice, id_col, "left_semi").select(*docs.columns)
-    single = again.groupBy(id_col).agg(F.min_by(F.struct(*docs.columns), F.coalesce(text_col, F.lit(""))).alias("__row")).select("__row.*")
-    return kept.join(twice, id_col, "left_anti").select(*docs.columns).unionByName(single)
+    again = kept.join(twice, this(twice), "left_semi").select(*docs.columns)
+    single = again.groupBy(id_col, F.xxhash64(text_col)).agg(F.first(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+    return kept.join(twice, this(twice), "left_anti").select(*docs.columns).unionByName(single)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,3 +68,12 @@ def test_stage_drops_what_overlaps(spark, monkeypatch, seed, hot, sample):
 def test_prefix_length():
     for n in range(1, 200):
         assert overlap.prefix_length(n) == n - min(k for k in range(n + 1) if 10 * k >= 8 * n) + 1
+
+
+@pytest.mark.parametrize("similar", [False, True])
+def test_rows_of_one_id_are_judged_by_their_texts(spark, similar):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(200)) for x in "abc")
+    rows = [(1, a), (2, a + " end"), (2, b), (2, c), (3, b), (3, b), (4, "alone here"), (4, "alone here"), (None, a), (None, a), (None, None), (5, None), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(simhash.one_of_each(docs, similar=similar).collect(), key=str)
+    assert kept == sorted(docs.where("doc_id is null").collect() + [r for r in docs.dropDuplicates().collect() if r in {(1, a), (2, b), (2, c), (4, "alone here"), (5, None)}], key=str)
