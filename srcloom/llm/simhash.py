@@ -233,10 +233,11 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int
     ids = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).withColumn("__h", F.xxhash64("__t"))
     both = with_fingerprint(overlap.with_prefix(ids, "__t") if similar else ids, "__t", shingle, "__fp")
     marked = durable(both.drop("__t"))
-    named = durable(marked.join(_linked(marked, radius), "__fp"))
+    named = marked.drop("__prefix").join(_linked(marked, radius), "__fp")
     if not similar:
         return named.select("__id", "__h", "__root")
-    roots = overlap.connected(docs, text_col, named, "__root")
+    named = durable(named)
+    roots = overlap.connected(docs, text_col, named.withColumnRenamed("__root", "node"), marked.select("__key", "__n", "__prefix"))
     return durable(named.select("__id", "__h", "__root").join(roots, F.col("__root") == F.col("node"), "left").select("__id", "__h", F.coalesce("root", "__root").alias("__root")))
 
 
