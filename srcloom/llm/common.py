@@ -41,11 +41,64 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A key of more rows than this may be hot; at most so many keys are.
+HOT_ROWS, HOT_KEYS = 2_000, 50_000
+
+
+def hot_limit(total: int) -> int:
+    """Rows above which a key is hot: fewer than HOT_KEYS keys of `total` rows can be, so a row for each may be broadcast."""
+    return max(HOT_ROWS, total // HOT_KEYS)
+
+
+def join_by_key(rows: DataFrame, by_key: DataFrame, key: str, count: str, limit: int) -> DataFrame:
+    """rows joined with the one row that by_key has for each key, less the column `count` (how many of rows have the key).
+
+    Rows of hot keys meet their few partners by broadcast and are not shuffled,
+    so no task gets all rows of a key; the others are shuffled by the key.
+    """
+    hot = durable(by_key.where(F.col(count) > limit).drop(count))
+    cold = by_key.where(F.col(count) <= limit).drop(count)
+    if hot.isEmpty():
+        return rows.join(cold, key)
+    few = F.broadcast(hot)  # fewer than HOT_KEYS rows, see hot_limit
+    return rows.join(few, key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+
+
 def in_test_fold(id_col: str, folds: int = 5) -> Column:
     """True for rows that a model may not learn from: crc32 of the id as text is 0 modulo folds, or the id is null."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0, F.lit(True))
 
 
+class Recent:
+    """Values of short keys in two generations: what was not asked for during a whole generation is forgotten.
+
+    make_all gives the values of a sorted list of new keys as a dict. At most
+    twice `most` short keys are held, and the keys of the call that is running.
+    """
+
+    def __init__(self, make_all: Callable[[list[str]], dict], most: int, longest: int = 64):
+        self.make_all, self.most, self.longest = make_all, most, longest
+        self.now: dict = {}
+        self.older: dict = {}
+
+    def of(self, lists: list) -> list[list]:
+        """For each list (or other collection) of keys the list of their values."""
+        wanted = set().union(*lists)
+        needed = [k for k in wanted if k not in self.now]
+        if len(self.now) + len(needed) > self.most:
+            self.older, self.now = self.now, {}
+            needed = list(wanted)
+        again = {k: self.older[k] for k in needed if k in self.older}
+        fresh = self.make_all(sorted(k for k in needed if k not in again))
+        self.now |= again
+        self.now |= fresh
+        out = [list(map(self.now.__getitem__, keys)) for keys in lists]
+        for k in fresh:
+            if len(k) > self.longest:  # hardly comes again
+                del self.now[k]
+        return out
+
+
 def appended(df: DataFrame, text_col: str, added: T.StructType, make: Callable[[], Callable[[list], list[list]]]) -> DataFrame:
     """df with the columns of `added`, computed from whole texts in Arrow batches.
 
