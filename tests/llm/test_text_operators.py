@@ -210,6 +210,29 @@ def test_pieces_equal_the_library(sp):
         assert p.decode(ids) == sp.decode(ids)
 
 
+def test_compatible_is_merging_again():
+    p = pieces.loaded(pieces.model_path())
+    r = random.Random(5)
+    ids, blanks = sorted(p.ids.values()), [i for t, i in p.ids.items() if set(t) == {"▁"}]
+    repeats = [i for t, i in p.ids.items() if len(set(t)) <= 2 and len(t) <= 4]
+    for _ in range(20_000):
+        a, b = (r.choice(r.choice([ids, blanks, repeats])) for _ in range(2))
+        x, y = p.text[a], p.text[b]
+        alone = len(p.merged(x)) == 1 and len(p.merged(y)) == 1
+        assert p.compatible(a, b) == (alone and p.merged(x + y) == [x, y])
+
+
+def test_words_together_equal_words_alone(sp):
+    """All words of a slice at once, and one by one: short and long ones, with and without characters that have a piece."""
+    p = pieces.Pieces(pieces.model_path())
+    r = random.Random(6)
+    words = ["▁" * r.randint(0, 20) + "".join(r.choice("abcdeingthéß中,.1😀") for _ in range(r.choice([0, 1, 5, 12, 30, 62, 63, 64, 65, 200]))) for _ in range(2000)]
+    words = sorted(set(words) - {""})
+    found = p._words(words)
+    assert all(list(np.frombuffer(found[w], "<i4")) == list(p._stretch_ids(w)) for w in words)
+    assert list(found) and pieces.decimal_lists([p.encode("a b"), p.encode("")]) == [",".join(map(str, sp.encode("a b"))).encode(), b""]
+
+
 def test_pieces_on_tables(docs, nothing, sp):
     found = pieces.digests(docs).collect()
     assert len(found) == docs.count()
@@ -299,7 +322,7 @@ def test_equal_rows_overflow(spark):
 def brute_unigram(trie: token_counts.Trie, word: str) -> tuple[int, float]:
     best = [(0.0, 0)] + [None] * len(word)
     for end in range(1, len(word) + 1):
-        for start in range(end):
+        for start in range(max(0, end - trie.longest), end):
             s, n = trie.scores.get(word[start:end]), 1
             if s is None and end - start == 1:
                 n = len(word[start:end].encode())
@@ -310,6 +333,29 @@ def brute_unigram(trie: token_counts.Trie, word: str) -> tuple[int, float]:
     return -best[-1][1], best[-1][0]
 
 
+@pytest.mark.parametrize("letters", ["abcdeéthingß中😀", "ab", "▁x"])
+def test_trie_equals_plain_scores(letters):
+    """Pre-tokens that share prefixes, of every length around the bound of the trie, and very long ones."""
+    trie = token_counts.loaded(token_counts.model_path())
+    r = random.Random(7)
+    words = ["▁" + "".join(r.choice(letters) for _ in range(r.choice([0, 1, 3, 9, 20, 62, 63, 64, 65, 66, 150]))) for _ in range(400)] + ["".join(r.choice(letters) for _ in range(3000))]
+    words += [w[:k] for w in words for k in (2, 5, 64) if w[:k]]
+    for w, got in zip(words, trie.counts_of([words])[0], strict=True):
+        assert got == brute_unigram(trie, w)
+
+
+def test_recent_values_are_bounded():
+    from srcloom.llm.common import Recent
+
+    made = []
+    kept = Recent(lambda keys: made.extend(keys) or {k: k.upper() for k in keys}, 10, longest=5)
+    for k in range(200):
+        keys = [f"k{j}" for j in range(k % 60, k % 60 + 4)] + ["toolong", "k0"]
+        assert kept.of([keys, [], ["k0"]]) == [[x.upper() for x in keys], [], ["K0"]]
+        assert len(kept.now) <= 10 and len(kept.older) <= 10 and "toolong" not in kept.now
+    assert made == [x for x in made if x] and len(made) > 60
+
+
 def test_token_counts(docs, nothing):
     trie = token_counts.loaded(token_counts.model_path())
     r = random.Random(4)
@@ -318,10 +364,9 @@ def test_token_counts(docs, nothing):
         assert trie.counts(w) == brute_unigram(trie, w)
     found = {x.doc_id: x for x in token_counts.token_counts(docs).collect()}
     assert (found[0].n_pretokens, found[0].n_tokens, found[1].n_tokens) == (0, 0, 0)
-    for x in list(found.values())[::7]:
+    for x in list(found.values()):
         words = re.findall("▁*[^▁]+|▁+", "▁" + x.text.replace(" ", "▁")) if x.text else []
-        if sum(map(len, words)) < 5000:
-            assert (x.n_pretokens, x.n_tokens) == (len(words), sum(brute_unigram(trie, w)[0] for w in words))
+        assert (x.n_pretokens, x.n_tokens) == (len(words), sum(brute_unigram(trie, w)[0] for w in words))
     assert token_counts.token_counts(nothing).count() == 0
 
 
