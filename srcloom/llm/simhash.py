@@ -37,12 +37,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import overlap
-from .common import appended, durable, table
+from .common import appended, durable, hot_limit, join_by_key, table
 from .components import components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 #: Variants that a task writes out at one time.
 BLOCK_VARIANTS = 4_000_000
+#: Fingerprints that may be sent to the same leading bits before those are lengthened, by how many bits, and leads above which at most so many are.
+HOT_LEAD, MORE_BITS, HOT_KEYS = 100_000, 16, 2_000
 #: Shingle hashes that a task unpacks to bits at one time.
 BLOCK_HASHES = 65_536
 
@@ -91,17 +93,32 @@ def leading_bits(n_fingerprints: int) -> int:
     return min(40, max(6, math.ceil(math.log2(max(2, n_fingerprints))) - 10))
 
 
-def links(fingerprints: DataFrame, radius: int = RADIUS, lead: int | None = None, block_variants: int = BLOCK_VARIANTS) -> DataFrame:
+def links(fingerprints: DataFrame, radius: int = RADIUS, lead: int | None = None, block_variants: int = BLOCK_VARIANTS, hot_rows: int = HOT_LEAD) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp, signed longs) that have the same components as all pairs within the radius."""
     half, odd = divmod(radius, 2)
     if odd:
         raise ValueError("the radius must be even: each side takes half of it")
-    lead = lead or leading_bits(fingerprints.count())
+    total = fingerprints.count()
+    lead = lead or leading_bits(total)
     low = BITS - lead
-    tops = [sum(1 << i for i in c) for r in range(half + 1) for c in combinations(range(lead), r)]
-    flips = F.array(*[F.lit(m).cast("long") for m in tops])
-    sent = fingerprints.select("fp", F.explode(flips).alias("flip")).select("fp", (F.shiftrightunsigned("fp", low).bitwiseXOR(F.col("flip"))).alias("lead"))
-    dealt = sent.repartition("lead").sortWithinPartitions("lead")
+    flips = lambda bits: F.explode(F.array(*[F.struct(F.lit(sum(1 << i for i in c)).cast("long").alias("bits"), F.lit(r).alias("n")) for r in range(half + 1) for c in combinations(range(bits), r)]))
+    sent = fingerprints.select("fp", flips(lead).alias("flip")).select("fp", F.shiftrightunsigned("fp", low).bitwiseXOR(F.col("flip.bits")).alias("lead"), F.col("flip.n").alias("used"))
+    limit = max(hot_rows, total // HOT_KEYS)
+    # fewer than HOT_KEYS * len(flips) leads have so many rows
+    hot = durable(sent.groupBy("lead").count().where(F.col("count") > limit).select("lead"))
+    if hot.isEmpty():
+        return _met(sent, low, half, radius, block_variants).distinct()
+    few = F.broadcast(hot)
+    more = low - MORE_BITS
+    longer = sent.join(few, "lead").select("fp", "lead", "used", flips(MORE_BITS).alias("flip")).where(F.col("used") + F.col("flip.n") <= half)
+    next_bits = F.shiftrightunsigned("fp", more).bitwiseAND(F.lit((1 << MORE_BITS) - 1)).bitwiseXOR(F.col("flip.bits"))
+    longer = longer.select("fp", F.shiftleft("lead", MORE_BITS).bitwiseOR(next_bits).alias("lead"))
+    rest = sent.join(few, "lead", "left_anti")
+    return _met(rest, low, half, radius, block_variants).unionByName(_met(longer, more, half, radius, block_variants)).distinct()
+
+
+def _met(sent: DataFrame, low: int, half: int, radius: int, block_variants: int) -> DataFrame:
+    """Stars of the fingerprints that meet in a variant with the leading bits they are sent to; low bits follow those."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masks = _masks(low, half)
@@ -110,7 +127,7 @@ def links(fingerprints: DataFrame, radius: int = RADIUS, lead: int | None = None
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return sent.select("fp", "lead").repartition("lead").sortWithinPartitions("lead").mapInArrow(run, "a long, b long")
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -211,34 +228,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t"))
     marked = durable(with_fingerprint(ids, "__t", shingle, "__fp").select("__id", "__fp"))
     # distinct fingerprints, each with its least id; a document group of any size is one row here
-    groups = durable(marked.groupBy("__fp").agg(F.min("__id").alias("__least")))
-    edges = links(groups.select(F.col("__fp").alias("fp")), radius)
-    roots = components(edges)
-    named = groups.join(roots, groups["__fp"] == roots["node"], "left").select("__fp", "__least", F.coalesce("root", "__fp").alias("__root"))
-    least = named.groupBy("__root").agg(F.min("__least").alias("component_id"))
-    by_fp = named.join(least, "__root").select("__fp", "component_id")
-    out = marked.join(by_fp, "__fp")
+    groups = durable(marked.groupBy("__fp").agg(F.min("__id").alias("__least"), F.count("*").alias("__n")))
+    limit = hot_limit(marked.count())
+    roots = components(links(groups.select(F.col("__fp").alias("fp")), radius))
+    named = durable(groups.join(roots, groups["__fp"] == roots["node"], "left").select("__fp", "__least", "__n", F.coalesce("root", "__fp").alias("__root")))
+    least = named.groupBy("__root").agg(F.min("__least").alias("component_id"), F.count("*").alias("__members"))
+    by_fp = durable(join_by_key(named, least, "__root", "__members", limit).select("__fp", "__n", "component_id"))
+    out = join_by_key(marked, by_fp, "__fp", "__n", limit)
     return out.select(F.col("__id").alias(id_col), F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def _linked(marked: DataFrame, radius: int) -> DataFrame:
-    """(__fp, __root): every fingerprint of marked with the least one that it can reach."""
-    groups = durable(marked.select("__fp").distinct())
+    """(__fp, __n, __root): every fingerprint of marked, how many rows have it, and the least one that it can reach."""
+    groups = durable(marked.groupBy("__fp").agg(F.count("*").alias("__copies")))
     roots = components(links(groups.select(F.col("__fp").alias("fp")), radius))
-    return groups.join(roots, groups["__fp"] == roots["node"], "left").select("__fp", F.coalesce("root", "__fp").alias("__root"))
+    return groups.join(roots, groups["__fp"] == roots["node"], "left").select("__fp", "__copies", F.coalesce("root", "__fp").alias("__root"))
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, similar: bool) -> DataFrame:
-    """(__id, __h, __root) for each row of docs: id, text hash, component."""
+def _rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, similar: bool) -> tuple[DataFrame, int]:
+    """(__id, __h, __root) for each row of docs: id, text hash, component; and how many rows of one key are many."""
     ids = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).withColumn("__h", F.xxhash64("__t"))
     both = with_fingerprint(overlap.with_prefix(ids, "__t") if similar else ids, "__t", shingle, "__fp")
     marked = durable(both.drop("__t"))
-    named = marked.drop("__prefix").join(_linked(marked, radius), "__fp")
+    limit = hot_limit(marked.count())
+    named = join_by_key(marked.drop("__prefix"), durable(_linked(marked, radius)), "__fp", "__copies", limit)
     if not similar:
-        return named.select("__id", "__h", "__root")
+        return named.select("__id", "__h", "__root"), limit
     named = durable(named)
     roots = overlap.connected(docs, text_col, named.withColumnRenamed("__root", "node"), marked.select("__key", "__n", "__prefix"))
-    return durable(named.select("__id", "__h", "__root").join(roots, F.col("__root") == F.col("node"), "left").select("__id", "__h", F.coalesce("root", "__root").alias("__root")))
+    members = named.groupBy("__root").agg(F.count("*").alias("__members"))
+    last = durable(members.join(roots, F.col("__root") == F.col("node"), "left").select("__root", "__members", F.coalesce("root", "__root").alias("__last")))
+    return durable(join_by_key(named.select("__id", "__h", "__root"), last, "__root", "__members", limit).select("__id", "__h", F.col("__last").alias("__root"))), limit
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, similar: bool = False) -> DataFrame:
@@ -249,10 +269,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whose id is repeated stays if nothing is linked to its text. Of rows with
     equal id and text one stays.
     """
-    rows = _rows(docs, id_col, text_col, shingle, radius, similar).where("__id is not null").groupBy("__id", "__h", "__root").agg(F.count("*").alias("n"))
-    rows = durable(rows)
-    first = rows.groupBy("__root").agg(F.min(F.struct("__id", "__h")).alias("first"))
-    dropped = rows.join(first, "__root").where("struct(__id, __h) <> first").select("__id", "__h")
+    every, limit = _rows(docs, id_col, text_col, shingle, radius, similar)
+    rows = durable(every.where("__id is not null").groupBy("__id", "__h", "__root").agg(F.count("*").alias("n")))
+    first = durable(rows.groupBy("__root").agg(F.min(F.struct("__id", "__h")).alias("first"), F.count("*").alias("__members")))
+    dropped = join_by_key(rows, first, "__root", "__members", limit).where("struct(__id, __h) <> first").select("__id", "__h")
     this = lambda of: (docs[f"`{id_col}`"] == of["__id"]) & (F.xxhash64(docs[f"`{text_col}`"]) == of["__h"])
     kept = docs.join(dropped, this(dropped), "left_anti")
     twice = durable(rows.where("n > 1").select("__id", "__h"))
