@@ -2,7 +2,8 @@
 
 The windows of all test items (questions and answers: any text rows) are put in
 one automaton over normalised words; each document is normalised once and
-scanned once. Hits are reported as spans of words and, through the byte
+scanned once. A benchmark of more than BLOCK_BYTES makes several automata, each
+of bounded size, and a scan for each; the results are the same. Hits are reported as spans of words and, through the byte
 offsets of the words, as spans of the original text.
 
 Normal form: A-Z become a-z, words are maximal runs of 0-9, a-z and characters
@@ -18,7 +19,10 @@ column are replaced.
 from __future__ import annotations
 
 import re
+import uuid
 from bisect import bisect_right
+from collections import OrderedDict
+from collections.abc import Iterator
 from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,8 +32,8 @@ from pyspark.sql import types as T
 from .common import appended, table
 
 WINDOW = 10
-#: Bytes of item text in one automaton; a larger benchmark is worked off in blocks of this size.
-BLOCK_BYTES = 16 << 20
+#: Bytes of item text in one automaton, whose nodes take some hundred times that; a larger benchmark is worked off in blocks of this size.
+BLOCK_BYTES = 4 << 20
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _NORMAL = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in _LOWER)
@@ -95,8 +99,15 @@ def original_spans(text: str | None, spans: list[tuple[int, int]]) -> list[tuple
     normal = normalised(text)
     places = [m.span() for m in _WORD.finditer(normal)]
     raw = text.encode("utf-8", "surrogatepass")
-    chars = lambda upto: len(raw[:upto].decode("utf-8", "surrogatepass"))
-    return [(chars(places[a][0]), chars(places[b - 1][1])) for a, b in spans]
+    out, at, chars = [], 0, 0  # spans ascend, so each stretch of the text is decoded once
+    for a, b in spans:
+        ends = []
+        for upto in (places[a][0], places[b - 1][1]):
+            chars += len(raw[at:upto].decode("utf-8", "surrogatepass"))
+            at = upto
+            ends.append(chars)
+        out.append((ends[0], ends[1]))
+    return out
 
 
 ADDED = T.StructType(
@@ -109,13 +120,28 @@ ADDED = T.StructType(
 )
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[list[tuple[object, str]]]:
-    """The items in blocks of about block_bytes, each small enough to be sent to every task."""
+def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[object, str]]]:
+    """The items in blocks of about block_bytes, each small enough to be sent to every task; one block at a time is on the driver."""
     items = benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     n = max(1, -(-size // block_bytes))
-    part = lambda b: items if n == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b)
-    return [[(r.i, r.t) for r in part(b).toLocalIterator()] for b in range(n)]
+    for b in range(n):
+        part = items if n == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b)
+        yield [(r.i, r.t) for r in part.toLocalIterator()]
+
+
+#: The automata of this worker process, by the broadcast they were made from.
+_MADE: OrderedDict = OrderedDict()
+
+
+def made_once(sent, window: int):
+    """The automaton of a broadcast block of items, kept for the next tasks of this worker process."""
+    key = (sent.value[0], window)
+    if key not in _MADE:
+        while len(_MADE) >= 2:
+            _MADE.popitem(last=False)
+        _MADE[key] = automaton(sent.value[1], window)
+    return _MADE[key]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -125,12 +151,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     once for each block of a benchmark above block_bytes.
     """
     out = docs
-    blocks = item_blocks(benchmark, item_id, item_text, block_bytes)
-    for k, block in enumerate(blocks):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
+    for k, block in enumerate(item_blocks(benchmark, item_id, item_text, block_bytes)):
+        sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, block))
 
         def make(sent=sent):
-            auto = automaton(sent.value, window)
+            auto = made_once(sent, window)
 
             def work(texts: list) -> list[list]:
                 rows = []
