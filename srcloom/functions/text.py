@@ -64,17 +64,50 @@ OPEN, CLOSE = "([{<", ")]}>"
 
 
 def split_top_level(text: Column) -> Column:
-    """Items between commas that stand outside brackets; attribute-length text only (one pass over characters).
+    """Items between commas that stand outside brackets.
 
-    Depth does not fall below zero, so the `>` of an arrow closes nothing.
+    The fold goes over brackets, commas and the stretches between them, not over
+    characters. Depth does not fall below zero, so the `>` of an arrow closes nothing.
     """
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).alias("depth"))
 
     def step(acc: Column, c: Column) -> Column:
-        up, down = F.lit(OPEN).contains(c), F.lit(CLOSE).contains(c)
+        up, down = c.isin(*OPEN), c.isin(*CLOSE)
         cut = (c == ",") & (acc["depth"] == 0)
         depth = F.when(up, acc["depth"] + 1).when(down, F.greatest(acc["depth"] - 1, F.lit(0))).otherwise(acc["depth"])
         return F.struct(F.when(cut, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]).alias("done"), F.when(cut, F.lit("")).otherwise(F.concat(acc["now"], c)).alias("now"), depth.alias("depth"))
 
-    whole = F.aggregate(F.split(text, ""), start, step, lambda acc: F.concat(acc["done"], F.array(acc["now"])))
-    return F.filter(F.transform(whole, lambda s: F.trim(s)), lambda s: s != "")
+    parts = F.regexp_extract_all(text, F.lit(r"[(\[{<)\]}>,]|[^(\[{<)\]}>,]+"), F.lit(0))
+    whole = F.aggregate(parts, start, step, lambda acc: F.concat(acc["done"], F.array(acc["now"])))
+    nested = F.filter(F.transform(whole, lambda s: F.trim(s)), lambda s: s != "")
+    flat = F.filter(F.transform(F.split(text, ","), lambda s: F.trim(s)), lambda s: s != "")
+    return F.when(text.rlike(r"[(\[{<]"), nested).otherwise(flat)  # without an opening bracket every comma cuts
+
+
+def outside_braces(text: Column) -> Column:
+    """The text outside of braces, at any depth, a group of braces and what leads to it since the last ; or brace being one semicolon.
+
+    A closing brace without an opening one stays.
+    """
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("depth"))
+
+    def step(acc: Column, c: Column) -> Column:
+        shut = (c == "}") & (acc["depth"] == 1)
+        opens = (c == "{") & (acc["depth"] == 0)
+        depth = F.when(c == "{", acc["depth"] + 1).when(c == "}", F.greatest(acc["depth"] - 1, F.lit(0))).otherwise(acc["depth"])
+        out = F.when(opens, F.regexp_replace(acc["out"], "[^;}]*$", "")).when(shut, F.concat(acc["out"], F.lit(";"))).when(acc["depth"] == 0, F.concat(acc["out"], c)).otherwise(acc["out"])
+        return F.struct(out.alias("out"), depth.alias("depth"))
+
+    return F.aggregate(F.regexp_extract_all(text, F.lit("[{}]|[^{}]+"), F.lit(0)), start, step, lambda acc: acc["out"])
+
+
+def plain_path(path: Column) -> Column:
+    """A path without `.` and, as far as there is a folder before it, `..`."""
+    start = F.array().cast("array<string>")
+    last = lambda acc: F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(".."))
+
+    def step(acc: Column, part: Column) -> Column:
+        up = (part == "..") & ~last(acc).isin("..", "")
+        return F.when(part == ".", acc).when(up, F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(F.concat(acc, F.array(part)))
+
+    return F.array_join(F.aggregate(F.split(path, "/"), start, step), "/")

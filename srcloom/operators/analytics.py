@@ -12,19 +12,20 @@ def listed(order: list, value: str) -> Column:
 
 
 def constraint_index(entry: DataFrame, account: DataFrame) -> DataFrame:
-    """Constraints in normal form with the entries that have them (once for each time they have them), sorted by constraint.
+    """(constraint, entry, n): constraints in normal form, the entries that have them and how often.
 
-    account: struct_id, ord, validations. The normal form lacks the error after
-    @ and the accessors load, as_ref and key.
+    Long rows, as a constraint may be in any number of entries. account:
+    struct_id, ord, validations. The normal form lacks the error after @ and the
+    accessors load, as_ref and key.
     """
     v = account.select("struct_id", F.explode("validations").alias("v")).where(F.col("v").rlike(r"constraint\s*=\s*"))
     clean = F.trim(F.regexp_replace("v", r"(@[\w:()]*)|(\.?(load|as_ref|key)\(?\)?\??)", ""))
-    return entry.select("struct_id", "name").join(v, "struct_id").groupBy(clean.alias("constraint")).agg(F.array_sort(F.collect_list("name")).alias("entries"), F.count("*").alias("n"))
+    return entry.select("struct_id", F.col("name").alias("entry")).join(v, "struct_id").groupBy(clean.alias("constraint"), "entry").agg(F.count("*").alias("n"))
 
 
 def constraint_status(index: DataFrame, flags: DataFrame) -> DataFrame:
     """How many constraints there are, are invariant, are not, and wait for review. flags: constraint, invariant, reviewed."""
-    both = index.select("constraint").join(flags, "constraint", "left")
+    both = index.select("constraint").distinct().join(flags, "constraint", "left")
     seen = F.coalesce(F.col("reviewed"), F.lit(False))
     return both.agg(F.count("*").alias("n_total"), F.count_if(seen & F.col("invariant")).alias("n_invariant"), F.count_if(seen & ~F.col("invariant")).alias("n_non_invariant"), F.count_if(~seen).alias("n_to_review"))
 
@@ -45,31 +46,39 @@ def account_lifecycle(account: DataFrame) -> DataFrame:
 def entry_flow(entry: DataFrame, account: DataFrame) -> DataFrame:
     """Structs with program accounts in the order of a reading plan: initialisers first, then by number of program accounts.
 
-    The rank is that of the group (initialiser or not) plus places before it:
-    numbers of structs are summed by size first, and only ties within a size are
-    numbered by a window of their own, so that no task sees all structs.
+    The rank is that of the group (initialiser or not, and size) plus places
+    before it, which are summed over spans of ids and over blocks of spans; only
+    structs of one span are numbered, so that no task sees all structs.
     """
     life = account_lifecycle(account).where("size(program_accounts) > 0").select("struct_id", "program_accounts", F.col("init_program").alias("init_accounts"), F.col("mut_program").alias("mut_accounts"), F.col("close_program").alias("close_accounts"))
     keyed = life.withColumns({"later": (F.size("init_accounts") == 0).cast("int"), "size": F.size("program_accounts")})
-    span = F.floor(F.col("struct_id") / 1024)
-    counts = keyed.groupBy("later", "size", span.alias("span")).agg(F.count("*").alias("n"))
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("later", "size", "span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranked = keyed.withColumn("span", span).withColumn("k", F.row_number().over(Window.partitionBy("later", "size", "span").orderBy("struct_id"))).join(before, ["later", "size", "span"])
+    group, span, block = ["later", "size"], F.floor(F.col("struct_id") / 1024), F.floor(F.col("span") / 1024)
+    upto = lambda keys, order: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = lambda w: F.coalesce(F.sum("n").over(w), F.lit(0))
+    spans = keyed.groupBy(*group, span.alias("span")).agg(F.count("*").alias("n")).withColumn("block", block)
+    blocks = spans.groupBy(*group, "block").agg(F.sum("n").alias("n"))
+    groups = blocks.groupBy(*group).agg(F.sum("n").alias("n"))
+    # places before a group, a block of its spans, a span: one row for each size, for each million and for each thousand of ids
+    in_all = groups.withColumn("g", ahead(Window.orderBy(*group).rowsBetween(Window.unboundedPreceding, -1))).drop("n")
+    in_group = blocks.withColumn("b", ahead(upto(group, ["block"]))).drop("n")
+    in_block = spans.withColumn("s", ahead(upto([*group, "block"], ["span"]))).drop("n")
+    before = in_block.join(in_group, [*group, "block"]).join(in_all, group).select(*group, "span", (F.col("g") + F.col("b") + F.col("s")).alias("before"))
+    ranked = keyed.withColumn("span", span).withColumn("k", F.row_number().over(Window.partitionBy(*group, "span").orderBy("struct_id"))).join(before, [*group, "span"])
     out = ranked.withColumn("priority", F.col("before") + F.col("k") - 1)
     return out.join(entry.select("struct_id", F.col("name").alias("entry_name")), "struct_id").select("priority", "struct_id", "entry_name", "program_accounts", "init_accounts", "mut_accounts", "close_accounts")
 
 
 def account_entries(entry: DataFrame, account: DataFrame) -> DataFrame:
-    """For each account struct the entries that initialise, change (and do not close) or close it."""
+    """(struct_name, op, entry): the entries that initialise, change (and do not close) or close each account struct, once each."""
     state = account.where("account_type = 'ProgramStateAccount'")
     ops = F.array_compact(F.array(F.when(F.col("is_init"), "init"), F.when(F.col("is_mut") & ~F.col("is_close"), "mut"), F.when(F.col("is_close"), "close")))
     each = state.select("struct_id", "struct_name", F.explode(ops).alias("op")).join(entry.select("struct_id", F.col("name").alias("entry")), "struct_id")
-    return each.groupBy("struct_name", "op").agg(F.array_sort(F.collect_set("entry")).alias("entries"))
+    return each.select("struct_name", "op", "entry").distinct()
 
 
 def account_field_matrix(entries: DataFrame, fields: DataFrame) -> DataFrame:
     """Account by entry by field, for initialising and changing entries. fields: struct_name, field."""
-    return entries.where("op in ('init', 'mut')").select("struct_name", "op", F.explode("entries").alias("entry")).join(fields, "struct_name").select("struct_name", "entry", "op", "field")
+    return entries.where("op in ('init', 'mut')").join(fields, "struct_name").select("struct_name", "entry", "op", "field")
 
 
 def state_changes(matrix: DataFrame, values: DataFrame) -> DataFrame:
@@ -108,11 +117,15 @@ def status_counts(review_doc: DataFrame, deprecated: str = "deprecated") -> Data
     return counts.unionByName(review_doc.where(F.col("status") != deprecated).agg(F.lit("total").alias("status"), F.count("*").alias("n")))
 
 
-def corpus_counts(symbol: DataFrame, contract: DataFrame, call_edge: DataFrame) -> DataFrame:
-    """Counts of symbols by kind, contracts by place, and calls."""
+def corpus_counts(symbol: DataFrame, contract: DataFrame, call_edge: DataFrame, contract_function: DataFrame | None = None, contract_modifier: DataFrame | None = None, parse_error: DataFrame | None = None) -> DataFrame:
+    """(metric, n): symbols by kind, contracts by place, calls, and functions, modifiers and parse errors where those tables are given."""
     kinds = symbol.groupBy(F.concat(F.lit("symbol:"), "kind").alias("metric")).agg(F.count("*").alias("n"))
     places = contract.groupBy(F.concat(F.lit("contract:"), F.when(F.col("external"), "lib").otherwise("src")).alias("metric")).agg(F.count("*").alias("n"))
-    return kinds.unionByName(places).unionByName(call_edge.agg(F.lit("calls").alias("metric"), F.count("*").alias("n")))
+    out = kinds.unionByName(places)
+    for name, rows in (("calls", call_edge), ("functions", contract_function), ("modifiers", contract_modifier), ("parse_errors", parse_error)):
+        if rows is not None:
+            out = out.unionByName(rows.agg(F.lit(name).alias("metric"), F.count("*").alias("n")))
+    return out
 
 
 def distinct_programs(symbol: DataFrame) -> DataFrame:
@@ -120,8 +133,9 @@ def distinct_programs(symbol: DataFrame) -> DataFrame:
 
 
 def group_by_file(symbol: DataFrame) -> DataFrame:
-    """One row for each file with its symbols in order."""
-    return symbol.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("start_line", "symbol_id", "name"))).alias("symbols"))
+    """(path, ord, start_line, symbol_id, name): the symbols of each file, numbered in order."""
+    order = Window.partitionBy("path").orderBy("start_line", "symbol_id")
+    return symbol.select("path", F.row_number().over(order).alias("ord"), "start_line", "symbol_id", "name")
 
 
 def first_occurrence(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

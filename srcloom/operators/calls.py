@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from srcloom.functions.text import split_top_level, stripped, without_lifetimes
+from srcloom.sources.shared import durable
 
 # Method names that are no dependencies.
 NOISE_METHODS = """
@@ -99,17 +100,16 @@ def sol_call_sites(functions: DataFrame, id_col: str = "function_id", body: str
     return plain.unionByName(dotted).distinct()
 
 
-def import_scope(source_file: DataFrame, depth: int = 6) -> tuple[DataFrame, DataFrame]:
+def import_scope(source_file: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(import, local_item) of each file.
 
     `use a::{b, c as d, e::*}` is opened from the outermost braces inwards, one
-    level in each round; a group deeper than `depth` is left out.
+    level in each round, until no group is left.
     """
     text = F.regexp_replace(F.regexp_replace("content", r"//[^\n]*", ""), r"\s+", " ")
     now = source_file.select("path", F.explode(F.regexp_extract_all(text, F.lit(r"(?:^|[;}{ ])use ([^;]+);"), F.lit(1))).alias("u")).select("path", F.trim(F.regexp_replace("u", r"\s*(::|,|\{|\})\s*", "$1")).alias("u"))
     done = now.where(~F.contains("u", F.lit("{")))
-    for _ in range(depth):
-        grouped = now.where(F.contains("u", F.lit("{")))
+    while not (grouped := durable(now.where(F.contains("u", F.lit("{"))))).isEmpty():
         head, inner = F.regexp_extract("u", r"^([^{]*)\{", 1), F.regexp_extract("u", r"^[^{]*\{(.*)\}$", 1)
         now = grouped.select("path", head.alias("h"), F.explode(split_top_level(inner)).alias("i")).select("path", F.concat("h", "i").alias("u"))
         done = done.unionByName(now.where(~F.contains("u", F.lit("{"))))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from srcloom.functions.text import split_top_level
+from srcloom.functions.text import outside_braces, split_top_level
+from srcloom.sources.shared import durable
 
 _KIND = {"contract": "Contract", "abstract contract": "Abstract", "interface": "Interface", "library": "Library"}
 
@@ -43,9 +44,7 @@ def contract_extract(source_file: DataFrame) -> dict[str, DataFrame]:
 
     modifier = contract.select("path", "contract", F.explode(F.regexp_extract_all("body", F.lit(r"\bmodifier\s+(\w+)"), F.lit(1))).alias("name"))
     event = contract.select("path", "contract", F.explode(F.regexp_extract_all("body", F.lit(r"\bevent\s+(\w+)\s*\("), F.lit(1))).alias("name"))
-    outer = F.regexp_replace("body", r"^[^{]*\{", "")
-    for _ in range(4):  # what stands in braces is no declaration of the contract; four levels deep
-        outer = F.regexp_replace(outer, r"[^;{}]*\{[^{}]*\}", ";")
+    outer = outside_braces(F.regexp_replace("body", r"^[^{]*\{", ""))  # what stands in braces is no declaration of the contract
     var = r"(?:^|;)\s*((?:mapping\s*\([^;]*?\)|[A-Za-z_][\w.]*(?:\[[^\]]*\])*))\s+((?:(?:public|private|internal|constant|immutable|override)\s+)*)(\w+)\s*(?:=[^;]*)?(?=;)"
     pick_v = lambda k: F.regexp_extract_all("o", F.lit(var), F.lit(k))
     storage = contract.select("path", "contract", F.concat(F.lit(";"), outer).alias("o")).select("path", "contract", F.explode(F.arrays_zip(pick_v(1).alias("t"), pick_v(2).alias("w"), pick_v(3).alias("n"))).alias("v")).where(~F.col("v.t").isin("using", "event", "error", "modifier", "function", "struct", "enum", "return", "import", "pragma")).select("path", "contract", F.col("v.n").alias("name"), F.col("v.t").alias("type_name"), _visibility(F.col("v.w")).alias("visibility"), F.col("v.w").rlike(r"\b(constant|immutable)\b").alias("is_constant"))
@@ -105,15 +104,32 @@ def sol_direct_deps(sites: DataFrame, contract_function: DataFrame, contract_mod
     contract_id, name; chain: contract_id, position, ancestor_id (inheritance_chain).
     """
     f = contract_function.select("function_id", "contract_id", "modifiers")
-    mods = f.select("function_id", "contract_id", F.explode(F.array_distinct("modifiers")).alias("name")).join(chain, "contract_id").join(contract_modifier.select(F.col("contract_id").alias("ancestor_id"), "name").distinct(), ["ancestor_id", "name"])
-    nearest = mods.groupBy("function_id", "name").agg(F.min(F.struct("position", "ancestor_id"))["ancestor_id"].alias("in_contract"))
-    used = nearest.select("function_id", F.concat_ws("|", F.lit("modifier"), F.col("in_contract").cast("string"), "name").alias("dep_id"), F.lit("modifier").alias("dep_kind"), "name")
-    called = sites.select("function_id", "contract_id", F.col("callee").alias("name")).where(~F.contains("callee", F.lit("."))).distinct().join(nearest.select("function_id", "name"), ["function_id", "name"], "left_anti")
-    places = called.join(chain, "contract_id").join(contract_function.select(F.col("contract_id").alias("ancestor_id"), "name", F.col("function_id").alias("dep_id")), ["ancestor_id", "name"]).where("dep_id <> function_id")
-    first = places.groupBy("function_id", "name").agg(F.min(F.struct("position", "dep_id"))["dep_id"].alias("dep_id"))
+    called = sites.select("function_id", "contract_id", F.col("callee").alias("name")).where(~F.contains("callee", F.lit("."))).distinct()
+    mods = f.select("function_id", "contract_id", F.explode(F.array_distinct("modifiers")).alias("name"))
+    # the nearest contract is looked up once for each (contract, name), not for each call
+    in_contract = _nearest(mods, contract_modifier.select(F.col("contract_id").alias("ancestor_id"), "name").distinct().withColumn("dep_id", F.lit(None).cast("string")), chain, "ancestor_id")
+    nearest = mods.join(in_contract, ["contract_id", "name"])
+    used = nearest.select("function_id", F.concat_ws("|", F.lit("modifier"), F.col("first.ancestor_id").cast("string"), "name").alias("dep_id"), F.lit("modifier").alias("dep_kind"), "name")
+    called = called.join(nearest.select("function_id", "name"), ["function_id", "name"], "left_anti")
+    # a function is no dependency of itself: the two nearest are kept, of which one is another
+    definers = contract_function.select(F.col("contract_id").alias("ancestor_id"), "name", F.col("function_id").alias("dep_id"))
+    places = called.join(_nearest(called, definers, chain, "dep_id"), ["contract_id", "name"])
+    other = F.when(F.col("first.dep_id") != F.col("function_id"), F.col("first.dep_id")).otherwise(F.col("second.dep_id"))
+    first = places.select("function_id", other.alias("dep_id")).where("dep_id is not null")
     return used.select("function_id", "dep_id", "dep_kind").unionByName(first.select("function_id", "dep_id", F.lit("function").alias("dep_kind")))
 
 
+def _nearest(wanted: DataFrame, definers: DataFrame, chain: DataFrame, order: str) -> DataFrame:
+    """(contract_id, name, first, second): for each wanted pair the two definitions that come first in the contract's chain, as (position, ancestor_id, dep_id)."""
+    pairs = durable(wanted.select("contract_id", "name").distinct())
+    found = pairs.join(chain, "contract_id").join(definers, ["ancestor_id", "name"])
+    place = F.struct("position", *dict.fromkeys([order, "ancestor_id", "dep_id"]))
+    ranked = durable(found.select("contract_id", "name", place.alias("p")))
+    first = ranked.groupBy("contract_id", "name").agg(F.min("p").alias("first"))
+    second = ranked.join(first, ["contract_id", "name"]).where("p > first").groupBy("contract_id", "name").agg(F.min("p").alias("second"))
+    return first.join(second, ["contract_id", "name"], "left")
+
+
 def interface_impls(contract: DataFrame, base: DataFrame, contract_function: DataFrame) -> DataFrame:
     """Interfaces with the contracts that name them as a base, and their functions."""
     i = contract.where("contract_type = 'Interface'").select(F.col("contract_id").alias("interface_id"), F.col("name").alias("interface"))

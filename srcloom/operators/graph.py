@@ -23,13 +23,12 @@ def dependency_closure(edge: DataFrame, roots: DataFrame, max_iter: int | None =
     edges = durable(edge.select("src", "dst").where("src is not null and dst is not null").distinct())
     start = roots.select("root").distinct()
     new = durable(start.join(edges, F.col("root") == F.col("src")).select("root", F.col("dst").alias("node")).distinct().withColumn("depth", F.lit(1)))
-    seen, depth = [new], 1
+    seen, depth = Seen(new, ["root", "node"]), 1
     while (max_iter is None or depth < max_iter) and not new.isEmpty():
         depth += 1
         step = new.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
-        new = durable(step.join(_union(seen).select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
-        seen.append(new)
-    found = _union(seen)
+        new = seen.add(step.withColumn("depth", F.lit(depth)))
+    found = seen.rows()
     if not multiplicity:
         return found
     callers = found.select("root", F.col("node").alias("src")).unionByName(start.select("root", F.col("root").alias("src"))).distinct()
@@ -37,11 +36,36 @@ def dependency_closure(edge: DataFrame, roots: DataFrame, max_iter: int | None =
     return found.join(counts, ["root", "node"])
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+class Seen:
+    """Rows found so far, by key.
+
+    Each round's new rows are kept in parts; whenever there are more than PARTS
+    they are written as one, dealt by the key. So a round reads few parts, and a
+    row is written again once in PARTS rounds at most.
+    """
+
+    PARTS = 8
+
+    def __init__(self, rows: DataFrame, keys: list[str]):
+        self.keys, self.parts = keys, [rows]
+
+    def rows(self) -> DataFrame:
+        out = self.parts[0]
+        for p in self.parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    def new(self, rows: DataFrame) -> DataFrame:
+        """Those rows whose key was not seen."""
+        return rows.join(self.rows().select(*self.keys), self.keys, "left_anti").select(*rows.columns)
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        """The rows whose key was not seen, which are now."""
+        found = durable(self.new(rows))
+        self.parts.append(found)
+        if len(self.parts) > self.PARTS:
+            self.parts = [durable(self.rows().repartition(*self.keys))]
+        return found
 
 
 def bfs_tree(edge: DataFrame, roots: DataFrame, names: DataFrame | None = None, across_roots: bool = False) -> DataFrame:
@@ -53,18 +77,20 @@ def bfs_tree(edge: DataFrame, roots: DataFrame, names: DataFrame | None = None,
     """
     edges = durable(edge.select("src", "dst").where("src is not null and dst is not null and src <> dst").distinct())
     new = durable(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"), F.lit(None).cast(roots.schema["root"].dataType).alias("parent")).distinct())
-    seen, depth = [new], 0
+    seen, depth = Seen(new, ["root", "node"]), 0
+    shown = Seen(durable(new.join(names, "node").select("root", "name").distinct()), ["root", "name"]) if names is not None else None
     while not new.isEmpty():
         depth += 1
         step = new.join(edges, F.col("node") == F.col("src")).groupBy("root", "dst").agg(F.min("src").alias("parent")).withColumnRenamed("dst", "node")
-        step = step.join(_union(seen).select("root", "node"), ["root", "node"], "left_anti")
-        if names is not None:
-            named = step.join(names, "node").withColumn("k", F.row_number().over(Window.partitionBy("root", "name").orderBy("node"))).where("k = 1")
-            shown = _union(seen).join(names, "node").select("root", "name")
-            step = named.join(shown, ["root", "name"], "left_anti").drop("k", "name")
-        new = durable(step.select("root", "node", F.lit(depth).alias("depth"), "parent"))
-        seen.append(new)
-    found = _union(seen)
+        step = step.select("root", "node", F.lit(depth).alias("depth"), "parent")
+        if shown is not None:
+            # of nodes of one name the least stays, and only if the name was not shown before
+            named = seen.new(step).join(names, "node").withColumn("k", F.row_number().over(Window.partitionBy("root", "name").orderBy("node"))).where("k = 1").drop("k")
+            named = durable(shown.new(named))
+            shown.add(named.select("root", "name"))
+            step = named.select("root", "node", "depth", "parent")
+        new = seen.add(step)
+    found = seen.rows()
     if across_roots:
         first = found.groupBy("node").agg(F.min("root").alias("root"))
         found = found.join(first, ["root", "node"], "left_semi")
@@ -110,21 +136,18 @@ def linearize(base: DataFrame, contracts: DataFrame | None = None, max_iter: int
     return best.unionByName(itself).select(F.col("c").alias("contract_id"), F.row_number().over(w).alias("position"), F.col("a").alias("ancestor_id"))
 
 
-def inheritance_chain(base: DataFrame, contract: DataFrame, max_iter: int = 200) -> DataFrame:
-    """(contract_id, position, ancestor_id): breadth-first order over known contracts, bases in order."""
+def inheritance_chain(base: DataFrame, contract: DataFrame) -> DataFrame:
+    """(contract_id, position, ancestor_id): breadth-first order over known contracts, bases in order; as deep as they go."""
     known = contract.select("contract_id")
     usable = base.join(known.select(F.col("contract_id").alias("base_id")), "base_id", "left_semi").join(known, "contract_id", "left_semi")
     edges = durable(usable.select(F.col("contract_id").alias("x"), F.col("base_id").alias("b"), "ord"))
     new = durable(known.distinct().select(F.col("contract_id").alias("c"), F.col("contract_id").alias("a"), F.array().cast("array<int>").alias("path")))
-    seen = [new]
-    for _ in range(max_iter):
+    seen = Seen(new, ["c", "a"])
+    while not new.isEmpty():  # ends, as each round has pairs that were not seen before
         step = new.join(edges, F.col("a") == F.col("x")).groupBy("c", F.col("b").alias("a")).agg(F.min(F.concat("path", F.array("ord"))).alias("path"))
-        new = durable(step.join(_union(seen).select("c", "a"), ["c", "a"], "left_anti"))
-        if new.isEmpty():
-            break
-        seen.append(new)
+        new = seen.add(step)
     w = Window.partitionBy("c").orderBy(F.size("path"), "path")
-    return _union(seen).select(F.col("c").alias("contract_id"), F.row_number().over(w).alias("position"), F.col("a").alias("ancestor_id"))
+    return seen.rows().select(F.col("c").alias("contract_id"), F.row_number().over(w).alias("position"), F.col("a").alias("ancestor_id"))
 
 
 def effective_functions(linearized: DataFrame, contract_function: DataFrame) -> DataFrame:

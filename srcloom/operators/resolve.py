@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from srcloom.functions.text import path_fragment
+from srcloom.functions.text import path_fragment, plain_path
+from srcloom.sources.shared import durable
 
 EDGE = ["caller_id", "callee_name", "callee_id", "resolution", "rule"]
 
@@ -53,15 +54,44 @@ def resolve_free_call(call_site: DataFrame, symbol: DataFrame, imports: DataFram
     calls = call_site.where("call_kind = 'free'").select("caller_id", "callee_name").join(_unique(symbol, "name").withColumnRenamed("name", "callee_name"), "callee_name", "left")
     some = calls.where("n > 1").select("caller_id", "callee_name").distinct().join(callers.select("caller_id", F.col("path").alias("c_path")), "caller_id")
     tried = some.join(imports.select(F.col("path").alias("c_path"), F.col("name").alias("callee_name"), "full_path", "rank"), ["c_path", "callee_name"])
-    own = F.col("full_path").startswith("self::")
-    hits = tried.withColumn("fragment", path_fragment(F.col("full_path"), F.col("callee_name"))).join(symbol.select(F.col("name").alias("callee_name"), "symbol_id", F.col("path").alias("s_path")), "callee_name")
-    hits = hits.where(F.when(own, F.col("s_path") == F.col("c_path")).otherwise(F.contains("s_path", F.col("fragment"))))
-    picked = hits.groupBy("caller_id", "callee_name").agg(F.min(F.struct("rank", "symbol_id"))["symbol_id"].alias("by_import"))
+    # a path in the crate is a piece of the callee's path, one in the own file is that file
+    tried = tried.withColumns({"own": F.col("full_path").startswith("self::"), "fragment": path_fragment(F.col("full_path"), F.col("callee_name"))})
+    named = symbol.select(F.col("name").alias("callee_name"), "symbol_id", F.col("path").alias("s_path"))
+    here = tried.where("own").join(named, (tried["c_path"] == named["s_path"]) & (tried["callee_name"] == named["callee_name"])).select("caller_id", tried["callee_name"], "rank", "symbol_id")
+    placed = _by_fragment(tried.where("not own and fragment is not null").select("callee_name", "fragment").distinct(), named)
+    there = tried.where("not own").join(placed, ["callee_name", "fragment"]).select("caller_id", "callee_name", "rank", "symbol_id")
+    picked = here.unionByName(there).groupBy("caller_id", "callee_name").agg(F.min(F.struct("rank", "symbol_id"))["symbol_id"].alias("by_import"))
     out = calls.join(picked, ["caller_id", "callee_name"], "left")
     rule = F.when(F.col("n").isNull(), "no such name").when(F.col("n") == 1, "only one").when(F.col("by_import").isNotNull(), "import").otherwise("ambiguous")
     return _edge(out, F.coalesce("only_id", "by_import"), rule, F.col("n").isNull())
 
 
+#: Pairs of (fragment, path) of one name above which paths are found by their pieces; length of such a piece.
+HOT_PAIRS, PIECE = 100_000, 6
+
+
+def _by_fragment(wanted: DataFrame, named: DataFrame) -> DataFrame:
+    """(callee_name, fragment, symbol_id): the first symbol of each name in a path that contains the fragment.
+
+    Paths of a name count once each, with their first symbol. A name that many
+    functions have and many files import does not meet all its paths: those are
+    listed under their pieces of PIECE characters, and a fragment looks under its
+    first piece. Shorter fragments are few, as they are distinct.
+    """
+    paths = durable(named.groupBy("callee_name", "s_path").agg(F.min("symbol_id").alias("symbol_id")).join(wanted.select("callee_name").distinct(), "callee_name", "left_semi"))
+    pairs = wanted.groupBy("callee_name").agg(F.count("*").alias("f")).join(paths.groupBy("callee_name").agg(F.count("*").alias("p")), "callee_name")
+    hot = durable(pairs.where(F.col("f") * F.col("p") > HOT_PAIRS).select("callee_name"))
+    long = F.length("fragment") >= PIECE
+    plain = wanted.join(hot, "callee_name", "left_anti") if not (some := not hot.isEmpty()) else wanted.join(hot.withColumn("hot", F.lit(True)), "callee_name", "left").where(F.col("hot").isNull() | ~long).drop("hot")
+    met = plain.join(paths, "callee_name").where(F.contains("s_path", F.col("fragment")))
+    if some:
+        pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("s_path") - (PIECE - 1), F.lit(1))), lambda i: F.substring("s_path", i, F.lit(PIECE))))
+        listed = paths.join(hot, "callee_name", "left_semi").withColumn("piece", F.explode(pieces))
+        looked = wanted.join(hot, "callee_name", "left_semi").where(long).withColumn("piece", F.substring("fragment", 1, PIECE))
+        met = met.unionByName(looked.join(listed, ["callee_name", "piece"]).where(F.contains("s_path", F.col("fragment"))).select(*met.columns))
+    return met.groupBy("callee_name", "fragment").agg(F.min("symbol_id").alias("symbol_id"))
+
+
 def _member(impl_member: DataFrame) -> DataFrame:
     """The first member of each signature."""
     return impl_member.groupBy("signature").agg(F.min(F.struct("impl_id", "symbol_id"))["symbol_id"].alias("member_id"))
@@ -135,12 +165,12 @@ def resolve_import_path(sol_import: DataFrame, files: DataFrame, remaps: DataFra
     imports = sol_import.select("path", "import_path").distinct()
     folder = F.regexp_replace("path", r"[^/]*$", "")
     plain = imports.select("path", "import_path", F.explode(F.array(*[F.struct(F.lit(k).alias("rank"), F.concat(b, F.col("import_path")).alias("candidate")) for k, b in ((2, folder), (3, F.lit("")), (4, F.lit("src/")), (5, F.lit("lib/")), (6, F.lit("node_modules/")))])).alias("c")).select("path", "import_path", "c.*")
-    mapped = imports.join(remaps, F.col("import_path").startswith(F.col("prefix"))).select("path", "import_path", F.lit(1).alias("rank"), (-F.length("prefix")).alias("longest"), F.concat("target", F.expr("substring(import_path, length(prefix) + 1)")).alias("candidate"))
+    # each import is listed under its beginnings of the lengths that prefixes have, which are few
+    lengths = sorted(r[0] for r in remaps.select(F.length("prefix")).where("prefix is not null").distinct().collect())
+    begun = imports.withColumn("prefix", F.explode(F.array(*[F.when(F.length("import_path") >= n, F.substring("import_path", 1, n)) for n in lengths] or [F.lit(None).cast("string")])))
+    mapped = begun.join(remaps, "prefix").select("path", "import_path", F.lit(1).alias("rank"), (-F.length("prefix")).alias("longest"), F.concat("target", F.expr("substring(import_path, length(prefix) + 1)")).alias("candidate"))
     every = mapped.unionByName(plain.withColumn("longest", F.lit(0)))
-    clean = F.col("candidate")
-    for _ in range(8):  # a/../ and ./ in turn, as deep as paths go
-        clean = F.regexp_replace(F.regexp_replace(clean, r"(^|/)\./", "$1"), r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
-    found = every.withColumn("candidate", clean).join(files.select(F.col("path").alias("candidate")).distinct(), "candidate", "left_semi")
+    found = every.withColumn("candidate", plain_path(F.col("candidate"))).join(files.select(F.col("path").alias("candidate")).distinct(), "candidate", "left_semi")
     best = found.groupBy("path", "import_path").agg(F.min(F.struct("rank", "longest", "candidate"))["candidate"].alias("target"))
     return imports.join(best, ["path", "import_path"], "left")
 

@@ -39,7 +39,7 @@ W = with_sql("fx_decl", "fx_entry", more=FULL)
 STATE = "account_type = 'ProgramStateAccount'"
 
 
-@register("a1_constraint_index", W + """SELECT con AS constraint, list(name ORDER BY name) AS entries, count(*) AS n FROM acc JOIN fx_entry USING (struct_id) GROUP BY con""")
+@register("a1_constraint_index", W + """SELECT con AS constraint, name AS entry, count(*) AS n FROM acc JOIN fx_entry USING (struct_id) GROUP BY con, name""")
 def a1_constraint_index(spark, d):
     return N.constraint_index(_entry(spark, d), A.account_attrs_regex(view(spark, d, "fx_decl")))
 
@@ -49,7 +49,7 @@ FROM (SELECT DISTINCT CAST(right(con, 1) AS INT) AS k FROM acc JOIN fx_entry USI
 def a2_constraint_status(spark, d):
     index = N.constraint_index(_entry(spark, d), A.account_attrs_regex(view(spark, d, "fx_decl")))
     k = F.regexp_extract("constraint", "k([0-9])$", 1).cast("int")
-    return N.constraint_status(index, index.select("constraint", (k % 2 == 0).alias("invariant"), (k < 3).alias("reviewed")))
+    return N.constraint_status(index, index.select("constraint").distinct().select("constraint", (k % 2 == 0).alias("invariant"), (k < 3).alias("reviewed")))
 
 
 LIFE = "life AS (SELECT struct_id, " + ", ".join(f"coalesce(list(account_name ORDER BY ord) FILTER (WHERE {c} AND {'' if w == 'program' else 'NOT '}{STATE}), []) AS {b}_{w}" for b, c in (("init", "is_init"), ("close", "is_close AND NOT is_init"), ("mut", "is_mut AND NOT is_init AND NOT is_close")) for w in ("program", "other")).replace("NOT account_type =", "account_type <>") + f", coalesce(list(struct_name ORDER BY ord) FILTER (WHERE {STATE}), []) AS program_accounts FROM acc GROUP BY struct_id)"
@@ -72,7 +72,7 @@ fields AS (SELECT DISTINCT 'State_' || (p_partkey % 20) AS struct_name, 'field_'
 WO = with_sql("fx_decl", "fx_entry", more=f"{FULL}, {OPS}")
 
 
-@register("j16_account_entries", WO + "SELECT struct_name, op, list(entry ORDER BY entry) AS entries FROM ops GROUP BY struct_name, op")
+@register("j16_account_entries", WO + "SELECT struct_name, op, entry FROM ops")
 def j16_account_entries(spark, d):
     return N.account_entries(_entry(spark, d), full_accounts(spark, d))
 
@@ -112,13 +112,15 @@ def j6_entry_accounts(spark, d):
     return found.select("entry_id", "ord", "account_name").unionByName(missing.select("entry_id", F.lit(None).cast("int").alias("ord"), F.lit(None).cast("string").alias("account_name")))
 
 
-STRUCTS = "structs AS (SELECT 'State_' || (p_partkey % 20) AS name, count(*) AS n, min(p_partkey) AS id FROM part WHERE p_partkey < 27 AND p_partkey % 20 <> 9 GROUP BY 1)"
+#: A struct of each part: names below State_10 are of one part at most, the others of many, State_9 of none.
+STRUCT_NAME = "CASE WHEN p_partkey < 20 THEN 'State_' || p_partkey WHEN p_partkey % 2 = 0 THEN 'State_1' || (p_partkey % 10) ELSE 'Part_' || p_partkey END"
+STRUCTS = f"structs AS (SELECT name, count(*) AS n, min(p_partkey) AS id FROM (SELECT p_partkey, {STRUCT_NAME} AS name FROM part) WHERE name <> 'State_9' GROUP BY name)"
 
 
 @register("j20_account_struct_source", with_sql("fx_decl", "fx_entry", more=f"{FULL}, {STRUCTS}") + f"""SELECT entry_id, account_name, CASE WHEN is_init THEN 'init' ELSE 'mut' END AS op, CASE WHEN n = 1 THEN id END AS struct_symbol_id, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'ambiguous' END AS reason
 FROM fx_entry JOIN acc USING (struct_id) LEFT JOIN structs ON structs.name = struct_name WHERE {STATE} AND (is_init OR is_mut)""")
 def j20_account_struct_source(spark, d):
-    structs = view(spark, d, "part").where("p_partkey < 27 and p_partkey % 20 <> 9").select(F.concat(F.lit("State_"), (F.col("p_partkey") % 20).cast("string")).alias("name"), F.col("p_partkey").alias("symbol_id"), F.lit("struct").alias("item"))
+    structs = view(spark, d, "part").select(F.expr(STRUCT_NAME).alias("name"), F.col("p_partkey").alias("symbol_id"), F.lit("struct").alias("item")).where("name <> 'State_9'")
     good, bad = R.account_struct_source(_entry(spark, d), full_accounts(spark, d), structs)
     return good.withColumn("reason", F.lit(None).cast("string")).unionByName(bad.withColumn("struct_symbol_id", F.lit(None).cast("long")))
 
@@ -128,9 +130,12 @@ def a7_status_counts(spark, d):
     return N.status_counts(view(spark, d, "orders").select(F.col("o_orderstatus").alias("status")), "P")
 
 
-@register("a8_corpus_counts", with_sql("fx_symbol", "fx_contract", "fx_call") + "SELECT 'symbol:' || kind AS metric, count(*) AS n FROM fx_symbol GROUP BY 1 UNION ALL SELECT CASE WHEN external THEN 'contract:lib' ELSE 'contract:src' END, count(*) FROM fx_contract GROUP BY 1 UNION ALL SELECT 'calls', count(*) FROM fx_call")
+@register("a8_corpus_counts", with_sql("fx_symbol", "fx_contract", "fx_call", "fx_contract_fn") + """SELECT 'symbol:' || kind AS metric, count(*) AS n FROM fx_symbol GROUP BY 1 UNION ALL SELECT CASE WHEN external THEN 'contract:lib' ELSE 'contract:src' END, count(*) FROM fx_contract GROUP BY 1 UNION ALL SELECT 'calls', count(*) FROM fx_call
+UNION ALL SELECT 'functions', count(*) FROM fx_contract_fn UNION ALL SELECT 'modifiers', count(*) FROM (SELECT DISTINCT contract_id, modifier FROM fx_contract_fn) UNION ALL SELECT 'parse_errors', count(*) FROM events WHERE event_type = 'error'""")
 def a8_corpus_counts(spark, d):
-    return N.corpus_counts(view(spark, d, "fx_symbol"), view(spark, d, "fx_contract"), view(spark, d, "fx_call"))
+    f = view(spark, d, "fx_contract_fn")
+    errors = view(spark, d, "events").where("event_type = 'error'")
+    return N.corpus_counts(view(spark, d, "fx_symbol"), view(spark, d, "fx_contract"), view(spark, d, "fx_call"), f, f.select("contract_id", "modifier").distinct(), errors)
 
 
 @register("a12_distinct_programs", with_sql("fx_symbol") + "SELECT DISTINCT program FROM fx_symbol")
@@ -138,10 +143,9 @@ def a12_distinct_programs(spark, d):
     return N.distinct_programs(view(spark, d, "fx_symbol"))
 
 
-@register("a13_group_by_file", with_sql("fx_symbol") + "SELECT path, string_agg(start_line || ' ' || symbol_id || ' ' || name, '|' ORDER BY start_line, symbol_id) AS symbols FROM fx_symbol GROUP BY path")
+@register("a13_group_by_file", with_sql("fx_symbol") + "SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY start_line, symbol_id) AS INT) AS ord, start_line, symbol_id, name FROM fx_symbol")
 def a13_group_by_file(spark, d):
-    shown = F.transform("symbols", lambda s: F.concat_ws(" ", s["start_line"].cast("string"), s["symbol_id"].cast("string"), s["name"]))
-    return N.group_by_file(view(spark, d, "fx_symbol")).withColumn("symbols", F.array_join(shown, "|"))
+    return N.group_by_file(view(spark, d, "fx_symbol"))
 
 
 @register("a14_first_occurrence", with_sql("fx_call") + "SELECT caller_id, callee_name, min(call_id) AS call_id, arg_min(call_kind, call_id) AS call_kind, arg_min(qualifier, call_id) AS qualifier FROM fx_call GROUP BY caller_id, callee_name")

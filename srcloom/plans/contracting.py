@@ -8,6 +8,8 @@ from srcloom.operators import calls as C
 from srcloom.operators import contracts as K
 from srcloom.operators import graph as G
 
+from srcloom.sources.shared import durable
+
 from .calling import FN_KEY, contract_bodies
 from .fixtures import view, with_sql
 from .resolving import PATHS
@@ -57,9 +59,13 @@ def a10_sol_entries(spark, d):
 SITES = "sites AS (SELECT DISTINCT function_id, contract_id, callee FROM cf, LATERAL (VALUES ('f_' || (contract_id % 9)), ('f_' || n_params), ('f_' || (n_params+1)), ('C' || (contract_id // 2) || '.f_' || n_params)) AS v(callee))"
 
 
+def sites_of(f):
+    """Call sites with the contract of their function."""
+    return C.sol_call_sites(f.withColumn("both", F.struct("function_id", "contract_id")), "both").select("both.function_id", "both.contract_id", "callee")
+
+
 def _sites(spark, d):
-    f = _functions(spark, d)
-    return C.sol_call_sites(f).join(f.select("function_id", "contract_id"), "function_id")
+    return sites_of(_functions(spark, d))
 
 
 @register("j13_sol_resolve_calls", with_sql("fx_contract", "fx_contract_fn", "fx_base", more=f"{FN}, {SITES}") + """SELECT function_id, c.contract_id AS callee_contract, split_part(callee, '.', 2) AS method, true AS is_external, false AS is_super FROM sites JOIN fx_contract c ON c.name = split_part(callee, '.', 1) WHERE contains(callee, '.')
@@ -79,7 +85,8 @@ UNION ALL SELECT s.function_id, arg_min(f.function_id, (position, f.function_id)
 def j14_sol_direct_deps(spark, d):
     c = view(spark, d, "fx_contract")
     mods = c.select("contract_id", F.posexplode(F.array(*[F.lit(m) for m in ("onlyOwner", "onlyRole", "onlyKeeper", "nonReentrant")])).alias("i", "name")).where("(contract_id + i) % 5 = 0").drop("i")
-    return K.sol_direct_deps(_sites(spark, d), _functions(spark, d), mods, G.inheritance_chain(view(spark, d, "fx_base"), c))
+    f = durable(_functions(spark, d))  # functions and their bodies are derived once
+    return K.sol_direct_deps(sites_of(f), f, mods, durable(G.inheritance_chain(view(spark, d, "fx_base"), c)))
 
 
 @register("j19_interface_impls", with_sql("fx_contract", "fx_contract_fn", "fx_base") + """SELECT i.name AS interface, coalesce((SELECT list(DISTINCT c.name ORDER BY c.name) FROM fx_base b JOIN fx_contract c USING (contract_id) WHERE b.base_id = i.contract_id), []) AS implemented_by,

@@ -35,8 +35,8 @@ SELECT o_orderkey AS call_id, o_custkey AS caller_id,
   concat('Type_', CAST(o_orderkey % 17 AS STRING)) AS qualifier
 FROM orders""",
     "fx_edge": """
-SELECT DISTINCT o_custkey AS src, CASE WHEN o_orderkey % 500 = 0 THEN greatest(o_custkey - 20, 0) ELSE o_custkey + 1 + o_orderkey % 13 END AS dst
-FROM orders WHERE o_orderkey % 10 = 0""",
+SELECT DISTINCT o_custkey AS src, CASE WHEN o_orderkey % 500 = 0 THEN greatest(o_custkey - 20, 0) ELSE o_custkey - o_custkey % 40 + least(39, o_custkey % 40 + 1 + o_orderkey % 3) END AS dst
+FROM orders""",
     "fx_contract": """
 SELECT p_partkey AS contract_id, concat('C', CAST(p_partkey AS STRING)) AS name,
   CASE p_partkey % 4 WHEN 0 THEN 'Interface' WHEN 1 THEN 'Abstract' WHEN 2 THEN 'Contract' ELSE 'Library' END AS contract_type,

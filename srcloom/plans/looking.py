@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from srcloom.operators import blocks as B
 from srcloom.operators import calls as C
@@ -73,6 +74,80 @@ def s4_file_listing(spark, d):
     return S.filter_listing(_symbol(spark, d).select("path").distinct(), exclude=["m3.rs"], include=["2.rs", "3.rs", "4.rs"], sort=True)
 
 
+def _by_folder(spark, d):
+    """fx_source as files: those of m0 under tests, of m1 under mock, the others under src. Returns the folder that holds the three."""
+    root = fresh_path(spark, "roots")
+    files = view(spark, d, "fx_source")
+    place = F.when(F.col("path").endswith("/m0.rs"), "tests").when(F.col("path").endswith("/m1.rs"), "mock").otherwise("src")
+    for folder in ("tests", "mock", "src"):
+        export_files(spark, files.where(place == folder).select(F.regexp_replace(F.regexp_replace("path", r"^.*/(prog_\d+)/src/", "$1-"), r"\.rs$", "").alias("name"), "content"), f"{root}/{folder}")
+    return root
+
+
+FILE = "SELECT replace(replace(split_part(path, 'programs/', 2), '/src/', '-'), '.rs', '') AS name, length(content) AS n_chars, CASE WHEN path LIKE '%/m0.rs' THEN 'tests' WHEN path LIKE '%/m1.rs' THEN 'mock' ELSE 'src' END AS folder FROM fx_source"
+
+
+def _named(found):
+    return found.withColumns({"name": F.regexp_extract("path", "name=([^/]+)/", 1), "n_chars": F.length(F.regexp_replace("content", "\n$", "")).cast("long")})
+
+
+@register("s2_corpus_scan_excluding", with_sql("fx_source") + f"SELECT name, n_chars FROM ({FILE}) WHERE folder = 'src'")
+def s2_corpus_scan_excluding(spark, d):
+    return _named(S.corpus_scan(spark, _by_folder(spark, d), "*.txt", S.EXCLUDED)).select("name", "n_chars")
+
+
+@register("s3_scan_roots", with_sql("fx_source") + f"SELECT name, n_chars, CASE folder WHEN 'src' THEN 'own' ELSE folder END AS program, folder = 'mock' AS external FROM ({FILE})")
+def s3_scan_roots(spark, d):
+    root = _by_folder(spark, d)
+    found = S.scan_roots(spark, [(f"{root}/src", "own", False), (f"{root}/tests", "tests", False), (f"{root}/mock", "mock", True)], "*.txt")
+    return _named(found).select("name", "n_chars", "program", "external")
+
+
+@register("s4_list_files", with_sql("fx_source") + f"SELECT name, folder, octet_length(encode(content)) + 1 AS length FROM ({FILE.replace('length(content) AS n_chars', 'content')})")
+def s4_list_files(spark, d):
+    """Names and sizes of files; the listing of the same folder under another suffix is empty."""
+    root = _by_folder(spark, d)
+    found = S.list_files(spark, root, include=[".txt"]).unionByName(S.list_files(spark, root, include=[".rs"]))
+    return found.select(F.regexp_extract("path", "name=([^/]+)/", 1).alias("name"), F.regexp_extract("path", "/([a-z]+)/name=", 1).alias("folder"), "length")
+
+
+@register("s5_read_metadata", W + """SELECT symbol_id, name, coalesce(start, 0) AS start_line, '' AS doc, k FROM (SELECT symbol_id, name, CASE WHEN symbol_id % 3 > 0 THEN start_line END AS start, unnest(CASE WHEN symbol_id % 2 = 0 THEN ['functions', 'structs'] ELSE ['functions'] END) AS k FROM fx_symbol)""")
+def s5_read_metadata(spark, d):
+    """A JSON document for each hundred symbols, with fields and a collection that are not always there."""
+    whole = F.struct("symbol_id", "name", F.when(F.col("symbol_id") % 3 > 0, F.col("start_line")).alias("start_line"))
+    doc = F.to_json(F.struct(F.collect_list(whole).alias("functions"), F.collect_list(F.when(F.col("symbol_id") % 2 == 0, whole)).alias("structs"))).alias("content")
+    folder = fresh_path(spark, "metadata")
+    export_files(spark, _symbol(spark, d).groupBy(F.floor(F.col("symbol_id") / 100).alias("name")).agg(doc), folder)
+    fields = T.StructType().add("symbol_id", "long").add("name", "string").add("start_line", "integer").add("doc", "string")
+    tables = S.read_metadata(spark, [folder], {"functions": fields, "structs": fields, "enums": fields})
+    return tables["functions"].withColumn("k", F.lit("functions")).unionByName(tables["structs"].withColumn("k", F.lit("structs"))).unionByName(tables["enums"].withColumn("k", F.lit("enums")))
+
+
+@register("s6_write_metadata", with_sql("fx_symbol", "fx_impl") + "SELECT 'symbol' AS t, symbol_id AS id, name, program FROM fx_symbol UNION ALL SELECT 'impl', impl_id, impl_to, NULL FROM fx_impl")
+def s6_write_metadata(spark, d):
+    """Two tables written and read back; what another project would write over them is refused."""
+    folder = fresh_path(spark, "written")
+    tables = {"symbol": _symbol(spark, d).select("symbol_id", "name", "program"), "impl": view(spark, d, "fx_impl").select("impl_id", "impl_to")}
+    S.write_metadata(tables, folder, "audit", "audit")
+    try:
+        S.write_metadata({n: t.where("false") for n, t in tables.items()}, folder, "other", "audit")
+    except ValueError:
+        pass
+    symbol, impl = spark.read.parquet(f"{folder}/symbol"), spark.read.parquet(f"{folder}/impl")
+    return symbol.select(F.lit("symbol").alias("t"), F.col("symbol_id").alias("id"), "name", "program").unionByName(impl.select(F.lit("impl").alias("t"), F.col("impl_id").alias("id"), F.col("impl_to").alias("name"), F.lit(None).cast("string").alias("program")))
+
+
+@register("s8_write_reports", """SELECT 'r' || s_suppkey AS entry, '# a:' || chr(10) || chr(10) || 'one ' || s_name || chr(10) || 'two' || chr(10) || chr(10) || '# b:' || chr(10) || chr(10) || s_nationkey AS value FROM supplier""")
+def s8_write_reports(spark, d):
+    """A written document for each supplier, read back as files."""
+    row = lambda section, ord, line: F.struct(F.lit(section).alias("section"), F.lit(ord).alias("ord"), line.alias("line"))
+    parts = F.array(row("b", 1, F.col("s_nationkey").cast("string")), row("a", 2, F.lit("two")), row("a", 1, F.concat(F.lit("one "), "s_name")))
+    rows = view(spark, d, "supplier").select(F.concat(F.lit("r"), F.col("s_suppkey").cast("string")).alias("entry_name"), F.explode(parts).alias("p")).select("entry_name", "p.*")
+    folder = fresh_path(spark, "reports")
+    S.write_reports(rows, folder)
+    return spark.read.text(folder, wholetext=True).select("entry", F.regexp_replace("value", "\n$", "").alias("value"))
+
+
 @register("s5_metadata_read", """SELECT event_id, coalesce(CAST(json_extract(props, '$.k') AS INT), 0) AS k, coalesce(json_extract_string(props, '$.absent'), '') AS absent FROM events""")
 def s5_metadata_read(spark, d):
     parsed = view(spark, d, "events").select("event_id", F.from_json("props", "k int, absent string").alias("p")).select("event_id", "p.*")
@@ -154,15 +229,23 @@ def _layout(spark, d):
     return _symbol(spark, d).withColumn("k", F.row_number().over(Window.partitionBy("path").orderBy("start_line", "symbol_id")))
 
 
-@register("p8_strip_comments", with_sql("fx_layout") + """SELECT path, CAST(11*(k-1)+o AS INT) AS line_no, line FROM fx_layout, LATERAL (VALUES (1, ''), (4, '    if amount == 0 {'), (5, ''), (8, '    Type_' || (symbol_id % 17) || '::fn_' || ((symbol_id * 7) % 97) || '(amount)?;')) AS v(o, line)""")
+#: Every line of fx_source, from its layout: o is the place in the block.
+LINES = """lines AS (SELECT path, CAST(11*(k-1)+o AS INT) AS line_no, o, line FROM (SELECT *, max(k) OVER (PARTITION BY path) AS n FROM fx_layout), LATERAL (VALUES (1, '/// doc of ' || name),
+(2, CASE WHEN kind = 'EntryPoint' THEN 'pub ' ELSE '' END || 'fn ' || name || '(ctx: Context<Acc_' || (symbol_id % 9) || '>, amount: u64) -> Result<()> {'), (3, '    require!(amount > ' || (symbol_id % 5) || ');'), (4, '    if amount == 0 {'),
+(5, '        assert!(flag);'), (6, '    }'), (7, '    fn_' || ((symbol_id * 31) % 120) || '(amount)?;'), (8, '    Type_' || (symbol_id % 17) || '::fn_' || ((symbol_id * 7) % 97) || '(amount)?; // call'), (9, '    Ok(())'), (10, '}'), (11, '')) AS v(o, line) WHERE o < 11 OR k < n)"""
+
+
+@register("p8_strip_comments", with_sql("fx_layout", more=LINES) + "SELECT path, line_no, CASE WHEN o IN (1, 5) THEN '' ELSE replace(line, ' // call', '') END AS line FROM lines")
 def p8_strip_comments(spark, d):
-    return P.strip_comments(B.source_lines(view(spark, d, "fx_source")), ("assert!",)).where("line_no % 11 in (1, 4, 5, 8)")
+    return P.strip_comments(B.source_lines(view(spark, d, "fx_source")), ("assert!",))
 
 
-@register("p9_dedent", with_sql("fx_layout") + """SELECT path, CAST(11*(k-1)+o AS INT) AS line_no, line FROM fx_layout, LATERAL (VALUES (4, 'if amount == 0 {'), (5, '    assert!(flag);'), (6, '}')) AS v(o, line)""")
+@register("p9_dedent", with_sql("fx_layout", more=LINES) + "SELECT path, line_no, CASE WHEN o BETWEEN 3 AND 9 THEN substr(line, 5) ELSE line END AS line FROM lines")
 def p9_dedent(spark, d):
-    lines = B.source_lines(view(spark, d, "fx_source")).where("line_no % 11 in (4, 5, 6)").withColumn("block", F.floor(F.col("line_no") / 11))
-    return P.dedent(lines, ["path", "block"]).select("path", "line_no", "line")
+    """The body of each function as one group, every other line as its own."""
+    at = (F.col("line_no") - 1) % 11
+    lines = B.source_lines(view(spark, d, "fx_source")).withColumns({"block": F.floor((F.col("line_no") - 1) / 11), "part": F.when(at.between(2, 8), -1).otherwise(at)})
+    return P.dedent(lines, ["path", "block", "part"]).select("path", "line_no", "line")
 
 
 @register("p10_symbol_label", W + "SELECT symbol_id, name || ': ' || substr(path, 4) || ':' || start_line AS label FROM fx_symbol")
@@ -199,35 +282,38 @@ def j12_resolve_import_path(spark, d):
 
 
 def _structs(spark, d):
-    """Functions of fx_symbol with the structs their contexts name: Acc_0 to Acc_6 once, Acc_7 twice, Acc_8 never."""
+    """Functions of fx_symbol, and a struct of each symbol: of nine in a row seven have a name of their own, two share one."""
     f = _symbol(spark, d).select("symbol_id", F.lit("function").alias("item"), F.col("kind").alias("sub_type"), F.concat("name", F.lit("_"), F.col("symbol_id").cast("string")).alias("name"), F.lit("p").alias("program"), "path", "start_line", "end_line")
-    s = _symbol(spark, d).where("symbol_id < 9").select((-1 - F.col("symbol_id")).alias("symbol_id"), F.lit("struct").alias("item"), F.lit("ContextAccounts").alias("sub_type"), F.concat(F.lit("Acc_"), F.least(F.col("symbol_id"), F.lit(7)).cast("string")).alias("name"), F.when(F.col("symbol_id") % 2 == 0, "p").otherwise("").alias("program"), "path", "start_line", "end_line")
+    n = F.when(F.col("symbol_id") % 9 == 8, F.col("symbol_id") - 1).otherwise(F.col("symbol_id"))
+    s = _symbol(spark, d).select((-1 - F.col("symbol_id")).alias("symbol_id"), F.lit("struct").alias("item"), F.lit("ContextAccounts").alias("sub_type"), F.concat(F.lit("Acc_"), n.cast("string")).alias("name"), F.when(F.col("symbol_id") % 2 == 0, "p").otherwise("").alias("program"), "path", "start_line", "end_line")
     return f.unionByName(s)
 
 
-@register("j4_entry_struct", W + """SELECT name || '_' || symbol_id AS name, symbol_id AS function_id, CASE WHEN symbol_id % 9 < 7 THEN -1 - symbol_id % 9 END AS struct_id FROM fx_symbol WHERE kind = 'EntryPoint'""")
+@register("j4_entry_struct", W + """SELECT name || '_' || symbol_id AS name, symbol_id AS function_id, CASE WHEN symbol_id % 9 < 7 OR (symbol_id % 9 = 7 AND NOT EXISTS (SELECT 1 FROM fx_symbol x WHERE x.symbol_id = s.symbol_id + 1)) THEN -1 - symbol_id END AS struct_id FROM fx_symbol s WHERE kind = 'EntryPoint'""")
 def j4_entry_struct(spark, d):
     s = _structs(spark, d)
-    params = _symbol(spark, d).select("symbol_id", F.lit(1).alias("ord"), F.concat(F.lit("Acc_"), (F.col("symbol_id") % 9).cast("string")).alias("context_inner"))
+    params = _symbol(spark, d).select("symbol_id", F.lit(1).alias("ord"), F.concat(F.lit("Acc_"), F.col("symbol_id").cast("string")).alias("context_inner"))
     return R.entry_struct(s, params).select("name", "function_id", "struct_id")
 
 
 @register("j5_entry_struct_fallback", with_sql("fx_layout") + """SELECT symbol_id AS function_id, CASE WHEN h IS NOT NULL THEN h WHEN symbol_id % 3 = 0 THEN -100 END AS struct_id, CASE WHEN h IS NOT NULL THEN 'same file' WHEN symbol_id % 3 = 0 THEN 'try_from' END AS rule
-FROM (SELECT *, (SELECT min(-1 - x.symbol_id) FROM fx_layout x WHERE x.path = fx_layout.path AND x.symbol_id < 20) AS h FROM fx_layout WHERE kind = 'EntryPoint')""")
+FROM (SELECT *, (SELECT min(-1000 - x.symbol_id) FROM fx_layout x WHERE x.path = fx_layout.path AND x.path NOT LIKE '%/m5.rs') AS h FROM fx_layout WHERE kind = 'EntryPoint')""")
 def j5_entry_struct_fallback(spark, d):
+    """Each symbol has a context struct in its file, which is of another kind in files m5; each entry has a line, of which a third convert."""
     lay = _layout(spark, d)
     f = lay.select("symbol_id", F.lit("function").alias("item"), F.col("kind").alias("sub_type"), "name", "path", (F.col("k") * 11).alias("start_line"), (F.col("k") * 11 + 5).alias("end_line"))
-    s = lay.where("symbol_id < 20").select((-1 - F.col("symbol_id")).alias("symbol_id"), F.lit("struct").alias("item"), F.lit("ContextAccounts").alias("sub_type"), F.lit("In").alias("name"), "path", F.lit(1).alias("start_line"), F.lit(2).alias("end_line"))
+    s = lay.select((-1000 - F.col("symbol_id")).alias("symbol_id"), F.lit("struct").alias("item"), F.when(F.col("path").endswith("/m5.rs"), "Other").otherwise("ContextAccounts").alias("sub_type"), F.lit("In").alias("name"), "path", F.lit(1).alias("start_line"), F.lit(2).alias("end_line"))
     x = spark.createDataFrame([(-100, "struct", "Other", "Named", "elsewhere", 1, 2)], s.schema)
-    lines = lay.where("symbol_id % 3 = 0").select("path", (F.col("k") * 11 + 1).alias("line_no"), F.lit("    let x = Named::try_from(accounts)?;").alias("line"))
+    lines = lay.select("path", (F.col("k") * 11 + 1).alias("line_no"), F.when(F.col("symbol_id") % 3 == 0, "    let x = Named::try_from(accounts)?;").otherwise("    let x = Named::new(accounts)?;").alias("line"))
     return R.entry_struct_fallback(f.unionByName(s).unionByName(x), lines).select("function_id", "struct_id", "rule")
 
 
-@register("j15_param_struct", W + "SELECT symbol_id, param_name, CASE WHEN t < 30 THEN t END AS struct_id FROM (SELECT symbol_id, symbol_id % 40 AS t FROM fx_symbol), (VALUES ('a'), ('b')) AS v(param_name)")
+@register("j15_param_struct", W + "SELECT s.symbol_id, param_name, x.symbol_id AS struct_id FROM fx_symbol s LEFT JOIN fx_symbol x ON x.symbol_id = 2 * s.symbol_id, (VALUES ('a'), ('b')) AS v(param_name)")
 def j15_param_struct(spark, d):
+    """A struct of each symbol; each symbol has parameters of the struct of twice its number, which only half of them find."""
     s = _symbol(spark, d)
-    structs = s.where("symbol_id < 30").select("symbol_id", F.lit("struct").alias("item"), F.lit("Other").alias("sub_type"), F.concat(F.lit("T"), F.col("symbol_id").cast("string")).alias("name"))
-    t = F.concat(F.lit("T"), (F.col("symbol_id") % 40).cast("string"))
+    structs = s.select("symbol_id", F.lit("struct").alias("item"), F.lit("Other").alias("sub_type"), F.concat(F.lit("T"), F.col("symbol_id").cast("string")).alias("name"))
+    t = F.concat(F.lit("T"), (F.col("symbol_id") * 2).cast("string"))
     params = s.select("symbol_id", F.lit("a").alias("param_name"), t.alias("param_type")).unionByName(s.select("symbol_id", F.lit("b").alias("param_name"), F.concat(F.lit("&'a mut "), t).alias("param_type")))
     return R.param_struct(params, structs)
 
@@ -287,3 +373,22 @@ def st1_incremental_symbols(spark, d):
     export_files(spark, second, f"{folder}/rev=2")
     I.incremental_symbols(spark, folder, target).awaitTermination()
     return I.latest_symbols(spark, target).select(F.regexp_extract("path", "name=([^/]+)/", 1).alias("file"), "name", "start_line", "end_line")
+
+
+@register("st1_compacted_symbols", with_sql("fx_layout") + """SELECT replace(replace(split_part(path, 'programs/', 2), '/src/', '-'), '.rs', '') AS file, name, CAST(11*(k-1)+2 AS INT) AS start_line FROM fx_layout WHERE path NOT LIKE '%/m3.rs' AND path NOT LIKE '%/m4.rs'
+UNION ALL SELECT DISTINCT replace(replace(split_part(path, 'programs/', 2), '/src/', '-'), '.rs', ''), 'changed', 1 FROM fx_layout WHERE path LIKE '%/m3.rs'""")
+def st1_compacted_symbols(spark, d):
+    """The log is folded, then a revision arrives that changes the m3 files and empties the m4 files, and it is folded again."""
+    folder, target = fresh_path(spark, "arriving"), fresh_path(spark, "symbols")
+    _exported(spark, d, f"{folder}/rev=1")
+    I.incremental_symbols(spark, folder, target).awaitTermination()
+    I.compact(spark, target)
+    second = view(spark, d, "fx_source").where(F.col("path").endswith("/m3.rs") | F.col("path").endswith("/m4.rs")).select(F.regexp_replace(F.regexp_replace("path", r"^.*/(prog_\d+)/src/", "$1-"), r"\.rs$", "").alias("name"), F.when(F.col("path").endswith("/m4.rs"), "// empty").otherwise("fn changed() {\n    x();\n}").alias("content"))
+    export_files(spark, second, f"{folder}/rev=2")
+    I.incremental_symbols(spark, folder, target).awaitTermination()
+    before = I.latest_symbols(spark, target).count()
+    I.compact(spark, target)
+    now = I.latest_symbols(spark, target)
+    if now.count() != before:
+        raise RuntimeError("folding the log changed the state")
+    return now.select(F.regexp_extract("path", "name=([^/]+)/", 1).alias("file"), "name", "start_line")

@@ -22,12 +22,10 @@ ARRAYS = {
     "e16_account_attrs_regex": ["seeds", "validations"],
     "e17_account_validations": ["validations"],
     "e23_accounts_without_validation": ["items"],
-    "a1_constraint_index": ["entries"],
     "a3_entry_flow": ["program_accounts", "init_accounts", "mut_accounts", "close_accounts"],
     "a4_account_lifecycle": ["init_program", "init_other", "close_program", "close_other", "mut_program", "mut_other", "program_accounts"],
     "a10_sol_entries": ["access_control"],
     "a14_sorted_unique": ["callee_name"],
-    "j16_account_entries": ["entries"],
     "j19_interface_impls": ["implemented_by", "functions"],
     "e11_contracts": ["bases"],
     "e11_contract_functions": ["modifiers"],

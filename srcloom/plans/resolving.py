@@ -8,6 +8,7 @@ from srcloom.operators import blocks as B
 from srcloom.operators import calls as C
 from srcloom.operators import graph as G
 from srcloom.operators import resolve as R
+from srcloom.sources.shared import durable
 
 from .fixtures import view, with_sql
 
@@ -139,9 +140,10 @@ def _roots(spark, d):
     return _symbol(spark, d).where("kind = 'EntryPoint'").select(F.col("symbol_id").alias("root"))
 
 
+#: All that is reachable with the fewest edges: a pair is entered once, in the first round that finds it.
 REACH = """roots AS (SELECT symbol_id AS root FROM fx_symbol WHERE kind = 'EntryPoint'),
-walk AS (SELECT root, dst AS node, 1 AS depth FROM roots JOIN fx_edge ON src = root UNION SELECT w.root, e.dst, w.depth + 1 FROM walk w JOIN fx_edge e ON e.src = w.node WHERE w.depth < 6),
-reach AS (SELECT root, node, CAST(min(depth) AS INT) AS depth FROM walk GROUP BY root, node)"""
+reach(root, node, depth) USING KEY (root, node) AS (SELECT root, dst, 1 FROM roots JOIN fx_edge ON src = root UNION SELECT w.root, e.dst, w.depth + 1 FROM reach w JOIN fx_edge e ON e.src = w.node
+  WHERE NOT EXISTS (SELECT 1 FROM recurring.reach r WHERE r.root = w.root AND r.node = e.dst))"""
 #: All that is reachable, without depths: the recursion ends by itself.
 FULL = """roots AS (SELECT symbol_id AS root FROM fx_symbol WHERE kind = 'EntryPoint'),
 reach AS (SELECT root, dst AS node FROM roots JOIN fx_edge ON src = root UNION SELECT r.root, e.dst FROM reach r JOIN fx_edge e ON e.src = r.node)"""
@@ -152,9 +154,9 @@ def g1_dependency_closure(spark, d):
     return G.dependency_closure(_edges(spark, d), _roots(spark, d)).select("root", "node")
 
 
-@register("g1_closure_depth", with_sql("fx_symbol", "fx_edge", more=REACH) + "SELECT root, node, depth FROM reach")
+@register("g1_closure_depth", with_sql("fx_symbol", "fx_edge", more=REACH) + "SELECT root, node, CAST(depth AS INT) AS depth FROM reach")
 def g1_closure_depth(spark, d):
-    return G.dependency_closure(_edges(spark, d), _roots(spark, d), max_iter=6)
+    return G.dependency_closure(_edges(spark, d), _roots(spark, d))
 
 
 @register("g1m_closure_multiplicity", with_sql("fx_symbol", "fx_edge", more=FULL) + """SELECT a.root, e.dst AS node, count(*) AS n_callers FROM (SELECT root, node AS src FROM reach UNION SELECT root, root FROM roots) a JOIN fx_edge e ON e.src = a.src GROUP BY a.root, e.dst""")
@@ -170,6 +172,15 @@ def g2_bfs_tree(spark, d):
     return G.bfs_tree(_edges(spark, d), roots)
 
 
+@register("g2_bfs_tree_names", with_sql("fx_symbol", "fx_edge", more="""shown(root, name, node, depth, parent) USING KEY (root, name) AS (SELECT symbol_id, symbol_id % 7, symbol_id, 0, CAST(NULL AS BIGINT) FROM fx_symbol WHERE kind = 'EntryPoint'
+UNION SELECT root, name, node, depth, parent FROM (SELECT w.root, e.dst % 7 AS name, e.dst AS node, w.depth + 1 AS depth, min(e.src) AS parent, row_number() OVER (PARTITION BY w.root, e.dst % 7 ORDER BY e.dst) AS k
+  FROM shown w JOIN fx_edge e ON e.src = w.node AND e.src <> e.dst JOIN fx_symbol s ON s.symbol_id = e.dst WHERE NOT EXISTS (SELECT 1 FROM recurring.shown r WHERE r.root = w.root AND r.name = e.dst % 7) GROUP BY w.root, e.dst, w.depth) WHERE k = 1)""") + "SELECT root, node, CAST(depth AS INT) AS depth, parent FROM shown")
+def g2_bfs_tree_names(spark, d):
+    """The variant that shows each name once: seven names for all nodes."""
+    names = _symbol(spark, d).select(F.col("symbol_id").alias("node"), (F.col("symbol_id") % 7).alias("name"))
+    return G.bfs_tree(_edges(spark, d), _roots(spark, d), names)
+
+
 PATHS = """ranked AS (SELECT contract_id, base_id, ord, CAST(row_number() OVER (PARTITION BY contract_id ORDER BY ord DESC) AS INT) AS r FROM fx_base WHERE contract_id <> base_id),
 up AS (SELECT contract_id AS c, base_id AS a, [r] AS path, [ord] AS opath FROM ranked UNION ALL SELECT u.c, b.base_id, list_append(u.path, b.r), list_append(u.opath, b.ord) FROM up u JOIN ranked b ON b.contract_id = u.a),
 own AS (SELECT contract_id AS c FROM fx_base UNION SELECT base_id FROM fx_base),
@@ -245,3 +256,57 @@ ids AS (SELECT symbol_id, sha256('symbol|' || path || '|Function|' || line) AS h
 e AS (SELECT hit.src, ids.symbol_id AS dst FROM hit JOIN ids USING (h) WHERE hit.src <> ids.symbol_id),
 reach AS (SELECT s.symbol_id AS root, e.dst AS node FROM sym s JOIN e ON e.src = s.symbol_id WHERE s.kind = 'EntryPoint' UNION SELECT r.root, e.dst FROM reach r JOIN e ON e.src = r.node)""") + """SELECT s.path || ':' || s.line || ':' || s.name AS entry_name, coalesce((SELECT string_agg(t.path || ':' || t.line, chr(10) ORDER BY t.path || ':' || t.line) FROM reach r JOIN sym t ON t.symbol_id = r.node WHERE r.root = s.symbol_id), 'No dependencies') AS dependencies
 FROM sym s WHERE s.kind = 'EntryPoint'"""
+
+
+def program_files(spark, d):
+    """A file for each symbol: an entry in a program module that calls a function by name, one by its type (of the next file) and one of its parameter, which calls one of its own type."""
+    n, t = F.col("symbol_id").cast("string"), (F.col("symbol_id") + 1).cast("string")
+    text = F.concat(
+        F.lit("#[program]\npub mod entry_"), n, F.lit(" {\n    pub fn act_"), n, F.lit("(ctx: Context<Acc>, x: Kind_"), n, F.lit(") -> Result<()> {\n        helper_"), n, F.lit("(x)?;\n        Store_"), t, F.lit("::open_"), t, F.lit("(x)?;\n        x.touch_"), n,
+        F.lit("();\n    }\n}\nfn helper_"), n, F.lit("(x: u64) {\n    none_"), n, F.lit("(1);\n}\npub struct Kind_"), n, F.lit(" {\n    pub v: u64,\n}\nimpl Kind_"), n, F.lit(" {\n    fn touch_"), n, F.lit("(&self) {\n        self.deep_"), n, F.lit("();\n    }\n    fn deep_"), n,
+        F.lit("(&self) {\n    }\n}\nimpl Store_"), n, F.lit(" {\n    fn open_"), n, F.lit("(a: u64) {\n        helper_"), n, F.lit("(a)?;\n    }\n}\n"),
+    )
+    return _symbol(spark, d).select(F.concat(F.lit("../programs/"), "program", F.lit("/src/e"), n, F.lit(".rs")).alias("path"), text.alias("content"))
+
+
+def entry_call_graph(spark, files):
+    """From files to (entries, symbols, call edges): entries by classification, calls by name, by type and by receiver."""
+    lines = B.source_lines(files)
+    symbol = durable(B.entry_rename(B.symbol_classify(B.symbol_extract(files), lines)))
+    functions = symbol.where("item = 'function'")
+    sites = durable(C.call_sites(lines, symbol, C.noise_table(spark)))
+    callers = functions.select(F.col("symbol_id").alias("caller_id"), "path")
+    imports, local = C.import_scope(files)
+    names = sites.where("call_kind = 'free'").join(callers, "caller_id").select("path", F.col("callee_name").alias("name")).distinct()
+    impl = R.impl_from_to(symbol.where("item = 'trait'").select(F.col("symbol_id").alias("impl_id"), "name", "path", "start_line", "end_line"))
+    member = durable(R.impl_members(impl, functions))
+    typed = C.type_parts(C.signature_params(functions, lines).where("param_name is not null"), "param_type")
+    params = typed.select("symbol_id", "param_name", F.col("inner").alias("type_name"), "context_inner")
+    edges = R.call_edges(
+        R.resolve_free_call(sites, functions, R.resolve_name(names, imports, local), callers),
+        R.resolve_static_call(sites, functions, member),
+        R.resolve_method_call(sites, params, member, impl),
+    )
+    return functions.where("sub_type = 'EntryPoint'"), symbol, edges
+
+
+def corpus_entry_call_graph(spark, d):
+    """From source text to what each entry reaches, over calls of all three kinds."""
+    entries, symbol, edges = entry_call_graph(spark, program_files(spark, d))
+    found = G.dependency_closure(edges.where("resolution = 'internal'").select(F.col("caller_id").alias("src"), F.col("callee_id").alias("dst")), entries.select(F.col("symbol_id").alias("root")))
+    return entry_dependency_list(entries.select(F.col("symbol_id").alias("entry_id"), "name"), found, symbol).select("entry_name", "dependencies")
+
+
+QUERIES["corpus_entry_call_graph"] = corpus_entry_call_graph
+ORACLES["corpus_entry_call_graph"] = with_sql("fx_symbol", more="""f AS (SELECT symbol_id AS s, '../programs/' || program || '/src/e' || symbol_id || '.rs:' AS place FROM fx_symbol),
+dep AS (SELECT s, s AS of, unnest([9, 16, 19]) AS line FROM f UNION ALL SELECT s, s + 1, unnest([9, 23]) FROM f)""") + """SELECT 'act_' || dep.s AS entry_name, string_agg(place || line, chr(10) ORDER BY place || line) AS dependencies FROM dep JOIN f ON f.s = dep.of GROUP BY dep.s"""
+
+
+@register("e7_call_sites_of_all_kinds", with_sql("fx_symbol") + """SELECT 'e' || symbol_id || '.rs' AS file, v.col0 AS caller, v.col1 AS call_kind, v.col2 AS callee_name, v.col3 AS qualifier FROM (SELECT symbol_id, CAST(symbol_id AS VARCHAR) AS n, CAST(symbol_id + 1 AS VARCHAR) AS t FROM fx_symbol), LATERAL (VALUES
+('act_' || n, 'free', 'helper_' || n, CAST(NULL AS VARCHAR)), ('act_' || n, 'static', 'open_' || t, 'Store_' || t), ('act_' || n, 'method', 'touch_' || n, 'x'), ('helper_' || n, 'free', 'none_' || n, NULL), ('touch_' || n, 'method', 'deep_' || n, 'self'), ('open_' || n, 'free', 'helper_' || n, NULL)) AS v""")
+def e7_call_sites_of_all_kinds(spark, d):
+    files = program_files(spark, d)
+    symbol = B.symbol_extract(files)
+    found = C.call_sites(B.source_lines(files), symbol, C.noise_table(spark))
+    named = symbol.select(F.col("symbol_id").alias("caller_id"), F.col("name").alias("caller"), F.regexp_extract("path", r"(e\d+\.rs)$", 1).alias("file"))
+    return found.join(named, "caller_id").select("file", "caller", "call_kind", "callee_name", "qualifier")

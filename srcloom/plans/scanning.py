@@ -70,6 +70,39 @@ def e5_symbol_classify(spark, d):
     return B.symbol_classify(_functions(spark, d), _lines(spark, d)).select("path", "name", "start_line", "sub_type")
 
 
+def kinds_files(spark, d):
+    """A file for each part with one item of every kind: a program module, context accounts, a state account, plain items, a marker."""
+    n = F.col("p_partkey").cast("string")
+    text = F.concat(
+        F.lit("#[program]\npub mod prog_"), n, F.lit(" {\n    pub fn act_"), n, F.lit("(a: u8) -> u8 {\n        a\n    }\n}\n#[derive(Accounts)]\npub struct In_"), n,
+        F.lit("<'info> {\n    #[account(mut)]\n    pub payer: Signer<'info>,\n    pub state: Account<'info, State>,\n}\n#[account]\npub struct State_"), n, F.lit(" {\n    pub size: u64,\n}\n// from here\npub enum Kind_"), n, F.lit(" {\n    A,\n}\npub trait Do_"), n,
+        F.lit(" {\n}\nimpl Do_"), n, F.lit(" for State_"), n, F.lit(" {\n    fn go_"), n, F.lit("(b: u8) {\n    }\n}\nstruct View_"), n, F.lit("<'a> {\n}\nimpl<'a> TryFrom<&'a [AccountView]> for View_"), n, F.lit("<'a> {\n}\npub fn process(accounts: &[AccountView]) {\n}\n"),
+    )
+    return view(spark, d, "part").select(F.concat(F.lit("src/k"), n, F.lit(".rs")).alias("path"), text.alias("content"))
+
+
+def kind_rows(values: str, cols: str) -> str:
+    return f"SELECT 'src/k' || p_partkey || '.rs' AS path, {cols} FROM part, LATERAL (VALUES {values}) AS v"
+
+
+@register("e5_symbol_classify_kinds", kind_rows("""(3, 'function', 'act_' || p_partkey, 'EntryPoint'), (8, 'struct', 'In_' || p_partkey, 'ContextAccounts'), (14, 'struct', 'State_' || p_partkey, 'SolanaAccount'), (18, 'enum', 'Kind_' || p_partkey, 'Enum'), (21, 'trait', 'Do_' || p_partkey, 'Definition'),
+(23, 'trait', 'Do_' || p_partkey || ' for State_' || p_partkey, 'Implementation'), (24, 'function', 'go_' || p_partkey, 'Other'), (27, 'struct', 'View_' || p_partkey, 'ContextAccounts'), (29, 'trait', 'TryFrom<&''a [AccountView]> for View_' || p_partkey || '<''a>', 'Implementation'), (31, 'function', 'process', 'EntryPoint')""", "v.col0 AS start_line, v.col1 AS item, v.col2 AS name, v.col3 AS sub_type"))
+def e5_symbol_classify_kinds(spark, d):
+    files = kinds_files(spark, d)
+    return B.symbol_classify(B.symbol_extract(files), B.source_lines(files)).select("path", "start_line", "item", "name", "sub_type")
+
+
+@register("e1a_every_kind", kind_rows("""('Module', 2, 6), ('Function', 3, 5), ('ContextAccountsNoValidation', 3, 3), ('Struct', 8, 12), ('ContextAccountsNoValidation', 9, 10), ('ContextAccountsNoValidation', 10, 10), ('ContextAccountsNoValidation', 11, 11), ('Struct', 14, 16), ('Enum', 18, 20), ('Trait', 21, 22),
+('TraitImpl', 23, 26), ('Function', 24, 25), ('Struct', 27, 28), ('TraitImpl', 29, 30), ('Function', 31, 32), ('ContextAccountsNoValidation', 31, 31)""", "v.col0 AS kind, v.col1 AS start_line, v.col2 AS end_line"))
+def e1a_every_kind(spark, d):
+    return B.block_scan(B.source_lines(kinds_files(spark, d))).select("path", "kind", "start_line", "end_line")
+
+
+@register("e2_block_after_marker", kind_rows("('Enum', 18, 20), ('Trait', 21, 22), ('TraitImpl', 23, 26), ('Function', 24, 25), ('Struct', 27, 28), ('ContextAccountsNoValidation', 31, 31)", "v.col0 AS kind, v.col1 AS start_line, v.col2 AS end_line"))
+def e2_block_after_marker(spark, d):
+    return B.block_after_marker(B.source_lines(kinds_files(spark, d)), "from here").select("path", "kind", "start_line", "end_line")
+
+
 @register("e6_entry_rename", with_sql("fx_symbol") + """SELECT symbol_id, kind AS sub_type, CASE WHEN kind = 'EntryPoint' AND symbol_id % 10 = 0 THEN 'm' || (symbol_id % 7) WHEN symbol_id % 10 = 0 THEN 'process' ELSE name END AS name FROM fx_symbol""")
 def e6_entry_rename(spark, d):
     s = view(spark, d, "fx_symbol").select("symbol_id", F.when(F.col("symbol_id") % 10 == 0, "process").otherwise(F.col("name")).alias("name"), F.col("kind").alias("sub_type"), "path")

@@ -99,7 +99,7 @@ def upsert(base: DataFrame, delta: DataFrame, keys: list[str], lenient: str | No
         return base.join(new.select(*keys), keys, "left_anti").select(*base.columns).unionByName(new)
     strict = [k for k in keys if k != lenient]
     d = new.select(*[F.col(k).alias(f"d_{k}") for k in keys])
-    same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"d_{k}") for k in strict]) & ((F.col(lenient) == F.col(f"d_{lenient}")) | (F.col(lenient) == "") | (F.col(f"d_{lenient}") == ""))
+    same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"d_{k}") for k in strict], F.lit(True)) & ((F.col(lenient) == F.col(f"d_{lenient}")) | (F.col(lenient) == "") | (F.col(f"d_{lenient}") == ""))
     return base.join(d, same, "left_anti").unionByName(new)
 
 

@@ -5,11 +5,12 @@ another revision folder (`rev=...`), which is not part of its key. Each
 micro-batch appends the symbols of its files to a log by batch; a file without
 symbols leaves a marker. The latest batch of each file is its state, so a batch
 that is run again writes the same folder again, and nothing is rewritten as the
-table grows. `compact` folds the log.
+table grows. `compact` folds the log, so that reading costs what is current.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -39,13 +40,29 @@ def incremental_symbols(spark: SparkSession, stream_dir: str, target: str, rules
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def _base(spark: SparkSession, target: str) -> tuple[DataFrame, int] | None:
+    """The newest folded state and the last batch that is in it."""
+    try:
+        every = spark.read.parquet(f"{target}/base")
+    except AnalysisException:  # nothing was folded yet
+        return None
+    upto = every.agg(F.max("upto")).first()[0]
+    return every.where(F.col("upto") == upto).drop("upto"), upto
+
+
 def latest_symbols(spark: SparkSession, target: str) -> DataFrame:
-    """The symbols of the latest version of each file."""
-    log = spark.read.parquet(f"{target}/log")
+    """The symbols of the latest version of each file: the folded state, and the log from there on."""
+    log, folded = spark.read.parquet(f"{target}/log"), _base(spark, target)
+    if folded is not None:
+        base, upto = folded
+        log = log.where(F.col("batch") > upto).unionByName(base.withColumn("batch", F.lit(upto)))
     newest = log.groupBy("path").agg(F.max("batch").alias("batch"))
     return log.join(newest, ["path", "batch"], "left_semi").where("symbol_id is not null").drop("batch")
 
 
-def compact(spark: SparkSession, target: str, into: str) -> None:
-    """The state as one table."""
-    latest_symbols(spark, target).write.mode("overwrite").parquet(into)
+def compact(spark: SparkSession, target: str) -> None:
+    """Fold the log: the state as one table, from which reading starts; earlier batches are not read again and may be removed."""
+    last = spark.read.parquet(f"{target}/log").agg(F.max("batch")).first()[0]
+    folded = _base(spark, target)
+    if last is not None and (folded is None or folded[1] < last):
+        latest_symbols(spark, target).write.mode("overwrite").parquet(f"{target}/base/upto={last}")
