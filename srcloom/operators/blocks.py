@@ -8,7 +8,7 @@ Rules are rows of plain values, so that other languages need other rows only.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,6 +42,14 @@ RULES = (
     BlockRule("Validation", ("require", "valid", "assert", "verify"), ("(",), (");", ")?;", ")"), closes_itself=True),
     BlockRule("ContextAccountsNoValidation", ("pub", "#[account"), ("(", ">,"), ("pub", "}"), closes_itself=True, closer_contained=True),
 )
+_SEEN = ("", "pub ", "pub(crate) ", "pub(super) ", "pub(self) ")
+_HOW = ("", "async ", "unsafe ", "const ", "const unsafe ", "async unsafe ", 'extern "C" ', 'unsafe extern "C" ')
+_WORDS = {"Function": [h + "fn" for h in _HOW], "Struct": ["struct"], "Enum": ["enum"], "Trait": ["trait", "unsafe trait"], "Module": ["mod"]}
+#: The same kinds with every visibility and function qualifier of the language; impl may be unsafe.
+FULL_RULES = tuple(
+    replace(r, opens=tuple(v + w for v in _SEEN for w in _WORDS[r.kind])) if r.kind in _WORDS else replace(r, opens=("impl", "unsafe impl")) if r.kind == "TraitImpl" else r
+    for r in RULES
+)
 SYMBOL_KINDS = {"Function": "function", "Struct": "struct", "Enum": "enum", "Trait": "trait", "TraitImpl": "trait"}
 
 
@@ -122,7 +130,7 @@ def block_name_visibility(block: DataFrame, source_line: DataFrame) -> DataFrame
     """Blocks with the name and pub flag read from the opening line; an impl is named `Trait for Type`."""
     first = source_line.select("path", F.col("line_no").alias("start_line"), stripped(F.col("line")).alias("head"))
     named = F.regexp_extract("head", r"(?:fn|struct|enum|trait|mod)\s+(\w+)", 1)
-    impl = F.trim(F.regexp_extract("head", r"^impl(?:<[^>]*>)?\s+(.*?)\s*(?:where\b.*)?(?:\{.*)?$", 1))
+    impl = F.trim(F.regexp_extract("head", r"^(?:unsafe )?impl(?:<[^>]*>)?\s+(.*?)\s*(?:where\b.*)?(?:\{.*)?$", 1))
     return block.join(first, ["path", "start_line"]).withColumns({"name": F.when(F.col("kind") == "TraitImpl", impl).otherwise(named), "is_public": F.col("head").rlike(r"^pub\b")}).drop("head")
 
 

@@ -103,6 +103,15 @@ def e2_block_after_marker(spark, d):
     return B.block_after_marker(B.source_lines(kinds_files(spark, d)), "from here").select("path", "kind", "start_line", "end_line")
 
 
+@register("e4_symbol_extract_full", """SELECT 'src/h' || s_suppkey || '.rs' AS path, v.col0 AS item, v.col1 AS name, v.col2 AS is_public, v.col3 AS start_line, v.col4 AS end_line FROM supplier, LATERAL (VALUES ('function', 'a_' || s_suppkey, true, 1, 2), ('function', 'b', true, 3, 4), ('function', 'c', false, 5, 6), ('function', 'd', false, 7, 8), ('struct', 'S', true, 9, 11), ('trait', 'T', true, 12, 13), ('trait', 'T for S', false, 14, 15)) AS v""")
+def e4_symbol_extract_full(spark, d):
+    """Headers that the plain rules do not know: qualified functions, restricted visibility, unsafe implementations."""
+    n = F.col("s_suppkey").cast("string")
+    text = F.concat(F.lit("pub async fn a_"), n, F.lit("(x: u8) {\n}\npub(super) const unsafe fn b(y: u8) {\n}\nunsafe fn c() {\n}\nextern \"C\" fn d() {\n}\npub(crate) struct S {\n    x: u8,\n}\npub unsafe trait T {\n}\nunsafe impl T for S {\n}\nfnord e() {\n}\n"))
+    files = view(spark, d, "supplier").select(F.concat(F.lit("src/h"), n, F.lit(".rs")).alias("path"), text.alias("content"))
+    return B.symbol_extract(files, B.FULL_RULES).select("path", "item", "name", "is_public", "start_line", "end_line")
+
+
 @register("e6_entry_rename", with_sql("fx_symbol") + """SELECT symbol_id, kind AS sub_type, CASE WHEN kind = 'EntryPoint' AND symbol_id % 10 = 0 THEN 'm' || (symbol_id % 7) WHEN symbol_id % 10 = 0 THEN 'process' ELSE name END AS name FROM fx_symbol""")
 def e6_entry_rename(spark, d):
     s = view(spark, d, "fx_symbol").select("symbol_id", F.when(F.col("symbol_id") % 10 == 0, "process").otherwise(F.col("name")).alias("name"), F.col("kind").alias("sub_type"), "path")

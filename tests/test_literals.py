@@ -232,6 +232,64 @@ def test_orphan_changes(spark):
     assert set(N.state_change_map(changes).first().fields) == {"f", "g"}
 
 
+def test_chains_are_followed_to_the_end(spark):
+    n = 230
+    base = spark.createDataFrame([(k, 1, k + 1) for k in range(n)], "contract_id int, ord int, base_id int")
+    contract = spark.range(n + 1).select(F.col("id").cast("int").alias("contract_id")).where("contract_id > 222 or contract_id % 50 = 0 or contract_id < 10")
+    chain = G.inheritance_chain(base.where("contract_id > 222"), contract).where("contract_id = 223").orderBy("position").collect()
+    assert [r.ancestor_id for r in chain] == list(range(223, n + 1))
+    cycle = spark.createDataFrame([(1, 1, 2), (2, 1, 1)], "contract_id int, ord int, base_id int")
+    assert got(G.inheritance_chain(cycle, cycle.select("contract_id")), "contract_id", "position", "ancestor_id") == [(1, 1, 1), (1, 2, 2), (2, 1, 2), (2, 2, 1)]
+
+
+def test_closures_keep_few_parts(spark, monkeypatch):
+    monkeypatch.setattr(G.Seen, "PARTS", 2)
+    edge = spark.createDataFrame([(k, k + 1) for k in range(12)] + [(12, 0)], "src int, dst int")
+    found = G.dependency_closure(edge, spark.createDataFrame([(0,)], "root int"))
+    assert got(found, "node", "depth") == sorted([(k, k) for k in range(1, 13)] + [(0, 13)], key=str)
+
+
+def test_names_are_shown_once(spark):
+    edge = spark.createDataFrame([(1, 2), (1, 3), (2, 4), (3, 5), (4, 6)], "src int, dst int")
+    names = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b"), (4, "c"), (5, "d"), (6, "a")], "node int, name string")
+    tree = G.bfs_tree(edge, spark.createDataFrame([(1,)], "root int"), names)
+    assert got(tree, "node", "depth", "parent") == [(1, 0, None), (2, 1, 1), (4, 2, 2)]  # 3 bears the name of 2, so 5 is not reached; 6 that of 1
+
+
+def test_deep_groups_braces_and_paths(spark):
+    use = "use a::" + "".join(f"{{x{k}, p{k}::" for k in range(9)) + "last" + "}" * 9 + ";"
+    imports, _ = C.import_scope(spark.createDataFrame([("f", use)], "path string, content string"))
+    assert ("last", "a::" + "::".join(f"p{k}" for k in range(9)) + "::last") in got(imports, "short_name", "full_path")
+    body = "contract C {\n  uint256 a;\n  function f() public { " + "if (x) { uint256 inner; " * 7 + "} " * 7 + "}\n  struct S { uint256 s; }\n  address b = address(0);\n}\n"
+    storage = K.contract_extract(spark.createDataFrame([("c.sol", body)], "path string, content string"))["storage_var"]
+    assert got(storage, "name", "type_name") == [("a", "uint256"), ("b", "address")]
+    deep = "/".join(f"d{k}" for k in range(12))
+    imports = spark.createDataFrame([(f"{deep}/f.sol", "../" * 11 + "x.sol"), ("f.sol", "./a/./b/../c.sol"), ("f.sol", "../up.sol"), ("f.sol", "@p/q.sol")], "path string, import_path string")
+    files = spark.createDataFrame([("d0/x.sol",), ("a/c.sol",), ("../up.sol",), ("lib/q.sol",)], "path string")
+    remaps = spark.createDataFrame([("@p/", "lib/"), ("@p/q.sol.very.long", "no/")], "prefix string, target string")
+    assert got(R.resolve_import_path(imports, files, remaps), "target") == sorted([("d0/x.sol",), ("a/c.sol",), ("../up.sol",), ("lib/q.sol",)], key=str)
+    assert R.resolve_import_path(imports, files, remaps.where("false")).where("target is not null").count() == 3
+
+
+@pytest.mark.parametrize("hot", [0, 100_000])
+def test_hot_names_are_resolved_by_pieces(spark, monkeypatch, hot):
+    """Names that very many functions have: the callee is the first whose path contains the import's path, as for any other name."""
+    monkeypatch.setattr(R, "HOT_PAIRS", hot)
+    symbol = spark.createDataFrame([(k, "new", f"p/src/m{k}/lib.rs") for k in range(30)] + [(99, "new", "x/a.rs"), (98, "old", "x/a.rs"), (97, "old", "p/src/m2.rs")], "symbol_id int, name string, path string")
+    calls = spark.createDataFrame([(c, "free", n, None) for c in (1, 2, 3, 4) for n in ("new", "old")], "caller_id int, call_kind string, callee_name string, qualifier string")
+    callers = spark.createDataFrame([(1, "f1"), (2, "f2"), (3, "x/a.rs"), (4, "f4")], "caller_id int, path string")
+    imports = spark.createDataFrame([("f1", "new", "crate::src::m2::new", 0), ("f1", "old", "crate::src::m2::old", 0), ("f2", "new", "crate::m17::new", 1), ("f2", "new", "crate::absent::module::new", 0), ("x/a.rs", "new", "self::new", 0), ("f4", "new", "crate::m1::new", 0)], "path string, name string, full_path string, rank int")
+    found = R.resolve_free_call(calls, symbol, imports, callers)
+    assert got(found.where("callee_id is not null"), "caller_id", "callee_name", "callee_id") == sorted([(1, "new", 2), (1, "old", 97), (2, "new", 17), (3, "new", 99), (4, "new", 1)], key=str)
+
+
+def test_headers_of_every_form(spark):
+    text = "pub async fn a() {\n}\npub(super) unsafe fn b(x: u8) {\n}\npub(crate) enum E {\n}\nfn plain() {\n}\n"
+    f = spark.createDataFrame([("x", text)], "path string, content string")
+    assert got(B.symbol_extract(f, B.FULL_RULES), "name", "is_public") == [("E", True), ("a", True), ("b", True), ("plain", False)]
+    assert got(B.symbol_extract(f), "name") == [("plain",)]
+
+
 def test_access_control_of_contracts(spark):
     f = spark.createDataFrame([("a", []), ("b", ["nonReentrant"]), ("c", ["onlyOwner", "onlyKeeper"]), ("d", ["onlyRole"])], "function_id string, modifiers array<string>")
     assert got(K.access_control(f), "function_id", "kind", "arg") == sorted([("a", "None", None), ("b", "None", None), ("c", "OnlyOwner", None), ("c", "CustomModifier", "onlyKeeper"), ("d", "RoleBased", "DEFAULT_ADMIN_ROLE")], key=str)
