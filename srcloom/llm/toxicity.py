@@ -5,39 +5,49 @@ thresholds: P(grade > k) = 1 / (1 + exp(theta_k - w.x)). All thresholds share
 the weights. Outputs are the expected severity, sum over k of P(grade > k), the
 most likely grade, and whether P(grade > 0) reaches one half.
 
-Features are sparse and binary: the distinct words of the whole text (letters
-and digits, lower-cased) and the first 4, 5 and 6 characters of each, which
-meet words that take endings. Both are hashed to DIMENSIONS places.
+Features are sparse and binary: the words of the whole text (letters and digits,
+lower-cased) and the first 4, 5, 6 and 7 characters of each, which meet words
+that take endings, hashed to DIMENSIONS places; and, for each of these, that it
+stands there at least so many times as one of LEVELS.
 
 Learning is bounded: at most about SAMPLE_ROWS labelled rows (chosen by a hash
-of the id; a parameter), and features that MIN_ROWS of them have. Grades above
+of the id; a parameter), and features that enough of them have. Grades above
 the lowest make up to half of the sample, and the thresholds are moved back by
-the logarithm of the two sampling shares. The features of those rows go to the
-driver, where the likelihood with an L1 penalty is maximised; most weights end
+the logarithm of the two sampling shares. The features of those rows that enough
+of them have go to the driver, where the likelihood with an L1 penalty is maximised; most weights end
 at zero. Scoring covers every row and whole texts.
 
 Defined cases: a null or empty text has no features and gets the grade of the
 thresholds alone; labels that are null, and labelled rows without a text, are
-not learned from; grades that no row has take no part; with fewer than two
+not learned from; a repeated label or document is one more row to learn from;
+columns of the documents that bear a name of an added column are replaced;
+grades that no row has take no part; with fewer than two
 grades in the sample every text gets the only grade (0 if there is none).
 """
 
 from __future__ import annotations
 
+import math
 import re
-from dataclasses import dataclass, field
+import uuid
+from bisect import bisect_right
+from collections import Counter
+from dataclasses import dataclass, field, replace
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import appended, table
-from .pieces import Kept
+from .common import Recent, appended, durable, table, tables_of
 
 SAMPLE_ROWS = 8_000
-MIN_ROWS = 4
-PREFIXES = (4, 5, 6)
+#: A feature counts if at least MIN_ROWS rows of the sample have it, and one of ROWS_EACH.
+MIN_ROWS, ROWS_EACH = 4, 1_000
+PREFIXES = (4, 5, 6, 7)
+LEVELS = (1, 2, 4)
+#: Places of words and prefixes; level k of a place is that place plus k times so many.
 DIMENSIONS = 1 << 22
 PENALTY, ROUNDS = 5e-4, 100
 _WORD = re.compile(r"[^\W_]+")
@@ -53,7 +63,11 @@ def features_of(word: str) -> list[int]:
 
 def features(text: str) -> np.ndarray:
     """The distinct features of a whole text, ascending."""
-    return np.unique(np.array([f for w in set(_WORD.findall(text.lower())) for f in features_of(w)], np.int32))
+    often: Counter = Counter()
+    for w, n in Counter(_WORD.findall(text.lower())).items():
+        for f in features_of(w):
+            often[f] += n
+    return np.unique(np.array([f + k * DIMENSIONS for f, n in often.items() for k, least in enumerate(LEVELS) if n >= least], np.int32))
 
 
 @dataclass
@@ -63,32 +77,41 @@ class Severity:
     grades: list[int]
     thresholds: np.ndarray
     weights: dict[int, float]
-    words: Kept | None = field(default=None, repr=False)
+    words: Recent | None = field(default=None, repr=False)
+    sums: dict[int, list[float]] = field(default_factory=dict, repr=False)  # of a place: the sum of its weights up to each level
 
     def __getstate__(self):
-        return self.__dict__ | {"words": None}
+        return self.__dict__ | {"words": None, "sums": {}}
 
-    def _of(self, word: str) -> tuple[int, ...]:
-        return tuple(f for f in features_of(word) if f in self.weights)
+    def _of(self, words: list[str]) -> dict[str, tuple[int, ...]]:
+        known = self.sums
+        return {w: tuple(f for f in features_of(w) if f in known) for w in words}
 
-    def link(self, text: str | None) -> float:
-        """w.x of a text."""
+    def links(self, texts: list[str | None]) -> list[float]:
+        """w.x of each text."""
         if self.words is None:
-            self.words = Kept(self._of, 400_000, 60)
-        found: set[int] = set()
-        for fs in map(self.words.__getitem__, set(_WORD.findall(text.lower())) if text else ()):
-            if fs:
-                found.update(fs)
-        return sum(self.weights[f] for f in sorted(found))
-
-    def predict(self, text: str | None) -> tuple[float, int, bool]:
-        """Expected severity, most likely grade, and whether a grade above the lowest is at least as likely as not."""
+            self.sums = {f: list(accumulate(self.weights.get(f + k * DIMENSIONS, 0.0) for k in range(len(LEVELS)))) for f in {f % DIMENSIONS for f in self.weights}}
+            self.words = Recent(self._of, 250_000, 60)
+        counted = [Counter(_WORD.findall(t.lower())) if t else Counter() for t in texts]
+        out = []
+        for words, named in zip(counted, self.words.of(counted), strict=True):
+            often: dict[int, int] = {}
+            for n, fs in zip(words.values(), named, strict=True):
+                for f in fs:
+                    often[f] = often.get(f, 0) + n
+            out.append(math.fsum(self.sums[f][bisect_right(LEVELS, n) - 1] for f, n in often.items()))
+        return out
+
+    def predict_all(self, texts: list[str | None]) -> list[list]:
+        """For each text expected severity, most likely grade, and whether a grade above the lowest is at least as likely as not."""
         if len(self.grades) < 2:
             only = self.grades[0] if self.grades else 0
-            return float(only), only, only > 0
-        above = 1 / (1 + np.exp(np.clip(self.thresholds - self.link(text), -500, 500)))
-        each = np.r_[1.0, above] - np.r_[above, 0.0]
-        return float(each @ np.array(self.grades)), self.grades[int(each.argmax())], bool(above[0] >= 0.5)
+            return [[float(only)] * len(texts), [only] * len(texts), [only > 0] * len(texts)]
+        above = 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - np.array(self.links(texts)).reshape(-1, 1), -500, 500)))
+        ends = np.ones((len(texts), 1))
+        each = np.hstack([ends, above]) - np.hstack([above, 0 * ends])
+        grades = np.array(self.grades)
+        return [(each @ grades).tolist(), grades[each.argmax(axis=1)].tolist(), (above[:, 0] >= 0.5).tolist()]
 
 
 def fit(grade_of: np.ndarray, sizes: np.ndarray, column: np.ndarray, min_rows: int = MIN_ROWS, penalty: float = PENALTY, rounds: int = ROUNDS) -> Severity:
@@ -144,7 +167,13 @@ def learn(docs: DataFrame, labels: DataFrame, grade: str, id_col: str = "doc_id"
         return lambda ts: [[features(t) for t in ts]]
 
     # the ids drawn are about sample_rows at most, so they are sent to the texts
-    rows = appended(texts.join(F.broadcast(drawn), "__i").select("__i", "__g", "__t"), "__t", T.StructType([T.StructField("fs", T.ArrayType(T.IntegerType()))]), make).select("__i", "__g", "fs").toArrow().sort_by([("__i", "ascending")])
+    found = durable(appended(texts.join(F.broadcast(drawn), "__i").select("__i", "__g", "__t"), "__t", T.StructType([T.StructField("fs", T.ArrayType(T.IntegerType()))]), make).select("__i", "__g", "fs").withColumn("k", F.monotonically_increasing_id()))
+    # only features that enough rows have reach the driver
+    each = found.select("k", F.explode("fs").alias("f"))
+    least = max(how.get("min_rows", MIN_ROWS), found.count() // ROWS_EACH)
+    often = each.groupBy("f").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("f")
+    kept = each.join(often, "f").groupBy("k").agg(F.array_sort(F.collect_list("f")).alias("fs"))
+    rows = found.drop("fs").join(kept, "k", "left").select("__i", "k", "__g", F.coalesce("fs", F.array().cast("array<int>")).alias("fs")).toArrow().sort_by([("__i", "ascending"), ("k", "ascending")])
     if not rows.num_rows:
         return Severity([], np.zeros(0), {})
     listed = rows.column("fs").combine_chunks()
@@ -160,15 +189,17 @@ def grade(docs: DataFrame, model: Severity, text_col: str = "text") -> DataFrame
     """docs with severity, grade and toxic."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
+    name = uuid.uuid4().hex
+
     def make():
-        m = sent.value
-        return lambda texts: [list(c) for c in zip(*map(m.predict, texts), strict=True)] if texts else [[], [], []]
+        # recent words are kept with a copy, so they go when another operator comes
+        return tables_of("toxicity", name, lambda: replace(sent.value, words=None, sums={})).predict_all
 
     return appended(docs, text_col, ADDED, make)
 
 
-#: Severity from the labels: fit to read, toxic in a good text, toxic in a poor text.
-GRADE = "case when toxic is null then null when toxic = 0 then 0 when quality = 0 then 2 else 1 end"
+#: Severity from the labels: not toxic; toxic in a poor text, which other filters drop as well; toxic in a good one.
+GRADE = "case when toxic is null then null when toxic = 0 then 0 when quality = 0 then 1 else 2 end"
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
