@@ -101,6 +101,25 @@ class Recent:
         return out
 
 
+_TABLES: dict[str, dict] = {}
+
+
+def tables_of(operator: str, key, make: Callable):
+    """make(), kept for the next tasks of this worker process that ask with the same key.
+
+    Only the tables of one operator are kept at a time (the last two of them), so
+    a worker that goes from stage to stage of a pipeline holds no more than one needs.
+    """
+    for other in [o for o in _TABLES if o != operator]:
+        del _TABLES[other]
+    kept = _TABLES.setdefault(operator, {})
+    if key not in kept:
+        while len(kept) >= 2:
+            del kept[next(iter(kept))]
+        kept[key] = make()
+    return kept[key]
+
+
 def appended(df: DataFrame, text_col: str, added: T.StructType, make: Callable[[], Callable[[list], list[list]]]) -> DataFrame:
     """df with the columns of `added`, computed from whole texts in Arrow batches.
 

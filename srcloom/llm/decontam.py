@@ -21,7 +21,6 @@ from __future__ import annotations
 import re
 import uuid
 from bisect import bisect_right
-from collections import OrderedDict
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import appended, table
+from .common import appended, table, tables_of
 
 WINDOW = 10
 #: Bytes of item text in one automaton, whose nodes take some hundred times that; a larger benchmark is worked off in blocks of this size.
@@ -130,20 +129,6 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: i
         yield [(r.i, r.t) for r in part.toLocalIterator()]
 
 
-#: The automata of this worker process, by the broadcast they were made from.
-_MADE: OrderedDict = OrderedDict()
-
-
-def made_once(sent, window: int):
-    """The automaton of a broadcast block of items, kept for the next tasks of this worker process."""
-    key = (sent.value[0], window)
-    if key not in _MADE:
-        while len(_MADE) >= 2:
-            _MADE.popitem(last=False)
-        _MADE[key] = automaton(sent.value[1], window)
-    return _MADE[key]
-
-
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with n_words, hit_words and hit_spans (merged, by words and by code points) and item_ids (sorted strings).
 
@@ -155,7 +140,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
         sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, block))
 
         def make(sent=sent):
-            auto = made_once(sent, window)
+            auto = tables_of("decontamination", (sent.value[0], window), lambda: automaton(sent.value[1], window))
 
             def work(texts: list) -> list[list]:
                 rows = []

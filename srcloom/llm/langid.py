@@ -25,26 +25,30 @@ Defined cases: a null text and a text without a letter are `und` with score 0; a
 text with letters but without a known n-gram gets the language most frequent in
 the sample, with score 0; ties go to the first language in alphabetical order;
 rows with null text, language or id are not learned from; with no rows to learn
-from everything is `und`.
+from everything is `und`; words of any length are learned from and looked up;
+columns of the documents that bear a name of an added column are replaced.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+import uuid
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import appended, in_test_fold, table
+from .common import appended, in_test_fold, table, tables_of
 
 #: Expected rows to learn from, for each language.
 SAMPLE_ROWS = 4000
 #: n-grams kept for each language.
 GRAMS = 8000
 SIZES = (2, 3, 4, 5)
+#: Letters of a part of a word.
+PART = 32
 #: Positions of the filter, and positions read for each n-gram.
 SLOTS, HASHES = 1 << 18, 3
 UNKNOWN = "und"
@@ -52,7 +56,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 #: Words kept by a task, and code points worked on at one time.
-KEPT, BLOCK_CODES = 300_000, 1_000_000
+KEPT, BLOCK_CODES = 150_000, 500_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -172,9 +176,13 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     share = F.create_map(*[F.lit(x) for k, n in sorted(sizes.items()) for x in (k, min(1.0, sample_rows / n))])
     drawn = F.pmod(F.xxhash64(F.lit("lang sample"), F.col(id_col).cast("string")), F.lit(1_000_000)) < F.element_at(share, F.col(lang_col)) * 1_000_000
     words = known.where(drawn).select(F.col(lang_col).alias("lang"), F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(r"\p{L}+"), F.lit(0))).alias("word")).groupBy("lang", "word").count()
-    padded = F.concat(F.lit(" "), "word", F.lit(" "))
-    cut = lambda n: F.when(F.length(padded) >= n, F.transform(F.sequence(F.lit(1), F.length(padded) - (n - 1)), lambda i: F.substring(padded, i, F.lit(n)))).otherwise(F.array())
-    grams = words.where(F.length("word") <= 40).select("lang", "count", F.explode(F.concat(*[cut(n) for n in SIZES])).alias("gram")).groupBy("lang", "gram").agg(F.sum("count").alias("n"))
+    # words are cut into parts that overlap by the longest n-gram less one, so that long ones take no longer for each letter
+    parts = F.regexp_extract_all(F.concat(F.lit(" "), "word", F.lit(" ")), F.lit(rf"(?s).{{1,{PART}}}"), F.lit(0))
+    begun = lambda ps: F.transform(ps, lambda p, k: F.struct(F.concat(p, F.coalesce(F.substring(F.get(ps, k + 1), F.lit(1), F.lit(max(SIZES) - 1)), F.lit(""))).alias("text"), F.length(p).alias("starts")))
+    each = words.select("lang", "count", parts.alias("ps")).select("lang", "count", F.explode(begun(F.col("ps"))).alias("p"))
+    here, starts = F.col("p.text"), F.col("p.starts")
+    cut = lambda n: F.filter(F.transform(F.sequence(F.lit(1), starts), lambda i: F.substring(here, i, F.lit(n))), lambda g: F.length(g) == n)
+    grams = each.select("lang", "count", F.explode(F.concat(*[cut(n) for n in SIZES])).alias("gram")).groupBy("lang", "gram").agg(F.sum("count").alias("n"))
     # the frequent n-grams of each language: one threshold for each, so no language's n-grams meet in one task
     ranked = grams.groupBy("lang").agg(F.count("*").alias("have"), F.percentile_approx("n", [1 - k / 512 for k in range(512)], 2000).alias("cuts"))
     least = {r["lang"]: r["cuts"][min(511, n_grams * 512 // max(r["have"], 1))] if r["have"] > n_grams else 0 for r in ranked.collect()}
@@ -190,8 +198,11 @@ def predict(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataFr
     """docs with lang_pred and score. The filters have a fixed size, whatever they were learned from."""
     sent = docs.sparkSession.sparkContext.broadcast(filters)
 
+    name = uuid.uuid4().hex
+
     def make():
-        f = sent.value
+        # the words counted by this worker process are kept with a copy, so they go when another operator comes
+        f = tables_of("langid", name, lambda: replace(sent.value, place={}, counted=None))
         return lambda texts: [list(c) for c in zip(*f.predict_all(texts), strict=True)] if texts else [[], []]
 
     return appended(docs, text_col, ADDED, make)

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Code points worked on at one time, and the longest word that is worked on with others.
-BLOCK_CODES, LONGEST = 150_000, 64
+BLOCK_CODES, LONGEST = 100_000, 64
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -31,19 +31,19 @@ import heapq
 import re
 from array import array
 from collections import Counter
-from functools import cached_property, lru_cache
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import Recent, appended, table
+from .common import Recent, appended, table, tables_of
 from .matching import LONGEST, Automaton, Nodes, blocks
 
 SPACE = "▁"
 MODEL = "piece_bpe_32k.model"
 #: Words that a worker process keeps in each of two generations, pairs of pieces that it keeps, and places for verdicts (a power of two).
-KEPT, PAIRS, VERDICTS = 250_000, 400_000, 1 << 21
+KEPT, PAIRS, VERDICTS = 100_000, 100_000, 1 << 20
 #: Ids that are written as decimal text at one time.
 JOINED_IDS = 100_000_000
 
@@ -54,10 +54,9 @@ def model_path() -> str:
     return path(MODEL)
 
 
-@lru_cache(maxsize=2)
 def loaded(model_file: str) -> Pieces:
     """The vocabulary of this worker process, with what earlier tasks have kept."""
-    return Pieces(model_file)
+    return tables_of("pieces", model_file, lambda: Pieces(model_file))
 
 
 class Pieces:

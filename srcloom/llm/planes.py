@@ -30,25 +30,26 @@ that forgets what was not asked for lately. Whether the result equals that of
 the whole text is tested against the library. Texts that hold the string of an
 added token are given to the library whole.
 
-Defined cases: a null or empty text has the end id only; a null id sorts first
-and its row is kept; an empty table gives no files and no rows.
+Defined cases: ids are whole numbers; a null or empty text has the end id only; a
+null id sorts first and its row is kept; rows with equal ids follow one another;
+an empty table gives no files and no rows; other columns are left out.
 """
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, fresh_path, table
+from .common import SLICE_ROWS, fresh_path, table, tables_of
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -76,6 +77,8 @@ class Encoder:
     """encode_all() of texts: ids as little-endian unsigned 32-bit numbers."""
 
     def __init__(self, file: str):
+        # one thread for each worker process: Spark already runs one on each core
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(file)
@@ -111,9 +114,9 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=2)
 def loaded(file: str) -> Encoder:
-    return Encoder(file)
+    """The encoder of this worker process, with the pieces that earlier tasks have kept."""
+    return tables_of("planes", file, lambda: Encoder(file))
 
 
 def pack_block(ids: np.ndarray, by: str, compressor) -> list[bytes]:

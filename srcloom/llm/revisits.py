@@ -19,8 +19,9 @@ lower-case host; query parameters sorted.
 
 Defined cases: a revisit without URL or date, or without an earlier response, is
 `missing`; a response without URL or date is never found; null headers are
-empty; header names are compared in lower case; repeated records each get a
-row; columns beyond the named ones are left out.
+empty; header names are compared, and returned, in lower case; a record whose
+is_revisit is null counts as a response; repeated records each get a row;
+columns beyond the named ones are left out.
 """
 
 from __future__ import annotations
@@ -44,13 +45,20 @@ def canonical_url(url: Column) -> Column:
     return F.when(url.isNotNull(), F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
 
 
+def lower_names(headers: Column) -> Column:
+    """Headers with lower-case names; of names that become equal the least value stays, null is empty."""
+    named = F.transform(F.coalesce(F.map_entries(headers), F.array().cast("array<struct<key:string,value:string>>")), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    first = lambda es: F.map_from_entries(F.filter(es, lambda e, i: (i == 0) | (F.get(es, i - 1)["key"] != e["key"])))
+    return F.get(F.transform(F.array(F.array_sort(named)), first), F.lit(0))
+
+
 def resolve(records: DataFrame, chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
-    """records: record_id, url, ts (seconds), is_revisit, headers (map with lower-case names), digest.
+    """records: record_id, url, ts (seconds), is_revisit, headers (map), digest.
 
     One row for each revisit: record_id, canonical, refers_to, status (resolved,
     unverified, mismatch, missing), digest and the merged headers.
     """
-    plain = records.select("record_id", canonical_url(F.col("url")).alias("canonical"), F.col("ts").cast("long").alias("ts"), "is_revisit", F.coalesce("headers", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))).alias("headers"), "digest")
+    plain = records.select("record_id", canonical_url(F.col("url")).alias("canonical"), F.col("ts").cast("long").alias("ts"), F.coalesce("is_revisit", F.lit(False)).alias("is_revisit"), lower_names(F.col("headers")).alias("headers"), "digest")
     placed = plain.where("canonical is not null and ts is not null").withColumn("chunk", F.floor(F.col("ts") / chunk_seconds))
     lost = plain.where("is_revisit and (canonical is null or ts is null)")
     # maps can't be compared, so headers travel as sorted entries

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import overlap
-from .common import appended, durable, hot_limit, join_by_key, table
+from .common import appended, durable, hot_limit, join_by_key, table, tables_of
 from .components import components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
@@ -70,10 +70,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def signed(fp: int) -> int:
+    """The same 64 bits as a signed number."""
+    return fp - (1 << 64) if fp >> 63 else fp
+
+
 def with_fingerprint(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE, name: str = "fingerprint") -> DataFrame:
     """docs with the 64-bit fingerprint as a long (the same bits, signed)."""
 
     def make():
+        tables_of("near-duplicates", 0, dict)  # makes room: nothing is kept here
         return lambda texts: [np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)]
 
     return appended(docs, text_col, T.StructType([T.StructField(name, T.LongType())]), make)
@@ -121,6 +127,7 @@ def _met(sent: DataFrame, low: int, half: int, radius: int, block_variants: int)
     """Stars of the fingerprints that meet in a variant with the leading bits they are sent to; low bits follow those."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables_of("near-duplicates", 0, dict)
         masks = _masks(low, half)
         for leads, fps in _whole_groups(batches):
             a, b = _meet(leads, fps, masks, low, half, radius, block_variants)
@@ -248,7 +255,10 @@ def _linked(marked: DataFrame, radius: int) -> DataFrame:
 def _rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, similar: bool) -> tuple[DataFrame, int]:
     """(__id, __h, __root) for each row of docs: id, text hash, component; and how many rows of one key are many."""
     ids = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).withColumn("__h", F.xxhash64("__t"))
-    both = with_fingerprint(overlap.with_prefix(ids, "__t") if similar else ids, "__t", shingle, "__fp")
+    if similar:
+        both = overlap.with_prefix(ids, "__t", T.StructField("__fp", T.LongType()), lambda t: signed(fingerprint(t, shingle)))
+    else:
+        both = with_fingerprint(ids, "__t", shingle, "__fp")
     marked = durable(both.drop("__t"))
     limit = hot_limit(marked.count())
     named = join_by_key(marked.drop("__prefix"), durable(_linked(marked, radius)), "__fp", "__copies", limit)

@@ -34,13 +34,13 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from functools import cached_property, lru_cache
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import Recent, appended, table
+from .common import Recent, appended, table, tables_of
 from .matching import LONGEST, Automaton, Nodes, blocks
 from .pieces import SPACE, model_path
 
@@ -135,9 +135,12 @@ class Trie:
         return -pieces, score
 
 
-@lru_cache(maxsize=2)
 def loaded(model_file: str) -> Trie:
-    """The trie of this worker process."""
+    """Scores and recent pre-tokens of this worker process."""
+    return tables_of("token_counts", model_file, lambda: _read(model_file))
+
+
+def _read(model_file: str) -> Trie:
     from sentencepiece import SentencePieceProcessor
 
     sp = SentencePieceProcessor(model_file=model_file)

@@ -3,7 +3,8 @@
 For grades 0 to K-1 the model has one weight vector w and K-1 ascending
 thresholds: P(grade > k) = 1 / (1 + exp(theta_k - w.x)). All thresholds share
 the weights. Outputs are the expected severity, sum over k of P(grade > k), the
-most likely grade, and whether P(grade > 0) reaches one half.
+median grade (the highest that is reached with a probability of one half), and
+whether that is above the lowest.
 
 Features are sparse and binary: the words of the whole text (letters and digits,
 lower-cased) and the first 4, 5, 6 and 7 characters of each, which meet words
@@ -91,7 +92,7 @@ class Severity:
         """w.x of each text."""
         if self.words is None:
             self.sums = {f: list(accumulate(self.weights.get(f + k * DIMENSIONS, 0.0) for k in range(len(LEVELS)))) for f in {f % DIMENSIONS for f in self.weights}}
-            self.words = Recent(self._of, 250_000, 60)
+            self.words = Recent(self._of, 100_000, 60)
         counted = [Counter(_WORD.findall(t.lower())) if t else Counter() for t in texts]
         out = []
         for words, named in zip(counted, self.words.of(counted), strict=True):
@@ -103,7 +104,7 @@ class Severity:
         return out
 
     def predict_all(self, texts: list[str | None]) -> list[list]:
-        """For each text expected severity, most likely grade, and whether a grade above the lowest is at least as likely as not."""
+        """For each text expected severity, median grade, and whether a grade above the lowest is at least as likely as not."""
         if len(self.grades) < 2:
             only = self.grades[0] if self.grades else 0
             return [[float(only)] * len(texts), [only] * len(texts), [only > 0] * len(texts)]
@@ -111,7 +112,7 @@ class Severity:
         ends = np.ones((len(texts), 1))
         each = np.hstack([ends, above]) - np.hstack([above, 0 * ends])
         grades = np.array(self.grades)
-        return [(each @ grades).tolist(), grades[each.argmax(axis=1)].tolist(), (above[:, 0] >= 0.5).tolist()]
+        return [(each @ grades).tolist(), grades[(above >= 0.5).sum(axis=1)].tolist(), (above[:, 0] >= 0.5).tolist()]
 
 
 def fit(grade_of: np.ndarray, sizes: np.ndarray, column: np.ndarray, min_rows: int = MIN_ROWS, penalty: float = PENALTY, rounds: int = ROUNDS) -> Severity:
