@@ -107,27 +107,33 @@ def sol_direct_deps(sites: DataFrame, contract_function: DataFrame, contract_mod
     called = sites.select("function_id", "contract_id", F.col("callee").alias("name")).where(~F.contains("callee", F.lit("."))).distinct()
     mods = f.select("function_id", "contract_id", F.explode(F.array_distinct("modifiers")).alias("name"))
     # the nearest contract is looked up once for each (contract, name), not for each call
-    in_contract = _nearest(mods, contract_modifier.select(F.col("contract_id").alias("ancestor_id"), "name").distinct().withColumn("dep_id", F.lit(None).cast("string")), chain, "ancestor_id")
+    in_contract = _nearest(mods, contract_modifier.select(F.col("contract_id").alias("ancestor_id"), "name").distinct().withColumn("dep_id", F.lit(None).cast("string")), chain, "ancestor_id", 1)
     nearest = mods.join(in_contract, ["contract_id", "name"])
     used = nearest.select("function_id", F.concat_ws("|", F.lit("modifier"), F.col("first.ancestor_id").cast("string"), "name").alias("dep_id"), F.lit("modifier").alias("dep_kind"), "name")
     called = called.join(nearest.select("function_id", "name"), ["function_id", "name"], "left_anti")
     # a function is no dependency of itself: the two nearest are kept, of which one is another
     definers = contract_function.select(F.col("contract_id").alias("ancestor_id"), "name", F.col("function_id").alias("dep_id"))
-    places = called.join(_nearest(called, definers, chain, "dep_id"), ["contract_id", "name"])
+    places = called.join(_nearest(called, definers, chain, "dep_id", 2), ["contract_id", "name"])
     other = F.when(F.col("first.dep_id") != F.col("function_id"), F.col("first.dep_id")).otherwise(F.col("second.dep_id"))
     first = places.select("function_id", other.alias("dep_id")).where("dep_id is not null")
     return used.select("function_id", "dep_id", "dep_kind").unionByName(first.select("function_id", "dep_id", F.lit("function").alias("dep_kind")))
 
 
-def _nearest(wanted: DataFrame, definers: DataFrame, chain: DataFrame, order: str) -> DataFrame:
-    """(contract_id, name, first, second): for each wanted pair the two definitions that come first in the contract's chain, as (position, ancestor_id, dep_id)."""
-    pairs = durable(wanted.select("contract_id", "name").distinct())
-    found = pairs.join(chain, "contract_id").join(definers, ["ancestor_id", "name"])
+def _nearest(wanted: DataFrame, definers: DataFrame, chain: DataFrame, order: str, needed: int) -> DataFrame:
+    """(contract_id, name, first, second): for each wanted pair the two definitions that come first in the contract's chain, as (position, ..., ancestor_id, dep_id).
+
+    A contract that defines a name itself as often as needed does not look up its chain.
+    """
+    key = ["contract_id", "name"]
+    pairs = durable(wanted.select(*key).distinct())
     place = F.struct("position", *dict.fromkeys([order, "ancestor_id", "dep_id"]))
-    ranked = durable(found.select("contract_id", "name", place.alias("p")))
-    first = ranked.groupBy("contract_id", "name").agg(F.min("p").alias("first"))
-    second = ranked.join(first, ["contract_id", "name"]).where("p > first").groupBy("contract_id", "name").agg(F.min("p").alias("second"))
-    return first.join(second, ["contract_id", "name"], "left")
+    met = lambda some, places: some.join(places, "contract_id").join(definers, ["ancestor_id", "name"]).select(*key, place.alias("p"))
+    own = durable(met(pairs, chain.where("position = 1 and ancestor_id = contract_id")))
+    settled = durable(own.groupBy(*key).agg(F.count_distinct("p").alias("n")).where(F.col("n") >= needed).select(*key))
+    ranked = durable(own.join(settled, key, "left_semi").unionByName(met(pairs.join(settled, key, "left_anti"), chain)))
+    first = ranked.groupBy(*key).agg(F.min("p").alias("first"))
+    second = ranked.join(first, key).where("p > first").groupBy(*key).agg(F.min("p").alias("second"))
+    return first.join(second, key, "left")
 
 
 def interface_impls(contract: DataFrame, base: DataFrame, contract_function: DataFrame) -> DataFrame:

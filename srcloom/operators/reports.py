@@ -102,3 +102,10 @@ def report_summary(sections: DataFrame) -> DataFrame:
     """Finished documents whose notes still have lines that are not checked, without the checked ones. sections: entry_name, section, content."""
     notes = sections.where("section = 'Notes'").select("entry_name", F.filter(F.split("content", "\n"), lambda s: ~F.contains(s, F.lit("- [x]")) & (F.trim(s) != "")).alias("open")).where("size(open) > 0")
     return notes.select("entry_name", F.lit("summary").alias("section"), F.posexplode("open").alias("k", "line")).select("entry_name", "section", (F.col("k") + 1).alias("ord"), "line")
+
+
+def entry_dependency_list(entry: DataFrame, closure: DataFrame, symbol: DataFrame) -> DataFrame:
+    """`path:line` of all that each entry reaches, sorted; "No dependencies" if there is nothing."""
+    named = closure.join(symbol.select(F.col("symbol_id").alias("node"), F.concat_ws(":", "path", F.col("start_line").cast("string")).alias("at")), "node")
+    listed = named.groupBy(F.col("root").alias("entry_id")).agg(F.array_join(F.array_sort(F.collect_list("at")), "\n").alias("dependencies"))
+    return entry.join(listed, "entry_id", "left").select("entry_id", F.col("name").alias("entry_name"), F.coalesce("dependencies", F.lit("No dependencies")).alias("dependencies"))

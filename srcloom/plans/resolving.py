@@ -8,6 +8,7 @@ from srcloom.operators import blocks as B
 from srcloom.operators import calls as C
 from srcloom.operators import graph as G
 from srcloom.operators import resolve as R
+from srcloom.operators.reports import entry_dependency_list
 from srcloom.sources.shared import durable
 
 from .fixtures import view, with_sql
@@ -224,13 +225,6 @@ def a11_entry_dependency_list(spark, d):
     return entry_dependency_list(s.where("kind = 'EntryPoint'").select(F.col("symbol_id").alias("entry_id"), "name"), G.dependency_closure(_edges(spark, d), _roots(spark, d)), s)
 
 
-def entry_dependency_list(entry, closure, symbol):
-    """`path:line` of all that each entry reaches, sorted; "No dependencies" if there is nothing."""
-    named = closure.join(symbol.select(F.col("symbol_id").alias("node"), F.concat_ws(":", "path", F.col("start_line").cast("string")).alias("at")), "node")
-    listed = named.groupBy(F.col("root").alias("entry_id")).agg(F.array_join(F.array_sort(F.collect_list("at")), "\n").alias("dependencies"))
-    return entry.join(listed, "entry_id", "left").select("entry_id", F.col("name").alias("entry_name"), F.coalesce("dependencies", F.lit("No dependencies")).alias("dependencies"))
-
-
 def corpus_entry_dependencies(spark, d):
     """From source text to what each entry reaches: lines, blocks, symbols, calls, resolution, closure, list."""
     files = view(spark, d, "fx_source")
