@@ -43,7 +43,7 @@ from pyspark.sql import types as T
 
 from .common import Recent, appended, durable, table, tables_of
 
-SAMPLE_ROWS = 8_000
+SAMPLE_ROWS = 4_000
 #: A feature counts if at least MIN_ROWS rows of the sample have it, and one of ROWS_EACH.
 MIN_ROWS, ROWS_EACH = 4, 1_000
 PREFIXES = (4, 5, 6, 7)
