@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontam import op10_decontamination
 from .langid import op1_language_id
+from .packing import op11_best_fit
 from .pieces import op4_sentencepiece
 from .planes import op5_token_planes
 from .revisits import OP3_SQL, op3_revisits
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_winnowing": op9_winnowing,
     "op10_decontamination": op10_decontamination,
+    "op11_best_fit": op11_best_fit,
 }
 
 ORACLES: dict[str, str] = {
