@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontam import op10_decontamination
 from .langid import op1_language_id
+from .lexical import OP13_SQL, op13_lexical_search
 from .packing import op11_best_fit
 from .pieces import op4_sentencepiece
 from .planes import op5_token_planes
@@ -26,9 +27,11 @@ QUERIES = {
     "op9_winnowing": op9_winnowing,
     "op10_decontamination": op10_decontamination,
     "op11_best_fit": op11_best_fit,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 ORACLES: dict[str, str] = {
     "op3_revisits": OP3_SQL,
     "op6_sharding": OP6_SQL,
+    "op13_lexical_search": OP13_SQL,
 }
