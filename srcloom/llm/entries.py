@@ -8,6 +8,7 @@ from .lexical import OP13_SQL, op13_lexical_search
 from .packing import op11_best_fit
 from .pieces import op4_sentencepiece
 from .planes import op5_token_planes
+from .repair import op12_conversation_repair
 from .revisits import OP3_SQL, op3_revisits
 from .sharding import OP6_SQL, op6_sharding
 from .simhash import op2_simhash
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_winnowing": op9_winnowing,
     "op10_decontamination": op10_decontamination,
     "op11_best_fit": op11_best_fit,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_lexical_search": op13_lexical_search,
 }
 
