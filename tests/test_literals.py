@@ -127,13 +127,79 @@ def test_calls(spark):
     f = spark.createDataFrame([("x", text)], "path string, content string")
     found = C.call_sites(B.source_lines(f), B.symbol_extract(f), C.noise_table(spark))
     assert got(found, "call_kind", "qualifier", "callee_name") == sorted(
-        [("free", None, "free"), ("static", "Type", "make"), ("free", None, "inner"), ("static", "b", "c"), ("method", "self.state", "total"), ("method", "ctx.accounts", "check"), ("free", None, "hidden"), ("method", None, "weigh"), ("free", None, "ok")],
+        [("free", None, "free"), ("static", "Type", "make"), ("free", None, "inner"), ("static", "b", "c"), ("method", "self.state", "total"), ("method", "ctx.accounts", "check"), ("free", None, "hidden"), ("method", "v.iter().map()", "weigh"), ("free", None, "ok")],
         key=str,
     )
 
 
+WRAPPED = """fn f(a: u8) {
+    self.vault
+        .transfer(
+            a, // old(b)
+        )?;
+    /* gone(1); /* nested(2); */ x.gone(); */
+    let s = "in(text) // not a comment";
+    let r = r#"raw("x")"#; after(r);
+    ctx.accounts
+        .pool
+        .load(x.y(1), [z(2)])
+        .close(|q| {
+            q.inner(3);
+        });
+    self.list[0].first(a).second()?.third.fourth();
+    <T as Shape>::area(&s);
+    Vec::<u8>::filled(3);
+    a.parse::<Vec<u8>>().used();
+    build(1).run(); b.wait().await.done();
+    for k in 0..limit(a) { match k { _ => {} } }
+    assert!(deep(1) == 2);
+    crate::m::
+        go(1);
+}"""
+
+
+def test_calls_over_lines_comments_and_strings(spark):
+    f = spark.createDataFrame([("x", WRAPPED)], "path string, content string")
+    at = lambda how: got(C.call_sites(B.source_lines(f), B.symbol_extract(f), C.noise_table(spark), **how), "call_kind", "qualifier", "callee_name")
+    want = [
+        ("method", "self.vault", "transfer"), ("free", None, "after"), ("method", "x", "y"), ("free", None, "z"), ("method", "ctx.accounts.pool.load()", "close"), ("method", "q", "inner"),
+        ("method", None, "first"), ("method", "first()", "second"), ("method", "third", "fourth"), ("static", "Shape", "area"), ("static", "Vec", "filled"), ("method", "a", "parse"), ("method", "a.parse()", "used"),
+        ("free", None, "build"), ("method", None, "run"), ("method", "b", "wait"), ("method", None, "done"), ("free", None, "limit"), ("static", "m", "go"),
+    ]
+    assert at({"in_macros": False}) == sorted(want, key=str)
+    assert at({}) == sorted([*want, ("free", None, "deep")], key=str)
+
+
+def test_calls_by_the_structure_of_a_body(spark):
+    body = "{ a(b(1)); c.d\n  (2); IERC20(t).transfer(x); e.f.g(y); emit Moved(h(1)); revert Bad(i(2)); super.j(); keccak256(k(3)); msg.sender.call{value: l(4)}(\"m(5)\"); // n(6)\n if (o(7)) { return p(8); } /* q(9) */ }"
+    f = spark.createDataFrame([(1, body)], "function_id int, body string")
+    assert got(C.sol_calls(f), "callee") == [(x,) for x in ("IERC20", "a", "b", "c.d", "k", "l", "o", "p")]
+
+
+def test_imports_over_lines(spark):
+    text = """// import "./no.sol";
+pragma solidity
+    ^0.8.0;
+import "./a.sol"; import './b.sol' as B;
+import {
+    One,
+    Two as Second, // Three
+    /* Four, */
+    Five
+} from
+    "../c.sol";
+import * as All from "./d.sol";
+contract X { string s = "import './e.sol';"; }
+"""
+    found = C.sol_imports(spark.createDataFrame([("x.sol", text)], "path string, content string"))
+    assert got(found, "import_path", "symbol", "alias", "line") == sorted(
+        [("./a.sol", None, None, 4), ("./b.sol", None, "B", 4), ("../c.sol", "One", None, 5), ("../c.sol", "Two", "Second", 5), ("../c.sol", "Five", None, 5), ("./d.sol", None, "All", 12)], key=str
+    )
+    assert {r.pragma for r in found.collect()} == {"solidity\n    ^0.8.0"}
+
+
 def test_imports_and_names(spark):
-    text = "use a::{self, b as c, d::{e, f::*}};\nuse g::*;\npub(crate) fn here() {}\n"
+    text = "use a::{self, b as c,\n    d::{e, // x::y\n f::*}};\n/* use z::y; */ use g::*;\npub(crate) fn here() {}\nlet s = \"\nfn no() {}\n\";\n"
     f = spark.createDataFrame([("x", text)], "path string, content string")
     imports, local = C.import_scope(f)
     assert got(imports, "short_name", "full_path", "is_glob") == sorted([("a", "a", False), ("c", "a::b", False), ("e", "a::d::e", False), ("*", "a::d::f", True), ("*", "g", True)], key=str)
