@@ -84,23 +84,6 @@ def split_top_level(text: Column) -> Column:
     return F.when(text.rlike(r"[(\[{<]"), nested).otherwise(flat)  # without an opening bracket every comma cuts
 
 
-def outside_braces(text: Column) -> Column:
-    """The text outside of braces, at any depth, a group of braces and what leads to it since the last ; or brace being one semicolon.
-
-    A closing brace without an opening one stays.
-    """
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("depth"))
-
-    def step(acc: Column, c: Column) -> Column:
-        shut = (c == "}") & (acc["depth"] == 1)
-        opens = (c == "{") & (acc["depth"] == 0)
-        depth = F.when(c == "{", acc["depth"] + 1).when(c == "}", F.greatest(acc["depth"] - 1, F.lit(0))).otherwise(acc["depth"])
-        out = F.when(opens, F.regexp_replace(acc["out"], "[^;}]*$", "")).when(shut, F.concat(acc["out"], F.lit(";"))).when(acc["depth"] == 0, F.concat(acc["out"], c)).otherwise(acc["out"])
-        return F.struct(out.alias("out"), depth.alias("depth"))
-
-    return F.aggregate(F.regexp_extract_all(text, F.lit("[{}]|[^{}]+"), F.lit(0)), start, step, lambda acc: acc["out"])
-
-
 def plain_path(path: Column) -> Column:
     """A path without `.` and, as far as there is a folder before it, `..`."""
     start = F.array().cast("array<string>")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from srcloom.functions.text import outside_braces, split_top_level
+from srcloom.functions.lexing import BRACES, PARENS, masked, numbered_words, unnumbered
+from srcloom.functions.text import split_top_level
+from srcloom.operators.graph import Seen
 from srcloom.sources.shared import durable
 
 _KIND = {"contract": "Contract", "abstract contract": "Abstract", "interface": "Interface", "library": "Library"}
@@ -15,39 +17,70 @@ def _visibility(words: Column) -> Column:
     return F.when(words.rlike(r"\bpublic\b"), "Public").when(words.rlike(r"\bexternal\b"), "External").when(words.rlike(r"\bprivate\b"), "Private").otherwise("Internal")
 
 
+#: Words that carry their line number through the patterns below, and where a body or a declaration ends.
+_MARKED = r"\b(?:contract|interface|library|function|constructor|receive|fallback|modifier|event)\b|[};]"
+_AT = "\u0001(\\d+)\u0002"
+_BODY = rf"({BRACES}{_AT}|;{_AT})"
+
+
+def _each(df: DataFrame, column: str, pattern: str, *names: str) -> DataFrame:
+    """df with a row for each match of the pattern in the column and its groups under these names; a `_` names none."""
+    groups = [F.regexp_extract_all(column, F.lit(pattern), F.lit(k)).alias(n) for k, n in enumerate(names, 1) if n != "_"]
+    kept = [c for c in df.columns if c != column]
+    return df.select(*kept, F.explode(F.arrays_zip(*groups)).alias("__m")).select(*kept, "__m.*")
+
+
+def _last_line(text: Column) -> Column:
+    """The number that stands at the end of a numbered text."""
+    return F.regexp_extract(text, f"{_AT}$", 1).cast("int")
+
+
 def contract_extract(source_file: DataFrame) -> dict[str, DataFrame]:
     """The tables contract, contract_function, contract_modifier, storage_var and event_def of the files.
 
-    A contract's body runs to the next contract header of its file. Functions
-    default to internal and non-payable. Ids are `path|contract|function(types)`;
-    legacy_id leaves the types out, as overloads then share it.
+    Comments and the insides of literals are blanked, then braces are matched: a
+    contract is its header and the braces behind it, and its members are the
+    declarations directly in these. So functions, events and variables of the file
+    itself belong to no contract, and what stands in the body of a function is none
+    of its contract's members. Contracts, functions and modifiers have the lines
+    of their first word and of their last brace (or semicolon); body is the text in braces, blanked, and null for declarations.
+    Functions default to internal and non-payable. Ids are
+    `path|contract|function(types)`; legacy_id leaves the types out, as overloads
+    then share it. Files with braces that do not match give what can be read (see rejects).
     """
-    text = F.regexp_replace(F.regexp_replace("content", r"(?s)/\*.*?\*/", ""), r"//[^\n]*", "")
-    header = r"(?m)^\s*(?:abstract\s+contract|contract|interface|library)\s+\w+[^{]*\{"
-    parts = source_file.select("path", F.split(F.regexp_replace(text, f"({header})", "\u0001$1"), "\u0001").alias("p")).select("path", F.explode("p").alias("body"))
-    head = F.regexp_extract("body", r"^\s*((?:abstract\s+)?(?:contract|interface|library)\s+\w+[^{]*)\{", 1)
-    named = parts.select("path", "body", F.trim(head).alias("head")).where("head <> ''")
-    word = F.regexp_replace(F.regexp_extract("head", r"^(abstract\s+contract|contract|interface|library)", 1), r"\s+", " ")
-    bases = F.filter(F.transform(split_top_level(F.regexp_extract("head", r"\bis\b(.*)$", 1)), lambda b: F.regexp_extract(b, r"^([\w.]+)", 1)), lambda b: b != "")
-    contract = named.select("path", "body", F.regexp_extract("head", r"(?:contract|interface|library)\s+(\w+)", 1).alias("contract"), F.create_map(*[F.lit(x) for kv in _KIND.items() for x in kv])[word].alias("contract_type"), bases.alias("bases"), F.contains("path", F.lit("/lib/")).alias("external"))
-
-    fn = r"(?s)\b(function\s+\w+|constructor|receive|fallback)\s*\(([^)]*)\)([^{;]*)[{;]"
-    pick = lambda k: F.regexp_extract_all("body", F.lit(fn), F.lit(k))
-    found = contract.select("path", "contract", F.explode(F.arrays_zip(pick(1).alias("n"), pick(2).alias("p"), pick(3).alias("w"))).alias("f"))
-    params = F.transform(split_top_level(F.regexp_replace("f.p", r"\s+", " ")), lambda p: F.struct(F.regexp_extract(p, r"(\w+)$", 1).alias("name"), F.regexp_extract(p, r"^([\w.\[\]]+)", 1).alias("type_name"), F.regexp_extract(p, r"\b(memory|calldata|storage)\b", 1).alias("storage_location")))
-    name = F.regexp_replace("f.n", r"^function\s+", "")
-    words = F.regexp_replace(F.regexp_replace("f.w", r"\breturns\s*\([^)]*\)", ""), r"\s+", " ")
-    mods = F.filter(F.regexp_extract_all(F.regexp_replace(words, r"\([^)]*\)", ""), F.lit(r"(\w+)"), F.lit(1)), lambda w: ~w.isin("public", "external", "internal", "private", "view", "pure", "payable", "virtual", "override"))
-    function = found.select("path", "contract", name.alias("name"), params.alias("params"), _visibility(words).alias("visibility"), F.when(words.rlike(r"\bview\b"), "View").when(words.rlike(r"\bpure\b"), "Pure").when(words.rlike(r"\bpayable\b"), "Payable").otherwise("NonPayable").alias("mutability"), mods.alias("modifiers"), name.isin("constructor").alias("is_constructor"))
+    text = numbered_words(masked(F.col("content"), "solidity"), _MARKED)
+    header = rf"(\b(?:abstract\s+)?(?:contract|interface|library)){_AT}\s+(\w+)([^{{}};]*)({BRACES}{_AT})"
+    found = _each(source_file.select("path", text.alias("t")), "t", header, "word", "start_line", "contract", "rest", "body")
+    word = F.regexp_replace("word", r"\s+", " ")
+    bases = F.filter(F.transform(split_top_level(F.regexp_extract(unnumbered(F.col("rest")), r"(?s)^\s*is\b(.*)$", 1)), lambda b: F.regexp_extract(b, r"([\w]+)\s*(?:\(|$)", 1)), lambda b: b != "")
+    kind = F.create_map(*[F.lit(x) for kv in _KIND.items() for x in kv])[word]
+    contract = found.select("path", "contract", kind.alias("contract_type"), bases.alias("bases"), F.contains("path", F.lit("/lib/")).alias("external"), F.col("start_line").cast("int").alias("start_line"), _last_line(F.col("body")).alias("end_line"), F.regexp_replace("body", f"^\\{{|\\}}{_AT}$", "").alias("body"))
+
+    members = contract.select("path", "contract", "body")
+    fn = rf"\b(function{_AT}\s+\w+|(?:constructor|receive|fallback){_AT})\s*({PARENS})([^{{}};]*){_BODY}"
+    f = _each(members, "body", fn, "n", "_", "_", "p", "w", "body")
+    listed = split_top_level(F.regexp_replace(F.regexp_replace(unnumbered(F.col("p")), r"^\(|\)$", ""), r"\s+", " "))
+    params = F.transform(listed, lambda p: F.struct(F.regexp_extract(p, r"^.*[\s)\]](\w+)$", 1).alias("name"), F.regexp_extract(p, r"^((?:mapping|function)\s*\(.*\)|[\w.]+(?:\s*\[[^\]]*\])*)", 1).alias("type_name"), F.regexp_extract(p, r"\b(memory|calldata|storage)\b", 1).alias("storage_location")))
+    name = F.regexp_extract(unnumbered(F.col("n")), r"(\w+)$", 1)
+    words = F.regexp_replace(F.regexp_replace(unnumbered(F.col("w")), rf"\breturns\s*{PARENS}", ""), r"\s+", " ")
+    mods = F.filter(F.regexp_extract_all(F.regexp_replace(words, PARENS, ""), F.lit(r"([\w.]+)"), F.lit(1)), lambda w: ~w.isin("public", "external", "internal", "private", "view", "pure", "payable", "virtual", "override"))
+    mods = F.transform(mods, lambda w: F.substring_index(w, ".", -1))
+    mutability = F.when(words.rlike(r"\bview\b"), "View").when(words.rlike(r"\bpure\b"), "Pure").when(words.rlike(r"\bpayable\b"), "Payable").otherwise("NonPayable")
+    block = F.when(F.col("body").startswith("{"), unnumbered(F.col("body")))
+    first = F.regexp_extract("n", _AT, 1).cast("int")
+    function = f.select("path", "contract", name.alias("name"), params.alias("params"), _visibility(words).alias("visibility"), mutability.alias("mutability"), mods.alias("modifiers"), name.isin("constructor").alias("is_constructor"), first.alias("start_line"), _last_line(F.col("body")).alias("end_line"), block.alias("body"))
     types = F.array_join(F.transform("params", lambda p: p["type_name"]), ",")
     function = function.withColumns({"legacy_id": F.concat_ws("|", "path", "contract", "name"), "function_id": F.concat(F.concat_ws("|", "path", "contract", "name"), F.lit("("), types, F.lit(")"))})
 
-    modifier = contract.select("path", "contract", F.explode(F.regexp_extract_all("body", F.lit(r"\bmodifier\s+(\w+)"), F.lit(1))).alias("name"))
-    event = contract.select("path", "contract", F.explode(F.regexp_extract_all("body", F.lit(r"\bevent\s+(\w+)\s*\("), F.lit(1))).alias("name"))
-    outer = outside_braces(F.regexp_replace("body", r"^[^{]*\{", ""))  # what stands in braces is no declaration of the contract
-    var = r"(?:^|;)\s*((?:mapping\s*\([^;]*?\)|[A-Za-z_][\w.]*(?:\[[^\]]*\])*))\s+((?:(?:public|private|internal|constant|immutable|override)\s+)*)(\w+)\s*(?:=[^;]*)?(?=;)"
-    pick_v = lambda k: F.regexp_extract_all("o", F.lit(var), F.lit(k))
-    storage = contract.select("path", "contract", F.concat(F.lit(";"), outer).alias("o")).select("path", "contract", F.explode(F.arrays_zip(pick_v(1).alias("t"), pick_v(2).alias("w"), pick_v(3).alias("n"))).alias("v")).where(~F.col("v.t").isin("using", "event", "error", "modifier", "function", "struct", "enum", "return", "import", "pragma")).select("path", "contract", F.col("v.n").alias("name"), F.col("v.t").alias("type_name"), _visibility(F.col("v.w")).alias("visibility"), F.col("v.w").rlike(r"\b(constant|immutable)\b").alias("is_constant"))
+    m = _each(members, "body", rf"\bmodifier{_AT}\s+(\w+)([^{{}};]*){_BODY}", "start_line", "name", "_", "body")
+    modifier = m.select("path", "contract", "name", F.col("start_line").cast("int").alias("start_line"), _last_line(F.col("body")).alias("end_line"), F.when(F.col("body").startswith("{"), unnumbered(F.col("body"))).alias("body"))
+    # what stands in braces is no declaration of the contract, nor is what leads to them
+    outer = F.concat(F.lit(";"), F.regexp_replace(F.regexp_replace("body", rf"[^;{{}}=]*+{BRACES}", ";"), "\u0001\\d+\u0002", ""))
+    plain = members.select("path", "contract", outer.alias("o"))
+    event = _each(plain, "o", r"[;\s]event\s+(\w+)\s*\(", "name")
+    var = rf"(?<=;)\s*(mapping\s*{PARENS}|[A-Za-z_][\w.]*(?:\s*\[[^\]]*\])*)\s+((?:(?:public|private|internal|constant|immutable|transient|override)\s+)*)(\w+)\s*(?:=[^;]*)?(?=;)"
+    v = _each(plain, "o", var, "t", "w", "name").where(~F.col("t").isin("using", "event", "error", "modifier", "function", "struct", "enum", "return", "import", "pragma", "type"))
+    storage = v.select("path", "contract", "name", F.col("t").alias("type_name"), _visibility(F.col("w")).alias("visibility"), F.col("w").rlike(r"\b(constant|immutable)\b").alias("is_constant"))
     return {"contract": contract.drop("body"), "contract_function": function, "contract_modifier": modifier, "storage_var": storage, "event_def": event}
 
 
@@ -97,43 +130,64 @@ def sol_resolve_calls(sites: DataFrame, contract_function: DataFrame, base: Data
     return up.unionByName(other).unionByName(inner.select("function_id", "callee_contract", "method", F.lit(False).alias("is_external"), F.lit(False).alias("is_super")))
 
 
-def sol_direct_deps(sites: DataFrame, contract_function: DataFrame, contract_modifier: DataFrame, chain: DataFrame) -> DataFrame:
+def nearest_definitions(base: DataFrame, definers: DataFrame, keep: int = 2) -> DataFrame:
+    """(contract_id, name, rank, ancestor_id, dep_id): for each contract and name the `keep` definitions that come first in its inheritance chain.
+
+    base: contract_id, ord, base_id; definers: contract_id, name, dep_id. The place of
+    a definition is the shortest way up to it, of equally short ones the least by
+    the bases' order, then dep_id. Such a way begins with one base and goes on as the base's own,
+    so definitions are handed down one level in each round, and only those that are kept:
+    the rows are contracts x names visible in them, not contracts x ancestors x names.
+    """
+    edges = durable(base.select(F.col("contract_id").alias("c"), F.col("base_id").alias("b"), F.col("ord").cast("int").alias("r")).where("c is not null and b is not null and c <> b").groupBy("c", "b").agg(F.min("r").alias("r")))
+    key = ["contract_id", "name"]
+    own = definers.select(*key, F.col("contract_id").alias("ancestor_id"), "dep_id").distinct().withColumns({"way": F.array().cast("array<int>"), "rank": F.row_number().over(Window.partitionBy(*key).orderBy("dep_id"))})
+    new = durable(own.where(F.col("rank") <= keep))
+    seen = Seen(new, [*key, "dep_id"])
+    while not new.isEmpty():
+        step = new.join(edges, F.col("contract_id") == F.col("b")).groupBy(F.col("c").alias("contract_id"), "name", "dep_id").agg(F.min(F.struct(F.concat(F.array("r"), "way").alias("way"), "ancestor_id")).alias("p"))
+        had = seen.rows().groupBy(*key).agg(F.count("*").alias("had"))
+        fresh = seen.new(step).join(had, key, "left").withColumn("had", F.coalesce("had", F.lit(0)))
+        place = F.row_number().over(Window.partitionBy(*key).orderBy("p.way", "dep_id")) + F.col("had")
+        new = seen.add(fresh.where(F.col("had") < keep).withColumn("rank", place.cast("int")).where(F.col("rank") <= keep).select(*key, "p.ancestor_id", "dep_id", "p.way", "rank"))
+    return seen.rows().select(*key, "rank", "ancestor_id", "dep_id")
+
+
+def sol_direct_deps(sites: DataFrame, contract_function: DataFrame, contract_modifier: DataFrame, base: DataFrame) -> DataFrame:
     """Direct dependencies of each function: its modifiers, then called functions, each from the nearest contract of the chain; a name counts once.
 
     contract_function: function_id, contract_id, name, modifiers; contract_modifier:
-    contract_id, name; chain: contract_id, position, ancestor_id (inheritance_chain).
+    contract_id, name; base: contract_id, ord, base_id of known contracts.
     """
-    f = contract_function.select("function_id", "contract_id", "modifiers")
-    called = sites.select("function_id", "contract_id", F.col("callee").alias("name")).where(~F.contains("callee", F.lit("."))).distinct()
-    mods = f.select("function_id", "contract_id", F.explode(F.array_distinct("modifiers")).alias("name"))
-    # the nearest contract is looked up once for each (contract, name), not for each call
-    in_contract = _nearest(mods, contract_modifier.select(F.col("contract_id").alias("ancestor_id"), "name").distinct().withColumn("dep_id", F.lit(None).cast("string")), chain, "ancestor_id", 1)
-    nearest = mods.join(in_contract, ["contract_id", "name"])
-    used = nearest.select("function_id", F.concat_ws("|", F.lit("modifier"), F.col("first.ancestor_id").cast("string"), "name").alias("dep_id"), F.lit("modifier").alias("dep_kind"), "name")
-    called = called.join(nearest.select("function_id", "name"), ["function_id", "name"], "left_anti")
-    # a function is no dependency of itself: the two nearest are kept, of which one is another
-    definers = contract_function.select(F.col("contract_id").alias("ancestor_id"), "name", F.col("function_id").alias("dep_id"))
-    places = called.join(_nearest(called, definers, chain, "dep_id", 2), ["contract_id", "name"])
-    other = F.when(F.col("first.dep_id") != F.col("function_id"), F.col("first.dep_id")).otherwise(F.col("second.dep_id"))
-    first = places.select("function_id", other.alias("dep_id")).where("dep_id is not null")
-    return used.select("function_id", "dep_id", "dep_kind").unionByName(first.select("function_id", "dep_id", F.lit("function").alias("dep_kind")))
-
-
-def _nearest(wanted: DataFrame, definers: DataFrame, chain: DataFrame, order: str, needed: int) -> DataFrame:
-    """(contract_id, name, first, second): for each wanted pair the two definitions that come first in the contract's chain, as (position, ..., ancestor_id, dep_id).
-
-    A contract that defines a name itself as often as needed does not look up its chain.
+    functions, modifiers = definitions(contract_function, contract_modifier, base)
+    f = contract_function.select("function_id", "contract_id", F.col("contract_id").alias("in_contract"), "modifiers")
+    return deps_in_contract(f, sites.select("function_id", "callee"), functions, modifiers).select("function_id", "dep_id", "dep_kind")
+
+
+def definitions(contract_function: DataFrame, contract_modifier: DataFrame, base: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What names mean in each contract: (contract_id, name, first, second) of functions, and (contract_id, name, first) of modifiers, as dependency ids."""
+    modifier_id = F.concat_ws("|", F.lit("modifier"), F.col("contract_id").cast("string"), F.col("name"))
+    both = contract_function.select("contract_id", "name", F.col("function_id").cast("string").alias("dep_id"), F.lit("function").alias("kind")).unionByName(contract_modifier.select("contract_id", "name", modifier_id.alias("dep_id"), F.lit("modifier").alias("kind")))
+    # one walk for both kinds: the kind is a part of the name
+    found = durable(nearest_definitions(base, both.withColumn("name", F.concat_ws(" ", "kind", "name"))))
+    of = lambda kind: found.where(F.col("name").startswith(kind + " ")).withColumn("name", F.substring_index("name", " ", -1))
+    pick = lambda k: F.max(F.when(F.col("rank") == k, F.col("dep_id")))
+    return of("function").groupBy("contract_id", "name").agg(pick(1).alias("first"), pick(2).alias("second")), of("modifier").where("rank = 1").select("contract_id", "name", F.col("dep_id").alias("first"))
+
+
+def deps_in_contract(f: DataFrame, sites: DataFrame, functions: DataFrame, modifiers: DataFrame) -> DataFrame:
+    """f: function_id, in_contract, modifiers; the dependencies of each function when names are looked up in in_contract: its columns and dep_id, dep_kind, name.
+
+    functions and modifiers are those of definitions(). A function is no dependency of itself: of the two nearest one is another.
     """
-    key = ["contract_id", "name"]
-    pairs = durable(wanted.select(*key).distinct())
-    place = F.struct("position", *dict.fromkeys([order, "ancestor_id", "dep_id"]))
-    met = lambda some, places: some.join(places, "contract_id").join(definers, ["ancestor_id", "name"]).select(*key, place.alias("p"))
-    own = durable(met(pairs, chain.where("position = 1 and ancestor_id = contract_id")))
-    settled = durable(own.groupBy(*key).agg(F.count_distinct("p").alias("n")).where(F.col("n") >= needed).select(*key))
-    ranked = durable(own.join(settled, key, "left_semi").unionByName(met(pairs.join(settled, key, "left_anti"), chain)))
-    first = ranked.groupBy(*key).agg(F.min("p").alias("first"))
-    second = ranked.join(first, key).where("p > first").groupBy(*key).agg(F.min("p").alias("second"))
-    return first.join(second, key, "left")
+    f = f.withColumn("caller", F.col("function_id").cast("string"))
+    mods = f.select("function_id", "in_contract", F.explode(F.array_distinct("modifiers")).alias("name"))
+    used = mods.join(modifiers.withColumnRenamed("contract_id", "in_contract"), ["in_contract", "name"]).select("function_id", "in_contract", F.col("first").alias("dep_id"), F.lit("modifier").alias("dep_kind"), "name")
+    called = f.select("function_id", "in_contract", "caller").join(sites.where(~F.contains("callee", F.lit("."))).select("function_id", F.col("callee").alias("name")).distinct(), "function_id")
+    called = called.join(used.select("function_id", "in_contract", "name"), ["function_id", "in_contract", "name"], "left_anti")
+    dep = F.when(F.col("first") != F.col("caller"), F.col("first")).otherwise(F.col("second"))
+    found = called.join(functions.withColumnRenamed("contract_id", "in_contract"), ["in_contract", "name"]).select("function_id", "in_contract", dep.alias("dep_id"), F.lit("function").alias("dep_kind"), "name").where("dep_id is not null")
+    return used.unionByName(found)
 
 
 def interface_impls(contract: DataFrame, base: DataFrame, contract_function: DataFrame) -> DataFrame:

@@ -86,7 +86,7 @@ def j14_sol_direct_deps(spark, d):
     c = view(spark, d, "fx_contract")
     mods = c.select("contract_id", F.posexplode(F.array(*[F.lit(m) for m in ("onlyOwner", "onlyRole", "onlyKeeper", "nonReentrant")])).alias("i", "name")).where("(contract_id + i) % 5 = 0").drop("i")
     f = durable(_functions(spark, d))  # functions and their bodies are derived once
-    return K.sol_direct_deps(sites_of(f), f, mods, durable(G.inheritance_chain(view(spark, d, "fx_base"), c)))
+    return K.sol_direct_deps(sites_of(f), f, mods, view(spark, d, "fx_base"))
 
 
 @register("j19_interface_impls", with_sql("fx_contract", "fx_contract_fn", "fx_base") + """SELECT i.name AS interface, coalesce((SELECT list(DISTINCT c.name ORDER BY c.name) FROM fx_base b JOIN fx_contract c USING (contract_id) WHERE b.base_id = i.contract_id), []) AS implemented_by,
@@ -110,7 +110,7 @@ SRC = "SELECT (CASE WHEN p_partkey % 5 = 0 THEN 'src/lib/' ELSE 'src/' END) || '
 
 @register("e11_contracts", f"SELECT path, 'I' || n AS contract, 'Interface' AS contract_type, CAST([] AS VARCHAR[]) AS bases, contains(path, '/lib/') AS external FROM ({SRC}) UNION ALL SELECT path, 'C' || n, 'Abstract', ['I' || n, 'Base'], contains(path, '/lib/') FROM ({SRC})")
 def e11_contracts(spark, d):
-    return K.contract_extract(contract_files(spark, d))["contract"].drop("head")
+    return K.contract_extract(contract_files(spark, d))["contract"].drop("start_line", "end_line")
 
 
 @register("e11_contract_functions", f"""SELECT path, contract, name, function_id, visibility, mutability, modifiers FROM (SELECT path, 'I' || n AS contract, 'ping' AS name, path || '|I' || n || '|ping(uint256)' AS function_id, 'External' AS visibility, 'NonPayable' AS mutability, CAST([] AS VARCHAR[]) AS modifiers FROM ({SRC})

@@ -11,9 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import accounting, analysing, calling, contracting, looking, reporting, resolving, scanning
+from . import accounting, analysing, calling, contracting, looking, reporting, resolving, scanning, solidity
 
-MODULES = (scanning, calling, accounting, resolving, contracting, analysing, looking, reporting)
+MODULES = (scanning, calling, accounting, resolving, contracting, analysing, looking, reporting, solidity)
 
 #: Array columns of each query.
 ARRAYS = {

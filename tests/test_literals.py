@@ -400,3 +400,65 @@ def test_scans_and_reports(spark, tmp_path):
     rows = spark.createDataFrame([("e", "s", 2, "two"), ("e", "s", 1, "one"), ("e", "t", 1, "x")], "entry_name string, section string, ord int, line string")
     S.write_reports(rows, str(tmp_path / "r"))
     assert next((tmp_path / "r" / "entry=e").glob("part-*")).read_text() == "# s:\n\none\ntwo\n\n# t:\n\nx\n"
+
+
+CONTRACTS = """// SPDX {
+pragma solidity ^0.8.0;
+event Top(address a);
+function free(uint256 x) pure returns (uint256) { return helper(x); }
+struct S { uint a; }
+abstract contract A is Base(1, "x}"), lib.Other {
+    using X for uint256;
+    mapping(address => mapping(uint => bool)) public seen;
+    uint256[] private list; // function no() {}
+    S public s = S({a: 1});
+    event Moved(address who, uint v);
+    error Bad(uint a);
+    modifier only(uint r) virtual {
+        require(r > 0, "}{");
+        _;
+    }
+    constructor(address a) Base(2) {
+        if (a > b) { x(); }
+    }
+    function f(uint256 a, bytes memory b, mapping(address => uint) storage m, function (uint) external cb)
+        external
+        payable
+        only(1) access.auth
+        returns (uint256, bytes memory)
+    {
+        for (uint i; i < 3; i++) { assembly { function y() -> z { } } }
+    }
+    function g() view internal virtual;
+    receive() external payable {} function h(uint8[2] calldata z) public override(A, B) {}
+}
+function late() {}
+event Last(uint a);
+interface I { function ping(uint256) external; event P(); }
+contract Open { function lost() {
+"""
+
+
+def test_contract_spans_and_bodies(spark):
+    t = K.contract_extract(spark.createDataFrame([("a.sol", CONTRACTS), ("e.sol", ""), ("n.sol", None)], "path string, content string"))
+    assert got(t["contract"], "contract", "contract_type", "bases", "start_line", "end_line") == [("A", "Abstract", ["Base", "Other"], 6, 30), ("I", "Interface", [], 33, 33)]
+    f = t["contract_function"]
+    assert got(f, "contract", "function_id", "start_line", "end_line") == sorted(
+        [
+            ("A", "a.sol|A|constructor(address)", 17, 19), ("A", "a.sol|A|f(uint256,bytes,mapping(address => uint),function (uint))", 20, 27), ("A", "a.sol|A|g()", 28, 28),
+            ("A", "a.sol|A|receive()", 29, 29), ("A", "a.sol|A|h(uint8[2])", 29, 29), ("I", "a.sol|I|ping(uint256)", 33, 33),
+        ],
+        key=str,
+    )
+    assert got(f.where("name = 'f'"), "visibility", "mutability", "modifiers") == [("External", "Payable", ["only", "auth"])]
+    assert [r.body is None for r in f.orderBy("name").collect()] == [False, False, True, False, True, False]
+    assert got(t["contract_modifier"], "contract", "name", "start_line", "end_line") == [("A", "only", 13, 16)]
+    assert got(t["event_def"], "contract", "name") == [("A", "Moved"), ("I", "P")]
+    assert got(t["storage_var"], "name", "type_name", "visibility") == [("list", "uint256[]", "Private"), ("s", "S", "Public"), ("seen", "mapping(address => mapping(uint => bool))", "Public")]
+
+
+def test_nearest_definitions(spark):
+    base = spark.createDataFrame([(1, 1, 2), (1, 2, 3), (2, 1, 4), (3, 1, 5), (4, 1, 6), (6, 1, 2)], "contract_id int, ord int, base_id int")
+    names = spark.createDataFrame([(4, "f", "f4"), (3, "f", "f3"), (5, "g", "g5"), (1, "h", "h1"), (1, "h", "h1b"), (2, "h", "h2"), (6, "k", "k6")], "contract_id int, name string, dep_id string")
+    found = K.nearest_definitions(base, names)
+    assert got(found.where("contract_id in (1, 6)"), "contract_id", "name", "rank", "dep_id") == sorted([(1, "f", 1, "f3"), (1, "f", 2, "f4"), (1, "g", 1, "g5"), (1, "h", 1, "h1"), (1, "h", 2, "h1b"), (1, "k", 1, "k6"), (6, "k", 1, "k6"), (6, "h", 1, "h2"), (6, "f", 1, "f4")], key=str)
