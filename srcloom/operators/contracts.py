@@ -141,16 +141,28 @@ def nearest_definitions(base: DataFrame, definers: DataFrame, keep: int = 2) ->
     """
     edges = durable(base.select(F.col("contract_id").alias("c"), F.col("base_id").alias("b"), F.col("ord").cast("int").alias("r")).where("c is not null and b is not null and c <> b").groupBy("c", "b").agg(F.min("r").alias("r")))
     key = ["contract_id", "name"]
-    own = definers.select(*key, F.col("contract_id").alias("ancestor_id"), "dep_id").distinct().withColumns({"way": F.array().cast("array<int>"), "rank": F.row_number().over(Window.partitionBy(*key).orderBy("dep_id"))})
-    new = durable(own.where(F.col("rank") <= keep))
-    seen = Seen(new, [*key, "dep_id"])
+    # overloads of a contract by dep_id; few names of a contract have more than `keep`
+    ranked = definers.select(*key, "dep_id").withColumn("rank", F.dense_rank().over(Window.partitionBy(*key).orderBy("dep_id"))).where(F.col("rank") <= keep).distinct()
+    new = durable(ranked.select(*key, F.col("contract_id").alias("ancestor_id"), "dep_id", F.array().cast("array<int>").alias("way"), "rank"))
+    parts = [new]
     while not new.isEmpty():
         step = new.join(edges, F.col("contract_id") == F.col("b")).groupBy(F.col("c").alias("contract_id"), "name", "dep_id").agg(F.min(F.struct(F.concat(F.array("r"), "way").alias("way"), "ancestor_id")).alias("p"))
-        had = seen.rows().groupBy(*key).agg(F.count("*").alias("had"))
-        fresh = seen.new(step).join(had, key, "left").withColumn("had", F.coalesce("had", F.lit(0)))
-        place = F.row_number().over(Window.partitionBy(*key).orderBy("p.way", "dep_id")) + F.col("had")
-        new = seen.add(fresh.where(F.col("had") < keep).withColumn("rank", place.cast("int")).where(F.col("rank") <= keep).select(*key, "p.ancestor_id", "dep_id", "p.way", "rank"))
-    return seen.rows().select(*key, "rank", "ancestor_id", "dep_id")
+        had = _together(parts).groupBy(*key).agg(F.collect_list("dep_id").alias("had"))  # at most `keep` of each
+        n = F.coalesce(F.size("had"), F.lit(0))
+        fresh = step.join(had, key, "left").withColumn("n", F.when(F.col("had").isNull(), 0).otherwise(n)).where((F.col("n") < keep) & ~F.coalesce(F.array_contains("had", F.col("dep_id")), F.lit(False)))
+        place = F.row_number().over(Window.partitionBy(*key).orderBy("p.way", "dep_id")) + F.col("n")
+        new = durable(fresh.withColumn("rank", place.cast("int")).where(F.col("rank") <= keep).select(*key, "p.ancestor_id", "dep_id", "p.way", "rank"))
+        parts.append(new)
+        if len(parts) > Seen.PARTS:
+            parts = [durable(_together(parts).repartition(*key))]
+    return _together(parts).select(*key, "rank", "ancestor_id", "dep_id")
+
+
+def _together(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def sol_direct_deps(sites: DataFrame, contract_function: DataFrame, contract_modifier: DataFrame, base: DataFrame) -> DataFrame:
@@ -183,8 +195,11 @@ def deps_in_contract(f: DataFrame, sites: DataFrame, functions: DataFrame, modif
     f = f.withColumn("caller", F.col("function_id").cast("string"))
     mods = f.select("function_id", "in_contract", F.explode(F.array_distinct("modifiers")).alias("name"))
     used = mods.join(modifiers.withColumnRenamed("contract_id", "in_contract"), ["in_contract", "name"]).select("function_id", "in_contract", F.col("first").alias("dep_id"), F.lit("modifier").alias("dep_kind"), "name")
-    called = f.select("function_id", "in_contract", "caller").join(sites.where(~F.contains("callee", F.lit("."))).select("function_id", F.col("callee").alias("name")).distinct(), "function_id")
-    called = called.join(used.select("function_id", "in_contract", "name"), ["function_id", "in_contract", "name"], "left_anti")
+    called = f.join(sites.where(~F.contains("callee", F.lit("."))).select("function_id", F.col("callee").alias("name")).distinct(), "function_id")
+    # a call named like a modifier of its function counts as that, if there is such a modifier: only these rows have to look
+    like = F.array_contains("modifiers", F.col("name"))
+    kept = ["function_id", "in_contract", "caller", "name"]
+    called = called.where(~F.coalesce(like, F.lit(False))).select(*kept).unionByName(called.where(like).join(used.select("function_id", "in_contract", "name"), ["function_id", "in_contract", "name"], "left_anti").select(*kept))
     dep = F.when(F.col("first") != F.col("caller"), F.col("first")).otherwise(F.col("second"))
     found = called.join(functions.withColumnRenamed("contract_id", "in_contract"), ["in_contract", "name"]).select("function_id", "in_contract", dep.alias("dep_id"), F.lit("function").alias("dep_kind"), "name").where("dep_id is not null")
     return used.unionByName(found)
