@@ -120,12 +120,13 @@ def tables_of(operator: str, key, make: Callable):
     return kept[key]
 
 
-def appended(df: DataFrame, text_col: str, added: T.StructType, make: Callable[[], Callable[[list], list[list]]]) -> DataFrame:
+def appended(df: DataFrame, text_col: str, added: T.StructType, make: Callable[[], Callable[[list], list[list]]], buffer_bytes: int = 0) -> DataFrame:
     """df with the columns of `added`, computed from whole texts in Arrow batches.
 
     make() runs once in each task and gives a function from a list of texts
-    (None for null) to one list of values for each added column. Columns of df
-    that bear an added name are replaced.
+    (None for null) to one list of values for each added column; it gets SLICE_ROWS
+    texts at a time or, if buffer_bytes is given, as many batches as have so many bytes.
+    Columns of df that bear an added name are replaced.
     """
     names = [f.name for f in added]
     kept = [c for c in df.columns if c not in names]
@@ -135,17 +136,35 @@ def appended(df: DataFrame, text_col: str, added: T.StructType, make: Callable[[
     source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias(held))
     schema = T.StructType([f for f in source.schema if f.name != held] + list(added))
 
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+        if not buffer_bytes:
+            for whole in batches:
+                for at in range(0, whole.num_rows, SLICE_ROWS):
+                    yield [whole.slice(at, SLICE_ROWS)]
+            return
+        some, size = [], 0
+        for whole in batches:
+            some.append(whole)
+            size += whole.nbytes
+            if size >= buffer_bytes:
+                yield some
+                some, size = [], 0
+        if some:
+            yield some
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
         kinds = [to_arrow_type(f.dataType) for f in added]
         work = make()
-        for whole in batches:
-            for at in range(0, whole.num_rows, SLICE_ROWS):
-                batch = whole.slice(at, SLICE_ROWS)
-                values = work(batch.column(held).to_pylist())
+        for some in parts(batches):
+            values = work([t for b in some for t in b.column(held).to_pylist()])
+            at = 0
+            for batch in some:
                 cols = [batch.column(c) for c in batch.schema.names if c != held]
                 names_out = [c for c in batch.schema.names if c != held] + names
-                yield pa.RecordBatch.from_arrays(cols + [pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names_out)
+                mine = [v[at : at + batch.num_rows] for v in values]
+                at += batch.num_rows
+                yield pa.RecordBatch.from_arrays(cols + [pa.array(v, k) for v, k in zip(mine, kinds, strict=True)], names_out)
 
     return source.mapInArrow(run, schema)

@@ -2,9 +2,12 @@
 
 The windows of all test items (questions and answers: any text rows) are put in
 one automaton over normalised words; each document is normalised once and
-scanned once. A benchmark of more than BLOCK_BYTES makes several automata, each
-of bounded size, and a scan for each; the results are the same. Hits are reported as spans of words and, through the byte
-offsets of the words, as spans of the original text.
+scanned once. A benchmark of more than BLOCK_BYTES makes several automata of
+bounded size; the results are the same. A task then gathers BUFFER_BYTES of texts and takes them
+through one automaton after the other, so it never holds two, and reads its
+documents once. The text of the benchmark itself is held by every worker process.
+Hits are reported as spans of words and, through the byte offsets of the words, as
+spans of the original text.
 
 Normal form: A-Z become a-z, words are maximal runs of 0-9, a-z and characters
 beyond ASCII. A window is `window` consecutive words of an item; an item with
@@ -33,6 +36,8 @@ from .common import appended, table, tables_of
 WINDOW = 10
 #: Bytes of item text in one automaton, whose nodes take some hundred times that; a larger benchmark is worked off in blocks of this size.
 BLOCK_BYTES = 4 << 20
+#: Bytes of texts that pass through an automaton before the next one is built, where there are several.
+BUFFER_BYTES = 64 << 20
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _NORMAL = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in _LOWER)
@@ -81,14 +86,18 @@ def scan(auto, normal: bytes) -> tuple[list[bytes], list[tuple[int, int]], set[s
             last = bisect_right(ends, at - 1) + 1  # one past the last word of the match
             ids.update(owners)
             spans.append([last - n, last])
-    spans.sort()
+    return words, united(spans), ids
+
+
+def united(spans: list) -> list[tuple[int, int]]:
+    """Spans in order, those that touch as one."""
     merged: list[list[int]] = []
-    for a, b in spans:
+    for a, b in sorted(spans):
         if merged and a <= merged[-1][1]:
             merged[-1][1] = max(merged[-1][1], b)
         else:
             merged.append([a, b])
-    return words, [(a, b) for a, b in merged], ids
+    return [(a, b) for a, b in merged]
 
 
 def original_spans(text: str | None, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -120,7 +129,7 @@ ADDED = T.StructType(
 
 
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[object, str]]]:
-    """The items in blocks of about block_bytes, each small enough to be sent to every task; one block at a time is on the driver."""
+    """The items in blocks of about block_bytes of text."""
     items = benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     n = max(1, -(-size // block_bytes))
@@ -129,46 +138,31 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: i
         yield [(r.i, r.t) for r in part.toLocalIterator()]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, buffer_bytes: int = BUFFER_BYTES) -> DataFrame:
     """docs with n_words, hit_words and hit_spans (merged, by words and by code points) and item_ids (sorted strings).
 
-    The documents are never shuffled; they pass once through one automaton, or
-    once for each block of a benchmark above block_bytes.
+    The documents are never shuffled and pass once through one Python stage, whatever the size of the benchmark.
     """
-    out = docs
-    for k, block in enumerate(item_blocks(benchmark, item_id, item_text, block_bytes)):
-        sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, block))
+    blocks = list(item_blocks(benchmark, item_id, item_text, block_bytes))
+    sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, blocks))
 
-        def make(sent=sent):
-            auto = tables_of("decontamination", (sent.value[0], window), lambda: automaton(sent.value[1], window))
+    def make():
+        key, items = sent.value
 
-            def work(texts: list) -> list[list]:
-                rows = []
-                for t in texts:
+        def work(texts: list) -> list[list]:
+            found = [(0, [], set())] * len(texts)
+            for k, block in enumerate(items):
+                auto = tables_of("decontamination", (key, window), lambda: automaton(block, window)) if len(items) == 1 else automaton(block, window)  # noqa: B023
+                for at, t in enumerate(texts):
                     words, spans, ids = scan(auto, normalised(t))
-                    rows.append((len(words), spans, original_spans(t, spans), sorted(ids)))
-                return [list(c) for c in zip(*rows, strict=True)] if rows else [[], [], [], []]
-
-            return work
-
-        before = out.withColumnsRenamed({f.name: f"__{f.name}" for f in ADDED}) if k else out
-        out = appended(before, text_col, ADDED, make)
-        if k:  # a span may touch one of an earlier block: joined below
-            out = out.withColumn("hit_words", _joined("__hit_words", "hit_words")).withColumn("hit_spans", _joined("__hit_spans", "hit_spans"))
-            out = out.withColumn("item_ids", F.array_sort(F.array_union("__item_ids", "item_ids"))).drop(*[f"__{f.name}" for f in ADDED])
-    return out
-
-
-def _joined(a: str, b: str):
-    """Two arrays of spans as one array of merged spans."""
-    last = lambda acc: F.get(acc, F.size(acc) - 1)
+                    found[at] = (len(words), united(found[at][1] + spans) if k else spans, found[at][2] | ids)
+                del auto
+            rows = [(n, spans, original_spans(t, spans), sorted(ids)) for t, (n, spans, ids) in zip(texts, found, strict=True)]
+            return [list(c) for c in zip(*rows, strict=True)] if rows else [[], [], [], []]
 
-    def add(acc, span):
-        grown = F.array(last(acc)[0], F.greatest(last(acc)[1], span[1]))
-        touches = F.coalesce(span[0] <= last(acc)[1], F.lit(False))
-        return F.when(touches, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(span)))
+        return work
 
-    return F.aggregate(F.array_sort(F.concat(a, b)), F.array().cast("array<array<int>>"), add)
+    return appended(docs, text_col, ADDED, make, buffer_bytes=0 if len(blocks) == 1 else buffer_bytes)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **how) -> DataFrame:

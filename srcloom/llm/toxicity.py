@@ -11,8 +11,9 @@ lower-cased) and the first 4, 5, 6 and 7 characters of each, which meet words
 that take endings, hashed to DIMENSIONS places; and, for each of these, that it
 stands there at least so many times as one of LEVELS.
 
-Learning is bounded: at most about SAMPLE_ROWS labelled rows (chosen by a hash
-of the id; a parameter), and features that enough of them have. Grades above
+Learning is bounded: about SAMPLE_ROWS labelled ids (chosen by a hash of the id;
+a parameter), about TEXTS_EACH texts of an id that is repeated, and features that
+enough of these rows have. Grades above
 the lowest make up to half of the sample, and the thresholds are moved back by
 the logarithm of the two sampling shares. The features of those rows that enough
 of them have go to the driver, where the likelihood with an L1 penalty is maximised; most weights end
@@ -20,7 +21,7 @@ at zero. Scoring covers every row and whole texts.
 
 Defined cases: a null or empty text has no features and gets the grade of the
 thresholds alone; labels that are null, and labelled rows without a text, are
-not learned from; a repeated label or document is one more row to learn from;
+not learned from; a repeated label, and a repeated text of one id, count once;
 columns of the documents that bear a name of an added column are replaced;
 grades that no row has take no part; with fewer than two
 grades in the sample every text gets the only grade (0 if there is none).
@@ -44,6 +45,7 @@ from pyspark.sql import types as T
 from .common import Recent, appended, durable, table, tables_of
 
 SAMPLE_ROWS = 4_000
+TEXTS_EACH = 8
 #: A feature counts if at least MIN_ROWS rows of the sample have it, and one of ROWS_EACH.
 MIN_ROWS, ROWS_EACH = 4, 1_000
 PREFIXES = (4, 5, 6, 7)
@@ -153,7 +155,7 @@ def fit(grade_of: np.ndarray, sizes: np.ndarray, column: np.ndarray, min_rows: i
 
 def learn(docs: DataFrame, labels: DataFrame, grade: str, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, **how) -> Severity:
     """The model of a bounded sample of the labelled rows; grade is a SQL expression over labels."""
-    named = labels.select(F.col(id_col).alias("__i"), F.expr(grade).cast("int").alias("__g")).where("__i is not null and __g is not null")
+    named = labels.select(F.col(id_col).alias("__i"), F.expr(grade).cast("int").alias("__g")).where("__i is not null and __g is not null").distinct()
     sizes = {r[0]: r[1] for r in named.groupBy("__g").count().collect()}
     if not sizes:
         return Severity([], np.zeros(0), {})
@@ -161,19 +163,33 @@ def learn(docs: DataFrame, labels: DataFrame, grade: str, id_col: str = "doc_id"
     above = sum(n for g, n in sizes.items() if g > lowest)
     share = {g: min(1.0, sample_rows / 2 / (n if g == lowest else above)) for g, n in sizes.items()}
     draw = F.create_map(*[F.lit(v) for g in sorted(share) for v in (g, share[g])])
-    drawn = named.where(F.pmod(F.xxhash64(F.lit("severity sample"), F.col("__i").cast("string")), F.lit(1_000_000)) < F.element_at(draw, F.col("__g")) * 1_000_000)
+    drawn = durable(named.where(F.pmod(F.xxhash64(F.lit("severity sample"), F.col("__i").cast("string")), F.lit(1_000_000)) < F.element_at(draw, F.col("__g")) * 1_000_000))
+    # distinct pairs of id and grade, so about sample_rows; that is checked before they are sent to all tasks
+    few = drawn.count() <= 4 * sample_rows + 1_000
+    sent = F.broadcast if few else lambda df: df
     texts = docs.select(F.col(id_col).alias("__i"), F.col(text_col).alias("__t")).where("__t is not null")
+    often = texts.select("__i").join(sent(drawn.select("__i").distinct()), "__i").groupBy("__i").agg(F.count("*").alias("n"))
+    drawn = durable(drawn.join(often, "__i"))
+    chosen = texts.join(sent(drawn.where("n = 1")), "__i").select("__i", "__g", "__t")
+    again = durable(drawn.where("n > 1"))
+    if not again.isEmpty():
+        # of an id with several texts about TEXTS_EACH different ones, chosen by their hashes
+        hashed = texts.withColumn("h", F.xxhash64(F.lit("text"), F.col("__t")))
+        different = durable(hashed.join(sent(again.select("__i").distinct()), "__i").select("__i", "h").distinct())
+        number = different.groupBy("__i").agg(F.count("*").alias("m"))
+        taken = durable(different.join(number, "__i").where(F.pmod("h", F.lit(1_000_000)) * F.col("m") < TEXTS_EACH * 1_000_000).select("__i", "h"))
+        some = hashed.join(sent(taken) if taken.count() <= 4 * TEXTS_EACH * sample_rows else taken, ["__i", "h"]).select("__i", "__t").distinct()
+        chosen = chosen.unionByName(some.join(sent(again.select("__i", "__g")), "__i").select("__i", "__g", "__t"))
 
     def make():
         return lambda ts: [[features(t) for t in ts]]
 
-    # the ids drawn are about sample_rows at most, so they are sent to the texts
-    found = durable(appended(texts.join(F.broadcast(drawn), "__i").select("__i", "__g", "__t"), "__t", T.StructType([T.StructField("fs", T.ArrayType(T.IntegerType()))]), make).select("__i", "__g", "fs").withColumn("k", F.monotonically_increasing_id()))
+    found = durable(appended(chosen, "__t", T.StructType([T.StructField("fs", T.ArrayType(T.IntegerType()))]), make).select("__i", "__g", "fs").withColumn("k", F.monotonically_increasing_id()))
     # only features that enough rows have reach the driver
     each = found.select("k", F.explode("fs").alias("f"))
     least = max(how.get("min_rows", MIN_ROWS), found.count() // ROWS_EACH)
-    often = each.groupBy("f").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("f")
-    kept = each.join(often, "f").groupBy("k").agg(F.array_sort(F.collect_list("f")).alias("fs"))
+    common = each.groupBy("f").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("f")
+    kept = each.join(common, "f").groupBy("k").agg(F.array_sort(F.collect_list("f")).alias("fs"))
     rows = found.drop("fs").join(kept, "k", "left").select("__i", "k", "__g", F.coalesce("fs", F.array().cast("array<int>")).alias("fs")).toArrow().sort_by([("__i", "ascending"), ("k", "ascending")])
     if not rows.num_rows:
         return Severity([], np.zeros(0), {})

@@ -501,6 +501,20 @@ def test_fit_lowers_the_ordinal_loss():
             assert loss(t, w) > least - 1e-4
 
 
+def test_toxicity_of_repeated_labels_and_texts(spark):
+    rows = toxic_rows()
+    table = spark.createDataFrame(rows, "doc_id long, text string, g int").where("doc_id < 600")
+    model = toxicity.learn(table, table, "g")
+    again = table.unionByName(table.where("doc_id = 5").crossJoin(spark.range(10_000)).drop("id"))
+    for labels, docs in ((again, table), (table, again), (again, again)):  # counted once, so the same model
+        other = toxicity.learn(docs, labels, "g")
+        assert other.grades == model.grades and other.weights.keys() == model.weights.keys()
+        assert all(other.weights[k] == pytest.approx(v) for k, v in model.weights.items())
+    # ten thousand texts of one id: about TEXTS_EACH are learned from
+    many = table.unionByName(spark.range(10_000).selectExpr("5L as doc_id", "concat('other words ', id) as text", "0 as g"))
+    assert toxicity.learn(many, table, "g").grades == model.grades
+
+
 def test_toxicity_on_rows_not_learned_from(spark):
     """Held-out rows of the tables given: a model of four fifths of the labels, judged on the last fifth."""
     from pathlib import Path
@@ -614,8 +628,10 @@ def test_decontamination(spark, docs, nothing):
         if i is not None and t and (w := word.findall(low(t))):
             for k in range(max(1, len(w) - 9)):
                 windows.setdefault(tuple(w[k : k + 10]), set()).add(str(i))
-    for block in (decontam.BLOCK_BYTES, 300):  # one automaton, and several
-        got = decontam.contamination(table, bench, block_bytes=block).collect()
+    for how in ({}, {"block_bytes": 300}, {"block_bytes": 300, "buffer_bytes": 2_000}):  # one automaton, and several
+        found = decontam.contamination(table, bench, **how)
+        assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+        got = found.collect()
         assert len(got) == table.count()
         for x in got:
             w, hit, ids = word.findall(low(x.text or "")), set(), set()
