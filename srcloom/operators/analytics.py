@@ -113,8 +113,10 @@ def token_flow_pairs(account: DataFrame) -> DataFrame:
 
 def status_counts(review_doc: DataFrame, deprecated: str = "deprecated") -> DataFrame:
     """Documents by status, and their total without deprecated ones."""
-    counts = review_doc.groupBy("status").agg(F.count("*").alias("n"))
-    return counts.unionByName(review_doc.where(F.col("status") != deprecated).agg(F.lit("total").alias("status"), F.count("*").alias("n")))
+    total = F.grouping("status") == 1
+    n = F.when(total, F.count_if(F.coalesce(F.col("status") != deprecated, F.lit(False)))).otherwise(F.count(F.lit(1)))
+    both = review_doc.groupingSets([[F.col("status")], []], "status").agg(F.when(total, "total").otherwise(F.col("status")).alias("name"), n.alias("n"))
+    return both.select(F.col("name").alias("status"), "n")
 
 
 def corpus_counts(symbol: DataFrame, contract: DataFrame, call_edge: DataFrame, contract_function: DataFrame | None = None, contract_modifier: DataFrame | None = None, parse_error: DataFrame | None = None) -> DataFrame:

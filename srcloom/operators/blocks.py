@@ -13,7 +13,9 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from srcloom.functions.lexing import masked
 from srcloom.functions.text import file_stem, indent, lines_of, stable_id, stripped
+from srcloom.operators.containment import within
 
 
 @dataclass(frozen=True)
@@ -53,6 +55,16 @@ FULL_RULES = tuple(
 SYMBOL_KINDS = {"Function": "function", "Struct": "struct", "Enum": "enum", "Trait": "trait", "TraitImpl": "trait"}
 
 
+def masked_lines(source_file: DataFrame, language: str = "rust") -> DataFrame:
+    """source_lines with comments and the insides of literals blanked, and the line as it stands as `raw`.
+
+    What is scanned for structure (blocks, braces, fields) is scanned in these; what reads
+    comments, attributes or literals reads source_lines.
+    """
+    both = source_file.select("path", F.posexplode(F.arrays_zip(lines_of(masked(F.col("content"), language)).alias("line"), lines_of(F.col("content")).alias("raw"))).alias("at", "x"))
+    return both.select("path", (F.col("at") + 1).alias("line_no"), "x.line", indent(F.col("x.line")).alias("indent"), "x.raw")
+
+
 def source_lines(source_file: DataFrame) -> DataFrame:
     """One row for each line of each file."""
     out = source_file.select("path", F.posexplode(lines_of(F.col("content"))).alias("at", "line"))
@@ -105,7 +117,9 @@ def block_scan(source_line: DataFrame, rules=RULES, kinds=None, legacy: bool = F
     blocks = out.select(*partition, "h.kind", F.col("line_no").alias("start_line"), "h.end_line", "indent")
     if any(r.kind == "IfValidation" for r in picked):
         inner = blocks.where("kind = 'Validation'").select(*[F.col(c).alias(f"v_{c}") for c in partition], F.col("start_line").alias("v_start"))
-        ifs = blocks.where("kind = 'IfValidation'").join(inner, [F.col(c) == F.col(f"v_{c}") for c in partition] + [F.col("v_start").between(F.col("start_line"), F.col("end_line"))], "left_semi")
+        ifs = blocks.where("kind = 'IfValidation'")
+        held = within(inner, ifs, [(f"v_{c}", c) for c in partition], "v_start", F.col("start_line"), F.col("end_line")).select(*partition, "start_line").distinct()
+        ifs = ifs.join(held, [*partition, "start_line"], "left_semi").select(*blocks.columns)
         blocks = blocks.where("kind <> 'IfValidation'").unionByName(ifs)
     return blocks if kinds is None else blocks.where(F.col("kind").isin(*kinds))
 
@@ -113,7 +127,7 @@ def block_scan(source_line: DataFrame, rules=RULES, kinds=None, legacy: bool = F
 def block_in_range(source_line: DataFrame, symbol: DataFrame, rules=RULES, kinds=None) -> DataFrame:
     """Blocks inside the line range of each symbol: symbol_id, kind, start_line, end_line."""
     s = symbol.select("symbol_id", F.col("path").alias("s_path"), F.col("start_line").alias("s_from"), F.col("end_line").alias("s_to"))
-    inside = source_line.join(s, (F.col("path") == F.col("s_path")) & F.col("line_no").between(F.col("s_from"), F.col("s_to")))
+    inside = within(source_line, s, [("path", "s_path")], "line_no", F.col("s_from"), F.col("s_to"))
     out = block_scan(inside.select("path", "line_no", "line", "indent", F.col("symbol_id").alias("owner")), rules, kinds)
     return out.select(F.col("owner").alias("symbol_id"), "kind", "start_line", "end_line")
 
@@ -135,8 +149,8 @@ def block_name_visibility(block: DataFrame, source_line: DataFrame) -> DataFrame
 
 
 def symbol_extract(source_file: DataFrame, rules=RULES) -> DataFrame:
-    """Functions, structs, enums, traits and implementations of the files."""
-    lines = source_lines(source_file)
+    """Functions, structs, enums, traits and implementations of the files; what stands in comments and literals is none."""
+    lines = masked_lines(source_file).drop("raw")
     named = block_name_visibility(block_scan(lines, rules, list(SYMBOL_KINDS)), lines)
     item = F.create_map(*[F.lit(x) for kv in SYMBOL_KINDS.items() for x in kv])[F.col("kind")]
     program = "program" if "program" in source_file.columns else None
@@ -163,7 +177,8 @@ def symbol_classify(symbol: DataFrame, source_line: DataFrame, rules=RULES) -> D
     base = symbol.drop("sub_type").join(above.select("symbol_id", "above"), "symbol_id").join(heads, ["path", "start_line"])
     modules = block_scan(source_line, rules, ["Module"]).withColumn("symbol_id", stable_id(F.lit("mod"), F.col("path"), F.col("start_line")))
     program = modules.join(attribute_lines(modules, source_line), "symbol_id").where(F.col("above").rlike(r"#\[program\]")).select(F.col("path").alias("m_path"), F.col("start_line").alias("m_from"), F.col("end_line").alias("m_to"))
-    inside = base.where("item = 'function'").join(program, (F.col("path") == F.col("m_path")) & (F.col("start_line") > F.col("m_from")) & (F.col("end_line") < F.col("m_to")), "left_semi").select("symbol_id", F.lit(True).alias("in_program"))
+    inside = base.where("item = 'function'").select("symbol_id", "path", "start_line", "end_line")
+    inside = within(inside, program, [("path", "m_path")], "start_line", F.col("m_from") + 1, F.col("m_to"), "left_semi", F.col("end_line") < F.col("m_to")).select("symbol_id", F.lit(True).alias("in_program"))
     views = base.where(F.col("head").rlike(r"impl(<[^>]*>)?\s+TryFrom\s*<\s*&.*\[\s*AccountView\s*\]\s*>\s+for\s")).select("path", F.regexp_extract("head", r"\sfor\s+(\w+)", 1).alias("name")).distinct().withColumn("converts", F.lit(True))
     out = base.join(inside, "symbol_id", "left").join(views, ["path", "name"], "left")
     function = F.when(F.coalesce("in_program", F.lit(False)) | F.col("head").rlike(r"^\s*pub fn process\s*\(.*AccountView"), "EntryPoint").otherwise("Other")
@@ -204,7 +219,7 @@ def validations_in_functions(source_line: DataFrame, symbol: DataFrame, rules=RU
     blocks = block_in_range(source_line, symbol.where("item = 'function'") if "item" in symbol.columns else symbol, rules, ["IfValidation", "Validation"])
     ifs = blocks.where("kind = 'IfValidation'")
     cover = ifs.select(F.col("symbol_id").alias("i_id"), F.col("start_line").alias("i_from"), F.col("end_line").alias("i_to"))
-    alone = blocks.where("kind = 'Validation'").join(cover, (F.col("symbol_id") == F.col("i_id")) & (F.col("start_line") >= F.col("i_from")) & (F.col("end_line") <= F.col("i_to")), "left_anti")
+    alone = within(blocks.where("kind = 'Validation'"), cover, [("symbol_id", "i_id")], "start_line", F.col("i_from"), F.col("i_to"), "left_anti", F.col("end_line") <= F.col("i_to"))
     return ifs.unionByName(alone).select("symbol_id", F.col("kind").alias("origin"), "start_line", "end_line")
 
 
@@ -219,7 +234,7 @@ def doc_start(source_line: DataFrame, symbol: DataFrame) -> DataFrame:
 def struct_fields(symbol: DataFrame, source_line: DataFrame) -> DataFrame:
     """`pub name: type` fields of structs, in order."""
     s = symbol.select("symbol_id", F.col("path").alias("s_path"), F.col("start_line").alias("s_from"), F.col("end_line").alias("s_to"))
-    inside = source_line.join(s, (F.col("path") == F.col("s_path")) & (F.col("line_no") > F.col("s_from")) & (F.col("line_no") <= F.col("s_to")))
+    inside = within(source_line, s, [("path", "s_path")], "line_no", F.col("s_from") + 1, F.col("s_to"))
     text = stripped(F.col("line"))
     found = inside.where(text.rlike(r"^pub(\([a-z]+\))?\s+\w+\s*:")).select("symbol_id", "line_no", F.regexp_extract(text, r"^pub(?:\([a-z]+\))?\s+(\w+)\s*:", 1).alias("field"), F.regexp_extract(text, r":\s*(.*?),?\s*(?://.*)?$", 1).alias("type"))
     return found.select("symbol_id", F.row_number().over(Window.partitionBy("symbol_id").orderBy("line_no")).alias("ord"), "field", "type")

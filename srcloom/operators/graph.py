@@ -97,14 +97,15 @@ def bfs_tree(edge: DataFrame, roots: DataFrame, names: DataFrame | None = None,
     return found
 
 
-def _paths(base: DataFrame, rank, max_iter: int) -> tuple[DataFrame, DataFrame]:
-    """For each (contract, ancestor) the least array of ranks on the way up; and pairs that did not settle."""
-    edges = durable(base.select(F.col("contract_id").alias("c"), F.col("base_id").alias("b"), rank.alias("r")).where("c is not null and b is not null and c <> b"))
-    new = durable(edges.groupBy("c", F.col("b").alias("a")).agg(F.array(F.min("r")).alias("path")))
-    best = new
-    for _ in range(max_iter):
-        if new.isEmpty():
-            return best, new
+def _paths(edges: DataFrame, begun: tuple[DataFrame, DataFrame] | None = None, max_iter: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """For each (contract, ancestor) the least array of ranks on the way up; and pairs that did not settle. edges: c, b, r."""
+    if begun is None:
+        new = durable(edges.groupBy("c", F.col("b").alias("a")).agg(F.array(F.min("r")).alias("path")))
+        begun = new, new
+    best, new = begun
+    rounds = 0
+    while not new.isEmpty() and (max_iter is None or rounds < max_iter):
+        rounds += 1
         step = new.withColumnRenamed("c", "x").join(edges, F.col("x") == F.col("b")).groupBy(F.col("c"), "a").agg(F.min(F.concat(F.array("r"), "path")).alias("path"))
         step = step.where("c <> a")
         better = step.join(best.select("c", "a", F.col("path").alias("old")), ["c", "a"], "left").where("old is null or path < old").drop("old")
@@ -113,27 +114,70 @@ def _paths(base: DataFrame, rank, max_iter: int) -> tuple[DataFrame, DataFrame]:
     return best, new
 
 
+def _walks(edges: DataFrame, roots: DataFrame, reach: DataFrame) -> DataFrame:
+    """(contract_id, position, ancestor_id): the post-order of a walk from each root that visits nothing twice.
+
+    For contracts above a cycle, where ways have no least one; a root and the edges that it reaches are one group.
+    """
+    mine = roots.select(F.col("c").alias("root"), F.col("c").alias("node")).unionByName(roots.join(reach, F.col("c") == F.col("root")).select("root", "node")).distinct()
+    rows = mine.join(edges, F.col("node") == F.col("c")).select("root", "c", "b", "r")
+    kind = edges.schema["c"].dataType.simpleString()
+
+    def walk(key, frame):
+        import pandas as pd
+
+        below: dict = {}
+        for c, b in frame.sort_values("r")[["c", "b"]].itertuples(index=False):
+            below.setdefault(c, []).append(b)
+        out, visited = [], {key[0]}
+        stack = [(key[0], iter(below.get(key[0], [])))]
+        while stack:
+            node, rest = stack[-1]
+            child = next((b for b in rest if b not in visited), None)
+            if child is None:
+                out.append(node)
+                stack.pop()
+            else:
+                visited.add(child)
+                stack.append((child, iter(below.get(child, []))))
+        return pd.DataFrame({"contract_id": key[0], "position": range(1, len(out) + 1), "ancestor_id": out})
+
+    return rows.groupBy("root").applyInPandas(walk, f"contract_id {kind}, position int, ancestor_id {kind}")
+
+
 #: Ranks a node after everything above it: larger than any rank.
 _LAST = 1 << 30
 
 
-def linearize(base: DataFrame, contracts: DataFrame | None = None, max_iter: int = 200) -> DataFrame:
+def linearize(base: DataFrame, contracts: DataFrame | None = None, max_iter: int = 64) -> DataFrame:
     """(contract_id, position, ancestor_id): post-order of the ancestry with bases from right to left; the contract itself last.
 
     The first visit of an ancestor is on the path that is least when bases are
     ranked from the right; padding each path with a largest rank puts an
     ancestor behind its own ancestors, which is the order in which a depth-first
-    walk is done with them. Bases must not form cycles; pairs that do not settle
-    in max_iter rounds raise an error.
+    walk is done with them. There is one round for each level. If paths have not settled
+    after max_iter rounds, contracts above a cycle are looked for: these are
+    walked one by one, visiting nothing twice; the paths of all others go on to their end.
     """
     right = base.withColumn("r", F.row_number().over(Window.partitionBy("contract_id").orderBy(F.desc("ord"))))
-    best, open_ = _paths(right, F.col("r"), max_iter)
-    if not open_.isEmpty():
-        raise ValueError("the bases form a cycle, or lie deeper than max_iter")
+    edges = durable(right.select(F.col("contract_id").alias("c"), F.col("base_id").alias("b"), "r").where("c is not null and b is not null and c <> b"))
     own = contracts if contracts is not None else base.select("contract_id").unionByName(base.select(F.col("base_id").alias("contract_id")))
+    best, open_ = _paths(edges, max_iter=max_iter)
+    walked = None
+    if not open_.isEmpty():
+        reach = durable(dependency_closure(edges.select(F.col("c").alias("src"), F.col("b").alias("dst")), edges.select(F.col("c").alias("root"))))
+        cyclic = reach.where("root = node").select(F.col("root").alias("node")).distinct()
+        above = durable(reach.join(cyclic, "node", "left_semi").select(F.col("root").alias("c")).distinct())
+        if above.isEmpty():
+            best, _ = _paths(edges, (best, open_))
+        else:
+            walked = durable(_walks(edges, above, reach))
+            best, _ = _paths(durable(edges.join(above, "c", "left_anti")))
+            own = own.join(above.withColumnRenamed("c", "contract_id"), "contract_id", "left_anti")
     itself = own.select(F.col("contract_id").alias("c"), F.col("contract_id").alias("a"), F.array().cast("array<int>").alias("path")).distinct()
     w = Window.partitionBy("c").orderBy(F.concat("path", F.array(F.lit(_LAST))))
-    return best.unionByName(itself).select(F.col("c").alias("contract_id"), F.row_number().over(w).alias("position"), F.col("a").alias("ancestor_id"))
+    found = best.unionByName(itself).select(F.col("c").alias("contract_id"), F.row_number().over(w).alias("position"), F.col("a").alias("ancestor_id"))
+    return found if walked is None else found.unionByName(walked)
 
 
 def inheritance_chain(base: DataFrame, contract: DataFrame) -> DataFrame:

@@ -35,11 +35,18 @@ def report_state_changes(entry: DataFrame, account: DataFrame, fields: DataFrame
 def report_constraint_checklist(entry: DataFrame, account: DataFrame, source_line: DataFrame, commit_url: str = "") -> DataFrame:
     """Each validation as an unchecked item with the first line of its file that holds its text before @ (1 if none does).
 
-    entry: name, struct_id, path. Lines are looked at only in the entry's own file.
+    entry: name, struct_id, path; source_line has all lines of a file, numbered without gaps.
     """
     v = entry.select("struct_id", F.col("name").alias("entry_name"), "path").join(account.select("struct_id", F.col("ord").alias("a"), F.posexplode("validations").alias("k", "v")), "struct_id")
     needle = F.trim(F.substring_index("v", "@", 1))
-    at = v.withColumn("needle", needle).select("path", "needle").distinct().join(source_line.select("path", "line_no", "line"), "path").where(F.contains("line", F.col("needle"))).groupBy("path", "needle").agg(F.min("line_no").alias("line_no"))
+    # a file and the texts that are wanted of it are one row; each text is found in the file as a whole, not line by line
+    wanted = v.withColumn("needle", needle).where(~F.contains("needle", F.lit("\n"))).groupBy("path").agg(F.collect_set("needle").alias("needles"))
+    content = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
+    files = source_line.join(wanted.select("path"), "path", "left_semi").groupBy("path").agg(content.alias("content"), F.min("line_no").alias("first"))
+    spot = F.transform("needles", lambda n: F.struct(n.alias("needle"), F.instr("content", n).alias("at")))
+    met = files.join(wanted, "path").select("path", "first", "content", F.explode(F.filter(spot, lambda x: x["at"] > 0)).alias("x"))
+    breaks = F.length(F.regexp_replace(F.substring("content", F.lit(1), F.col("x.at")), "[^\n]", ""))
+    at = met.select("path", "x.needle", (F.col("first") + breaks).cast("int").alias("line_no"))
     out = v.withColumn("needle", needle).join(at, ["path", "needle"], "left")
     link = F.concat(F.lit(commit_url), "path", F.lit("#L"), F.coalesce("line_no", F.lit(1)).cast("string"))
     return _rows(out, "constraints", ["a", "k"], F.concat(F.lit("- [ ] "), "v", F.lit(" "), link))
@@ -64,11 +71,23 @@ def report_parameters(entry: DataFrame, closure: DataFrame, params: DataFrame, s
     return _rows(p, "parameters", ["depth", "symbol_id", "k"], line)
 
 
-def report_accounts(entry: DataFrame, account: DataFrame, kept_items: DataFrame) -> DataFrame:
-    """Account declarations without their validation items. kept_items: struct_id, ord, items."""
+def report_accounts(entry: DataFrame, account: DataFrame, kept_items: DataFrame, struct_text: DataFrame | None = None) -> DataFrame:
+    """Account declarations without their validation items; of structs of reference-style accounts the whole text instead.
+
+    kept_items: struct_id, ord, items; struct_text: struct_id, content, if the texts of the
+    structs are at hand. A struct is of the reference style if its text has AccountView,
+    or AccountInfo and no Account<.
+    """
+    named = entry.select("struct_id", F.col("name").alias("entry_name"))
     d = account.select("struct_id", "ord", "account_name", "struct_name").join(kept_items, ["struct_id", "ord"]).withColumnRenamed("ord", "k")
     head = F.when(F.size("items") > 0, F.concat(F.lit("#[account("), F.array_join("items", ", "), F.lit(")] "))).otherwise("")
-    return _rows(d.join(entry.select("struct_id", F.col("name").alias("entry_name")), "struct_id"), "accounts", ["k"], F.concat(head, F.lit("pub "), "account_name", F.lit(": "), "struct_name"))
+    declared = d.select("struct_id", "k", F.concat(head, F.lit("pub "), "account_name", F.lit(": "), "struct_name").alias("text"))
+    if struct_text is not None:
+        has = lambda word: F.contains("content", F.lit(word))
+        plain = struct_text.where(has("AccountView") | (has("AccountInfo") & ~has("Account<")))
+        whole = plain.select("struct_id", F.posexplode(F.split("content", "\n")).alias("k", "text"))
+        declared = declared.join(plain.select("struct_id"), "struct_id", "left_anti").unionByName(whole)
+    return _rows(declared.join(named, "struct_id"), "accounts", ["k"], F.col("text"))
 
 
 def report_validations(entry: DataFrame, account: DataFrame, closure: DataFrame, in_functions: DataFrame, symbol: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from srcloom.functions.text import path_fragment, plain_path
+from srcloom.operators.containment import within
 from srcloom.sources.shared import durable
 
 EDGE = ["caller_id", "callee_name", "callee_id", "resolution", "rule"]
@@ -24,8 +25,8 @@ def impl_from_to(impl: DataFrame, name: str = "name") -> DataFrame:
 
 def impl_members(impl_block: DataFrame, symbol: DataFrame) -> DataFrame:
     """Functions strictly inside an implementation of the same file, with their signature `impl_to::name`."""
-    i = impl_block.select("impl_id", "impl_to", "path", F.col("start_line").alias("i_from"), F.col("end_line").alias("i_to"))
-    inside = symbol.join(i, "path").where((F.col("start_line") > F.col("i_from")) & (F.col("end_line") < F.col("i_to")))
+    i = impl_block.select("impl_id", "impl_to", F.col("path").alias("i_path"), F.col("start_line").alias("i_from"), F.col("end_line").alias("i_to"))
+    inside = within(symbol, i, [("path", "i_path")], "start_line", F.col("i_from") + 1, F.col("i_to"), also=F.col("end_line") < F.col("i_to"))
     return inside.select("impl_id", "symbol_id", F.concat("impl_to", F.lit("::"), "name").alias("signature"))
 
 
@@ -120,7 +121,7 @@ def resolve_method_call(call_site: DataFrame, params: DataFrame, impl_member: Da
     """
     calls = call_site.where("call_kind = 'method'").select("caller_id", "callee_name", "qualifier")
     own = impl_member.join(impl_block.select("impl_id", "impl_to"), "impl_id").groupBy(F.col("symbol_id").alias("caller_id")).agg(F.min(F.struct("impl_id", "impl_to"))["impl_to"].alias("own_type"))
-    p = params.groupBy(F.col("symbol_id").alias("caller_id"), F.col("param_name").alias("root")).agg(F.first("type_name").alias("type_name"), F.first("context_inner").alias("context_inner"))
+    p = params.groupBy(F.col("symbol_id").alias("caller_id"), F.col("param_name").alias("root")).agg(F.min(F.struct("type_name", "context_inner")).alias("t")).select("caller_id", "root", "t.*")
     out = calls.withColumns({"is_self": F.col("qualifier").rlike(r"^self(\.|$)"), "is_accounts": F.col("qualifier").rlike(r"^\w+\.accounts$"), "root": F.regexp_extract("qualifier", r"^(\w+)", 1)})
     out = out.join(own, "caller_id", "left").join(p, ["caller_id", "root"], "left")
     plain = F.col("qualifier") == F.col("root")
@@ -190,7 +191,8 @@ def entry_struct_fallback(symbol: DataFrame, source_line: DataFrame) -> DataFram
     entries = symbol.where("item = 'function' and sub_type = 'EntryPoint'").select(F.col("symbol_id").alias("function_id"), "name", "path", "start_line", "end_line")
     structs = symbol.where("item = 'struct' and sub_type = 'ContextAccounts'")
     same = structs.groupBy("path").agg(F.min(F.struct("start_line", "symbol_id"))["symbol_id"].alias("same_file"))
-    used = entries.join(source_line.select(F.col("path").alias("l_path"), "line_no", "line"), (F.col("path") == F.col("l_path")) & F.col("line_no").between(F.col("start_line"), F.col("end_line")))
+    lines = source_line.where(F.contains("line", F.lit("::try_from"))).select(F.col("path").alias("l_path"), "line_no", "line")
+    used = within(lines, entries, [("l_path", "path")], "line_no", F.col("start_line"), F.col("end_line"))
     used = used.withColumn("x", F.regexp_extract("line", r"(\w+)::try_from\(\s*accounts", 1)).where("x <> ''").groupBy("function_id").agg(F.min(F.struct("line_no", "x"))["x"].alias("x"))
     named = used.join(symbol.where("item = 'struct'").groupBy(F.col("name").alias("x")).agg(F.min("symbol_id").alias("by_name")), "x", "left")
     out = entries.join(same, "path", "left").join(named, "function_id", "left")

@@ -60,12 +60,14 @@ def resolve_bases(contract: DataFrame, visible: DataFrame) -> tuple[DataFrame, D
     return found.where("n = 1").select("contract_id", (F.col("at") + 1).alias("ord"), "base_id"), bad
 
 
-def contract_corpus(source_file: DataFrame, remaps: DataFrame, roots: DataFrame | None = None) -> dict[str, DataFrame]:
+def contract_corpus(source_file: DataFrame, remaps: DataFrame) -> dict[str, DataFrame]:
     """The tables of a corpus of Solidity files: contract, base, function, modifier, storage, event, import, site, reject; all ids by path and name.
 
     function: function_id, contract_id, contract, name, n_params, types, params, visibility, mutability,
-    modifiers, path, start_line, end_line; site: function_id, contract_id, callee.
+    modifiers, path, start_line, end_line; site: function_id, contract_id, callee. A file that can't be read to its end
+    gives reject rows and nothing else.
     """
+    every, source_file = source_file, source_file.where(F.size(problems(F.col("content"), "solidity")) == 0)
     tables = K.contract_extract(source_file)
     with_id = lambda df: df.withColumn("contract_id", F.concat_ws("|", "path", "contract"))
     contract = durable(with_id(tables["contract"]).withColumn("name", F.col("contract")).drop("contract"))
@@ -87,7 +89,7 @@ def contract_corpus(source_file: DataFrame, remaps: DataFrame, roots: DataFrame
         "event": with_id(tables["event_def"]),
         "import": imports,
         "site": site,
-        "reject": bad.unionByName(lost).unionByName(rejects(source_file, "solidity")),
+        "reject": bad.unionByName(lost).unionByName(rejects(every, "solidity")),
     }
 
 

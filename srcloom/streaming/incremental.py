@@ -10,7 +10,6 @@ table grows. `compact` folds the log, so that reading costs what is current.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -42,10 +41,10 @@ def incremental_symbols(spark: SparkSession, stream_dir: str, target: str, rules
 
 def _base(spark: SparkSession, target: str) -> tuple[DataFrame, int] | None:
     """The newest folded state and the last batch that is in it."""
-    try:
-        every = spark.read.parquet(f"{target}/base")
-    except AnalysisException:  # nothing was folded yet
-        return None
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/base")
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return None  # nothing was folded yet; a table that is there but can't be read is an error
+    every = spark.read.parquet(f"{target}/base")
     upto = every.agg(F.max("upto")).first()[0]
     return every.where(F.col("upto") == upto).drop("upto"), upto
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -13,8 +15,11 @@ from srcloom.operators import blocks as B
 from srcloom.operators import calls as C
 from srcloom.operators import contracts as K
 from srcloom.operators import graph as G
+from srcloom.operators import reports as Q
 from srcloom.operators import resolve as R
 from srcloom.operators import review as V
+from srcloom.operators import solidity as Y
+from srcloom.operators.containment import within
 from srcloom.sources import files as S
 
 BLOCKS = """pub mod program {
@@ -280,8 +285,6 @@ def test_linearization(spark):
     assert order == {1: [1], 2: [1, 2], 3: [1, 3], 4: [1, 3, 2, 4]}
     f = spark.createDataFrame([(1, "a", 0), (3, "a", 0), (1, "b", 1), (2, "b", 1)], "contract_id int, name string, n_params int")
     assert (4, 3, "a") in got(G.effective_functions(G.linearize(base), f), "contract_id", "defined_in", "name")
-    with pytest.raises(ValueError):
-        G.linearize(spark.createDataFrame([(1, 1, 9), (1, 2, 2), (2, 1, 1)], "contract_id int, ord int, base_id int"), max_iter=6)
 
 
 def test_lifecycle_buckets_exclude(spark):
@@ -462,3 +465,67 @@ def test_nearest_definitions(spark):
     names = spark.createDataFrame([(4, "f", "f4"), (3, "f", "f3"), (5, "g", "g5"), (1, "h", "h1"), (1, "h", "h1b"), (2, "h", "h2"), (6, "k", "k6")], "contract_id int, name string, dep_id string")
     found = K.nearest_definitions(base, names)
     assert got(found.where("contract_id in (1, 6)"), "contract_id", "name", "rank", "dep_id") == sorted([(1, "f", 1, "f3"), (1, "f", 2, "f4"), (1, "g", 1, "g5"), (1, "h", 1, "h1"), (1, "h", 2, "h1b"), (1, "k", 1, "k6"), (6, "k", 1, "k6"), (6, "h", 1, "h2"), (6, "f", 1, "f4")], key=str)
+
+
+def test_containment_of_large_files(spark):
+    n = 20_000
+    lines = spark.range(1, 10 * n + 1).select(F.lit("f").alias("path"), F.col("id").cast("int").alias("line_no"))
+    spans = spark.range(n).select(F.lit("f").alias("s_path"), F.col("id").alias("s"), (F.col("id") * 10 + 2).cast("int").alias("low"), (F.col("id") * 10 + 9).cast("int").alias("high")).unionByName(spark.createDataFrame([("f", -1, 1, 10 * n), ("g", -2, 1, 5), ("f", -3, 7, 3)], "s_path string, s long, low int, high int"))
+    met = within(lines, spans, [("path", "s_path")], "line_no", F.col("low"), F.col("high"))
+    assert "NestedLoop" not in met._jdf.queryExecution().executedPlan().toString()
+    assert got(met.groupBy(F.col("s") >= 0).count(), "count") == [(8 * n,), (10 * n,)]
+    assert got(met.where("s >= 0 and line_no not between s * 10 + 2 and s * 10 + 9"), "s") == []
+    assert within(lines, spans, [("path", "s_path")], "line_no", F.col("low"), F.col("high"), "left_anti", F.col("s") >= 0).count() == 2 * n
+
+
+def test_status_totals_in_one_pass(spark):
+    docs = spark.createDataFrame([("a",), ("a",), ("deprecated",), (None,)], "status string")
+    assert got(N.status_counts(docs), "status", "n") == sorted([("a", 2), ("deprecated", 1), (None, 1), ("total", 2)], key=str)
+
+
+def test_reference_style_accounts_show_their_text(spark):
+    entry = spark.createDataFrame([(1, "e1"), (2, "e2"), (3, "e3")], "struct_id int, name string")
+    account = spark.createDataFrame([(1, 1, "a", "State"), (2, 1, "b", "View"), (3, 1, "c", "Info")], "struct_id int, ord int, account_name string, struct_name string")
+    items = spark.createDataFrame([(k, 1, ["mut"]) for k in (1, 2, 3)], "struct_id int, ord int, items array<string>")
+    text = spark.createDataFrame([(1, "pub struct A {\n  a: Account<State>, b: AccountInfo\n}"), (2, "pub struct B {\n  b: &'a AccountView,\n}"), (3, "struct C { c: AccountInfo }")], "struct_id int, content string")
+    found = Q.report_accounts(entry, account, items, text)
+    assert got(found, "entry_name", "ord", "line") == sorted([("e1", 1, "#[account(mut)] pub a: State"), ("e2", 1, "pub struct B {"), ("e2", 2, "  b: &'a AccountView,"), ("e2", 3, "}"), ("e3", 1, "struct C { c: AccountInfo }")], key=str)
+
+
+def test_rejects_and_names_by_file(spark):
+    files = {
+        "a/x.sol": 'import "./y.sol"; import {B as Q} from "../b/x.sol"; contract C is B, Q, None_ { function f() external { g(); } }',
+        "a/y.sol": 'import "./x.sol"; contract B { function g() internal {} }',
+        "b/x.sol": "contract B { function h() internal {} } contract D is B { }",
+        "b/z.sol": 'import "../a/y.sol"; import "./x.sol"; contract E is B { }',
+        "c/open.sol": "contract F { /* never closed",
+        "c/wide.sol": "contract G { function g() public { } ",
+    }
+    t = Y.contract_entries(spark.createDataFrame(list(files.items()), "path string, content string"), spark.createDataFrame([], "prefix string, target string"))
+    assert got(t["base"], "contract_id", "ord", "base_id") == [("a/x.sol|C", 1, "a/y.sol|B"), ("a/x.sol|C", 2, "b/x.sol|B"), ("b/x.sol|D", 1, "b/x.sol|B")]
+    assert got(t["reject"], "path", "name", "reason") == sorted([("a/x.sol", "None_", "unknown base"), ("b/z.sol", "B", "ambiguous base"), ("c/open.sol", None, "open comment"), ("c/wide.sol", None, "unbalanced brackets")], key=str)
+    assert got(t["contract"], "contract_id") == [(x,) for x in ("a/x.sol|C", "a/y.sol|B", "b/x.sol|B", "b/x.sol|D", "b/z.sol|E")]
+    assert got(t["tree"], "node", "depth") == [("a/x.sol|C|f()", 0), ("a/y.sol|B|g()", 1)]
+
+
+def test_linearization_of_cycles_and_of_deep_chains(spark):
+    """Post-order walks with a visited rule, as a plain walk does them."""
+    rng = random.Random(2)
+    edges = [(k, 1, k + 1) for k in range(90)] + [(200, 1, 201), (201, 1, 202), (201, 2, 204), (202, 1, 200), (202, 2, 203), (205, 1, 201), (205, 2, 10)]
+    edges += [(300 + k, o, 300 + rng.randrange(12)) for k in range(12) for o in (1, 2, 3)]
+    bases = {}
+    for c, o, b in edges:
+        bases.setdefault(c, []).append((o, b))
+
+    def walk(c, out, visited):
+        if c not in visited:
+            visited.add(c)
+            for _, b in sorted(bases.get(c, []), reverse=True):
+                walk(b, out, visited)
+            out.append(c)
+        return out
+
+    found = {}
+    for r in G.linearize(spark.createDataFrame(edges, "contract_id int, ord int, base_id int"), max_iter=20).orderBy("contract_id", "position").collect():
+        found.setdefault(r.contract_id, []).append(r.ancestor_id)
+    assert found == {c: walk(c, [], set()) for c in {x for c, _, b in edges for x in (c, b)}}
