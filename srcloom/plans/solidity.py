@@ -162,3 +162,77 @@ def r7_contract_entry_report(spark, d):
 def a8_contract_rejects(spark, d):
     """What of the vault files could not be read or resolved."""
     return _tables(spark, d)["reject"]
+
+
+def damaged_files(spark, d):
+    """The vault files, of which some end in a comment that is never closed and some in an open brace."""
+    key = F.regexp_extract("path", r"src/V(\d+)\.sol", 1).try_cast("long") % 7
+    return vault_files(spark, d).withColumn("content", F.concat("content", F.when(key == 0, "/* never closed").when(key == 3, "{").otherwise("")))
+
+
+@register("a8_counts_from_text", PARTS + """, t AS (SELECT DISTINCT b FROM v), n AS (SELECT count(*) AS n FROM customer),
+good AS (SELECT * FROM v WHERE CAST(n AS BIGINT) % 7 NOT IN (0, 3)),
+c AS (SELECT (SELECT count(*) FROM good) AS g, (SELECT count(*) FROM good WHERE even) AS e, (SELECT count(*) FROM t) AS t, (SELECT count(*) FROM v) AS v, (SELECT n FROM n) AS n)
+SELECT metric, k AS n FROM c, LATERAL (VALUES ('symbol:function', 5*n), ('symbol:struct', n), ('symbol:trait', 2*n), ('contract:src', 3*g + 2*t), ('contract:lib', t), ('functions', 5*g + 2*e + 6*t), ('modifiers', t), ('calls', 7*g + e + t), ('parse_errors', v - g)) AS w(metric, k)""")
+def a8_counts_from_text(spark, d):
+    """All counts of a corpus from its text; parse errors are the files that could not be read to their end."""
+    from srcloom.operators.analytics import corpus_counts
+    from srcloom.operators.blocks import symbol_extract
+
+    from .resolving import program_files
+
+    t = S.contract_corpus(damaged_files(spark, d), spark.createDataFrame([("@tok/", "src/lib/token/")], "prefix string, target string"))
+    symbol = symbol_extract(program_files(spark, d)).withColumn("kind", F.col("item"))
+    return corpus_counts(symbol, t["contract"], t["site"], t["function"], t["modifier"], t["reject"].where("item = 'file'"))
+
+
+@register("e7_wrapped_calls", """SELECT 'w' || s_suppkey || '.rs' AS path, call_kind, callee_name, qualifier FROM (SELECT s_suppkey, CAST(s_suppkey AS VARCHAR) AS n FROM supplier), LATERAL (VALUES
+('method', 'move_' || n, 'self.vault'), ('method', 'check_' || n, 'ctx.accounts.pool'), ('method', 'close_' || n, CAST(NULL AS VARCHAR)), ('free', 'price_' || n, NULL), ('static', 'open_' || n, 'Store'), ('method', 'then_' || n, 'self.vault.move_' || n || '()')) AS v(call_kind, callee_name, qualifier)""")
+def e7_wrapped_calls(spark, d):
+    """Calls in formatted code: chains and arguments over lines, comments between them, and calls in comments and strings that are none."""
+    from srcloom.operators import blocks as B
+    from srcloom.operators import calls as C
+
+    text = """fn run(a: u64) -> Result<()> {
+    self.vault
+        .move_@N(
+            price_@N(a), // old_@N(a)
+        )
+        .then_@N();
+    /* gone_@N(a);
+       /* nested_@N(a); */ still_@N(a);
+    */
+    let note = "said_@N(a) // {";
+    let raw = r#"raw_@N("x") } "#;
+    ctx.accounts
+        .pool
+        .check_@N()?
+        .close_@N();
+    Store::
+        open_@N(a);
+}
+"""
+    n = F.col("s_suppkey").cast("string")
+    files = view(spark, d, "supplier").select(F.concat(F.lit("w"), n, F.lit(".rs")).alias("path"), F.replace(F.lit(text), F.lit("@N"), n).alias("content"))
+    symbol = B.symbol_extract(files)
+    found = C.call_sites(B.source_lines(files), symbol, C.noise_table(spark))
+    return found.join(symbol.select(F.col("symbol_id").alias("caller_id"), "path"), "caller_id").select("path", "call_kind", "callee_name", "qualifier")
+
+
+@register("e10_wrapped_imports", PARTS + """SELECT 'src/V' || n || '.sol' AS path, import_path, symbol, alias, CAST(line AS INT) AS line FROM v, LATERAL (VALUES ('./base/B' || b || '.sol', 'Base' || b, CAST(NULL AS VARCHAR), 3), ('./base/B' || b || '.sol', 'Util', 'U' || n, 3), ('@tok/T' || b || '.sol', NULL, NULL, 7)) AS w(import_path, symbol, alias, line)""")
+def e10_wrapped_imports(spark, d):
+    """Import groups over several lines, with comments between their names."""
+    from srcloom.operators.calls import sol_imports
+
+    return sol_imports(vault_files(spark, d).where("path like 'src/V%'")).select("path", "import_path", "symbol", "alias", "line")
+
+
+@register("e1_masked_lines", """SELECT 'm' || s_suppkey || '.rs' AS path, CAST(line_no AS INT) AS line_no, line FROM supplier, LATERAL (VALUES (1, 'fn a() { let s = "' || repeat(' ', 13 + length(CAST(s_suppkey AS VARCHAR))) || '"; }'), (2, repeat(' ', 11)), (3, repeat(' ', 16) || 'b('), (4, '  "  "); ' || repeat(' ', 6))) AS v(line_no, line)""")
+def e1_masked_lines(spark, d):
+    """Lines with comments and the insides of literals blanked, over line ends."""
+    from srcloom.operators.blocks import masked_lines
+
+    n = F.col("s_suppkey").cast("string")
+    text = F.concat(F.lit('fn a() { let s = "} // { no_'), n, F.lit('() "; }\n/* one { /*\n two */ } */    b(\n  \'\\n\'); // end'))
+    files = view(spark, d, "supplier").select(F.concat(F.lit("m"), n, F.lit(".rs")).alias("path"), text.alias("content"))
+    return masked_lines(files).select("path", "line_no", "line")
