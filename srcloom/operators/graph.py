@@ -11,24 +11,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from srcloom.operators.components import components
 from srcloom.sources.shared import durable
 
 
-def dependency_closure(edge: DataFrame, roots: DataFrame, max_iter: int | None = None, multiplicity: bool = False) -> DataFrame:
+#: Rounds after which deep parts of a graph are walked in tasks; edges of a component that may be; roots of one such task.
+PLAIN_ROUNDS, SMALL, ROOTS = 24, 200_000, 32
+
+
+def dependency_closure(edge: DataFrame, roots: DataFrame, max_iter: int | None = None, multiplicity: bool = False, plain_rounds: int = PLAIN_ROUNDS) -> DataFrame:
     """(root, node, depth): every node reachable from a root over at least one edge, with the fewest edges.
 
     A root on a cycle reaches itself. multiplicity adds n_callers, how many
-    reachable nodes (the root included) call the node.
+    reachable nodes (the root included) call the node. What is deeper than plain_rounds is
+    not followed edge by edge over the cluster: connected parts of the graph with up
+    to SMALL edges (a program, a repository) are walked to their end in one task for some roots
+    each, so a chain of n nodes takes plain_rounds and some log n rounds. Larger parts
+    go on in rounds.
     """
     edges = durable(edge.select("src", "dst").where("src is not null and dst is not null").distinct())
     start = roots.select("root").distinct()
     new = durable(start.join(edges, F.col("root") == F.col("src")).select("root", F.col("dst").alias("node")).distinct().withColumn("depth", F.lit(1)))
     seen, depth = Seen(new, ["root", "node"]), 1
+    deep = None
     while (max_iter is None or depth < max_iter) and not new.isEmpty():
+        if depth == plain_rounds and deep is None and max_iter is None:
+            walked, new = _deep_walks(edges, new)
+            deep = (walked, walked.select("root").distinct())
+            if new.isEmpty():
+                break
         depth += 1
         step = new.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
         new = seen.add(step.withColumn("depth", F.lit(depth)))
     found = seen.rows()
+    if deep is not None:
+        found = durable(found.join(deep[1], "root", "left_anti").unionByName(deep[0]))
     if not multiplicity:
         return found
     callers = found.select("root", F.col("node").alias("src")).unionByName(start.select("root", F.col("root").alias("src"))).distinct()
@@ -36,6 +53,37 @@ def dependency_closure(edge: DataFrame, roots: DataFrame, max_iter: int | None =
     return found.join(counts, ["root", "node"])
 
 
+def _deep_walks(edges: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(root, node, depth) of all roots of new that lie in a small connected part, walked whole; and the rows of new of the other roots."""
+    part = durable(components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))))
+    of = part.select(F.col("node").alias("src"), F.col("root").alias("part"))
+    sized = durable(edges.join(of, "src").groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") <= SMALL))
+    mine = new.select("root").distinct().join(of.withColumnRenamed("src", "root"), "root").join(sized, "part", "left_semi")
+    groups = durable(mine.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("root"))).withColumn("k", F.floor(F.col("k") / ROOTS)))
+    wanted = groups.select("part", "k").distinct()
+    inside = edges.join(of, "src").join(wanted, "part").select(F.col("part").alias("of_part"), F.col("k").alias("of_k"), "src", "dst")
+    kind = edges.schema["src"].dataType.simpleString()
+
+    def walk(key, roots, links):
+        import pandas as pd
+
+        below: dict = {}
+        for a, b in zip(links["src"].tolist(), links["dst"].tolist(), strict=True):
+            below.setdefault(a, []).append(b)
+        out: list[tuple] = []
+        for root in roots["root"].tolist():
+            depth, level, met = 0, [root], set()
+            while level:
+                depth += 1
+                level = list(dict.fromkeys(b for a in level for b in below.get(a, ()) if b not in met))
+                met.update(level)
+                out += [(root, b, depth) for b in level]
+        return pd.DataFrame(out, columns=["root", "node", "depth"])
+
+    walked = groups.groupBy("part", "k").cogroup(inside.groupBy("of_part", "of_k")).applyInPandas(walk, f"root {kind}, node {kind}, depth int")
+    return durable(walked), durable(new.join(groups.select("root"), "root", "left_anti"))
+
+
 class Seen:
     """Rows found so far, by key.
 

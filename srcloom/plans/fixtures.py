@@ -37,6 +37,9 @@ FROM orders""",
     "fx_edge": """
 SELECT DISTINCT o_custkey AS src, CASE WHEN o_orderkey % 500 = 0 THEN greatest(o_custkey - 20, 0) ELSE o_custkey - o_custkey % 40 + least(39, o_custkey % 40 + 1 + o_orderkey % 3) END AS dst
 FROM orders""",
+    "fx_deep_edge": """
+SELECT c_custkey AS src, c_custkey + 1 AS dst FROM customer WHERE (c_custkey + 1) % 2000 <> 0
+UNION ALL SELECT c_custkey, -1 - CAST(floor(c_custkey / 2000.0) AS BIGINT) FROM customer WHERE c_custkey % 50 = 0""",
     "fx_contract": """
 SELECT p_partkey AS contract_id, concat('C', CAST(p_partkey AS STRING)) AS name,
   CASE p_partkey % 4 WHEN 0 THEN 'Interface' WHEN 1 THEN 'Abstract' WHEN 2 THEN 'Contract' ELSE 'Library' END AS contract_type,

@@ -165,6 +165,13 @@ def g1m_closure_multiplicity(spark, d):
     return G.dependency_closure(_edges(spark, d), _roots(spark, d), multiplicity=True).select("root", "node", "n_callers")
 
 
+@register("g1_deep_closure", with_sql("fx_deep_edge", more="""ends AS (SELECT max(c_custkey) + 1 AS last FROM customer), r AS (SELECT c_custkey AS root, least((c_custkey // 2000) * 2000 + 1999, last) AS top FROM customer, ends WHERE c_custkey % 500 = 0)""") + """SELECT root, node, CAST(node - root AS INT) AS depth FROM r, LATERAL (SELECT unnest(range(root + 1, top + 1)) AS node) UNION ALL SELECT root, -1 - root // 2000, 1 FROM r""")
+def g1_deep_closure(spark, d):
+    """Chains of up to 2,000 nodes, of which every fiftieth also calls the hub of its chain."""
+    roots = view(spark, d, "customer").where("c_custkey % 500 = 0").select(F.col("c_custkey").alias("root"))
+    return G.dependency_closure(view(spark, d, "fx_deep_edge"), roots)
+
+
 @register("g2_bfs_tree", with_sql("fx_symbol", "fx_edge", more="""roots AS (SELECT symbol_id AS root FROM fx_symbol WHERE symbol_id % 100 = 0),
 walk AS (SELECT root, root AS node, 0 AS depth FROM roots UNION SELECT w.root, e.dst, w.depth + 1 FROM walk w JOIN fx_edge e ON e.src = w.node WHERE w.depth < 400 AND e.src <> e.dst),
 best AS (SELECT root, node, min(depth) AS depth FROM walk GROUP BY root, node)""") + """SELECT b.root, b.node, CAST(b.depth AS INT) AS depth, (SELECT min(p.node) FROM best p JOIN fx_edge e ON e.src = p.node AND e.dst = b.node WHERE p.root = b.root AND p.depth = b.depth - 1) AS parent FROM best b""")

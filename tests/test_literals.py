@@ -529,3 +529,29 @@ def test_linearization_of_cycles_and_of_deep_chains(spark):
     for r in G.linearize(spark.createDataFrame(edges, "contract_id int, ord int, base_id int"), max_iter=20).orderBy("contract_id", "position").collect():
         found.setdefault(r.contract_id, []).append(r.ancestor_id)
     assert found == {c: walk(c, [], set()) for c in {x for c, _, b in edges for x in (c, b)}}
+
+
+def test_deep_closures_take_few_rounds(spark):
+    n = 5_000
+    rng = random.Random(5)
+    edges = [(k, k + 1) for k in range(n)] + [(10_000 + rng.randrange(60), 10_000 + rng.randrange(60)) for _ in range(70)] + [(n, n - 3), (20_000, 20_001)]
+    edge, roots = spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame([(0,), (4_000,), (10_001,), (10_002,), (20_000,), (99,)], "root long")
+    rounds = []
+    plain = G.durable
+    try:
+        G.durable = lambda df: rounds.append(1) or plain(df)
+        found = got(G.dependency_closure(edge, roots, plain_rounds=6), "root", "node", "depth")
+    finally:
+        G.durable = plain
+    below = {}
+    for a, b in edges:
+        below.setdefault(a, set()).add(b)
+    want = []
+    for (root,) in [(0,), (4_000,), (10_001,), (10_002,), (20_000,), (99,)]:
+        depth, level, met = 0, {root}, set()
+        while level:
+            depth += 1
+            level = {b for a in level for b in below.get(a, ())} - met
+            met |= level
+            want += [(root, b, depth) for b in level]
+    assert found == sorted(want, key=str) and len(rounds) < 16
