@@ -92,10 +92,10 @@ def test_stages_on_odd_rows(spark, odd_dir):
 
 def test_registered_queries():
     numbered = [q for q in entry.queries() if re.match(r"op\d+_", q)]
-    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in numbered) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in numbered) == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
-@pytest.mark.parametrize("name", ["op3_revisits", "op6_sharding"])
+@pytest.mark.parametrize("name", ["op3_revisits", "op6_sharding", "op13_lexical_search"])
 def test_sql(spark, name):
     from tests.support import same_as_sql
 
