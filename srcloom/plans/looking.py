@@ -133,7 +133,7 @@ def s6_write_metadata(spark, d):
         S.write_metadata({n: t.where("false") for n, t in tables.items()}, folder, "other", "audit")
     except ValueError:
         pass
-    symbol, impl = spark.read.parquet(f"{folder}/symbol"), spark.read.parquet(f"{folder}/impl")
+    symbol, impl = S.metadata_table(spark, folder, "symbol"), S.metadata_table(spark, folder, "impl")
     return symbol.select(F.lit("symbol").alias("t"), F.col("symbol_id").alias("id"), "name", "program").unionByName(impl.select(F.lit("impl").alias("t"), F.col("impl_id").alias("id"), F.col("impl_to").alias("name"), F.lit(None).cast("string").alias("program")))
 
 

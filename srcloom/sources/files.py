@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -75,12 +77,24 @@ def defaulted(df: DataFrame) -> DataFrame:
 
 
 def write_metadata(tables: dict[str, DataFrame], folder: str, project: str, expected: str) -> None:
-    """Tables as Parquet, by program; nothing is written for another project."""
+    """Tables as Parquet, by program, all of one state; nothing is written for another project.
+
+    Every call writes a version of its own, and only when all tables are there is it named
+    in the table of versions, which readers follow (metadata_table). So a call that fails half-way changes nothing for them.
+    """
     if project != expected:
         raise ValueError(f"metadata of {expected} is not overwritten by {project}")
+    version = uuid.uuid4().hex
     for name, df in tables.items():
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy("program") if "program" in df.columns else writer).parquet(f"{folder}/{name}")
+        (df.write.partitionBy("program") if "program" in df.columns else df.write).parquet(f"{folder}/version-{version}/{name}")
+    spark = next(iter(tables.values())).sparkSession
+    spark.createDataFrame([(version, time.time_ns())], "version string, at long").coalesce(1).write.mode("append").parquet(f"{folder}/versions")
+
+
+def metadata_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of the newest complete version."""
+    version = spark.read.parquet(f"{folder}/versions").agg(F.max(F.struct("at", "version"))["version"]).first()[0]
+    return spark.read.parquet(f"{folder}/version-{version}/{name}")
 
 
 def export_json(df: DataFrame) -> DataFrame:

@@ -384,7 +384,13 @@ def test_metadata_round_trip(spark, tmp_path):
     tables = S.read_metadata(spark, [str(tmp_path / "m.json")], schema)
     assert got(tables["functions"], "name", "line") == [("f", 0), ("g", 3)] and tables["structs"].count() == 0
     S.write_metadata(tables, str(tmp_path / "out"), "x", "x")
-    assert spark.read.parquet(str(tmp_path / "out" / "functions")).count() == 2
+    assert S.metadata_table(spark, str(tmp_path / "out"), "functions").count() == 2
+    fewer = {"functions": tables["functions"].limit(1), "structs": tables["structs"].withColumn("name", F.raise_error(F.lit("lost")).cast("string")).unionByName(tables["functions"].select("name", F.lit(None).cast("array<string>").alias("tags")).withColumn("name", F.raise_error(F.lit("lost")).cast("string")))}
+    with pytest.raises(Exception, match="lost"):
+        S.write_metadata(fewer, str(tmp_path / "out"), "x", "x")
+    assert S.metadata_table(spark, str(tmp_path / "out"), "functions").count() == 2  # a version that is not complete is not read
+    S.write_metadata({"functions": tables["functions"].limit(1)}, str(tmp_path / "out"), "x", "x")
+    assert S.metadata_table(spark, str(tmp_path / "out"), "functions").count() == 1
     with pytest.raises(ValueError):
         S.write_metadata(tables, str(tmp_path / "out"), "y", "x")
 
