@@ -84,7 +84,8 @@ def _opens(rule: BlockRule, legacy: bool) -> Column:
         first = _any(bare.startswith(w) for w in rule.opens)
     else:  # the word must end there; validation words may go on (require_eq!)
         edge = "" if rule.kind == "Validation" else r"(?![A-Za-z0-9_])"
-        quoted = "|".join(w.replace("(", r"\(").replace(")", r"\)").replace("[", r"\[") for w in rule.opens)
+        # literals are blanked in masked lines, so any calling convention does
+        quoted = "|".join(w.replace("(", r"\(").replace(")", r"\)").replace("[", r"\[").replace('"C"', '"[^"]*"') for w in rule.opens)
         first = bare.rlike(f"^(?:{quoted}){edge}")
     found = first & _any(F.contains(line, F.lit(e)) for e in rule.ends)
     return found & ~line.endswith(";") if rule.not_semicolon else found
