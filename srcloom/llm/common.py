@@ -43,6 +43,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows, computed once and kept as a Parquet table in the shared folder: smaller than a checkpoint, which is not compressed."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 #: A key of more rows than this may be hot; at most so many keys are.
 HOT_ROWS, HOT_KEYS = 2_000, 50_000
 

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import overlap
-from .common import appended, durable, hot_limit, join_by_key, table, tables_of
+from .common import appended, durable, hot_limit, join_by_key, stored, table, tables_of
 from .components import components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
@@ -259,12 +259,12 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int
         both = overlap.with_prefix(ids, "__t", T.StructField("__fp", T.LongType()), lambda t: signed(fingerprint(t, shingle)))
     else:
         both = with_fingerprint(ids, "__t", shingle, "__fp")
-    marked = durable(both.drop("__t"))
+    marked = stored(both.drop("__t"), "marked")
     limit = hot_limit(marked.count())
     named = join_by_key(marked.drop("__prefix"), durable(_linked(marked, radius)), "__fp", "__copies", limit)
     if not similar:
         return named.select("__id", "__h", "__root"), limit
-    named = durable(named)
+    named = stored(named, "named")
     roots = overlap.connected(docs, text_col, named.withColumnRenamed("__root", "node"), marked.select("__key", "__n", "__prefix"))
     members = named.groupBy("__root").agg(F.count("*").alias("__members"))
     last = durable(members.join(roots, F.col("__root") == F.col("node"), "left").select("__root", "__members", F.coalesce("root", "__root").alias("__last")))

@@ -77,3 +77,15 @@ def test_rows_of_one_id_are_judged_by_their_texts(spark, similar):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = sorted(simhash.one_of_each(docs, similar=similar).collect(), key=str)
     assert kept == sorted(docs.where("doc_id is null").collect() + [r for r in docs.dropDuplicates().collect() if r in {(1, a), (2, b), (2, c), (4, "alone here"), (5, None)}], key=str)
+
+
+def test_one_shingle_in_five_thousand_texts(spark, monkeypatch):
+    """Its hash is so small that it is in the prefix of every text; texts that are alike otherwise too are found, and no task gets all texts."""
+    monkeypatch.setattr(overlap, "LEAST", 10**9)
+    monkeypatch.setattr(overlap, "HOT", 100)
+    r = random.Random(9)
+    line = next(x for x in (" ".join(f"s{k}_{j}" for j in range(5)) for k in range(10**6)) if overlap.shingles(x)[0] < 2**64 // 20_000)
+    texts = [line + " " + " ".join(f"t{k}_{j}" for j in range(r.choice([8, 20, 60, 150]))) for k in range(5_000)]
+    copies = {k: texts[k].rsplit(" ", 1)[0] + " other" for k in range(0, 5_000, 250) if len(texts[k].split()) > 30}
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(10_000 + k, t) for k, t in copies.items()], "doc_id long, text string")
+    assert {x.doc_id for x in simhash.one_of_each(docs, similar=True).collect()} == set(range(5_000))
