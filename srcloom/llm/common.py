@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -43,6 +45,14 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _give_back() -> None:
+    """Hand memory that was freed back to the system, where its C library can."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows, computed once and kept as a Parquet table in the shared folder: smaller than a checkpoint, which is not compressed."""
     path = fresh_path(df.sparkSession, name)
@@ -117,8 +127,11 @@ def tables_of(operator: str, key, make: Callable):
     Only the tables of one operator are kept at a time (the last two of them), so
     a worker that goes from stage to stage of a pipeline holds no more than one needs.
     """
-    for other in [o for o in _TABLES if o != operator]:
+    others = [o for o in _TABLES if o != operator]
+    for other in others:
         del _TABLES[other]
+    if others:
+        _give_back()
     kept = _TABLES.setdefault(operator, {})
     if key not in kept:
         while len(kept) >= 2:

@@ -43,7 +43,7 @@ from .matching import LONGEST, Automaton, Nodes, blocks
 SPACE = "▁"
 MODEL = "piece_bpe_32k.model"
 #: Words that a worker process keeps in each of two generations, pairs of pieces that it keeps, and places for verdicts (a power of two).
-KEPT, PAIRS, VERDICTS = 100_000, 100_000, 1 << 20
+KEPT, PAIRS, VERDICTS = 50_000, 100_000, 1 << 20
 #: Ids that are written as decimal text at one time.
 JOINED_IDS = 100_000_000
 
