@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,11 +54,41 @@ def _give_back() -> None:
         trim(0)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows, computed once and kept as a Parquet table in the shared folder: smaller than a checkpoint, which is not compressed."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+class Scratch:
+    """Parquet tables of one operator in the shared folder, each removed as soon as a later one has replaced it."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = spark, fresh_path(spark, name)
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        """The rows, computed once. Names are used once."""
+        df.write.parquet(f"{self.path}/{name}")
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+    def drop(self, *names: str) -> None:
+        """Remove tables that no frame yet to be computed reads."""
+        for path in [f"{self.path}/{n}" for n in names] or [self.path]:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+#: Spark's own setting: the shuffle files of a query go when it has ended.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """In this block shuffle files go as soon as the query that wrote them has ended, not when the driver happens to collect garbage.
+
+    Nothing made here may be run twice as the same frame; frames that are read
+    again are kept as tables.
+    """
+    was = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREE_SHUFFLES, was)
 
 
 #: A key of more rows than this may be hot; at most so many keys are.

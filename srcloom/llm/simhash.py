@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import overlap
-from .common import appended, durable, hot_limit, join_by_key, stored, table, tables_of
+from .common import Scratch, appended, durable, hot_limit, join_by_key, shuffles_freed, table, tables_of
 from .components import components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
@@ -47,6 +47,8 @@ BLOCK_VARIANTS = 4_000_000
 HOT_LEAD, MORE_BITS, HOT_KEYS = 100_000, 16, 2_000
 #: Shingle hashes that a task unpacks to bits at one time.
 BLOCK_HASHES = 65_536
+#: Keys of rows (id and text hash) that are sent to all tasks rather than shuffling the texts, at most.
+FEW_KEYS = 200_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -252,20 +254,22 @@ def _linked(marked: DataFrame, radius: int) -> DataFrame:
     return groups.join(roots, groups["__fp"] == roots["node"], "left").select("__fp", "__copies", F.coalesce("root", "__fp").alias("__root"))
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, similar: bool) -> tuple[DataFrame, int]:
+def _rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, similar: bool, scratch: Scratch) -> tuple[DataFrame, int]:
     """(__id, __h, __root) for each row of docs: id, text hash, component; and how many rows of one key are many."""
     ids = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).withColumn("__h", F.xxhash64("__t"))
     if similar:
         both = overlap.with_prefix(ids, "__t", T.StructField("__fp", T.LongType()), lambda t: signed(fingerprint(t, shingle)))
     else:
         both = with_fingerprint(ids, "__t", shingle, "__fp")
-    marked = stored(both.drop("__t"), "marked")
+    marked = scratch.stored(both.drop("__t"), "marked")
     limit = hot_limit(marked.count())
     named = join_by_key(marked.drop("__prefix"), durable(_linked(marked, radius)), "__fp", "__copies", limit)
     if not similar:
         return named.select("__id", "__h", "__root"), limit
-    named = stored(named, "named")
-    roots = overlap.connected(docs, text_col, named.withColumnRenamed("__root", "node"), marked.select("__key", "__n", "__prefix"))
+    named = scratch.stored(named, "named")
+    shared = scratch.stored(overlap.shared_shingles(marked.select("__key", "__n", "__prefix")), "shared")
+    scratch.drop("marked")
+    roots = overlap.connected(docs, text_col, named.withColumnRenamed("__root", "node"), shared, scratch)
     members = named.groupBy("__root").agg(F.count("*").alias("__members"))
     last = durable(members.join(roots, F.col("__root") == F.col("node"), "left").select("__root", "__members", F.coalesce("root", "__root").alias("__last")))
     return durable(join_by_key(named.select("__id", "__h", "__root"), last, "__root", "__members", limit).select("__id", "__h", F.col("__last").alias("__root"))), limit
@@ -277,19 +281,24 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     similar also links texts whose five-word shingles overlap by 0.8 or more
     (overlap.py), whatever their fingerprints. Rows go by their own text: one
     whose id is repeated stays if nothing is linked to its text. Of rows with
-    equal id and text one stays.
+    equal id and text one stays, the one whose other columns have the least hash.
     """
-    every, limit = _rows(docs, id_col, text_col, shingle, radius, similar)
-    rows = durable(every.where("__id is not null").groupBy("__id", "__h", "__root").agg(F.count("*").alias("n")))
-    first = durable(rows.groupBy("__root").agg(F.min(F.struct("__id", "__h")).alias("first"), F.count("*").alias("__members")))
-    dropped = join_by_key(rows, first, "__root", "__members", limit).where("struct(__id, __h) <> first").select("__id", "__h")
+    scratch = Scratch(docs.sparkSession, "near-duplicates")
+    with shuffles_freed(docs.sparkSession):
+        every, limit = _rows(docs, id_col, text_col, shingle, radius, similar, scratch)
+        rows = durable(every.where("__id is not null").groupBy("__id", "__h", "__root").agg(F.count("*").alias("n")))
+        scratch.drop()
+        first = durable(rows.groupBy("__root").agg(F.min(F.struct("__id", "__h")).alias("first"), F.count("*").alias("__members")))
+        dropped = durable(join_by_key(rows, first, "__root", "__members", limit).where("struct(__id, __h) <> first").select("__id", "__h"))
+        twice = durable(rows.where("n > 1").select("__id", "__h"))
+    # a copy of few keys goes to every task, so that whole texts are not shuffled
+    dropped, twice = (F.broadcast(t) if t.count() <= FEW_KEYS else t for t in (dropped, twice))
     this = lambda of: (docs[f"`{id_col}`"] == of["__id"]) & (F.xxhash64(docs[f"`{text_col}`"]) == of["__h"])
     kept = docs.join(dropped, this(dropped), "left_anti")
-    twice = durable(rows.where("n > 1").select("__id", "__h"))
     if twice.isEmpty():
         return kept
     again = kept.join(twice, this(twice), "left_semi").select(*docs.columns)
-    single = again.groupBy(id_col, F.xxhash64(text_col)).agg(F.first(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+    single = again.groupBy(id_col, F.xxhash64(text_col)).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(F.to_json(F.struct(*docs.columns)))).alias("__row")).select("__row.*")
     return kept.join(twice, this(twice), "left_anti").select(*docs.columns).unionByName(single)
 
 

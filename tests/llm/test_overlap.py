@@ -79,6 +79,39 @@ def test_rows_of_one_id_are_judged_by_their_texts(spark, similar):
     assert kept == sorted(docs.where("doc_id is null").collect() + [r for r in docs.dropDuplicates().collect() if r in {(1, a), (2, b), (2, c), (4, "alone here"), (5, None)}], key=str)
 
 
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_ties_of_id_and_text_do_not_depend_on_order(spark, monkeypatch, few):
+    """Of rows equal in id and text the same one stays however they are dealt; nothing is left in the shared folder."""
+    monkeypatch.setattr(simhash, "FEW_KEYS", few)
+    rows = [(1, "some words of a text", f"s{k}", k) for k in range(6)] + [(2, "some words of a text", None, 0), (3, None, "x", 1)]
+    found = set()
+    for parts in (1, 2, 5):
+        docs = spark.createDataFrame(rows[parts:] + rows[:parts], "doc_id long, text string, source string, first int").repartition(parts)
+        found.add(tuple(sorted(map(tuple, simhash.one_of_each(docs, similar=True).collect()))))
+    assert len(found) == 1
+    assert [r[0] for r in next(iter(found))] == [1, 3]
+
+
+def test_scratch_tables_and_setting_are_given_back(spark, tmp_path):
+    from pathlib import Path
+
+    from srcloom.llm import common
+
+    was = spark.conf.get(common.FREE_SHUFFLES)
+    scratch = common.Scratch(spark, "scratch-test")
+    assert scratch.stored(spark.range(5), "a").count() == 5
+    here = Path(scratch.path.removeprefix("file:"))
+    assert here.is_dir()
+    scratch.drop("a")
+    assert here.is_dir() and not (here / "a").exists()
+    scratch.drop()
+    assert not here.exists()
+    with pytest.raises(ValueError), common.shuffles_freed(spark):
+        assert spark.conf.get(common.FREE_SHUFFLES) == "true"
+        raise ValueError
+    assert spark.conf.get(common.FREE_SHUFFLES) == was
+
+
 def test_one_shingle_in_five_thousand_texts(spark, monkeypatch):
     """Its hash is so small that it is in the prefix of every text; texts that are alike otherwise too are found, and no task gets all texts."""
     monkeypatch.setattr(overlap, "LEAST", 10**9)
