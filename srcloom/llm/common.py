@@ -47,8 +47,9 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def _give_back() -> None:
-    """Hand memory that was freed back to the system, where its C library can."""
+    """Hand memory that was freed back to the system, that of Arrow's pool and, where the C library can, all other."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)
