@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from srcloom.operators import blocks as B
 
-from .fixtures import view, with_sql
+from .fixtures import spread, view, with_sql
 
 QUERIES, ORACLES = {}, {}
 
@@ -78,7 +78,7 @@ def kinds_files(spark, d):
         F.lit("<'info> {\n    #[account(mut)]\n    pub payer: Signer<'info>,\n    pub state: Account<'info, State>,\n}\n#[account]\npub struct State_"), n, F.lit(" {\n    pub size: u64,\n}\n// from here\npub enum Kind_"), n, F.lit(" {\n    A,\n}\npub trait Do_"), n,
         F.lit(" {\n}\nimpl Do_"), n, F.lit(" for State_"), n, F.lit(" {\n    fn go_"), n, F.lit("(b: u8) {\n    }\n}\nstruct View_"), n, F.lit("<'a> {\n}\nimpl<'a> TryFrom<&'a [AccountView]> for View_"), n, F.lit("<'a> {\n}\npub fn process(accounts: &[AccountView]) {\n}\n"),
     )
-    return view(spark, d, "part").select(F.concat(F.lit("src/k"), n, F.lit(".rs")).alias("path"), text.alias("content"))
+    return spread(view(spark, d, "part").select(F.concat(F.lit("src/k"), n, F.lit(".rs")).alias("path"), text.alias("content")))
 
 
 def kind_rows(values: str, cols: str) -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from srcloom.operators import solidity as S
 
-from .fixtures import view
+from .fixtures import spread, view
 
 QUERIES, ORACLES = {}, {}
 
@@ -91,7 +91,7 @@ def vault_files(spark, d):
     tens = part.select(b.alias("b")).distinct()
     bases = tens.select(F.concat(F.lit("src/base/B"), "b", F.lit(".sol")).alias("path"), _filled(BASE, F.lit(""), F.col("b")).alias("content"))
     tokens = tens.select(F.concat(F.lit("src/lib/token/T"), "b", F.lit(".sol")).alias("path"), _filled(TOKEN, F.lit(""), F.col("b")).alias("content"))
-    return vaults.unionByName(bases).unionByName(tokens)
+    return spread(vaults.unionByName(bases).unionByName(tokens))
 
 
 def _tables(spark, d):
