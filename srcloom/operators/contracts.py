@@ -55,6 +55,7 @@ def contract_extract(source_file: DataFrame) -> dict[str, DataFrame]:
     bases = F.filter(F.transform(split_top_level(F.regexp_extract(unnumbered(F.col("rest")), r"(?s)^\s*is\b(.*)$", 1)), lambda b: F.regexp_extract(b, r"([\w]+)\s*(?:\(|$)", 1)), lambda b: b != "")
     kind = F.create_map(*[F.lit(x) for kv in _KIND.items() for x in kv])[word]
     contract = found.select("path", "contract", kind.alias("contract_type"), bases.alias("bases"), F.contains("path", F.lit("/lib/")).alias("external"), F.col("start_line").cast("int").alias("start_line"), _last_line(F.col("body")).alias("end_line"), F.regexp_replace("body", f"^\\{{|\\}}{_AT}$", "").alias("body"))
+    contract = durable(contract)  # the four kinds of members are read from it
 
     members = contract.select("path", "contract", "body")
     fn = rf"\b(function{_AT}\s+\w+|(?:constructor|receive|fallback){_AT})\s*({PARENS})([^{{}};]*){_BODY}"

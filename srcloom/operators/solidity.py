@@ -7,7 +7,7 @@ meet, and a name that nothing or more than one contract answers to is a reject r
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from srcloom.functions.lexing import problems
@@ -27,7 +27,11 @@ def rejects(source_file: DataFrame, language: str | None = None) -> DataFrame:
     """
     rust, sol = problems(F.col("content"), "rust"), problems(F.col("content"), "solidity")
     why = F.when(F.col("path").endswith(".sol"), sol).otherwise(rust) if language is None else problems(F.col("content"), language)
-    return source_file.select("path", F.lit("file").alias("item"), F.lit(None).cast("string").alias("name"), F.explode(why).alias("reason"))
+    return _file_rejects(source_file, why)
+
+
+def _file_rejects(files: DataFrame, why: Column) -> DataFrame:
+    return files.select("path", F.lit("file").alias("item"), F.lit(None).cast("string").alias("name"), F.explode(why).alias("reason"))
 
 
 def visible_contracts(contract: DataFrame, imports: DataFrame) -> DataFrame:
@@ -67,7 +71,9 @@ def contract_corpus(source_file: DataFrame, remaps: DataFrame) -> dict[str, Data
     modifiers, path, start_line, end_line; site: function_id, contract_id, callee. A file that can't be read to its end
     gives reject rows and nothing else.
     """
-    every, source_file = source_file, source_file.where(F.size(problems(F.col("content"), "solidity")) == 0)
+    # each file is judged once, by tasks that have equal shares of the text; all that follows reads these rows
+    every = durable(source_file.select("path", "content").repartition("path").withColumn("why", problems(F.col("content"), "solidity")))
+    source_file = every.where(F.size("why") == 0).select("path", "content")
     tables = K.contract_extract(source_file)
     with_id = lambda df: df.withColumn("contract_id", F.concat_ws("|", "path", "contract"))
     contract = durable(with_id(tables["contract"]).withColumn("name", F.col("contract")).drop("contract"))
@@ -89,7 +95,7 @@ def contract_corpus(source_file: DataFrame, remaps: DataFrame) -> dict[str, Data
         "event": with_id(tables["event_def"]),
         "import": imports,
         "site": site,
-        "reject": bad.unionByName(lost).unionByName(rejects(every, "solidity")),
+        "reject": bad.unionByName(lost).unionByName(_file_rejects(every, F.col("why"))),
     }
 
 

@@ -35,3 +35,18 @@ def test_symbols_know_their_heads_without_a_join(spark):
     found = symbol_extract(files)
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.name, r.is_public, r.start_line, r.end_line) for r in found.collect()) == [("A for B", False, 3, 4), ("one", True, 1, 2)]
+
+
+def test_contract_files_are_judged_and_cut_once(spark):
+    """Each table of the corpus read the text again, from one task, and looked for problems in it again."""
+    from srcloom.operators.contracts import contract_extract
+    from srcloom.operators.solidity import contract_corpus
+    from srcloom.plans.solidity import damaged_files
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    files = damaged_files(spark, SF)
+    assert all("parquet" not in plan(t).lower() for k, t in contract_extract(files).items() if k != "contract")
+    t = contract_corpus(files, spark.createDataFrame([], "prefix string, target string"))
+    assert "regexp_extract_all" not in plan(t["reject"]) and "parquet" not in plan(t["reject"]).lower()
+    why = {(r.path, r.reason) for r in t["reject"].where("item = 'file'").collect()}
+    assert ("src/V0.sol", "open comment") in why and ("src/V3.sol", "unbalanced brackets") in why and not any(p == "src/V1.sol" for p, _ in why)
