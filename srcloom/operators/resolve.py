@@ -30,6 +30,17 @@ def impl_members(impl_block: DataFrame, symbol: DataFrame) -> DataFrame:
     return inside.select("impl_id", "symbol_id", F.concat("impl_to", F.lit("::"), "name").alias("signature"))
 
 
+def first_members(impl_block: DataFrame, symbol: DataFrame) -> DataFrame:
+    """The rows of impl_members that can decide a call: of implementations of one type with equal lines of a file, those of the first.
+
+    All of these hold the same functions under the same signatures, so the first member of a
+    signature and the first type of a function are the same, but rows grow with the functions
+    and not with their product with the implementations.
+    """
+    first = impl_block.groupBy("path", "impl_to", "start_line", "end_line").agg(F.min("impl_id").alias("impl_id"))
+    return impl_members(first, symbol)
+
+
 def external_trait(impl_block: DataFrame) -> DataFrame:
     """Whether an implementation's trait is defined nowhere in the corpus; false for definitions and inherent implementations."""
     defined = impl_block.where("trait_kind = 'Definition'").select(F.when(F.col("impl_from") == "", F.col("impl_to")).otherwise(F.col("impl_from")).alias("d")).distinct()
@@ -58,7 +69,9 @@ def resolve_free_call(call_site: DataFrame, symbol: DataFrame, imports: DataFram
     # a path in the crate is a piece of the callee's path, one in the own file is that file
     tried = tried.withColumns({"own": F.col("full_path").startswith("self::"), "fragment": path_fragment(F.col("full_path"), F.col("callee_name"))})
     named = symbol.select(F.col("name").alias("callee_name"), "symbol_id", F.col("path").alias("s_path"))
-    here = tried.where("own").join(named, (tried["c_path"] == named["s_path"]) & (tried["callee_name"] == named["callee_name"])).select("caller_id", tried["callee_name"], "rank", "symbol_id")
+    # of the functions of a name in a file the first is meant
+    local = named.groupBy("callee_name", F.col("s_path").alias("c_path")).agg(F.min("symbol_id").alias("symbol_id"))
+    here = tried.where("own").join(local, ["c_path", "callee_name"]).select("caller_id", "callee_name", "rank", "symbol_id")
     placed = _by_fragment(tried.where("not own and fragment is not null").select("callee_name", "fragment").distinct(), named)
     there = tried.where("not own").join(placed, ["callee_name", "fragment"]).select("caller_id", "callee_name", "rank", "symbol_id")
     picked = here.unionByName(there).groupBy("caller_id", "callee_name").agg(F.min(F.struct("rank", "symbol_id"))["symbol_id"].alias("by_import"))
@@ -94,8 +107,9 @@ def _by_fragment(wanted: DataFrame, named: DataFrame) -> DataFrame:
 
 
 def _member(impl_member: DataFrame) -> DataFrame:
-    """The first member of each signature."""
-    return impl_member.groupBy("signature").agg(F.min(F.struct("impl_id", "symbol_id"))["symbol_id"].alias("member_id"))
+    """The first member of each signature. A least struct is found by sorting, so implementations are reduced to a row each before."""
+    each = impl_member.groupBy("signature", "impl_id").agg(F.min("symbol_id").alias("symbol_id"))
+    return each.groupBy("signature").agg(F.min(F.struct("impl_id", "symbol_id"))["symbol_id"].alias("member_id"))
 
 
 def resolve_static_call(call_site: DataFrame, symbol: DataFrame, impl_member: DataFrame) -> DataFrame:
@@ -120,7 +134,8 @@ def resolve_method_call(call_site: DataFrame, params: DataFrame, impl_member: Da
     without such a member is external; an unknown receiver is unresolved.
     """
     calls = call_site.where("call_kind = 'method'").select("caller_id", "callee_name", "qualifier")
-    own = impl_member.join(impl_block.select("impl_id", "impl_to"), "impl_id").groupBy(F.col("symbol_id").alias("caller_id")).agg(F.min(F.struct("impl_id", "impl_to"))["impl_to"].alias("own_type"))
+    types = impl_block.groupBy("impl_id").agg(F.min("impl_to").alias("own_type"))
+    own = impl_member.groupBy(F.col("symbol_id").alias("caller_id")).agg(F.min("impl_id").alias("impl_id")).join(types, "impl_id").drop("impl_id")
     p = params.groupBy(F.col("symbol_id").alias("caller_id"), F.col("param_name").alias("root")).agg(F.min(F.struct("type_name", "context_inner")).alias("t")).select("caller_id", "root", "t.*")
     out = calls.withColumns({"is_self": F.col("qualifier").rlike(r"^self(\.|$)"), "is_accounts": F.col("qualifier").rlike(r"^\w+\.accounts$"), "root": F.regexp_extract("qualifier", r"^(\w+)", 1)})
     out = out.join(own, "caller_id", "left").join(p, ["caller_id", "root"], "left")

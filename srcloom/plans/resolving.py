@@ -94,7 +94,7 @@ CASE WHEN by_dir IS NOT NULL THEN 'folder' WHEN by_file IS NOT NULL THEN 'file'
 
 
 def static_calls(spark, d):
-    return R.resolve_static_call(_static_calls(spark, d), _symbol(spark, d), R.impl_members(_impl(spark, d), _symbol(spark, d)))
+    return R.resolve_static_call(_static_calls(spark, d), _symbol(spark, d), R.first_members(_impl(spark, d), _symbol(spark, d)))
 
 
 @register("j8_resolve_static_call", with_sql("fx_symbol", "fx_impl", "fx_call", more=STATIC) + STATIC_ROWS)
@@ -107,7 +107,7 @@ def method_calls(spark, d):
     calls = view(spark, d, "fx_call").withColumn("qualifier", q)
     s = _symbol(spark, d)
     params = s.select("symbol_id", F.lit("ctx").alias("param_name"), F.lit("Context").alias("type_name"), F.concat(F.lit("Type_"), (F.col("symbol_id") % 13).cast("string")).alias("context_inner")).unionByName(s.select("symbol_id", F.lit("x").alias("param_name"), F.concat(F.lit("Type_"), (F.col("symbol_id") % 11).cast("string")).alias("type_name"), F.lit(None).cast("string").alias("context_inner")))
-    return R.resolve_method_call(calls, params, R.impl_members(_impl(spark, d), s), _impl(spark, d))
+    return R.resolve_method_call(calls, params, R.first_members(_impl(spark, d), s), _impl(spark, d))
 
 
 METHOD = """own AS (SELECT symbol_id, arg_min(impl_to, (impl_id, impl_to)) AS t FROM member GROUP BY symbol_id),
@@ -280,7 +280,7 @@ def entry_call_graph(spark, files):
     imports, local = C.import_scope(files)
     names = sites.where("call_kind = 'free'").join(callers, "caller_id").select("path", F.col("callee_name").alias("name")).distinct()
     impl = R.impl_from_to(symbol.where("item = 'trait'").select(F.col("symbol_id").alias("impl_id"), "name", "path", "start_line", "end_line"))
-    member = durable(R.impl_members(impl, functions))
+    member = durable(R.first_members(impl, functions))
     typed = C.type_parts(C.signature_params(functions, lines).where("param_name is not null"), "param_type")
     params = typed.select("symbol_id", "param_name", F.col("inner").alias("type_name"), "context_inner")
     edges = R.call_edges(
