@@ -81,3 +81,33 @@ def test_local_imports_meet_one_function_of_a_name(spark):
     assert [(r.callee_id, r.rule) for r in found.collect()] == [(1, "import")]
     keys = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate [callee_name" in x and "c_path" in x]
     assert keys
+
+
+def test_ancestries_are_arrays_made_once(spark):
+    """Every pair of contract and ancestor had a path, and all of them were written again in each round."""
+    import random
+
+    from srcloom.operators import graph as G
+
+    rng = random.Random(5)
+    rows = [(k, o, rng.randrange(k)) for k in range(1, 40) for o in (1, 2, 3) if o == 1 or rng.random() < 0.5] + [(50, 1, 51), (51, 1, 50), (52, 1, 51), (52, 2, 7), (60, 1, 60)]
+    base = spark.createDataFrame(rows, "contract_id long, ord int, base_id long")
+    bases = {}
+    for c, o, b in rows:
+        bases.setdefault(c, []).append((o, b))
+
+    def nearest(c):
+        seen, level = [c], [c]
+        while level:
+            level = list(dict.fromkeys(b for a in level for _, b in sorted(bases.get(a, [])) if b not in seen))
+            seen += level
+        return seen
+
+    found = {}
+    for r in G.inheritance_chain(base, base.select("contract_id").union(base.select("base_id"))).orderBy("contract_id", "position").collect():
+        found.setdefault(r.contract_id, []).append(r.ancestor_id)
+    assert found == {c: nearest(c) for c in {x for r in rows for x in (r[0], r[2])}}
+    pairs = spark.createDataFrame([(c, b) for c in found for b in found], "contract_id long, base_id long")
+    assert {(r.contract_id, r.base_id) for r in G.inherits_from(base, pairs).collect() if r.inherits} == {(c, b) for c in found for b in found[c][1:]}
+    plan = G.linearize(base.where("contract_id < 50"))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("SortMergeJoin") <= 1  # places are those in the arrays
