@@ -63,11 +63,24 @@ def stable_id(*parts: Column) -> Column:
 OPEN, CLOSE = "([{<", ")]}>"
 
 
+def _item(levels: int) -> str:
+    """A pattern for text without a top-level comma in which brackets are closed and nest at most `levels` deep; closers outside of brackets close nothing."""
+    inner = r"[^(\[{<)\]}>]*+"
+    for _ in range(levels - 1):
+        inner = rf"(?:[^(\[{{<)\]}}>]++|[(\[{{<]{inner}[)\]}}>])*+"
+    return rf"(?:[^,(\[{{<]++|[(\[{{<]{inner}[)\]}}>])++"
+
+
+#: Such text of up to six levels.
+ITEM = _item(6)
+
+
 def split_top_level(text: Column) -> Column:
     """Items between commas that stand outside brackets.
 
-    The fold goes over brackets, commas and the stretches between them, not over
-    characters. Depth does not fall below zero, so the `>` of an arrow closes nothing.
+    Depth does not fall below zero, so the `>` of an arrow closes nothing. One pattern cuts texts whose
+    brackets are closed and not very deep. Others are folded, over brackets, commas and the stretches
+    between them, not over characters.
     """
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).alias("depth"))
 
@@ -79,9 +92,9 @@ def split_top_level(text: Column) -> Column:
 
     parts = F.regexp_extract_all(text, F.lit(r"[(\[{<)\]}>,]|[^(\[{<)\]}>,]+"), F.lit(0))
     whole = F.aggregate(parts, start, step, lambda acc: F.concat(acc["done"], F.array(acc["now"])))
-    nested = F.filter(F.transform(whole, lambda s: F.trim(s)), lambda s: s != "")
-    flat = F.filter(F.transform(F.split(text, ","), lambda s: F.trim(s)), lambda s: s != "")
-    return F.when(text.rlike(r"[(\[{<]"), nested).otherwise(flat)  # without an opening bracket every comma cuts
+    kept = lambda items: F.filter(F.transform(items, lambda s: F.trim(s)), lambda s: s != "")
+    closed = text.rlike(rf"^(?:{ITEM}|,)*+\z")
+    return F.when(closed, kept(F.regexp_extract_all(text, F.lit(ITEM), F.lit(0)))).otherwise(kept(whole))
 
 
 def plain_path(path: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from srcloom.functions.text import at_sign, spaced, split_top_level, stripped
+from srcloom.functions.text import at_sign, let, spaced, split_top_level, stripped
 
 KEY = ["struct_id", "ord"]
 # Flags without a value, and items that only validate.
@@ -20,6 +20,9 @@ NAMED_KEYS = ["seeds", "bump", "close", "payer", "space", "owner", "constraint",
 #: The first = that is part of no comparison.
 _ASSIGN = r"^((?:[^=!<>]|[!<>]=|==|[!<>](?!=))*?)(?<![=!<>])=(?!=)(.*)$"
 
+# What ends a line for a pattern.
+LINE_ENDS = ["\n", "\r", "\u0085", "\u2028", "\u2029"]
+
 
 def attribute_items(df: DataFrame, col: str = "attr") -> DataFrame:
     """df with items, the attribute split at top-level commas."""
@@ -28,22 +31,32 @@ def attribute_items(df: DataFrame, col: str = "attr") -> DataFrame:
 
 def account_attrs(df: DataFrame) -> DataFrame:
     """One row for each attribute item. Flags have no value; an unknown `key = value` is a constraint of that text."""
-    item = F.col("item")
-    rows = attribute_items(df).select(*KEY, F.posexplode("items").alias("pos", "item"))
-    key = F.regexp_replace(F.trim(F.regexp_extract(item, _ASSIGN, 1)), " ", "")
-    value = F.trim(F.regexp_extract(item, _ASSIGN, 2))
-    assigned = rows.withColumns({"k": key, "v": value}).withColumn("is_kv", (F.col("k") != "") & (F.col("v") != ""))
-    known = F.col("k").isin(NAMED_KEYS)
-    expression, error = at_sign(F.col("v"))
-    with_error = F.col("k").isin("has_one", "address")
-    out = assigned.where(F.col("is_kv") | item.isin(FLAGS)).select(
-        *KEY,
-        "pos",
-        F.when(~F.col("is_kv"), item).when(known, F.col("k")).otherwise("constraint").alias("key"),
-        F.when(~F.col("is_kv"), F.lit(None).cast("string")).when(with_error, expression).when(known, F.col("v")).otherwise(F.concat("k", F.lit(" = "), "v")).alias("value"),
-        F.when(F.col("is_kv") & with_error, error).alias("error"),
+    # items are read inside the array, where nothing is read again for a filter
+    rows = attribute_items(df).select(*KEY, F.posexplode(F.transform("items", _parsed)).alias("pos", "x"))
+    return rows.where("x.key is not null").select(*KEY, "pos", "x.key", "x.value", "x.error")
+
+
+def _parsed(item: Column) -> Column:
+    """(key, value, error) of an item; the key is null if it is neither a flag nor an assignment."""
+    head = F.substring_index(item, "=", 1)
+    # most items are one line whose first = is that one: these need no pattern
+    plain = F.contains(item, F.lit("=")) & ~F.right(head, F.lit(1)).isin("!", "<", ">") & (F.substring(item, F.length(head) + 2, F.lit(1)) != "=")
+    for end in LINE_ENDS:
+        plain = plain & ~F.contains(item, F.lit(end))
+    k = F.when(plain, head).when(F.contains(item, F.lit("=")), F.regexp_extract(item, _ASSIGN, 1)).otherwise("")
+    v = F.when(plain, F.substring(item, F.length(head) + 2, F.length(item))).when(F.contains(item, F.lit("=")), F.regexp_extract(item, _ASSIGN, 2)).otherwise("")
+    return let(F.struct(F.replace(F.trim(k), F.lit(" "), F.lit("")).alias("k"), F.trim(v).alias("v"), item.alias("item")), _facts)
+
+
+def _facts(x: Column) -> Column:
+    is_kv, known, with_error = (x["k"] != "") & (x["v"] != ""), x["k"].isin(NAMED_KEYS), x["k"].isin("has_one", "address")
+    expression, error = at_sign(x["v"])
+    value = F.when(with_error, expression).when(known, x["v"]).otherwise(F.concat(x["k"], F.lit(" = "), x["v"]))
+    return F.struct(
+        F.when(is_kv, F.when(known, x["k"]).otherwise("constraint")).when(x["item"].isin(FLAGS), x["item"]).alias("key"),
+        F.when(is_kv, value).alias("value"),
+        F.when(is_kv & with_error, error).alias("error"),
     )
-    return out
 
 
 def _first(key: str) -> Column:
