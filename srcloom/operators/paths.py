@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from srcloom.functions.text import indent
+from srcloom.operators.containment import by_key
 
 
 def program_of_path(df: DataFrame, roots: list[tuple[str, str]], default: str = "") -> DataFrame:
@@ -59,11 +60,17 @@ def missing(df: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def slice_source(source_file: DataFrame, symbol: DataFrame) -> DataFrame:
-    """(symbol_id, content): the text of each symbol's lines; the end is clamped to the file."""
-    s = symbol.select("symbol_id", "path", "start_line", "end_line")
-    lines = F.split("content", "\n")
-    part = F.slice(lines, F.greatest(F.col("start_line"), F.lit(1)).cast("int"), F.greatest(F.col("end_line") - F.greatest(F.col("start_line"), F.lit(1)) + 1, F.lit(0)).cast("int"))
-    return s.join(source_file.select("path", "content"), "path").select("symbol_id", F.array_join(part, "\n").alias("content"))
+    """(symbol_id, content): the text of each symbol's lines; the end is clamped to the file.
+
+    A file and its symbols are one row, and its text is cut into lines once.
+    """
+    files = source_file.select("path", F.split("content", "\n").alias("lines"))
+    wanted = symbol.groupBy("path").agg(F.collect_list(F.struct("symbol_id", "start_line", "end_line")).alias("s"))
+    start = lambda s: F.greatest(s["start_line"], F.lit(1))
+    part = lambda s: F.slice("lines", start(s).cast("int"), F.greatest(s["end_line"] - start(s) + 1, F.lit(0)).cast("int"))
+    cut = F.transform("s", lambda s: F.struct(s["symbol_id"].alias("symbol_id"), F.array_join(part(s), "\n").alias("content")))
+    each = by_key(files).join(by_key(wanted), "path").select(F.explode(cut).alias("c"))
+    return each.select("c.symbol_id", "c.content")
 
 
 def strip_comments(source_line: DataFrame, filters: tuple[str, ...] = ()) -> DataFrame:

@@ -142,3 +142,16 @@ def test_attributes_are_read_once(spark):
     assert sorted((r.pos, r.key, r.value, r.error) for r in found.collect()) == READ
     filters = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in x]
     assert not any("regexp" in x.lower() or "rlike" in x.lower() for x in filters)
+
+
+def test_files_are_cut_into_lines_once(spark):
+    """Each symbol met the text of its file and cut all of it into lines."""
+    from srcloom.operators.paths import slice_source
+
+    files = spark.createDataFrame([("a", "1\n2\n3"), ("b", None)], "path string, content string")
+    symbol = spark.createDataFrame([(1, "a", 2, 3), (2, "a", 0, 1), (3, "a", 3, 9), (4, "a", 3, 2), (5, "a", None, 2), (6, "b", 1, 1), (7, "c", 1, 1)], "symbol_id int, path string, start_line int, end_line int")
+    found = slice_source(files, symbol)
+    assert {(r.symbol_id, r.content) for r in found.collect()} == {(1, "2\n3"), (2, "1"), (3, "3"), (4, ""), (5, "1\n2"), (6, None)}
+    plan = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines()]
+    join = next(k for k, x in enumerate(plan) if "Join" in x)
+    assert not any("split(" in x for x in plan[:join]) and any("split(" in x for x in plan[join:])
