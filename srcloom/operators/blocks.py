@@ -78,16 +78,16 @@ def _any(conditions) -> Column:
     return out
 
 
-def _opens(rule: BlockRule, legacy: bool) -> Column:
-    line, bare = F.col("line"), stripped(F.col("line"))
-    if legacy:
-        first = _any(bare.startswith(w) for w in rule.opens)
-    else:  # the word must end there; validation words may go on (require_eq!)
+def _opens(rule: BlockRule, legacy: bool, bare: Column) -> Column:
+    """Whether the line, stripped as bare, opens a block. Patterns are for lines that hold an ending and begin with a word: few do."""
+    line = F.col("line")
+    first = _any(bare.startswith(w if legacy else w.split('"')[0]) for w in rule.opens)
+    if not legacy:  # the word must end there; validation words may go on (require_eq!)
         edge = "" if rule.kind == "Validation" else r"(?![A-Za-z0-9_])"
         # literals are blanked in masked lines, so any calling convention does
         quoted = "|".join(w.replace("(", r"\(").replace(")", r"\)").replace("[", r"\[").replace('"C"', '"[^"]*"') for w in rule.opens)
-        first = bare.rlike(f"^(?:{quoted}){edge}")
-    found = first & _any(F.contains(line, F.lit(e)) for e in rule.ends)
+        first = first & bare.rlike(f"^(?:{quoted}){edge}")
+    found = _any(F.contains(line, F.lit(e)) for e in rule.ends) & first
     return found & ~line.endswith(";") if rule.not_semicolon else found
 
 
@@ -102,27 +102,37 @@ def block_scan(source_line: DataFrame, rules=RULES, kinds=None, legacy: bool = F
     """
     picked = [r for r in rules if kinds is None or r.kind in kinds or (r.kind == "Validation" and "IfValidation" in kinds)]
     partition = ["path", *[c for c in ("owner",) if c in source_line.columns]]
-    lines = source_line.withColumn("bare", F.expr("substring(line, length(indent) + 1)"))
-    back = Window.partitionBy(*partition, "indent").orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*partition).orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, -1)
-    hits = []
-    for r in picked:
-        closing = _any(F.contains("line", F.lit(c)) for c in r.closers) if r.closer_contained else F.col("bare").isin(*r.closers)
-        found = F.last(F.when(closing, F.col("line_no")), ignorenulls=True).over(whole if r.closer_contained else back)
+    bare = F.expr("substring(line, length(indent) + 1)")
+    closes = lambda r: (r.closer_contained, r.closers)
+    ways = list(dict.fromkeys(closes(r) for r in picked))
+    held_by = lambda closers: _any(F.contains("line", F.lit(c)) for c in closers)
+    # each line is judged once; only those that open or close something, without their text, are sorted and looked at
+    mark = {f"o{k}": lambda words, r=r: _opens(r, legacy, words) for k, r in enumerate(picked)}
+    mark |= {f"c{k}": lambda _, c=held_by(closers) if contained else bare.isin(*closers): c for k, (contained, closers) in enumerate(ways)}
+    mark |= {f"s{k}": lambda _, c=held_by(r.closers): c for k, r in enumerate(picked) if r.closes_itself}
+    some = lambda x, kind: _any(F.coalesce(x[c], F.lit(False)) for c in mark if c[0] in kind)
+    one = F.transform(F.array(stripped(F.col("line"))), lambda words: F.struct(*[c(words).alias(n) for n, c in mark.items()]))
+    first = ["head"] if head else []
+    text = [F.when(some(F.col("m"), "o"), stripped(F.col("line"))).alias("head")] if head else []
+    marked = source_line.select(*partition, "line_no", "indent", *(["line"] if head else []), F.explode(F.filter(one, lambda x: some(x, "oc"))).alias("m")).select(*partition, "line_no", "indent", *text, "m.*")
+    looks = lambda *keys: Window.partitionBy(*partition, *keys).orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, -1)
+    for contained, back in ((False, looks("indent")), (True, looks())):
+        marked = marked.withColumns({f"e{k}": F.last(F.when(F.col(f"c{k}"), F.col("line_no")), ignorenulls=True).over(back) for k, w in enumerate(ways) if w[0] == contained})
+    ends = []
+    for k, r in enumerate(picked):
+        found = F.col(f"e{ways.index(closes(r))}")
         if r.closes_itself:
-            found = F.when(_any(F.contains("line", F.lit(c)) for c in r.closers), F.col("line_no")).otherwise(found)
+            found = F.when(F.col(f"s{k}"), F.col("line_no")).otherwise(found)
         if strict_spaces:
             found = F.when(F.col("indent").rlike("^ *$"), found)
-        hits.append(F.when(_opens(r, legacy) & found.isNotNull(), F.struct(F.lit(r.kind).alias("kind"), found.alias("end_line"))))
-    first = ["head"] if head else []
-    out = lines.withColumn("hit", F.array_compact(F.array(*hits))).where("size(hit) > 0").withColumn("head", stripped(F.col("line"))).select(*partition, "line_no", "indent", *first, F.explode("hit").alias("h"))
+        ends.append((r.kind, F.when(F.col(f"o{k}"), found)))
+    if any(kind == "IfValidation" for kind, _ in ends):  # an if that the next validation, its own line included, begins in
+        checks = F.when(_any(e.isNotNull() for kind, e in ends if kind == "Validation"), F.col("line_no"))
+        marked = marked.withColumn("next", F.last(checks, ignorenulls=True).over(looks().rowsBetween(Window.unboundedPreceding, 0)))
+        ends = [(kind, F.when(F.col("next") <= e, e) if kind == "IfValidation" else e) for kind, e in ends]
+    hits = [F.when(e.isNotNull(), F.struct(F.lit(kind).alias("kind"), e.alias("end_line"))) for kind, e in ends]
+    out = marked.where(some(marked, "o")).select(*partition, "line_no", "indent", *first, F.explode(F.array_compact(F.array(*hits))).alias("h"))
     blocks = by_key(out.select(*partition, "h.kind", F.col("line_no").alias("start_line"), "h.end_line", "indent", *first))
-    if any(r.kind == "IfValidation" for r in picked):
-        inner = blocks.where("kind = 'Validation'").select(*[F.col(c).alias(f"v_{c}") for c in partition], F.col("start_line").alias("v_start"))
-        ifs = blocks.where("kind = 'IfValidation'")
-        held = within(inner, ifs, [(f"v_{c}", c) for c in partition], "v_start", F.col("start_line"), F.col("end_line")).select(*partition, "start_line").distinct()
-        ifs = ifs.join(by_key(held), [*partition, "start_line"], "left_semi").select(*blocks.columns)
-        blocks = by_key(blocks.where("kind <> 'IfValidation'").unionByName(ifs))
     return blocks if kinds is None else blocks.where(F.col("kind").isin(*kinds))
 
 

@@ -101,9 +101,18 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql)
 
 
+#: Derived files of one task.
+FILES_OF_TASK = 16_384
+
+
 def spread(files: DataFrame) -> DataFrame:
-    """Derived files dealt over tasks: the table that they are made from is one small file, which one task reads."""
-    return files.repartition("path")
+    """Derived files dealt over tasks: the table that they are made from is one small file, which few tasks read.
+
+    The number of tasks grows with the files and is given, as Spark joins shuffled partitions by their
+    compressed size, far below that of the lines which these texts become.
+    """
+    tasks = max(files.sparkSession.sparkContext.defaultParallelism, files.count() // FILES_OF_TASK + 1)
+    return files.repartition(tasks, "path")
 
 
 def with_sql(*names: str, more: str = "") -> str:

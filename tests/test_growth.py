@@ -155,3 +155,28 @@ def test_files_are_cut_into_lines_once(spark):
     plan = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines()]
     join = next(k for k, x in enumerate(plan) if "Join" in x)
     assert not any("split(" in x for x in plan[:join]) and any("split(" in x for x in plan[join:])
+
+
+def test_lines_are_judged_once_and_only_marks_are_sorted(spark):
+    """Blocks with validations in ifs were scanned three times, and all lines were sorted with their text."""
+    from srcloom.operators import blocks as B
+
+    text = "fn a() {\n    if x {\n        let y = 1;\n        require!(x);\n    }\n    if z {\n    }\n    assert!(z);\n}"
+    lines = B.source_lines(spark.createDataFrame([("a.rs", text)], "path string, content string"))
+    found = B.block_scan(lines)
+    assert {(r.kind, r.start_line, r.end_line) for r in found.collect()} == {("Function", 1, 9), ("If", 2, 5), ("IfValidation", 2, 5), ("If", 6, 7), ("Validation", 4, 4), ("Validation", 8, 8)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("posexplode") == 1
+    first = [x for x in plan.splitlines() if "Window" in x][-1]
+    assert "line#" not in first.replace("line_no#", "")
+    twice = B.block_scan(lines, (*B.RULES, B.BlockRule("If", ("let",), ("=",), ("}",))), ["If"])
+    assert sorted((r.start_line, r.end_line) for r in twice.collect()) == [(2, 5), (6, 7)]
+
+
+def test_files_of_a_task_are_bounded(spark, monkeypatch):
+    """Derived files were dealt over as many tasks as their compressed texts needed: one for each core."""
+    from srcloom.plans import fixtures
+
+    monkeypatch.setattr(fixtures, "FILES_OF_TASK", 10)
+    files = spark.range(95).selectExpr("cast(id as string) as path", "'x' as content")
+    assert fixtures.spread(files).rdd.getNumPartitions() == 10
