@@ -180,3 +180,13 @@ def test_files_of_a_task_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(fixtures, "FILES_OF_TASK", 10)
     files = spark.range(95).selectExpr("cast(id as string) as path", "'x' as content")
     assert fixtures.spread(files).rdd.getNumPartitions() == 10
+
+
+def test_bodies_are_read_once(spark):
+    """Calls by name and calls on names were two reads of the bodies."""
+    from srcloom.operators.calls import sol_call_sites
+
+    f = spark.createDataFrame([(1, "{ a(b.c(1)); require(x); abi.encode(d()); // e()\n b . c (2); }"), (1, "{ a(); }"), (2, None)], "function_id int, body string")
+    found = sol_call_sites(f)
+    assert sorted((r.function_id, r.callee) for r in found.collect()) == [(1, "a"), (1, "b.c"), (1, "c"), (1, "d"), (1, "encode")]
+    assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
