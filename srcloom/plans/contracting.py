@@ -11,7 +11,7 @@ from srcloom.operators import graph as G
 from srcloom.sources.shared import durable
 
 from .calling import FN_KEY, contract_bodies
-from .fixtures import view, with_sql
+from .fixtures import spread, view, with_sql
 from .resolving import PATHS
 
 QUERIES, ORACLES = {}, {}
@@ -102,7 +102,7 @@ def contract_files(spark, d):
         F.lit("pragma solidity ^0.8.0;\n/* a { comment */\ninterface I"), n, F.lit(" {\n    function ping(uint256 a) external;\n}\nabstract contract C"), n, F.lit(" is I"), n, F.lit(", Base(1) {\n    uint256 public total; // kept\n    mapping(address => uint256) private balances;\n    address constant OWNER = address(0);\n    event Moved(address who);\n    modifier onlyKeeper() {\n        require(ok);\n        _;\n    }\n    constructor(address a) {\n        total = 1;\n    }\n    function f_"),
         n, F.lit("(uint256 a, bytes memory b) external payable onlyKeeper returns (uint256) {\n        if (a > 0) { total = a; }\n        return a;\n    }\n    function g() view internal {}\n}\n"),
     )
-    return view(spark, d, "part").select(F.concat(F.when(F.col("p_partkey") % 5 == 0, "src/lib/").otherwise("src/"), F.lit("C"), n, F.lit(".sol")).alias("path"), text.alias("content"))
+    return spread(view(spark, d, "part").select(F.concat(F.when(F.col("p_partkey") % 5 == 0, "src/lib/").otherwise("src/"), F.lit("C"), n, F.lit(".sol")).alias("path"), text.alias("content")))
 
 
 SRC = "SELECT (CASE WHEN p_partkey % 5 = 0 THEN 'src/lib/' ELSE 'src/' END) || 'C' || p_partkey || '.sol' AS path, CAST(p_partkey AS VARCHAR) AS n FROM part"
