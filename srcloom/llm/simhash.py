@@ -37,12 +37,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import overlap
-from .common import Scratch, appended, durable, hot_limit, join_by_key, shuffles_freed, table, tables_of
+from .common import Scratch, appended, durable, give_back, hot_limit, join_by_key, shuffles_freed, table, tables_of
 from .components import components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 #: Variants that a task writes out at one time.
-BLOCK_VARIANTS = 4_000_000
+BLOCK_VARIANTS = 1_000_000
 #: Fingerprints that may be sent to the same leading bits before those are lengthened, by how many bits, and leads above which at most so many are.
 HOT_LEAD, MORE_BITS, HOT_KEYS = 100_000, 16, 2_000
 #: Shingle hashes that a task unpacks to bits at one time.
@@ -135,6 +135,8 @@ def _met(sent: DataFrame, low: int, half: int, radius: int, block_variants: int)
             a, b = _meet(leads, fps, masks, low, half, radius, block_variants)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+            del leads, fps, a, b
+        give_back()
 
     return sent.select("fp", "lead").repartition("lead").sortWithinPartitions("lead").mapInArrow(run, "a long, b long")
 
@@ -196,8 +198,8 @@ def _stars(base: np.ndarray, fps: np.ndarray, left: np.ndarray, masks: list[np.n
         variants, owner = [], []
         for r, mask in enumerate(masks):
             rows = np.flatnonzero(left == r)
-            for at in range(0, len(rows), max(1, 4_000_000 // len(mask))):
-                some = rows[at : at + max(1, 4_000_000 // len(mask))]
+            for at in range(0, len(rows), max(1, BLOCK_VARIANTS // len(mask))):
+                some = rows[at : at + max(1, BLOCK_VARIANTS // len(mask))]
                 v = (base[some][:, None] ^ mask[None, :]).ravel()
                 o = np.repeat(who[some], len(mask))
                 if passes > 1:

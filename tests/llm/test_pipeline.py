@@ -100,3 +100,21 @@ def test_sql(spark, name):
     from tests.support import same_as_sql
 
     same_as_sql(spark, name, SF)
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    """Batches of 10,000 whole texts, held more than once in the JVM and in Python, took an executor to its limit."""
+    from pyspark.sql import types as T
+
+    from srcloom.llm.common import BATCH_DEFAULT, BATCH_ROWS, BATCH_SETTING, appended
+
+    docs = spark.range(9_000, numPartitions=1).selectExpr("id", "'a text' as text")
+    sizes = lambda: {r.n for r in appended(docs, "text", T.StructType([T.StructField("n", T.IntegerType())]), lambda: lambda texts: [[len(texts)] * len(texts)], buffer_bytes=1).collect()}
+    try:
+        spark.conf.unset(BATCH_SETTING)
+        assert spark.conf.get(BATCH_SETTING) == BATCH_DEFAULT  # what stands for "not set" below
+        assert max(sizes()) <= BATCH_ROWS
+        spark.conf.set(BATCH_SETTING, "3000")
+        assert sizes() == {3_000}  # the session's own value
+    finally:
+        spark.conf.unset(BATCH_SETTING)
