@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from srcloom.functions.text import stripped
+from srcloom.sources.shared import durable
+
+#: Documents that one task writes, each a file of its own.
+FILES_OF_TASK = 1_000
 
 # Folders that hold no audited code.
 EXCLUDED = ["/test/", "/tests/", "/script/", "/scripts/", "/mock/", "/mocks/"]
@@ -118,8 +122,16 @@ def upsert(base: DataFrame, delta: DataFrame, keys: list[str], lenient: str | No
 
 
 def write_reports(report: DataFrame, folder: str) -> None:
-    """One Markdown document for each entry: its lines in order, below its sections."""
-    documents(report).write.mode("overwrite").partitionBy("entry").text(folder)
+    """One Markdown document for each entry: its lines in order, below its sections.
+
+    Documents are dealt over tasks by their number: making a file takes long and its few bytes do not, by which Spark
+    would leave all to one task. Tasks move the files to their place when they end (version 2 of Hadoop's committer),
+    not the driver one after the other; so a folder is whole only if it has _SUCCESS.
+    """
+    found = durable(documents(report))
+    tasks = max(found.sparkSession.sparkContext.defaultParallelism, found.count() // FILES_OF_TASK + 1)
+    dealt = found.repartition(tasks, "entry")
+    dealt.write.mode("overwrite").option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("entry").text(folder)
 
 
 def documents(report: DataFrame) -> DataFrame:

@@ -190,3 +190,14 @@ def test_bodies_are_read_once(spark):
     found = sol_call_sites(f)
     assert sorted((r.function_id, r.callee) for r in found.collect()) == [(1, "a"), (1, "b.c"), (1, "c"), (1, "d"), (1, "encode")]
     assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_documents_are_written_by_more_than_one_task(spark, tmp_path):
+    """The few bytes of the documents were one partition to Spark, so one task made every file."""
+    from srcloom.sources.files import write_reports
+
+    rows = spark.createDataFrame([(f"e{i}", "a", 1, f"line {i}") for i in range(64)], "entry_name string, section string, ord int, line string")
+    write_reports(rows, str(tmp_path / "out"))
+    files = [p.name for p in (tmp_path / "out").glob("entry=*/part-*.txt")]
+    assert len(files) == 64 and len({f[:10] for f in files}) > 1
+    assert (tmp_path / "out" / "entry=e7").is_dir() and (tmp_path / "out" / "_SUCCESS").exists()
