@@ -34,7 +34,7 @@ def dependency_closure(edge: DataFrame, roots: DataFrame, max_iter: int | None =
     """
     edges = durable(edge.select("src", "dst").where("src is not null and dst is not null").distinct())
     start = roots.select("root").distinct()
-    new = durable(start.join(edges, F.col("root") == F.col("src")).select("root", F.col("dst").alias("node")).distinct().withColumn("depth", F.lit(1)))
+    new = durable(start.join(by_key(edges), F.col("root") == F.col("src")).select("root", F.col("dst").alias("node")).distinct().withColumn("depth", F.lit(1)))
     seen, depth = Seen(new, ["root", "node"]), 1
     deep = None
     while (max_iter is None or depth < max_iter) and not new.isEmpty():
@@ -44,7 +44,7 @@ def dependency_closure(edge: DataFrame, roots: DataFrame, max_iter: int | None =
             if new.isEmpty():
                 break
         depth += 1
-        step = new.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
+        step = _next(new, edges).select("root", F.col("dst").alias("node")).distinct()
         new = seen.add(step.withColumn("depth", F.lit(depth)))
     found = seen.rows()
     if deep is not None:
@@ -56,6 +56,11 @@ def dependency_closure(edge: DataFrame, roots: DataFrame, max_iter: int | None =
     return found.join(counts, ["root", "node"])
 
 
+def _next(new: DataFrame, edges: DataFrame) -> DataFrame:
+    """new with the edges of its nodes. They meet by key: edges that Spark takes for small would go through the driver in every round."""
+    return new.join(by_key(edges), F.col("node") == F.col("src"))
+
+
 def _deep_walks(edges: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(root, node, depth) of all roots of new that lie in a small connected part, walked whole; and the rows of new of the other roots."""
     part = durable(components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))))
@@ -136,7 +141,7 @@ def bfs_tree(edge: DataFrame, roots: DataFrame, names: DataFrame | None = None,
     shown = Seen(durable(new.join(names, "node").select("root", "name").distinct()), ["root", "name"]) if names is not None else None
     while not new.isEmpty():
         depth += 1
-        step = new.join(edges, F.col("node") == F.col("src")).groupBy("root", "dst").agg(F.min("src").alias("parent")).withColumnRenamed("dst", "node")
+        step = _next(new, edges).groupBy("root", "dst").agg(F.min("src").alias("parent")).withColumnRenamed("dst", "node")
         step = step.select("root", "node", F.lit(depth).alias("depth"), "parent")
         if shown is not None:
             # of nodes of one name the least stays, and only if the name was not shown before
@@ -280,7 +285,7 @@ def _chains_above_cycles(edges: DataFrame, above: DataFrame) -> DataFrame:
     seen = Seen(new, ["c", "a"])
     links = edges.select(F.col("c").alias("x"), "b", "r")
     while not new.isEmpty():  # ends, as each round has pairs that were not seen before
-        step = new.join(links, F.col("a") == F.col("x")).groupBy("c", F.col("b").alias("a")).agg(F.min(F.concat("path", F.array("r"))).alias("path"))
+        step = new.join(by_key(links), F.col("a") == F.col("x")).groupBy("c", F.col("b").alias("a")).agg(F.min(F.concat("path", F.array("r"))).alias("path"))
         new = seen.add(step)
     w = Window.partitionBy("c").orderBy(F.size("path"), "path")
     return seen.rows().select(F.col("c").alias("contract_id"), F.row_number().over(w).alias("position"), F.col("a").alias("ancestor_id"))

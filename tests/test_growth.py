@@ -201,3 +201,17 @@ def test_documents_are_written_by_more_than_one_task(spark, tmp_path):
     files = [p.name for p in (tmp_path / "out").glob("entry=*/part-*.txt")]
     assert len(files) == 64 and len({f[:10] for f in files}) > 1
     assert (tmp_path / "out" / "entry=e7").is_dir() and (tmp_path / "out" / "_SUCCESS").exists()
+
+
+def test_edges_do_not_go_through_the_driver_in_each_round(spark, monkeypatch):
+    """Edges below Spark's limit for broadcasts were gathered at the driver again in every round of a closure or tree."""
+    from srcloom.operators import graph as G
+
+    plans, keep = [], G.durable
+    monkeypatch.setattr(G, "durable", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), keep(df))[1])
+    edges = spark.createDataFrame([(i, i + 1) for i in range(6)], "src int, dst int")
+    roots = spark.createDataFrame([(0,), (3,)], "root int")
+    assert {(r.root, r.node, r.depth) for r in G.dependency_closure(edges, roots).collect()} == {(0, n, n) for n in range(1, 7)} | {(3, n, n - 3) for n in range(4, 7)}
+    assert {(r.root, r.node, r.parent) for r in G.bfs_tree(edges, roots).where("depth > 0").collect()} == {(0, n, n - 1) for n in range(1, 7)} | {(3, n, n - 1) for n in range(4, 7)}
+    rounds = [p for p in plans if "src" in p and "Join Inner" in p]
+    assert len(rounds) > 8 and all("rightHint=(strategy=merge)" in p for p in rounds)
