@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from srcloom.functions.text import stripped
 
 from .analytics import token_flow_pairs
+from .containment import by_key
 
 ROW = ["entry_name", "section", "ord", "line"]
 
@@ -38,16 +39,17 @@ def report_constraint_checklist(entry: DataFrame, account: DataFrame, source_lin
     entry: name, struct_id, path; source_line has all lines of a file, numbered without gaps.
     """
     v = entry.select("struct_id", F.col("name").alias("entry_name"), "path").join(account.select("struct_id", F.col("ord").alias("a"), F.posexplode("validations").alias("k", "v")), "struct_id")
-    needle = F.trim(F.substring_index("v", "@", 1))
-    # a file and the texts that are wanted of it are one row; each text is found in the file as a whole, not line by line
-    wanted = v.withColumn("needle", needle).where(~F.contains("needle", F.lit("\n"))).groupBy("path").agg(F.collect_set("needle").alias("needles"))
+    v = v.withColumn("needle", F.trim(F.substring_index("v", "@", 1))).repartition("path")
+    # rows of one text in one file are one row, which meets the file: all of this is dealt by the path alone, and validations are read once
+    wanted = v.groupBy("path", "needle").agg(F.collect_list(F.struct("entry_name", "a", "k", "v")).alias("rows"))
     content = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
-    files = source_line.join(wanted.select("path"), "path", "left_semi").groupBy("path").agg(content.alias("content"), F.min("line_no").alias("first"))
-    spot = F.transform("needles", lambda n: F.struct(n.alias("needle"), F.instr("content", n).alias("at")))
-    met = files.join(wanted, "path").select("path", "first", "content", F.explode(F.filter(spot, lambda x: x["at"] > 0)).alias("x"))
-    breaks = F.length(F.regexp_replace(F.substring("content", F.lit(1), F.col("x.at")), "[^\n]", ""))
-    at = met.select("path", "x.needle", (F.col("first") + breaks).cast("int").alias("line_no"))
-    out = v.withColumn("needle", needle).join(at, ["path", "needle"], "left")
+    files = source_line.join(entry.select("path").distinct(), "path", "left_semi").groupBy("path").agg(content.alias("content"), F.min("line_no").alias("first"))
+    # each text is found in the file as a whole, not line by line
+    met = by_key(wanted).join(by_key(files), "path", "left").withColumn("at", F.when(~F.contains("needle", F.lit("\n")), F.instr("content", F.col("needle"))))
+    before = F.substring("content", F.lit(1), F.col("at"))
+    breaks = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))
+    spot = F.when(F.col("at") > 0, (F.col("first") + breaks).cast("int"))
+    out = met.select("path", spot.alias("line_no"), F.explode("rows").alias("r")).select("path", "line_no", "r.*")
     link = F.concat(F.lit(commit_url), "path", F.lit("#L"), F.coalesce("line_no", F.lit(1)).cast("string"))
     return _rows(out, "constraints", ["a", "k"], F.concat(F.lit("- [ ] "), "v", F.lit(" "), link))
 

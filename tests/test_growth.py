@@ -215,3 +215,18 @@ def test_edges_do_not_go_through_the_driver_in_each_round(spark, monkeypatch):
     assert {(r.root, r.node, r.parent) for r in G.bfs_tree(edges, roots).where("depth > 0").collect()} == {(0, n, n - 1) for n in range(1, 7)} | {(3, n, n - 1) for n in range(4, 7)}
     rounds = [p for p in plans if "src" in p and "Join Inner" in p]
     assert len(rounds) > 8 and all("rightHint=(strategy=merge)" in p for p in rounds)
+
+
+def test_checklists_read_the_validations_once(spark):
+    """The texts to look for and the rows that ask for them were derived from the accounts one after the other."""
+    from srcloom.operators.reports import report_constraint_checklist
+
+    plan = registry.QUERIES["r2_report_constraint_checklist"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation" in x and "l_orderkey" in x for x in plan.splitlines()) == 1
+    entry = spark.createDataFrame([(f"e{i}", i % 2, p) for i, p in enumerate(("a.rs", "a.rs", "a.rs", "gone.rs"))], "name string, struct_id int, path string")
+    account = spark.createDataFrame([(0, 1, ["x == 1 @ E", "no"]), (1, 1, ["y\nz", "x == 1"])], "struct_id int, ord int, validations array<string>")
+    lines = spark.createDataFrame([("a.rs", k, t) for k, t in ((5, "é first"), (6, "y"), (7, "if x == 1 {"), (8, "z"), (9, "x == 1"))], "path string, line_no int, line string")
+    got = {(r.entry_name, r.ord): r.line for r in report_constraint_checklist(entry, account, lines, "u/").collect()}
+    first = {"e0": ("x == 1 @ E u/a.rs#L7", "no u/a.rs#L1"), "e1": ("y\nz u/a.rs#L1", "x == 1 u/a.rs#L7"), "e3": ("y\nz u/gone.rs#L1", "x == 1 u/gone.rs#L1")}
+    first["e2"] = first["e0"]
+    assert got == {(e, k): f"- [ ] {t}" for e, ts in first.items() for k, t in enumerate(ts, 1)}
