@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from srcloom.functions.lexing import BRACES, PARENS, masked, numbered_words, unnumbered
 from srcloom.functions.text import split_top_level
+from srcloom.operators.containment import by_key
 from srcloom.operators.graph import Seen
 from srcloom.sources.shared import durable
 
@@ -109,9 +110,9 @@ def overload_names(contract_function: DataFrame) -> DataFrame:
 def sol_entries(contract: DataFrame, contract_function: DataFrame) -> DataFrame:
     """Public and external functions of contracts that are our own and neither interface nor library, constructors left out, with their access control."""
     own = contract.where("not external and contract_type not in ('Interface', 'Library')").select("contract_id", F.col("name").alias("contract"))
-    f = contract_function.where("visibility in ('Public', 'External') and name <> 'constructor'").join(own, "contract_id")
+    f = contract_function.where("visibility in ('Public', 'External') and name <> 'constructor'").join(by_key(own), "contract_id")
     control = access_control(f).groupBy("function_id").agg(F.array_sort(F.collect_set("kind")).alias("access_control"))
-    return f.join(overload_names(f), "function_id").join(control, "function_id").select("contract_id", "function_id", "entry_name", "visibility", "access_control")
+    return f.join(by_key(overload_names(f)), "function_id").join(by_key(control), "function_id").select("contract_id", "function_id", "entry_name", "visibility", "access_control")
 
 
 def sol_resolve_calls(sites: DataFrame, contract_function: DataFrame, base: DataFrame, contract: DataFrame) -> DataFrame:
@@ -147,10 +148,10 @@ def nearest_definitions(base: DataFrame, definers: DataFrame, keep: int = 2) ->
     new = durable(ranked.select(*key, F.col("contract_id").alias("ancestor_id"), "dep_id", F.array().cast("array<int>").alias("way"), "rank"))
     parts = [new]
     while not new.isEmpty():
-        step = new.join(edges, F.col("contract_id") == F.col("b")).groupBy(F.col("c").alias("contract_id"), "name", "dep_id").agg(F.min(F.struct(F.concat(F.array("r"), "way").alias("way"), "ancestor_id")).alias("p"))
+        step = new.join(by_key(edges), F.col("contract_id") == F.col("b")).groupBy(F.col("c").alias("contract_id"), "name", "dep_id").agg(F.min(F.struct(F.concat(F.array("r"), "way").alias("way"), "ancestor_id")).alias("p"))
         had = _together(parts).groupBy(*key).agg(F.collect_list("dep_id").alias("had"))  # at most `keep` of each
         n = F.coalesce(F.size("had"), F.lit(0))
-        fresh = step.join(had, key, "left").withColumn("n", F.when(F.col("had").isNull(), 0).otherwise(n)).where((F.col("n") < keep) & ~F.coalesce(F.array_contains("had", F.col("dep_id")), F.lit(False)))
+        fresh = step.join(by_key(had), key, "left").withColumn("n", F.when(F.col("had").isNull(), 0).otherwise(n)).where((F.col("n") < keep) & ~F.coalesce(F.array_contains("had", F.col("dep_id")), F.lit(False)))
         place = F.row_number().over(Window.partitionBy(*key).orderBy("p.way", "dep_id")) + F.col("n")
         new = durable(fresh.withColumn("rank", place.cast("int")).where(F.col("rank") <= keep).select(*key, "p.ancestor_id", "dep_id", "p.way", "rank"))
         parts.append(new)
@@ -195,14 +196,14 @@ def deps_in_contract(f: DataFrame, sites: DataFrame, functions: DataFrame, modif
     """
     f = f.withColumn("caller", F.col("function_id").cast("string"))
     mods = f.select("function_id", "in_contract", F.explode(F.array_distinct("modifiers")).alias("name"))
-    used = mods.join(modifiers.withColumnRenamed("contract_id", "in_contract"), ["in_contract", "name"]).select("function_id", "in_contract", F.col("first").alias("dep_id"), F.lit("modifier").alias("dep_kind"), "name")
-    called = f.join(sites.where(~F.contains("callee", F.lit("."))).select("function_id", F.col("callee").alias("name")).distinct(), "function_id")
+    used = mods.join(by_key(modifiers.withColumnRenamed("contract_id", "in_contract")), ["in_contract", "name"]).select("function_id", "in_contract", F.col("first").alias("dep_id"), F.lit("modifier").alias("dep_kind"), "name")
+    called = f.join(by_key(sites.where(~F.contains("callee", F.lit("."))).select("function_id", F.col("callee").alias("name")).distinct()), "function_id")
     # a call named like a modifier of its function counts as that, if there is such a modifier: only these rows have to look
     like = F.array_contains("modifiers", F.col("name"))
     kept = ["function_id", "in_contract", "caller", "name"]
-    called = called.where(~F.coalesce(like, F.lit(False))).select(*kept).unionByName(called.where(like).join(used.select("function_id", "in_contract", "name"), ["function_id", "in_contract", "name"], "left_anti").select(*kept))
+    called = called.where(~F.coalesce(like, F.lit(False))).select(*kept).unionByName(called.where(like).join(by_key(used.select("function_id", "in_contract", "name")), ["function_id", "in_contract", "name"], "left_anti").select(*kept))
     dep = F.when(F.col("first") != F.col("caller"), F.col("first")).otherwise(F.col("second"))
-    found = called.join(functions.withColumnRenamed("contract_id", "in_contract"), ["in_contract", "name"]).select("function_id", "in_contract", dep.alias("dep_id"), F.lit("function").alias("dep_kind"), "name").where("dep_id is not null")
+    found = called.join(by_key(functions.withColumnRenamed("contract_id", "in_contract")), ["in_contract", "name"]).select("function_id", "in_contract", dep.alias("dep_id"), F.lit("function").alias("dep_kind"), "name").where("dep_id is not null")
     return used.unionByName(found)
 
 

@@ -113,7 +113,7 @@ class Seen:
 
     def new(self, rows: DataFrame) -> DataFrame:
         """Those rows whose key was not seen."""
-        return rows.join(self.rows().select(*self.keys), self.keys, "left_anti").select(*rows.columns)
+        return rows.join(by_key(self.rows().select(*self.keys)), self.keys, "left_anti").select(*rows.columns)
 
     def add(self, rows: DataFrame) -> DataFrame:
         """The rows whose key was not seen, which are now."""

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from srcloom.functions.text import path_fragment, plain_path
-from srcloom.operators.containment import within
+from srcloom.operators.containment import by_key, within
 from srcloom.sources.shared import durable
 
 EDGE = ["caller_id", "callee_name", "callee_id", "resolution", "rule"]
@@ -184,11 +184,11 @@ def resolve_import_path(sol_import: DataFrame, files: DataFrame, remaps: DataFra
     # each import is listed under its beginnings of the lengths that prefixes have, which are few
     lengths = sorted(r[0] for r in remaps.select(F.length("prefix")).where("prefix is not null").distinct().collect())
     begun = imports.withColumn("prefix", F.explode(F.array(*[F.when(F.length("import_path") >= n, F.substring("import_path", 1, n)) for n in lengths] or [F.lit(None).cast("string")])))
-    mapped = begun.join(remaps, "prefix").select("path", "import_path", F.lit(1).alias("rank"), (-F.length("prefix")).alias("longest"), F.concat("target", F.expr("substring(import_path, length(prefix) + 1)")).alias("candidate"))
+    mapped = begun.join(F.broadcast(remaps), "prefix").select("path", "import_path", F.lit(1).alias("rank"), (-F.length("prefix")).alias("longest"), F.concat("target", F.expr("substring(import_path, length(prefix) + 1)")).alias("candidate"))
     every = mapped.unionByName(plain.withColumn("longest", F.lit(0)))
-    found = every.withColumn("candidate", plain_path(F.col("candidate"))).join(files.select(F.col("path").alias("candidate")).distinct(), "candidate", "left_semi")
+    found = every.withColumn("candidate", plain_path(F.col("candidate"))).join(by_key(files.select(F.col("path").alias("candidate")).distinct()), "candidate", "left_semi")
     best = found.groupBy("path", "import_path").agg(F.min(F.struct("rank", "longest", "candidate"))["candidate"].alias("target"))
-    return imports.join(best, ["path", "import_path"], "left")
+    return imports.join(by_key(best), ["path", "import_path"], "left")
 
 
 def entry_struct(symbol: DataFrame, params: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from srcloom.functions.lexing import problems
 from srcloom.operators import calls as C
 from srcloom.operators import contracts as K
+from srcloom.operators.containment import by_key
 from srcloom.operators.graph import Seen
 from srcloom.operators.resolve import resolve_import_path
 from srcloom.sources.shared import durable
@@ -46,7 +47,7 @@ def visible_contracts(contract: DataFrame, imports: DataFrame) -> DataFrame:
     new = durable(contract.select("path", "name", "contract_id").distinct())
     seen = Seen(new, ["path", "name", "contract_id"])
     while not new.isEmpty():
-        met = new.join(edges, "path").where("symbol is null or symbol = name")
+        met = new.join(by_key(edges), "path").where("symbol is null or symbol = name")
         new = seen.add(met.select(F.col("to").alias("path"), F.coalesce("alias", "name").alias("name"), "contract_id").distinct())
     return seen.rows()
 
@@ -58,7 +59,7 @@ def resolve_bases(contract: DataFrame, visible: DataFrame) -> tuple[DataFrame, D
     """
     named = contract.select("path", "contract_id", F.posexplode("bases").alias("at", "base"))
     meant = visible.groupBy("path", F.col("name").alias("base")).agg(F.min("contract_id").alias("base_id"), F.count_distinct("contract_id").alias("n"))
-    found = durable(named.join(meant, ["path", "base"], "left"))
+    found = durable(named.join(by_key(meant), ["path", "base"], "left"))
     reason = F.when(F.col("n").isNull(), "unknown base").otherwise("ambiguous base")
     bad = found.where("n is null or n > 1").select("path", F.col("contract_id").alias("item"), F.col("base").alias("name"), reason.alias("reason"))
     return found.where("n = 1").select("contract_id", (F.col("at") + 1).alias("ord"), "base_id"), bad
@@ -71,32 +72,44 @@ def contract_corpus(source_file: DataFrame, remaps: DataFrame) -> dict[str, Data
     modifiers, path, start_line, end_line; site: function_id, contract_id, callee. A file that can't be read to its end
     gives reject rows and nothing else.
     """
+    t, tables = _named(source_file, remaps)
+    types = F.array_join(F.transform("params", lambda p: p["type_name"]), ",")
+    function = durable(_with_id(tables["contract_function"]).withColumns({"types": types, "n_params": F.size("params")}))
+    site = durable(C.sol_calls(function.where("body is not null").withColumn("both", F.struct("function_id", "contract_id")), "both").select("both.*", "callee"))
+    return {
+        **t,
+        "function": function.drop("body"),
+        "modifier": _with_id(tables["contract_modifier"]).drop("body"),
+        "storage": _with_id(tables["storage_var"]),
+        "event": _with_id(tables["event_def"]),
+        "site": site,
+    }
+
+
+def contract_rejects(source_file: DataFrame, remaps: DataFrame) -> DataFrame:
+    """The table reject of contract_corpus() alone: no function is read for it."""
+    return _named(source_file, remaps)[0]["reject"]
+
+
+def _with_id(df: DataFrame) -> DataFrame:
+    return df.withColumn("contract_id", F.concat_ws("|", "path", "contract"))
+
+
+def _named(source_file: DataFrame, remaps: DataFrame) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """The tables of contract_corpus() that come from what files import and what their contracts are called; and those of contract_extract()."""
     # each file is judged once, by tasks that have equal shares of the text; all that follows reads these rows
     every = durable(source_file.select("path", "content").repartition("path").withColumn("why", problems(F.col("content"), "solidity")))
     source_file = every.where(F.size("why") == 0).select("path", "content")
     tables = K.contract_extract(source_file)
-    with_id = lambda df: df.withColumn("contract_id", F.concat_ws("|", "path", "contract"))
-    contract = durable(with_id(tables["contract"]).withColumn("name", F.col("contract")).drop("contract"))
-    types = F.array_join(F.transform("params", lambda p: p["type_name"]), ",")
-    function = durable(with_id(tables["contract_function"]).withColumns({"types": types, "n_params": F.size("params")}))
-    imports = C.sol_imports(source_file)
+    contract = durable(_with_id(tables["contract"]).withColumn("name", F.col("contract")).drop("contract"))
+    imports = durable(C.sol_imports(source_file))  # texts are read once for them and for their targets
     target = resolve_import_path(imports, source_file.select("path"), remaps)
-    imports = durable(imports.join(target, ["path", "import_path"], "left"))
+    imports = durable(imports.join(by_key(target), ["path", "import_path"], "left"))
     visible = durable(visible_contracts(contract, imports))
     base, bad = resolve_bases(contract, visible)
     lost = imports.where("target is null").select("path", F.lit("import").alias("item"), F.col("import_path").alias("name"), F.lit("import without a file").alias("reason")).distinct()
-    site = durable(C.sol_calls(function.where("body is not null").withColumn("both", F.struct("function_id", "contract_id")), "both").select("both.*", "callee"))
-    return {
-        "contract": contract,
-        "base": durable(base),
-        "function": function.drop("body"),
-        "modifier": with_id(tables["contract_modifier"]).drop("body"),
-        "storage": with_id(tables["storage_var"]),
-        "event": with_id(tables["event_def"]),
-        "import": imports,
-        "site": site,
-        "reject": bad.unionByName(lost).unionByName(_file_rejects(every, F.col("why"))),
-    }
+    reject = bad.unionByName(lost).unionByName(_file_rejects(every, F.col("why")))
+    return {"contract": contract, "base": durable(base), "import": imports, "reject": reject}, tables
 
 
 def entry_tree(entries: DataFrame, function: DataFrame, site: DataFrame, functions: DataFrame, modifiers: DataFrame) -> DataFrame:
@@ -108,7 +121,7 @@ def entry_tree(entries: DataFrame, function: DataFrame, site: DataFrame, functio
     function_id, name, modifiers; functions and modifiers: contracts.definitions().
     """
     known = durable(function.select("function_id", F.col("name").alias("fn_name"), "modifiers"))
-    start = entries.select(F.col("function_id").alias("root"), F.col("contract_id").alias("in_contract"), F.col("function_id").alias("node")).distinct().join(known.select(F.col("function_id").alias("node"), F.col("fn_name").alias("name")), "node")
+    start = entries.select(F.col("function_id").alias("root"), F.col("contract_id").alias("in_contract"), F.col("function_id").alias("node")).distinct().join(by_key(known.select(F.col("function_id").alias("node"), F.col("fn_name").alias("name"))), "node")
     none = F.lit(None).cast("string")
     columns = ["root", "in_contract", "node", "depth", "parent", "name", "dep_kind"]
     new = durable(start.select("root", "in_contract", "node", F.lit(0).alias("depth"), none.alias("parent"), "name", F.lit("function").alias("dep_kind")))
@@ -117,24 +130,27 @@ def entry_tree(entries: DataFrame, function: DataFrame, site: DataFrame, functio
         depth += 1
         callers = new.where("dep_kind = 'function'").select("root", "in_contract", F.col("node").alias("function_id"))
         # what a function uses in a contract is looked up once, however many roots of that contract reach it
-        pairs = callers.select("in_contract", "function_id").distinct().join(known.select("function_id", "modifiers"), "function_id")
+        pairs = callers.select("in_contract", "function_id").distinct().join(by_key(known.select("function_id", "modifiers")), "function_id")
         used = K.deps_in_contract(pairs, site, functions, modifiers)
-        step = callers.join(used, ["in_contract", "function_id"])
+        step = callers.join(by_key(used), ["in_contract", "function_id"])
         met = step.groupBy("root", "in_contract", "dep_kind", "name").agg(F.min(F.struct(F.col("dep_id").alias("node"), F.col("function_id").alias("parent"))).alias("p"))
         new = seen.add(met.select("root", "in_contract", "p.node", F.lit(depth).alias("depth"), "p.parent", "name", "dep_kind").select(columns))
     return seen.rows().drop("in_contract")
 
 
-def contract_entries(source_file: DataFrame, remaps: DataFrame) -> dict[str, DataFrame]:
-    """From files to entries, their direct dependencies, their trees and report rows, with the tables they come from."""
+def contract_entries(source_file: DataFrame, remaps: DataFrame, direct: bool = True, tree: bool = True) -> dict[str, DataFrame]:
+    """From files to entries, with the tables they come from; direct and tree: whether with their direct dependencies, with their trees."""
     t = contract_corpus(source_file, remaps)
     entries = durable(K.sol_entries(t["contract"], t["function"].drop("contract")))
     functions, modifiers = K.definitions(t["function"], t["modifier"], t["base"])
     functions, modifiers = durable(functions), durable(modifiers)
-    f = t["function"].select("function_id", "contract_id", F.col("contract_id").alias("in_contract"), "modifiers")
-    direct = durable(K.deps_in_contract(f, t["site"].select("function_id", "callee"), functions, modifiers))
-    tree = durable(entry_tree(entries, t["function"], t["site"].select("function_id", "callee"), functions, modifiers))
-    return {**t, "entry": entries, "direct": direct, "tree": tree}
+    found, site = {"entry": entries}, t["site"].select("function_id", "callee")
+    if direct:
+        f = t["function"].select("function_id", "contract_id", F.col("contract_id").alias("in_contract"), "modifiers")
+        found["direct"] = durable(K.deps_in_contract(f, site, functions, modifiers))
+    if tree:
+        found["tree"] = durable(entry_tree(entries, t["function"], site, functions, modifiers))
+    return {**t, **found}
 
 
 def entry_report(t: dict[str, DataFrame]) -> DataFrame:
@@ -144,7 +160,7 @@ def entry_report(t: dict[str, DataFrame]) -> DataFrame:
     contract and of its bases, as the contract sees them.
     """
     f = t["function"].select("function_id", "path", "contract", "modifiers", "params", "start_line")
-    e = durable(t["entry"].select("entry_name", "function_id", "contract_id", "access_control").join(f, "function_id"))
+    e = durable(t["entry"].select("entry_name", "function_id", "contract_id", "access_control").join(by_key(f), "function_id"))
     row = lambda df, section, order, line: df.select("function_id", "entry_name", "path", F.lit(section).alias("section"), order.alias("o"), line.alias("line"))
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     zero = F.lit("")
@@ -156,10 +172,10 @@ def entry_report(t: dict[str, DataFrame]) -> DataFrame:
     # a contract sees its own variables and those of its bases; equal names of the nearest
     owned = lambda table: K.nearest_definitions(t["base"], t[table].select("contract_id", "name", F.concat_ws("|", "contract_id", "name").alias("dep_id")), keep=1)
     own = e.select("function_id", "entry_name", "path", "contract_id")
-    state = row(own.join(owned("storage"), "contract_id"), "state", F.col("name"), text("- ", F.col("name")))
-    events = row(own.join(owned("event"), "contract_id"), "events", F.col("name"), text("- ", F.col("name")))
+    state = row(own.join(by_key(owned("storage")), "contract_id"), "state", F.col("name"), text("- ", F.col("name")))
+    events = row(own.join(by_key(owned("event")), "contract_id"), "events", F.col("name"), text("- ", F.col("name")))
     at = t["function"].select(F.col("function_id").alias("dep_id"), F.concat_ws(":", "path", F.col("start_line").cast("string")).alias("at"))
-    used = e.select("function_id", "entry_name", "path").join(t["direct"].where("dep_kind = 'function'"), "function_id").join(at, "dep_id")
+    used = e.select("function_id", "entry_name", "path").join(by_key(t["direct"].where("dep_kind = 'function'")), "function_id").join(by_key(at), "dep_id")
     calls = row(used, "calls", F.col("name"), text("- ", F.col("name"), " (", F.col("at"), ")"))
     rows = access.unionByName(mods).unionByName(where).unionByName(params).unionByName(state).unionByName(events).unionByName(calls)
     w = Window.partitionBy("function_id", "section").orderBy("o", "line")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from srcloom.operators import solidity as S
+from srcloom.operators.containment import by_key
 
 from .fixtures import spread, view
 
@@ -94,9 +95,12 @@ def vault_files(spark, d):
     return spread(vaults.unionByName(bases).unionByName(tokens))
 
 
-def _tables(spark, d):
-    remaps = spark.createDataFrame([("@tok/", "src/lib/token/")], "prefix string, target string")
-    return S.contract_entries(vault_files(spark, d), remaps)
+def _remaps(spark):
+    return spark.createDataFrame([("@tok/", "src/lib/token/")], "prefix string, target string")
+
+
+def _tables(spark, d, **wanted):
+    return S.contract_entries(vault_files(spark, d), _remaps(spark), **wanted)
 
 
 PARTS = "WITH v AS (SELECT CAST(p_partkey AS VARCHAR) AS n, CAST(p_partkey // 10 AS VARCHAR) AS b, p_partkey % 2 = 0 AS even FROM part)\n"
@@ -155,13 +159,13 @@ UNION ALL SELECT n, x, 'calls', k, '- step (src/V' || n || '.sol:11)' FROM v, LA
 UNION ALL SELECT n, 'move', 'calls', 1, '- data (src/lib/token/T' || b || '.sol:4)' FROM v)))""")
 def r7_contract_entry_report(spark, d):
     """All sections of the report of each entry, from text."""
-    return S.entry_report(_tables(spark, d)).where("path like 'src/V%'")
+    return S.entry_report(_tables(spark, d, tree=False)).where("path like 'src/V%'")
 
 
 @register("a8_contract_rejects", PARTS + """SELECT 'src/V' || n || '.sol' AS path, 'src/V' || n || '.sol|Odd' || n AS item, 'Missing' AS name, 'unknown base' AS reason FROM v""")
 def a8_contract_rejects(spark, d):
     """What of the vault files could not be read or resolved."""
-    return _tables(spark, d)["reject"]
+    return S.contract_rejects(vault_files(spark, d), _remaps(spark))
 
 
 def damaged_files(spark, d):
@@ -181,7 +185,7 @@ def a8_counts_from_text(spark, d):
 
     from .resolving import program_files
 
-    t = S.contract_corpus(damaged_files(spark, d), spark.createDataFrame([("@tok/", "src/lib/token/")], "prefix string, target string"))
+    t = S.contract_corpus(damaged_files(spark, d), _remaps(spark))
     symbol = symbol_extract(program_files(spark, d)).withColumn("kind", F.col("item"))
     return corpus_counts(symbol, t["contract"], t["site"], t["function"], t["modifier"], t["reject"].where("item = 'file'"))
 

@@ -230,3 +230,34 @@ def test_checklists_read_the_validations_once(spark):
     first = {"e0": ("x == 1 @ E u/a.rs#L7", "no u/a.rs#L1"), "e1": ("y\nz u/a.rs#L1", "x == 1 u/a.rs#L7"), "e3": ("y\nz u/gone.rs#L1", "x == 1 u/gone.rs#L1")}
     first["e2"] = first["e0"]
     assert got == {(e, k): f"- [ ] {t}" for e, ts in first.items() for k, t in enumerate(ts, 1)}
+
+
+#: Queries over contract files; the remappings, a table of the size of a configuration, are all that they broadcast.
+CONTRACTS = ["a8_contract_rejects", "corpus_contract_entries", "g2_contract_entry_tree", "r7_contract_entry_report"]
+
+
+def plans_of(monkeypatch, run) -> list[str]:
+    """The plans of what is kept on the way to a result, and that of the result."""
+    from srcloom.operators import contracts, graph, resolve, solidity
+    from srcloom.plans import resolving
+
+    plans = []
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for module in (contracts, graph, resolve, solidity, resolving):
+        monkeypatch.setattr(module, "durable", lambda df, keep=module.durable: (plans.append(plan(df)), keep(df))[1])
+    plans.append(plan(run()))
+    return plans
+
+
+@pytest.mark.parametrize("name", CONTRACTS)
+def test_contracts_are_not_broadcast(spark, monkeypatch, name):
+    """Ids are long and much alike, so what Spark took for 10 MB were 230 MB at the driver, many times."""
+    plans = plans_of(monkeypatch, lambda: registry.QUERIES[name](spark, SF))
+    assert [p.count("BroadcastExchange") for p in plans if "BroadcastExchange" in p] == [1]
+    assert sum("SortMergeJoin" in p for p in plans) > 2
+
+
+def test_rejects_need_no_functions(spark, monkeypatch):
+    """All trees and dependencies were made for them."""
+    plans = plans_of(monkeypatch, lambda: registry.QUERIES["a8_contract_rejects"](spark, SF))
+    assert not any("modifiers" in p or "function_id" in p for p in plans)
