@@ -128,9 +128,9 @@ UNION ALL SELECT n, 'Vault' || n || '.peek(uint256)', 'function', 'src/V' || n |
 UNION ALL SELECT n, 'Vault' || n || '.peek()', NULL, NULL FROM v)""")
 def corpus_contract_entries(spark, d):
     """From Solidity text to the entries and what they use directly; an entry that uses nothing has one row."""
-    t = _tables(spark, d)
-    e = t["entry"].join(t["function"].select("function_id", "path"), "function_id").where("path like 'src/V%'")
-    return e.join(t["direct"], "function_id", "left").select("entry_name", "path", "dep_kind", "dep_id")
+    t = _tables(spark, d, tree=False)
+    e = t["entry"].join(by_key(t["function"].select("function_id", "path")), "function_id").where("path like 'src/V%'")
+    return e.join(by_key(t["direct"]), "function_id", "left").select("entry_name", "path", "dep_kind", "dep_id")
 
 
 @register("g2_contract_entry_tree", PARTS + """, f AS (SELECT n, 'src/V' || n || '.sol|' AS me, 'src/base/B' || b || '.sol|Base' || b || '|' AS base, 'src/lib/token/T' || b || '.sol|Token' || b || '|' AS tok, even FROM v),
