@@ -145,7 +145,7 @@ UNION ALL SELECT n, me, root, CASE WHEN even THEN me || 'Vault' || n || '|' ELSE
 UNION ALL SELECT n, me, root, me || 'Vault' || n || '|last(uint256)', d + 3, me || 'Vault' || n || '|seal(uint256)' FROM up WHERE even)""")
 def g2_contract_entry_tree(spark, d):
     """The trees of the vaults' entries: Base.note calls seal, which even vaults override, so their trees go on where those of odd ones end."""
-    return _tables(spark, d)["tree"].where("root like 'src/V%'").select("root", "node", "depth", "parent")
+    return _tables(spark, d, direct=False)["tree"].where("root like 'src/V%'").select("root", "node", "depth", "parent")
 
 
 @register("r7_contract_entry_report", PARTS + """SELECT entry_name, path, section, CAST(ord AS INT) AS ord, line FROM (
