@@ -261,3 +261,10 @@ def test_rejects_need_no_functions(spark, monkeypatch):
     """All trees and dependencies were made for them."""
     plans = plans_of(monkeypatch, lambda: registry.QUERIES["a8_contract_rejects"](spark, SF))
     assert not any("modifiers" in p or "function_id" in p for p in plans)
+
+
+def test_call_graphs_are_not_broadcast(spark, monkeypatch):
+    """Names, members, parameters and edges of calls, and the ids of the list, went through the driver where Spark took them for small."""
+    plans = plans_of(monkeypatch, lambda: registry.QUERIES["corpus_entry_call_graph"](spark, SF))
+    # the noise words are a fixed list
+    assert [p.count("BroadcastExchange") for p in plans if "BroadcastExchange" in p] == [1]
