@@ -268,3 +268,22 @@ def test_call_graphs_are_not_broadcast(spark, monkeypatch):
     plans = plans_of(monkeypatch, lambda: registry.QUERIES["corpus_entry_call_graph"](spark, SF))
     # the noise words are a fixed list
     assert [p.count("BroadcastExchange") for p in plans if "BroadcastExchange" in p] == [1]
+
+
+def test_functions_of_ancestors_are_listed_where_contracts_meet(spark):
+    """Each contract met each function of each ancestor by the ancestor, and all these rows were dealt and sorted again by contract."""
+    from srcloom.operators import graph as G
+
+    base = spark.createDataFrame([(3, 1, 1), (3, 2, 2), (4, 1, 3), (1, 1, 9), (2, 1, 9)], "contract_id long, ord int, base_id long")
+    f = spark.createDataFrame([(9, "a", 0), (9, "b", 1), (1, "a", 0), (2, "a", 0), (2, "a", 0), (2, "a", 1), (4, "c", 0), (8, "a", 0)], "contract_id long, name string, n_params int")
+    lin = G.linearize(base)
+    found = G.effective_functions(lin, f)
+    last, own = {}, {}
+    for c, name, n in f.collect():
+        own.setdefault(c, set()).add((name, n))
+    for r in lin.orderBy("contract_id", "position").collect():
+        last.update({(r.contract_id, *k): r.ancestor_id for k in own.get(r.ancestor_id, ())})
+    assert sorted((r.contract_id, r.name, r.n_params, r.defined_in) for r in found.collect()) == sorted((*k, a) for k, a in last.items())
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    explode, dealt = (next(k for k, x in enumerate(plan) if w in x) for w in ("explode(fs", "RepartitionByExpression"))
+    assert explode < dealt and not any("Window" in x for x in plan)
