@@ -287,3 +287,17 @@ def test_functions_of_ancestors_are_listed_where_contracts_meet(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
     explode, dealt = (next(k for k, x in enumerate(plan) if w in x) for w in ("explode(fs", "RepartitionByExpression"))
     assert explode < dealt and not any("Window" in x for x in plan)
+
+
+def test_functions_are_kept_without_their_texts(spark, monkeypatch):
+    """Ids and bodies of all functions were kept whole, and so were the definitions of each contract."""
+    from srcloom.operators import contracts
+    from srcloom.plans import contracting
+
+    kept = []
+    for module in (contracts, contracting):
+        monkeypatch.setattr(module, "compact", lambda df, keep=module.compact: kept.append(keep(df)) or kept[-1])
+    found = registry.QUERIES["j14_sol_direct_deps"](spark, SF)
+    assert kept[0].columns == ["contract_id", "name", "n_params", "visibility", "modifier"] and kept[-1].count() > 0
+    assert all("parquet" in df._jdf.queryExecution().optimizedPlan().toString().lower() for df in kept)
+    assert broadcasts(found) == 0
