@@ -233,7 +233,7 @@ def test_checklists_read_the_validations_once(spark):
 
 
 #: Queries over contract files; the remappings, a table of the size of a configuration, are all that they broadcast.
-CONTRACTS = ["a8_contract_rejects", "corpus_contract_entries", "g2_contract_entry_tree", "r7_contract_entry_report"]
+CONTRACTS = ["a8_contract_rejects", "a8_counts_from_text", "corpus_contract_entries", "g2_contract_entry_tree", "r7_contract_entry_report"]
 
 
 def plans_of(monkeypatch, run) -> list[str]:
